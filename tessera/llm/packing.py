@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,11 @@ END = (0).to_bytes(4, "little")
 
 #: Texts of these characters are cut into pre-tokens here as the tokenizer cuts them; it takes other texts whole.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ]*")
-CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+CUTS = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 class Ids(dict):
-    """Pre-token -> its ids as little-endian 32-bit numbers; encoded by the library once, up to ``most`` kept."""
+    """Pre-token -> its ids as little-endian 32-bit numbers; encoded by the library once, about ``most`` kept."""
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
@@ -44,16 +45,32 @@ class Ids(dict):
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
+    def learn(self, words: set[str], at_once: int = 1000) -> None:
+        """Encodes new pre-tokens. Words with a space in front are one text that the tokenizer cuts into just them."""
+        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        self.update((w, self.whole(w)) for w in words.difference(spaced))
+        for i in range(0, len(spaced), at_once):
+            part = spaced[i : i + at_once]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            owner, data = np.asarray(e.word_ids), np.asarray(e.ids, "<u4").tobytes()
+            cuts = (4 * np.flatnonzero(np.diff(owner, prepend=-1, append=owner[-1] + 1))).tolist()
+            if len(cuts) != len(part) + 1:
+                self.update((w, self.whole(w)) for w in part)
+            else:
+                self.update(zip(part, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        plain = [PLAIN.fullmatch(t) and not any(s in t for s in self.special) for t in texts]
+        cut = [CUTS.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
+        need = set().union(*(c for c in cut if c is not None))
+        new = need.difference(self)
+        if len(self) + len(new) > self.most:  # the table starts anew, with what these texts have in common with others
+            common = {w: self[w] for w in need.difference(new)}
             self.clear()
-        ids = self[word] = self.whole(word)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, CUTS.findall(text)))
+            self.update(common)
+        self.learn(new)
+        return [self.whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -62,6 +79,16 @@ def encoder(path: str) -> Ids:
     return Ids(path)
 
 
+def encoded(ids: Ids, texts: pa.Array, at_once: int = 1 << 20):
+    """The ids of each text in turn, about ``at_once`` bytes of texts together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + at_once, "right")))
+        yield from ids.encode([t or "" for t in texts.slice(at, end - at).to_pylist()])
+        at = end
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids and the id 0 that ends it. A document
     of more than ``capacity`` ids is cut into pieces of that many; the first may be shorter."""
@@ -71,8 +98,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         ids = encoder(tokenizer_path)
         for b in batches:
             out = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = ids.encode(text or "") + END
+            for i, data in zip(b.column(0).to_pylist(), encoded(ids, b.column(1)), strict=True):
+                data += END
                 n = len(data) // 4
                 start = 0
                 for k in range(-(-n // capacity)):
