@@ -1,9 +1,8 @@
 """Text vectors. The encoder is a plug; the one here needs no model: words and their parts hashed to signed components."""
 
-from __future__ import annotations
-
 import re
 import zlib
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -58,7 +57,7 @@ def embed(rows: DataFrame, encoder: Encoder | None = None, text: str = "chunk_te
                 pass
         return made
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             given, vectors = texts.fillna("").tolist(), []
             for at in range(0, len(given), batch):
@@ -69,7 +68,7 @@ def embed(rows: DataFrame, encoder: Encoder | None = None, text: str = "chunk_te
                     vectors.extend(one_by_one(part))
             yield pd.Series([np.asarray(v, np.float32) for v in vectors], dtype=object)
 
-    vector = F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR_ITER)
+    vector = F.pandas_udf(run, "array<float>")
     return rows.withColumn(out, vector(cut_for_model(F.col(text))))
 
 

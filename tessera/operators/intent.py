@@ -105,7 +105,7 @@ def intent(question: Column) -> Column:
 def relationship_entity(question: Column) -> Column:
     """The entity of a question about relationships: the first capitalised word that starts with F, A, U, E or T,
     else the first capitalised word; null if there is none."""
-    names = F.regexp_extract_all(question, F.lit(r"\b([A-Z][A-Za-z0-9_]+)\b"), F.lit(1))
+    names = F.regexp_extract_all(question, F.lit(r"(?U)\b([A-Z][A-Za-z0-9_]+)\b"), F.lit(1))
     return F.coalesce(F.try_element_at(F.filter(names, lambda n: n.rlike("^[FAUET]")), F.lit(1)), F.try_element_at(names, F.lit(1)))
 
 

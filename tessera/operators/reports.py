@@ -72,8 +72,8 @@ def health(checks: DataFrame) -> DataFrame:
     first = checks.withColumn("gone", F.max(F.when(F.col("check_no") == 1, ~F.col("passed"))).over(Window.partitionBy("install")))
     kept = first.where((F.col("check_no") == 1) | ~F.coalesce("gone", F.lit(False)))
     texts = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("check_no", F.col(c).alias("t"))))), lambda x: x["t"])
-    out = kept.groupBy("install").agg(F.bool_and("passed").alias("valid"), F.max("gone").alias("gone"), F.avg("score").alias("health_score"), texts("issue").alias("issues"), texts("warning").alias("warnings"), F.count_if("passed").alias("checks_passed"), F.count("*").alias("checks_total"))
-    return out.withColumn("health_score", F.when("gone", 0.0).otherwise(F.col("health_score"))).withColumn("checks_total", F.when("gone", 4).otherwise(F.col("checks_total"))).drop("gone")
+    out = kept.groupBy("install").agg(F.bool_and("passed").alias("valid"), F.max("gone").alias("gone"), F.avg("score").alias("health_score"), texts("issue").alias("issues"), texts("warning").alias("warnings"), F.count_if(F.col("passed")).alias("checks_passed"), F.count("*").alias("checks_total"))
+    return out.withColumn("health_score", F.when(F.col("gone"), 0.0).otherwise(F.col("health_score"))).withColumn("checks_total", F.when(F.col("gone"), 4).otherwise(F.col("checks_total"))).drop("gone")
 
 
 def best_installs(installs: DataFrame) -> DataFrame:

@@ -128,18 +128,15 @@ def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stated questions against the snippets, in one plan, rendered."""
     q = questions(spark).withColumns({"top_k": F.lit(5), "scope": F.lit("all"), "filter": F.lit(None).cast("string")})
-    out = hybrid.answer(q, hybrid.Index.build(code(spark)))
+    out = hybrid.answer(q, hybrid.Index.build(code(spark)).kept())
     return out.select("query_id", "intent.type", F.size("definition_results").alias("n_definitions"), F.size("semantic_results").alias("n_semantic"), F.size("combined_results").alias("n_combined"), formats.as_paths().alias("paths"), formats.as_json(False).alias("json"))
 
 
 def format_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = spark.createDataFrame([(0, "struct FHitInfo"), (1, "how do wheels work")], "query_id long, question string").withColumns({"top_k": F.lit(3), "scope": F.lit("all")})
-    out = hybrid.answer(q, hybrid.Index.build(code(spark)))
-    parts = [out.select("query_id", F.lit(name).alias("format"), f().alias("rendered")) for name, f in formats.FORMATS.items()]
-    done = parts[0]
-    for p in parts[1:]:
-        done = done.unionByName(p)
-    return done
+    out = hybrid.answer(q, hybrid.Index.build(code(spark)).kept()).persist()
+    kinds = F.create_map(*(x for name, f in formats.FORMATS.items() for x in (F.lit(name), f())))
+    return out.select("query_id", F.explode(kinds).alias("format", "rendered"))
 
 
 QUERIES = {f.__name__: f for f in (entity_extract, macro_flags, entity_frequency_top10, entity_mentions, include_dependencies, inheritance_edges, composition_edges, include_edges, reachable_entities, definition_extract, definition_lookup, relationship_tree, module_include, path_subsumption, version_match, intent_route, query_expand, relationship_entity, related_entities, hybrid_answers, format_outputs)}
@@ -150,7 +147,7 @@ _ENTITIES = r"""e AS (SELECT path, text, regexp_extract_all(text, '\bstruct\s+(?
   regexp_extract_all(text, '\benum\s+(?:class\s+)?([A-Z_]\w+)', 1) AS n FROM code), d AS (SELECT *, list_sort(list_distinct(s || c || n)) AS entities FROM e)"""
 #: Headers and bodies of the snippets' structs and classes, by an expression of their own.
 _HEADS = r"""h AS (SELECT path, unnest(regexp_extract_all(text, '(?:struct|class)\s+(?:\w+_API\s+)?[A-Z_]\w*\s*(?::[\w\s,]+)?\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}')) AS block FROM code),
-g AS (SELECT path, block, regexp_extract(block, '(?:struct|class)\s+(?:\w+_API\s+)?([A-Z_]\w*)', 1) AS src FROM h WHERE NOT regexp_matches(block, '^class\s+(?:\w+_API\s+)?[^UAI]'))"""
+g AS (SELECT path, block, regexp_extract(block, '(?:struct|class)\s+(?:\w+_API\s+)?([A-Z_]\w*)', 1) AS src FROM h WHERE starts_with(block, 'struct') OR regexp_matches(regexp_extract(block, '(?:struct|class)\s+(?:\w+_API\s+)?([A-Z_]\w*)', 1), '^[UAI][A-Z]'))"""
 _MARK = r"UPROPERTY\([^)]*\)\s+([A-Z]\w+(?:<[^>]+>)?(?:\*)*)\s+(\w+)\s*;"
 _PLAIN = r"(?m)^\s+([A-Z]\w+(?:<[^>]+>)?(?:\*)*)\s+(\w+)\s*;\s*(?://.*)?$"
 _CONTAINS = f"""m AS (SELECT src, unnest(regexp_extract_all(block, '{_MARK}')) AS x, 'UPROPERTY' AS macro, '{_MARK}' AS p FROM g
@@ -213,8 +210,8 @@ SQL = {
     "composition_edges": f"WITH {CODE_SQL}, {_HEADS}, {_CONTAINS} SELECT src, regexp_extract(type, '^\\w+') AS dst, member_name, macro, contains(type, 'Component') AS is_component, contains(type, '*') AS is_pointer FROM o",
     "include_edges": f"""WITH {CODE_SQL}, {_HEADS}, {_INHERITS}, {_CONTAINS}, r AS (SELECT 'inherits' AS rel FROM i UNION ALL SELECT 'contains' FROM o UNION ALL SELECT 'includes' FROM (SELECT unnest(regexp_extract_all(text, '#include\\s+[<"]([^>"]+)[>"]', 1)) FROM code)) SELECT rel, count(*) AS n FROM r GROUP BY rel""",
     "reachable_entities": f"WITH RECURSIVE {CODE_SQL}, {_HEADS}, {_INHERITS}, {_CONTAINS}, ed AS (SELECT src, dst FROM i UNION SELECT src, regexp_extract(type, '^\\w+') FROM o), t(root, node, hops) AS (SELECT DISTINCT src, src, 0 FROM ed UNION SELECT t.root, ed.dst, t.hops + 1 FROM t JOIN ed ON t.node = ed.src WHERE t.hops < 3) SELECT root, node, min(hops)::INT AS hops FROM t GROUP BY root, node",
-    "module_include": rf"""WITH {values("p", "path", PATHS)}, s AS (SELECT path, string_split(path, '/') AS parts FROM p), i AS (SELECT *, len(parts) - list_position(list_reverse(parts), 'Source') + 1 AS at FROM s),
-m AS (SELECT *, CASE WHEN at + 2 <= len(parts) THEN parts[at + 2] ELSE 'Unknown' END AS module,
+    "module_include": rf"""WITH {values("p", "path", PATHS)}, s AS (SELECT path, string_split(path, '/') AS parts FROM p), i AS (SELECT *, len(parts) - list_position(list_reverse(parts), 'Source') + 1 AS spot FROM s),
+m AS (SELECT *, CASE WHEN spot + 2 <= len(parts) THEN parts[spot + 2] ELSE 'Unknown' END AS module,
   CASE WHEN regexp_matches(path, '/Public/') THEN regexp_extract(path, '.*/Public/(.*)$', 1) WHEN regexp_matches(path, '/Classes/') THEN regexp_extract(path, '.*/Classes/(.*)$', 1) WHEN regexp_matches(path, '/Private/') THEN regexp_extract(path, '.*/Private/(.*)$', 1) ELSE parts[-1] END AS inner_path FROM i)
 SELECT path, module, '#include "' || inner_path || '"' AS include, CASE WHEN module NOT IN ('Core', 'CoreUObject', 'Engine', 'InputCore', 'Slate', 'SlateCore', 'Unknown') THEN 'Add "' || module || '" to PublicDependencyModuleNames in your Build.cs' END AS tip, nullif(regexp_extract(path, 'UE[_-]?(\d+\.\d+)', 1), '') AS version FROM m""",
     "path_subsumption": f"WITH {values('p', 'path', NESTED)} SELECT DISTINCT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS o WHERE starts_with(p.path, o.path || '/'))",
@@ -223,6 +220,6 @@ SELECT path, module, '#include "' || inner_path || '"' AS include, CASE WHEN mod
     "query_expand": rf"""WITH {_ASKED}, {_SYNONYMS}, w AS (SELECT query_id, question, lower(question) AS low, unnest(regexp_split_to_array(lower(question), '\s+')) AS word FROM asked),
 x AS (SELECT query_id, question AS term FROM asked UNION SELECT query_id, unnest(vs) FROM asked JOIN syn ON lower(question) = k UNION SELECT query_id, unnest(vs) FROM w JOIN syn ON word = k UNION SELECT query_id, replace(low, k, s) FROM (SELECT query_id, low, k, unnest(vs) AS s FROM w JOIN syn ON word = k))
 SELECT query_id, string_agg(term, '|' ORDER BY term) AS terms FROM x GROUP BY query_id""",
-    "relationship_entity": rf"""WITH {_ASKED}, n AS (SELECT query_id, regexp_extract_all(question, '(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}_])([A-Z][A-Za-z0-9_]+)\b', 1) AS names FROM asked) SELECT query_id, coalesce(list_filter(names, lambda x: regexp_matches(x, '^[FAUET]'))[1], names[1]) AS entity FROM n""",
+    "relationship_entity": rf"""WITH {_ASKED}, n AS (SELECT query_id, list_filter(regexp_extract_all(question, '[\p{{L}}\p{{M}}\p{{Nd}}_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z0-9_]+')) AS names FROM asked) SELECT query_id, coalesce(list_filter(names, lambda x: regexp_matches(x, '^[FAUET]'))[1], names[1]) AS entity FROM n""",
     "related_entities": f"WITH {_SYNONYMS}, t AS (SELECT k AS term, vs FROM syn UNION ALL SELECT 'Trace', vs FROM syn WHERE k = 'trace') SELECT term, unnest(vs) AS entity FROM t",
 }

@@ -42,6 +42,10 @@ class Index:
         chunks = chunks.withColumn("chunk_id", F.xxhash64("path", "chunk_index"))
         return cls(embed(chunks, enc), definitions.definitions(files), enc)
 
+    def kept(self) -> Index:
+        """The same, computed once for all plans of the session (an index that is to last is a written store)."""
+        return Index(self.chunks.persist(), self.definitions.persist(), self.encoder)
+
 
 def analyse(questions: DataFrame, index: Index) -> DataFrame:
     """``questions(query_id, question, top_k, scope, ...)`` analysed, with the vector of their semantic text."""
@@ -55,15 +59,15 @@ def answer(questions: DataFrame, index: Index, files_once: bool = False, use_rer
 
     Questions with few definitions of those asked for look into chunks too. A question's filter text narrows its chunks;
     questions with one filter are one branch of the plan."""
-    q = analyse(questions, index)
+    q = analyse(questions, index).persist()  # a row for each question; five branches start from it
     wanted = q.select("query_id", "scope", F.explode("entities").alias("e")).select("query_id", "scope", "e.name", "e.kind")
-    defs = definitions.shown(definitions.look_up(index.definitions, wanted))
+    defs = definitions.shown(definitions.look_up(index.definitions, wanted)).persist()
     n = defs.groupBy("query_id").agg(F.count("*").alias("n_defs"))
     q = q.join(n, "query_id", "left")
     semantic = F.col("intent.type").isin("semantic", "hybrid") | ((F.col("intent.type") == "definition") & (F.coalesce("n_defs", F.lit(0)) < FEW_DEFINITIONS))
     own = F.when(F.col("intent.entity_name").isNotNull(), F.array("intent.entity_name")).otherwise(F.array().cast("array<string>"))
     asked = q.where(semantic).select("query_id", "question", "scope", "top_k", F.coalesce("filter", F.lit("")).alias("filter") if "filter" in q.columns else F.lit("").alias("filter"), scoring.keywords(F.col("semantic_text")).alias("tokens"), "vector", own.alias("boost_entities"), F.col("intent.type").alias("type"))
-    sems = _semantic(asked, index, files_once, use_reranker)
+    sems = _semantic(asked, index, files_once, use_reranker).persist()
     combined = merge(defs, sems, questions)
     return _collect(q, defs, sems, combined)
 
