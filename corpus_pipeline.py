@@ -15,12 +15,12 @@ from tessera.llm import langid, mixing, packing, simhash
 from tessera.llm.common import cut, table
 from tessera.llm.queries import tokenizer
 
-#: A document in which no language holds so much of the words is a mixture or noise.
-LEAST_SCORE = 0.5
+#: A document in which no language comes near half of the words is noise; one of two halves in two languages isn't.
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those in which no learned language has half of the words."""
+    """Drops documents without letters and those in which no learned language has LEAST_SCORE of the words."""
     return langid.keep(docs, langid.learn(docs), LEAST_SCORE)
 
 
