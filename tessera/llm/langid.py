@@ -22,25 +22,64 @@ WORD = re.compile(r"[^\W\d_]+")
 SEGMENT = 64
 
 
-def features(word: str) -> list[str]:
-    w = word.lower()[:40]
-    e = f"^{w}$"
-    return ["bias", f"w:{w}", *(f"p:{w[:k]}" for k in (1, 2, 3) if len(w) >= k), *(f"s:{w[-k:]}" for k in (1, 2, 3, 4) if len(w) >= k), *{e[i : i + n] for n in (2, 3) for i in range(len(e) - n + 1)}]
+#: Features are rows of a table: hashed grams and affixes, the bias, then the lexicon's words.
+TABLE = 1 << 16
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-case characters of all words, each between a start and an end mark; where each word starts, and where all end)."""
+    text = ("\x01" + "\x02\x01".join(words) + "\x02").lower() if words else ""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    return codes, np.append(np.flatnonzero(codes == 1), len(codes))
+
+
+def grams(codes: np.ndarray, at: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """A hash of the ``size`` characters from each place; grams of different kinds have different ones."""
+    h = np.full(len(at), kind + 1, np.uint64) * PRIME
+    for k in range(size):
+        h = (h ^ codes[at + k]) * PRIME
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def whole_words(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word."""
+    place = np.arange(len(codes)) - np.repeat(ends[:-1], np.diff(ends))
+    return np.add.reduceat((codes * PRIME) ^ ((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * codes, ends[:-1])
+
+
+def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the table, number of its word) of each feature of each word: all 2- and 3-grams, marks included; prefixes of up
+    to three and suffixes of up to four letters, with their mark; the bias; the word itself if the sorted ``lexicon`` has its hash."""
+    codes, ends = word_codes(words)
+    first, last = ends[:-1], ends[1:]
+    owner = np.repeat(np.arange(len(words)), np.diff(ends))
+    left = np.repeat(last, np.diff(ends)) - np.arange(len(codes))
+    two, three = np.flatnonzero(left >= 2), np.flatnonzero(left >= 3)
+    four, five = np.flatnonzero(last - first >= 4), np.flatnonzero(last - first >= 5)
+    parts = [(grams(codes, two, 2, 2), owner[two]), (grams(codes, three, 3, 3), owner[three]), (grams(codes, first[four], 4, 4), four), (grams(codes, last[four] - 4, 4, 5), four), (grams(codes, last[five] - 5, 5, 6), five)]
+    rows = [(h >> np.uint64(24)).astype(np.int64) % TABLE for h, _ in parts]
+    known = whole_words(codes, ends)
+    at = np.minimum(np.searchsorted(lexicon, known), max(len(lexicon) - 1, 0))
+    in_lexicon = np.flatnonzero(lexicon[at] == known) if len(lexicon) else np.empty(0, np.int64)
+    return np.concatenate([*rows, np.full(len(words), TABLE), TABLE + 1 + at[in_lexicon]]), np.concatenate([*(w for _, w in parts), np.arange(len(words)), in_lexicon])
 
 
 @dataclass
 class Model:
-    """langs: sorted; index: feature -> row of weights; weights: (features, languages); moves: (from, to). key: tells models apart."""
+    """langs: sorted; lexicon: sorted hashes of known words; weights: (features, languages); moves: (from, to). key: tells models apart."""
 
     langs: list[str]
-    index: dict[str, int]
+    lexicon: np.ndarray
     weights: np.ndarray
     moves: np.ndarray
     key: int = 0
 
-    def score(self, word: str) -> np.ndarray:
-        rows = [self.index[f] for f in features(word) if f in self.index]
-        return self.weights[rows].sum(0) if rows else np.zeros(len(self.langs))
+    def score(self, words: list[str]) -> np.ndarray:
+        """(words, languages)"""
+        rows, owner = features(words, self.lexicon)
+        return np.stack([np.bincount(owner, self.weights[rows, k], len(words)) for k in range(len(self.langs))], 1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -106,17 +145,16 @@ def marginals(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarr
     return p / p.sum(1, keepdims=True)
 
 
-def train(samples: list[tuple[str, list[str]]], rounds: int = 80, seed: int = 7, most_features: int = 60_000, length: int = 32) -> Model:
+def train(samples: list[tuple[str, list[str]]], rounds: int = 60, seed: int = 7, most_words: int = 20_000, length: int = 32) -> Model:
     """From (language, words) of texts. Words of up to three texts follow each other in a training sequence, so that
     the moves between languages are learned as well; Adam on the log-likelihood with a small penalty on weights."""
     langs = sorted({x for x, ws in samples if ws})
     rng = np.random.default_rng(seed)
     texts = sorted((x, ws) for x, ws in samples if ws)
-    n = Counter(f for _, ws in texts for w in set(ws) for f in features(w))
-    kept = sorted(f for f, _ in sorted((x for x in n.items() if x[1] > 1), key=lambda x: (-x[1], x[0]))[:most_features])
-    index = {f: i for i, f in enumerate(kept)}
     k = len(langs)
-    model = Model(langs, index, np.zeros((len(index), k)), np.full((k, k), 1 / max(k, 1)))
+    often = [w for w, n in sorted(Counter(w.lower() for _, ws in texts for w in ws).items(), key=lambda x: (-x[1], x[0]))[:most_words] if n > 2]
+    lexicon = np.unique(whole_words(*word_codes(often))) if often else np.empty(0, np.uint64)
+    model = Model(langs, lexicon, np.zeros((TABLE + 1 + len(lexicon), k), np.float64), np.full((k, k), 1 / max(k, 1)))
     if k < 2:
         model.key = zlib.crc32(repr(langs).encode())
         return model
@@ -135,23 +173,22 @@ def train(samples: list[tuple[str, list[str]]], rounds: int = 80, seed: int = 7,
         gold.append(labels + [-1] * (length - len(labels)))
     words, gold = np.asarray(words), np.asarray(gold)
     mask = gold >= 0
-    lists = [[index[f] for f in features(w) if f in index] for w in vocabulary]
-    flat, owner = np.concatenate([np.asarray(x, np.int64) for x in lists]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat, owner = features(list(vocabulary), lexicon)
     scores, moves = model.weights, np.zeros((k, k))
     params = [scores, moves]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     one_hot = np.eye(k)[np.maximum(gold, 0)] * mask[..., None]
     flat_first = np.full((len(words), k), 1 / k)
     for r in range(1, rounds + 1):
-        per_word = np.stack([np.bincount(owner, scores[flat, j], len(lists)) for j in range(k)], 1)
+        per_word = np.stack([np.bincount(owner, scores[flat, j], len(vocabulary)) for j in range(k)], 1)
         x = per_word[words]
         e, go = np.exp(x - x.max(2, keepdims=True)), softmax(moves)
         a, b = steps(e, mask, go, flat_first, flat_first)
         p = a * b
         p /= p.sum(2, keepdims=True)
         left = (p * mask[..., None] - one_hot) / mask.sum()
-        by_word = np.stack([np.bincount(words.ravel(), left[..., j].ravel(), len(lists)) for j in range(k)], 1)
-        g_scores = np.stack([np.bincount(flat, by_word[owner, j], len(index)) for j in range(k)], 1) + 1e-7 * scores
+        by_word = np.stack([np.bincount(words.ravel(), left[..., j].ravel(), len(vocabulary)) for j in range(k)], 1)
+        g_scores = np.stack([np.bincount(flat, by_word[owner, j], len(scores)) for j in range(k)], 1) + 1e-7 * scores
         pair = a[:, :-1, :, None] * go * (e * b)[:, 1:, None, :] * mask[:, 1:, None, None]
         pair /= np.maximum(pair.sum((2, 3), keepdims=True), 1e-300)
         seen = np.einsum("stk,stl->kl", one_hot[:, :-1], one_hot[:, 1:])
@@ -163,6 +200,7 @@ def train(samples: list[tuple[str, list[str]]], rounds: int = 80, seed: int = 7,
             m2[i] = 0.99 * m2[i] + 0.01 * grad**2
             params[i] -= 0.1 * (m1[i] / (1 - 0.9**r)) / (np.sqrt(m2[i] / (1 - 0.99**r)) + 1e-9)
     model.moves = softmax(moves)
+    model.weights = model.weights.astype(np.float32)
     model.key = zlib.crc32(model.weights.tobytes() + model.moves.tobytes())
     return model
 
@@ -210,14 +248,14 @@ class Scores:
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.place) > self.most:
             self.clear()
-        new = [w for w in set(words) if w not in self.place]
+        new = list(set(words).difference(self.place))
         need = len(self.place) + len(new)
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
-        for w in new:
-            x = self.model.score(w)
-            self.rows[len(self.place)] = np.exp(np.maximum(x - x.max(), -30))
-            self.place[w] = len(self.place)
+        if new:
+            x = self.model.score(new)
+            self.rows[len(self.place) : need] = np.exp(np.maximum(x - x.max(1, keepdims=True), -30))
+            self.place.update(zip(new, range(len(self.place), need), strict=True))
         return self.rows[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
 
