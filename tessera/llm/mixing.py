@@ -6,8 +6,9 @@ documents are ranked by the Pareto statistic [u / (1 - u)] / [f / (1 - f)], u be
 document's id fixes. From the front of each source's ranking documents are taken until its remaining words are
 used up; where the next document would pass the target, the following ``AHEAD`` ones may still fill the gap.
 
-No source is sorted as a whole: ranks are dealt into ``BUCKETS`` buckets, whose sums say in which one a
-source's target lies, and only that bucket and the documents just behind it are put in order.
+No source is sorted as a whole: ranks are dealt into ``BUCKETS`` buckets, whose sums say in which one a source's
+target lies; that bucket and the documents just behind it are dealt into ``BUCKETS`` finer ones in the same way,
+and only what lies in the last such bucket and just behind it is put in order.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import cut
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-BUCKETS = 1 << 18
+BUCKETS = 1 << 12
 AHEAD = 64
 SEED = "mix"
 
@@ -70,20 +71,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
     f = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
     q = F.when(f > 0, F.col("u") / (1 - F.col("u")) / (f / (1 - f)))
-    ranked = by_source(rows, targets).withColumn("p", F.coalesce(q / (1 + q), F.lit(1.0))).withColumn("bucket", F.least(F.floor(F.col("p") * BUCKETS), F.lit(BUCKETS - 1)))
-
-    # Where each source's remaining words end: sums of buckets, at most BUCKETS rows a source.
-    sums = ranked.groupBy("source", "rest", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumns({"words_to": F.sum("words").over(upto), "n_to": F.sum("n").over(upto)})
-    over = sums.where(F.col("words_to") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("bucket", "words", "words_to", "n_to"), "bucket").alias("x"))
-    over = over.select("source", F.col("x.bucket").alias("edge"), (F.col("x.words_to") - F.col("x.words")).alias("words_before"), (F.col("x.n_to") + AHEAD).alias("n_end"))
-    last = by_source(sums, over).where(F.col("n_to") - F.col("n") < F.col("n_end")).groupBy("source").agg(F.max("bucket").alias("edge_end"))
-    edges = cut(by_source(over, last, "left").select("source", "edge", "edge_end", "words_before"))
+    ranked = by_source(rows, targets).withColumn("p", F.coalesce(q / (1 + q), F.lit(1.0))).withColumn("fine", F.least(F.floor(F.col("p") * BUCKETS * BUCKETS), F.lit(BUCKETS * BUCKETS - 1))).withColumn("bucket", F.floor(F.col("fine") / BUCKETS))
+
+    def edges_of(part: DataFrame, bucket: str) -> DataFrame:
+        """(source, edge, edge_end, words_before): the bucket in which a source's remaining words end, the last one that AHEAD
+        documents behind it reach into, and the words before the first. At most two times BUCKETS sums a source, about."""
+        sums = part.groupBy("source", "rest", "base", F.col(bucket).alias("b")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        upto = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumns({"words_to": F.col("base") + F.sum("words").over(upto), "n_to": F.sum("n").over(upto)})
+        over = sums.where(F.col("words_to") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("b", "words", "words_to", "n_to"), "b").alias("x"))
+        over = over.select("source", F.col("x.b").alias("edge"), (F.col("x.words_to") - F.col("x.words")).alias("words_before"), (F.col("x.n_to") + AHEAD).alias("n_end"))
+        last = by_source(sums, over).where(F.col("n_to") - F.col("n") < F.col("n_end")).groupBy("source").agg(F.max("b").alias("edge_end"))
+        return cut(by_source(over, last, "left").select("source", "edge", "edge_end", "words_before"))
+
+    in_edge = lambda b: (F.col(b) >= F.col("edge")) & (F.col(b) <= F.col("edge_end"))
+    rough = edges_of(ranked.withColumn("base", F.lit(0).cast("long")), "bucket")
+    edges = edges_of(by_source(ranked, rough).where(in_edge("bucket")).withColumn("base", F.col("words_before")), "fine")
 
     all_rows = by_source(ranked, edges, "left")
-    inside = F.coalesce((F.col("bucket") >= F.col("edge")) & (F.col("bucket") <= F.col("edge_end")), F.lit(False))
-    outer = all_rows.where(~inside).withColumn("chosen", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
+    inside = F.coalesce(in_edge("fine"), F.lit(False))
+    outer = all_rows.where(~inside).withColumn("chosen", F.coalesce(F.col("fine") < F.col("edge"), F.lit(False)))
     order = Window.partitionBy("source").orderBy("p", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     near = all_rows.where(inside).withColumns({"k": F.row_number().over(order.rowsBetween(Window.unboundedPreceding, 0)), "run": F.sum("size").over(order) + F.col("words_before")})
     fits = F.col("run") <= F.col("rest")
