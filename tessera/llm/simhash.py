@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import components, cut
 
@@ -170,7 +171,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fp", text_col: str = "text")
             fps = [f"{fingerprint(t or b''):016x}" for t in b.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.string())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "string"))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, StringType())]))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
