@@ -78,7 +78,7 @@ def plain_windows(text: str, size: int, overlap: int, tail: int = TAIL) -> list[
     out: list[str] = []
     for at in range(0, len(text), size - overlap):
         part = text[at : at + size]
-        if out and len(part) < tail:
+        if out and len(part) < tail and at + size >= len(text):
             out[-1] += part
             break
         out.append(part)

@@ -148,7 +148,7 @@ def test_formats(spark, index):
 
     assert ET.fromstring(out["xml"]).find("results/definitions/definition/entity_name").text == "FHitInfo"
     assert "### 1. struct `FHitInfo`" in out["markdown"] and "```cpp" in out["markdown"]
-    assert out["code"].startswith("// struct FHitInfo\n// File: ") and out["path"].endswith("Hit.h") and "[1] STRUCT FHitInfo" in out["text"]
+    assert out["code"].startswith("// struct FHitInfo\n// File: ") and out["path"].splitlines()[0].endswith("Hit.h") and "[1] STRUCT FHitInfo" in out["text"]
     assert "definition" not in json.loads(formats.render(res, "json", code=False).first().rendered)["results"]["definitions"][0]
 
 
