@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +22,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+#: Edges that one task contracts.
+EDGES = 100_000
+
+
+def forest(batches):
+    """Edges of one partition -> an edge from each node to the smallest one that it reaches by them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    links = [(x, r) for x in list(root) if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def components(edges: DataFrame, max_rounds: int = 40, per_task: int = EDGES) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): one row (node, component) for each node that has
     an edge to another; component is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the edges are stars around each component's
-    smallest node. A step takes a minimum per node (combined before the shuffle) and joins it back, so a
-    node with very many edges is a skewed join, which adaptive execution splits, and never one task's list.
+    Tasks of at most about ``per_task`` edges contract them to stars. If that took one task, the stars are the components.
+    Else the large-star and small-star steps join the stars of different tasks, and both alternate until nothing
+    changes. A star step takes a minimum per node (combined before the shuffle) and joins it back, so a node with very many
+    edges is a skewed join, which adaptive execution splits, and never one task's list.
     Empty edges give an empty result. Raises if ``max_rounds`` rounds aren't enough.
     """
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = cut(e)
-    last = state(e)
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    last = (e.count(), None)
     for _ in range(max_rounds):
-        if last[0] == 0:
+        parts = max(1, -(-last[0] // per_task))
+        e = cut(e.coalesce(parts).mapInArrow(forest, "a long, b long"))
+        if parts == 1:
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))

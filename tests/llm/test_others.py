@@ -191,8 +191,9 @@ def test_components(spark, edges):
         for a, b in edges:
             if a != b:
                 comp[a] = comp[b] = min(comp[a], comp[b])
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == comp
+    for per_task in (1000, 3):
+        rows = components(spark.createDataFrame(edges, "a long, b long"), per_task=per_task).collect()
+        assert {r.node: r.component for r in rows} == comp and len(rows) == len(comp)
 
 
 def test_pipeline(spark, sf_dir):
