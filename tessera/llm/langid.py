@@ -272,6 +272,9 @@ def scores(model: Model) -> Scores:
 
 def label(texts: list[str | None], model: Model, words_at_once: int = 150_000):
     """(number of words, probabilities (words, K)) of each text in turn."""
+    if not model.langs:
+        yield from ((0, np.empty((0, 0))) for _ in texts)
+        return
     group, n = [], 0
     for k, t in enumerate([*texts, None]):
         words = WORD.findall(t) if t else []
