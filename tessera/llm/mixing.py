@@ -4,7 +4,8 @@ A source's target divided by its size says how often each of its documents shoul
 whole part is certain: every document gets so many whole copies. The rest is an inclusion probability f, and
 documents are ranked by the Pareto statistic [u / (1 - u)] / [f / (1 - f)], u being a random number that the
 document's id fixes. From the front of each source's ranking documents are taken until its remaining words are
-used up; where the next document would pass the target, the following ``AHEAD`` ones may still fill the gap.
+used up; where the next document would pass the target, the following ``AHEAD`` ones may still fill the gap, and the
+smallest of those left is taken as well if that comes nearer to the target.
 
 No source is sorted as a whole: ranks are dealt into ``BUCKETS`` buckets, whose sums say in which one a source's
 target lies; that bucket and the documents just behind it are dealt into ``BUCKETS`` finer ones in the same way,
@@ -101,10 +102,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
     def fill(acc: Column, d: Column) -> Column:
         take = (acc["gap"] >= d["size"]) & (d["size"] > 0)
-        return F.struct((acc["gap"] - F.when(take, d["size"]).otherwise(F.lit(0))).alias("gap"), F.concat(acc["out"], F.array(F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), d["text_key"].alias("text_key"), take.alias("chosen")))).alias("out"))
-
-    start = F.struct((F.col("rest") - F.coalesce("used", "words_before")).cast("double").alias("gap"), F.expr("cast(array() as array<struct<doc_id: bigint, size: bigint, text_key: bigint, chosen: boolean>>)").alias("out"))
-    ahead = window.withColumn("d", F.explode(F.aggregate("docs", start, fill)["out"])).select("source_size", "target", "whole", "d.*")
+        return F.struct((acc["gap"] - F.when(take, d["size"]).otherwise(F.lit(0))).alias("gap"), F.concat(acc["out"], F.array(F.struct(d["k"].alias("k"), d["doc_id"].alias("doc_id"), d["size"].alias("size"), d["text_key"].alias("text_key"), take.alias("chosen")))).alias("out"))
+
+    start = F.struct((F.col("rest") - F.coalesce("used", "words_before")).cast("double").alias("gap"), F.expr("cast(array() as array<struct<k: int, doc_id: bigint, size: bigint, text_key: bigint, chosen: boolean>>)").alias("out"))
+    window = window.withColumn("filled", F.aggregate("docs", start, fill))
+    gap = F.col("filled.gap")
+    nearer = F.filter("filled.out", lambda d: ~d["chosen"] & (d["size"] > gap) & (d["size"] - gap < gap))
+    window = window.withColumn("one_more", F.array_min(F.transform(nearer, lambda d: F.struct(d["size"], d["k"]))))
+    ahead = window.withColumn("d", F.explode("filled.out")).select("source_size", "target", "whole", "d.doc_id", "d.size", "d.text_key", (F.col("d.chosen") | F.col("d.k").eqNullSafe(F.col("one_more.k"))).alias("chosen"))
     keep = ["doc_id", "size", "text_key", "source_size", "target", "whole", "chosen"]
     done = outer.select(keep).unionByName(plain.select(keep)).unionByName(ahead.select(keep))
     copies = F.col("whole") + F.col("chosen").cast("long")
@@ -145,7 +150,10 @@ f(source, k, gap, chosen) AS (
   SELECT source, k0, gap, true FROM k
   UNION ALL
   SELECT f.source, p.k, CASE WHEN f.gap >= p.size AND p.size > 0 THEN f.gap - p.size ELSE f.gap END, f.gap >= p.size AND p.size > 0
-  FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source JOIN p ON p.source IS NOT DISTINCT FROM f.source AND p.k = f.k + 1 WHERE p.k <= k.k0 + {AHEAD})
+  FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source JOIN p ON p.source IS NOT DISTINCT FROM f.source AND p.k = f.k + 1 WHERE p.k <= k.k0 + {AHEAD}),
+g AS (SELECT source, min(gap) AS gap FROM f GROUP BY source),
+m AS (SELECT p.source, p.k FROM f JOIN p ON f.source IS NOT DISTINCT FROM p.source AND f.k = p.k JOIN k ON k.source IS NOT DISTINCT FROM p.source JOIN g ON g.source IS NOT DISTINCT FROM p.source
+      WHERE p.k > k.k0 AND NOT f.chosen AND p.size > g.gap AND p.size - g.gap < g.gap QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY p.size, p.k) = 1)
 SELECT p.doc_id, p.size, p.source_size, p.target,
-       (p.size * (p.whole + CASE WHEN p.k <= k.k0 THEN 1 WHEN f.chosen THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source LEFT JOIN f ON f.source IS NOT DISTINCT FROM p.source AND f.k = p.k AND p.k > k.k0"""
+       (p.size * (p.whole + CASE WHEN p.k <= k.k0 THEN 1 WHEN f.chosen OR m.k IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source LEFT JOIN m ON m.source IS NOT DISTINCT FROM p.source AND m.k = p.k LEFT JOIN f ON f.source IS NOT DISTINCT FROM p.source AND f.k = p.k AND p.k > k.k0"""

@@ -254,9 +254,11 @@ def test_mixing_meets_its_targets(spark, sf_dir):
     assert a == b
     rows = mixing.mix(d).withColumn("rest", F.col("taken") % F.greatest("size", F.lit(1))).collect()
     assert all(r.rest == 0 and r.taken <= 2 * r.size for r in rows)
-    targets = {(r.source_size, r.target) for r in rows}
-    taken, total = sum(r.taken for r in rows), sum(r.size for r in rows)
-    assert abs(taken - 1.5 * total) < 0.02 * total and abs(sum(t for _, t in targets) - 1.5 * total) < 1 or len(targets) < 20
+    total = sum(r.size for r in rows)
+    by = d.join(spark.createDataFrame([(r.doc_id, r.size, r.target, r.taken) for r in rows], "doc_id long, size long, target double, taken long"), "doc_id").groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("most"), F.sum("size").alias("words")).collect()
+    assert abs(sum(r.target for r in by) - 1.5 * total) < 1e-6 * total and all(r.target <= 2 * r.words for r in by)
+    assert all(abs(r.taken - r.target) <= r.most / 2 for r in by)
+    assert abs(sum(r.taken for r in by) - 1.5 * total) < 0.02 * total
 
 
 def test_mixing_edges(spark):
