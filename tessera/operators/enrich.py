@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import is_header, is_implementation
+from ..functions.naming import is_header, is_implementation, module_by_place
 
 # What names an entity, and what marks a macro.
 STRUCT = r"\bstruct\s+(?:\w+_API\s+)?([A-Z_]\w+)"
@@ -54,3 +54,15 @@ def re_enrich(chunks: DataFrame, files: DataFrame, size: int = 1500, overlap: in
     window = F.substring("__text", F.col("chunk_index") * (size - overlap) + 1, F.lit(size))
     fresh = entity_columns(window, F.col("path"))
     return joined.withColumns({c: F.when(F.col("__text").isNotNull(), fresh[c]).otherwise(F.col(c)) for c in given}).drop("__text")
+
+
+def modules(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """``files(path, ...)`` with module: the name of the build file in the nearest folder above it and below the last Source folder
+    (``listing(path)`` has the build files), else the second folder below Source, else Unknown. An equi-join on folders."""
+    name = F.regexp_extract("path", r"([^/]*)\.Build\.cs$", 1)
+    builds = listing.where(F.col("path").endswith(".Build.cs")).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.min(name).alias("name"))
+    parts = F.split("path", "/")
+    source = F.size(parts) - F.array_position(F.reverse(parts), "Source").cast("int") + 1
+    above = F.when(F.array_contains(parts, "Source") & (source + 2 <= F.size(parts)), F.transform(F.sequence(source + 1, F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder"))))
+    near = files.select("path").distinct().select("path", F.inline(above)).join(builds, "folder").groupBy("path").agg(F.max_by("name", "depth").alias("__module"))
+    return files.join(near, "path", "left").withColumn("module", F.coalesce("__module", module_by_place(F.col("path")))).drop("__module")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import embed, incremental, reports
+from ..operators import chunking, definitions, embed, enrich, incremental, reports
 from ..sources import files as sources
 from . import hybrid
-from .fixtures import FILES, code, files, table, values
+from .fixtures import CODE_SQL, FILES, code, files, table, values
 
 #: The new state of documents: every tenth is edited, every seventh is gone, and there are two more.
 MORE = [(-1, "new/one.h"), (-2, "new/two.md")]
@@ -143,7 +143,43 @@ def answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.prompt(h).select("query_id", F.md5("prompt").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress, answer_prompt)}
+LISTED = [("/e/Source/Runtime/Phys/Phys.Build.cs",), ("/e/Source/Runtime/Phys/Inner/Inner.Build.cs",), ("/e/Source/Top.Build.cs",), ("/e/Source/Runtime/Phys/Inner/Public/A.h",), ("/e/Source/Runtime/Phys/Private/B.cpp",), ("/e/Source/Runtime/Other/C.h",), ("/x/D.h",), ("/e/Source/E.h",)]
+
+
+def module_build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = spark.createDataFrame(LISTED, "path string")
+    return enrich.modules(listing.where("path NOT LIKE '%.Build.cs'"), listing)
+
+
+def stored_chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last chunk of every document, by its number, from the stored chunks."""
+    chunks = chunking.window_chunks(files(spark, sf_dir))
+    hits = chunks.groupBy("path").agg(F.max("chunk_index").alias("chunk_index"))
+    return chunking.chunk_text_of(hits, chunks).select("path", "chunk_index", F.md5("chunk_text").alias("md5"))
+
+
+def index_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import datetime
+
+    e = table(spark, sf_dir, "events").select(F.col("ts").alias("modified"))
+    a = incremental.is_stale(e, datetime(2020, 1, 1)).withColumn("built", F.lit("before"))
+    b = incremental.is_stale(e, datetime(2100, 1, 1)).withColumn("built", F.lit("after"))
+    return a.unionByName(b).select("built", "stale", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"))
+
+
+def re_enriched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored chunks of the snippets, two of a file that is gone."""
+    stored = code(spark).select("path").withColumn("chunk_index", F.lit(0)).union(spark.createDataFrame([("/gone.h", 0), ("/gone.h", 1)], "path string, chunk_index int"))
+    r = enrich.re_enrich(stored, code(spark))
+    return r.select("path", "chunk_index", F.array_join("entities", ",").alias("entities"), "has_uclass", "is_header")
+
+
+def first_kind_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = definitions.definitions(code(spark))
+    return definitions.first_kind(d, F.lit("FHitInfo")).select("file_path", "entity_type", "line_start")
+
+
+QUERIES = {f.__name__: f for f in (module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress, answer_prompt)}
 
 _NEW = FILES + ", new AS (SELECT doc_id, path, origin, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS text FROM files WHERE doc_id % 7 <> 3 UNION ALL " + " UNION ALL ".join(f"SELECT {i}, '{p}', 'engine', 'new text'" for i, p in MORE) + ")"
 
@@ -156,6 +192,14 @@ e{name} AS (SELECT case_id::BIGINT AS case_id, found / 5 AS precision, found / n
 
 
 SQL = {
+    "module_build_files": f"""WITH {values("l", "path", LISTED)}, b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([^/]*)\\.Build\\.cs$', 1) AS name FROM l WHERE path LIKE '%.Build.cs'),
+f AS (SELECT path, string_split(path, '/') AS parts FROM l WHERE path NOT LIKE '%.Build.cs'), m AS (SELECT f.path, arg_max(name, length(folder)) AS name FROM f JOIN b ON starts_with(f.path, folder || '/') AND regexp_matches(folder, '/Source/') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) GROUP BY f.path)
+SELECT path, coalesce(name, CASE WHEN list_contains(parts, 'Source') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) THEN parts[len(parts) - list_position(list_reverse(parts), 'Source') + 3] ELSE 'Unknown' END) AS module FROM f LEFT JOIN m USING (path)""",
+    "stored_chunk_text": f"WITH {FILES}, w AS (SELECT path, text, CASE WHEN length(text) <= 2000 THEN [0] ELSE list_filter(range(0, length(text), 1800), lambda s: s = 0 OR length(text) - s >= 300) END AS starts FROM files) SELECT path, (len(starts) - 1)::INT AS chunk_index, md5(substr(text, starts[-1] + 1, 2000)) AS md5 FROM w",
+    "index_staleness": "SELECT built, built = 'before' AS stale, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS newest FROM (VALUES ('before'), ('after')) AS t(built)",
+    "re_enriched_chunks": f"""WITH {CODE_SQL}, e AS (SELECT path, substr(text, 1, 1500) AS t FROM code) SELECT path, 0 AS chunk_index, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\bstruct\\s+(?:\\w+_API\\s+)?([A-Z_]\\w+)', 1) || regexp_extract_all(t, '\\bclass\\s+(?:\\w+_API\\s+)?([UAI][A-Z]\\w+)', 1) || regexp_extract_all(t, '\\benum\\s+(?:class\\s+)?([A-Z_]\\w+)', 1))), ',') AS entities,
+regexp_matches(t, '\\bUCLASS\\s*\\(') AS has_uclass, regexp_matches(path, '\\.h$') AS is_header FROM e UNION ALL SELECT '/gone.h', i, '', false, false FROM (VALUES (0), (1)) AS g(i)""",
+    "first_kind_definition": "SELECT '/eng/Source/Runtime/Phys/Public/Hit.h' AS file_path, 'struct' AS entity_type, 5 AS line_start",
     "incremental_anti_join": f"WITH {_NEW} SELECT coalesce(n.path, f.path) AS path, sha256(coalesce(n.text, f.text)) AS sha256, CASE WHEN f.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN n.text = f.text THEN 'unchanged' ELSE 'edited' END AS state FROM new n FULL JOIN files f ON n.path = f.path",
     "incremental_rebuild": f"WITH {_NEW} SELECT n.path, n.origin, sha256(n.text) AS sha256, length(n.text)::INT AS chars, CASE WHEN f.text IS NOT DISTINCT FROM n.text THEN 'old' ELSE 'new' END AS run FROM new n LEFT JOIN files f ON n.path = f.path",
     "safety_brake": f"WITH {_NEW}, o AS (SELECT count(*) AS n FROM files WHERE origin = 'engine') SELECT o.n AS old_engine_chunks, (SELECT count(*) FROM new WHERE origin = 'engine') AS new_engine_files, false AS abort, 'whole' AS run FROM o UNION ALL SELECT o.n, 0, o.n > 100, 'lost' FROM o",
