@@ -12,11 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, mixing, packing, simhash
-from tessera.llm.common import cut, table
+from tessera.llm.common import shared_folder, table
 from tessera.llm.queries import tokenizer
 
-#: A document in which no language comes near half of the words is noise; one of two halves in two languages isn't.
-LEAST_SCORE = 0.4
+#: A document in which no language has a third of the words is noise; one of two or three parts in as many languages isn't.
+LEAST_SCORE = 0.34
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +47,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet beside the session's checkpoints."""
     docs = table(spark, sf_dir, "documents")
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if top:
-            path = os.path.join(top, f"pipeline-{uuid.uuid4().hex}", name)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-        else:
-            docs = cut(docs)
+        path = os.path.join(folder, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -13,12 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; one is set only where it names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        sc = spark.sparkContext
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that nothing before it is computed again
-    when an executor is lost. The session names the folder; one is set only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    when an executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
