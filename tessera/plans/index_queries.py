@@ -135,14 +135,6 @@ def index_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in PROGRESS], "line string").withColumn("p", reports.progress(F.col("line"))).select("line", "p.percent", "p.message")
 
 
-def answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's items as questions, the pages of the same number's remainder as their chunks."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"))
-    p = table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("url").alias("path"), F.substring("html", 1, 200).alias("chunk_text"))
-    h = b.join(p, F.col("page_id") % 40 == F.col("query_id") % 40).withColumns({"rank": F.col("page_id").cast("int"), "score": F.col("page_id") / 8, "chunk_index": F.lit(0), "total_chunks": F.lit(1)})
-    return reports.prompt(h).select("query_id", F.md5("prompt").alias("md5"))
-
-
 LISTED = [("/e/Source/Runtime/Phys/Phys.Build.cs",), ("/e/Source/Runtime/Phys/Inner/Inner.Build.cs",), ("/e/Source/Top.Build.cs",), ("/e/Source/Runtime/Phys/Inner/Public/A.h",), ("/e/Source/Runtime/Phys/Private/B.cpp",), ("/e/Source/Runtime/Other/C.h",), ("/x/D.h",), ("/e/Source/E.h",)]
 
 
@@ -179,7 +171,7 @@ def first_kind_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return definitions.first_kind(d, F.lit("FHitInfo")).select("file_path", "entity_type", "line_start")
 
 
-QUERIES = {f.__name__: f for f in (module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress, answer_prompt)}
+QUERIES = {f.__name__: f for f in (module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress)}
 
 _NEW = FILES + ", new AS (SELECT doc_id, path, origin, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS text FROM files WHERE doc_id % 7 <> 3 UNION ALL " + " UNION ALL ".join(f"SELECT {i}, '{p}', 'engine', 'new text'" for i, p in MORE) + ")"
 
@@ -218,6 +210,4 @@ SELECT install, bool_and(passed) AS valid, CASE WHEN bool_or(gone) THEN 0 ELSE a
     "install_dedup": f"WITH {values('i', 'engine_root, source, priority', INSTALLS)} SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY engine_root ORDER BY priority DESC, source) = 1",
     "layout_profiles": "SELECT * FROM (VALUES ('/x', 'Launcher_Standard_Internal', '/x'), ('/y', 'Launcher_Standard_Base', '/y/Engine'), ('/z', 'Source_Build_GitHub', '/z/Engine')) AS t(root, layout, engine_root)",
     "fastest_model": f"WITH {values('r', 'model, encode_s, dim', RUNS)} SELECT model, encode_s::DOUBLE AS encode_s FROM r ORDER BY encode_s, model LIMIT 1",
-    "answer_prompt": r"""WITH h AS (SELECT item_id AS query_id, substr(b.text, 1, 60) AS question, page_id, printf('[Doc %d score=%.3f path=%s chunk=1/1]', page_id, page_id / 8, url) || chr(10) || substr(html, 1, 200) AS part FROM benchmark b JOIN pages ON page_id % 40 = item_id % 40)
-SELECT query_id, md5('You are a domain assistant. Use ONLY the provided context to answer.' || chr(10) || 'If uncertain, say you are not sure.' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY page_id) || chr(10) || chr(10) || 'Question:' || chr(10) || any_value(question) || chr(10) || chr(10) || 'Answer:') AS md5 FROM h GROUP BY query_id""",
 }

@@ -72,13 +72,21 @@ def url_suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.regexp_extract(path, r"^/([^/]*)", 1).alias("folder"), naming.suffix(path).alias("ext")).agg(F.count("*").alias("n"))
 
 
-def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's first eight words as a question to the pages of its own number's remainder; new order by shared words."""
+def reranked_pages(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Every benchmark item's first eight words as a question to every page: the k pages that share most of its words."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
-    n = F.lit(40)
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("path"), F.regexp_replace("html", "<[^>]*>", " ").alias("chunk_text"), (F.col("page_id") % n).alias("slot"))
-    hits = b.withColumn("slot", F.col("query_id") % n).join(pages, "slot").withColumn("score", 1.0 / (F.col("chunk_id") + 1))
-    return scoring.rerank(hits, 5).select("query_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), F.round("vector_score", 6).alias("vector_score"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("path"), F.regexp_replace("html", "<[^>]*>", " ").alias("chunk_text"), (1.0 / (F.col("page_id") + 1)).alias("score"))
+    return scoring.rerank(scoring.with_questions(pages, b), k)
+
+
+def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reranked_pages(spark, sf_dir, 5).select("query_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), F.round("vector_score", 6).alias("vector_score"))
+
+
+def answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each benchmark item from its three pages."""
+    h = reranked_pages(spark, sf_dir, 3).withColumns({"chunk_index": F.lit(0), "total_chunks": F.lit(1)})
+    return reports.prompt(h).select("query_id", F.md5("prompt").alias("md5"))
 
 
 NAMES = ["FHitResult", "HitResult", "fhitresult", "FHitResalt", "Hit", "ab", "", "UHitResultComponent", "AActor", "Actor", "almond antique", "part", "customer#000000001", "xyz"]
@@ -146,7 +154,12 @@ def _compound(a: str, b: str) -> str:
 
 _WORDS = "list_filter(list_distinct(regexp_split_to_array(lower(question), '\\s+')), lambda w: w <> '' AND NOT list_contains(['the','a','an','in','on','at','for','to','of','is','are','how','why','what'], w))"
 
-QUERIES = {f.__name__: f for f in (content_hash_dedup, char_window_chunks, chunk_overlap_lead, chunk_stats, structured_chunks, snippets, category_counts, extension_stats, index_previews, ext_filter, path_exclude, url_suffix_counts, lexical_rerank, levenshtein_match, jaro_winkler_match, bigram_dice, compound_fuzzy, fuzzy_match, prefix_strip_match)}
+_RERANKED = f"""b AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark), k AS (SELECT *, {_WORDS} AS words FROM b),
+g AS (SELECT page_id, url, regexp_replace(html, '<[^>]*>', ' ', 'g') AS page FROM pages), v AS (SELECT *, list_distinct(regexp_split_to_array(lower(page), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) AS there FROM g),
+s AS (SELECT query_id, question, page_id AS chunk_id, url, page, 1.0::DOUBLE / (page_id + 1) AS vector_score, CASE WHEN len(words) > 0 THEN len(list_intersect(words, there)) / len(words) ELSE 0 END AS r FROM k, v),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id)::INT AS rank FROM s)"""
+
+QUERIES = {f.__name__: f for f in (content_hash_dedup, char_window_chunks, chunk_overlap_lead, chunk_stats, structured_chunks, snippets, category_counts, extension_stats, index_previews, ext_filter, path_exclude, url_suffix_counts, lexical_rerank, answer_prompt, levenshtein_match, jaro_winkler_match, bigram_dice, compound_fuzzy, fuzzy_match, prefix_strip_match)}
 _WINDOWS = """w AS (SELECT *, CASE WHEN length(text) <= 2000 THEN [0] ELSE list_filter(range(0, length(text), 1800), lambda s: s = 0 OR length(text) - s >= 300) END AS starts FROM files {where}),
 x AS (SELECT *, unnest(starts) AS s, unnest(range(len(starts))) AS i FROM w)"""
 SQL = {
@@ -163,10 +176,9 @@ t AS (SELECT path, s, CASE WHEN length(c) + length(more) <= 1200 THEN c || more
     "ext_filter": f"WITH {FILES} SELECT doc_id, path FROM files WHERE regexp_matches(path, '\\.(cpp|h|hpp|inl|cs)$')",
     "path_exclude": f"WITH {FILES}, p AS (SELECT *, string_split(path, '/') AS parts FROM files) SELECT doc_id, path FROM p WHERE NOT list_has_any(parts, ['src1', 'src2', 'fr']) AND (parts[-1] GLOB '*.cpp' OR parts[-1] GLOB '1?[0-4]*.h' OR parts[-1] GLOB '*.md') AND NOT parts[-1] GLOB '*7.md'",
     "url_suffix_counts": r"WITH p AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT regexp_extract(path, '^/([^/]*)', 1) AS folder, lower(regexp_extract(string_split(path, '/')[-1], '[^.](\.[^.]+)$', 1)) AS ext, count(*) AS n FROM p GROUP BY 1, 2",
-    "lexical_rerank": f"""WITH b AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark), k AS (SELECT *, {_WORDS} AS words FROM b),
-h AS (SELECT query_id, page_id AS chunk_id, 1.0::DOUBLE / (page_id + 1) AS vector_score, words, list_distinct(regexp_split_to_array(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) AS there FROM k JOIN pages ON query_id % 40 = page_id % 40),
-s AS (SELECT *, CASE WHEN len(words) > 0 THEN len(list_intersect(words, there)) / len(words) ELSE 0 END AS r FROM h)
-SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id)::INT AS rank, round(r, 6) AS rerank_score, round(vector_score, 6) AS vector_score FROM s QUALIFY rank <= 5""",
+    "lexical_rerank": f"WITH {_RERANKED} SELECT query_id, chunk_id, rank, round(r, 6) AS rerank_score, round(vector_score, 6) AS vector_score FROM t WHERE rank <= 5",
+    "answer_prompt": f"""WITH {_RERANKED}, p AS (SELECT *, printf('[Doc %d score=%.3f path=%s chunk=1/1]', rank, r, url) || chr(10) || page AS part FROM t WHERE rank <= 3)
+SELECT query_id, md5('You are a domain assistant. Use ONLY the provided context to answer.' || chr(10) || 'If uncertain, say you are not sure.' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question:' || chr(10) || any_value(question) || chr(10) || chr(10) || 'Answer:') AS md5 FROM p GROUP BY query_id""",
     "levenshtein_match": f"WITH {_P} SELECT query, candidate, levenshtein(q, c)::INT AS distance, round({_lev('q', 'c')}, 6) AS similarity FROM p",
     "jaro_winkler_match": f"WITH {_P} SELECT query, candidate, round({_jw('q', 'c')}, 6) AS similarity FROM p",
     "bigram_dice": f"WITH {_P} SELECT query, candidate, round({_dice('q', 'c')}, 6) AS similarity FROM p",
