@@ -29,13 +29,13 @@ END = (0).to_bytes(4, "little")
 
 #: Texts of these characters are cut into pre-tokens here as the tokenizer cuts them; it takes other texts whole.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ]*")
-CUTS = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+CUTS = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ſ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[\x00-\x08\x0e-\x1b!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
 
 
 class Ids(dict):
     """Pre-token -> its ids as little-endian 32-bit numbers; encoded by the library once, about ``most`` kept."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         super().__init__()

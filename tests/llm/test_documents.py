@@ -6,6 +6,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from compare import assert_same, duck
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, licenses, mixing, packing, simhash, tokens
@@ -199,6 +201,13 @@ def test_packing(spark, sf_dir):
     assert n <= 1.02 * packing.lower_bound(histogram) + 2
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab 's\n\t.1_é ", max_size=14), min_size=1, max_size=4))
+def test_ids_are_the_librarys(texts):
+    ids = packing.encoder(tokenizer("byte_bpe_50k.json"))
+    assert ids.encode(texts) == [ids.whole(t) for t in texts]
+
+
 def test_packing_repeats_and_nulls(spark):
     got = packing.pack_documents(docs(spark, [(1, "a", "", ""), (1, "a", "", ""), (None, None, "", "")]), tokenizer("byte_bpe_50k.json")).collect()
     assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (1, 2), (1, 2)] and len({r.sequence_id for r in got}) == 1
