@@ -25,6 +25,8 @@ MOST = 2
 BUCKETS = 1 << 12
 AHEAD = 64
 SEED = "mix"
+#: So many sources, of some 50 bytes each, are sent to every executor; with more, joins by source are Spark's choice.
+SOURCES = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -66,8 +68,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = cut(targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
 
+    few = targets.count() <= SOURCES
+
     def by_source(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
         b = b.withColumnRenamed("source", "__source")
+        b = F.broadcast(b) if few else b
         return a.join(b, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
     f = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
