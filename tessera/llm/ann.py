@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, is_valid_vector
 
-BLOCK = 8192
+BLOCK = 2048
 QUERIES = 8192
 
 
@@ -188,7 +188,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sam
     copies = Window.partitionBy("vec").orderBy("id")
     few = cut(v.select("id", "vec").distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"))
     n = few.count()
-    picked = bounded_sample(few, sample, "fit")
+    picked = bounded_sample(few, min(sample, 2_000_000 // dims.d + 1), "fit")
     if not picked:
         picked = few.limit(1).collect()
     tree = fit(np.asarray([r.vec for r in sorted(picked)], np.float64), leaf_rows=max(8, len(picked) // 256))
@@ -223,10 +223,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sam
         for b in batches:
             out = [[], [], [], []]
             for qid, q, vec in zip(b.column(0).to_pylist(), matrix(b.column(1)), b.column(1).to_pylist(), strict=True):
-                leaves = tree.order(q, visits)
-                at = np.concatenate([np.stack([np.full(parts[x], x), first[x] + np.arange(parts[x])], 1) for x in leaves])
-                for bl in np.unique(at[:, 1]):
-                    for col, x in zip(out, (int(bl), qid, vec, at[at[:, 1] == bl, 0].tolist()), strict=True):
+                visited = np.sort(tree.order(q, visits))
+                leaves = np.repeat(visited, parts[visited])
+                nth = np.arange(len(leaves)) - np.repeat(np.cumsum(parts[visited]) - parts[visited], parts[visited])
+                blocks = first[leaves] + nth  # in ascending order, as leaves are
+                cuts = np.flatnonzero(np.diff(blocks, prepend=-1, append=blocks[-1] + 1)).tolist()
+                for a, e in zip(cuts, cuts[1:], strict=False):
+                    for col, x in zip(out, (int(blocks[a]), qid, vec, leaves[a:e].tolist()), strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())), strict=True)], names=["block", "qid", "qvec", "leaves"])
 
