@@ -237,7 +237,7 @@ def learn(docs: DataFrame, per_lang: int = 300, window: int = 48, id_col: str =
 class Scores:
     """exp of words' scores by a model, kept for up to ``most`` words."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         self.clear()
 
