@@ -95,7 +95,7 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "map<string, string>"))
-    return e.groupBy("event_type", F.date_trunc("day", F.col("ts")).cast("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 3).alias("mean"), F.sum(F.size("p")).alias("props"))
+    return e.groupBy("event_type", F.date_trunc("day", F.col("ts")).cast("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.sum(F.floor("value")).alias("whole_value"), F.sum(F.size("p")).alias("props"))
 
 
 CHECKS = [("a", 1, True, 1.0, None, None), ("a", 2, True, 0.5, None, "Missing some directories: Plugins"), ("a", 3, False, 0.0, "no version", None), ("a", 4, True, 1.0, None, None),
@@ -204,7 +204,7 @@ s AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY doc_id)
 SELECT query_id, length(context)::INT AS chars, md5(context) AS md5 FROM c""",
     "batch_parse": values("v", "query_id, question, top_k, scope, filter, status", [(0, "FHitInfo members", 3, "engine", None, "success"), (2, "how do wheels work", 5, "all", "file:header", "success"), (3, None, None, None, None, "error"), (4, "AThing", 5, "engine", "type:wrong", "success"), (5, None, None, None, None, "error"), (6, "", 2, "engine", None, "success"), (7, None, None, None, None, "error")]).join(["WITH ", " SELECT query_id::BIGINT AS query_id, question, top_k, scope, filter, status FROM v"]),
     "batch_status": "SELECT * FROM (VALUES ('success', 3::BIGINT), ('error', 4::BIGINT)) AS t(status, n)",
-    "event_log_counts": "SELECT event_type, date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 3) AS mean, sum(len(json_keys(props)))::BIGINT AS props FROM events GROUP BY 1, 2",
+    "event_log_counts": "SELECT event_type, date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS n, count(DISTINCT user_id) AS users, sum(floor(value))::BIGINT AS whole_value, sum(len(json_keys(props)))::BIGINT AS props FROM events GROUP BY 1, 2",
     "health_score": f"""WITH {values("c", "install, check_no, passed, score, issue, warning", CHECKS)}, k AS (SELECT *, bool_or(check_no = 1 AND NOT passed) OVER (PARTITION BY install) AS gone FROM c), s AS (SELECT * FROM k WHERE NOT gone OR check_no = 1)
 SELECT install, bool_and(passed) AS valid, CASE WHEN bool_or(gone) THEN 0 ELSE avg(score) END::DOUBLE AS health_score, coalesce(string_agg(issue, ';' ORDER BY check_no), '') AS issues, coalesce(string_agg(warning, ';' ORDER BY check_no), '') AS warnings, (count(*) FILTER (passed))::INT AS checks_passed, CASE WHEN bool_or(gone) THEN 4 ELSE count(*) END::INT AS checks_total FROM s GROUP BY install""",
     "install_dedup": f"WITH {values('i', 'engine_root, source, priority', INSTALLS)} SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY engine_root ORDER BY priority DESC, source) = 1",
