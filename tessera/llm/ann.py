@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample; every vector is indexed, under the leaf that it falls into. A query walks the
 tree with a priority queue, always to the branch whose promise (inner product with its centre, plus what its spread can
 add) is largest, so leaves come in the order in which they are worth a visit. How many to visit is calibrated: the exact
-neighbours of some queries are found by brute force, and visits widen until their recall is the one asked for.
+neighbours of some queries are found by brute force, and visits widen until their recall is the one asked for. A query's
+best in the sample set a floor, below which nothing is passed on.
 Leaves are gathered into blocks of bounded size; a task compares one block with a bounded share of the queries that
 visit it, so neither a large leaf nor a leaf that all queries visit is one task's work.
 """
@@ -191,7 +192,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sam
     picked = bounded_sample(few, min(sample, 2_000_000 // dims.d + 1), "fit")
     if not picked:
         picked = few.limit(1).collect()
-    tree = fit(np.asarray([r.vec for r in sorted(picked)], np.float64), leaf_rows=max(8, len(picked) // 256))
+    picked = sorted(picked)
+    some_ids, some = np.asarray([r.id for r in picked]), np.asarray([r.vec for r in picked], np.float64)
+    tree = fit(some, leaf_rows=max(8, len(picked) // 256))
 
     def assign(batches):
         for b in batches:
@@ -221,20 +224,27 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sam
 
     def walk(batches):
         for b in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for qid, q, vec in zip(b.column(0).to_pylist(), matrix(b.column(1)), b.column(1).to_pylist(), strict=True):
                 visited = np.sort(tree.order(q, visits))
                 leaves = np.repeat(visited, parts[visited])
                 nth = np.arange(len(leaves)) - np.repeat(np.cumsum(parts[visited]) - parts[visited], parts[visited])
                 blocks = first[leaves] + nth  # in ascending order, as leaves are
                 cuts = np.flatnonzero(np.diff(blocks, prepend=-1, append=blocks[-1] + 1)).tolist()
-                for a, e in zip(cuts, cuts[1:], strict=False):
-                    for col, x in zip(out, (int(blocks[a]), qid, vec, leaves[a:e].tolist()), strict=True):
+                # The sample's best are candidates as well; what is worse than the k-th of them isn't among the k nearest.
+                pick, score = top_rows(qid, q, some @ q, some_ids, some, k)
+                floor = float(score[-1]) if len(score) == k else -np.inf
+                for n, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    near = ([], []) if n else (some_ids[pick].tolist(), score.tolist())
+                    for col, x in zip(out, (int(blocks[a]), qid, vec, leaves[a:e].tolist(), floor, *near), strict=True):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())), strict=True)], names=["block", "qid", "qvec", "leaves"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["block", "qid", "qvec", "leaves", "floor", "near_ids", "near_scores"])
 
-    asked = queries.repartition(max(4, spark.sparkContext.defaultParallelism), "id").mapInArrow(walk, "block long, qid long, qvec array<double>, leaves array<int>")
+    asked = queries.repartition(max(4, spark.sparkContext.defaultParallelism), "id").mapInArrow(walk, "block long, qid long, qvec array<double>, leaves array<int>, floor double, near_ids array<long>, near_scores array<double>")
     asked = cut(asked)
+    sampled = asked.select(F.col("qid").alias("query_id"), F.inline(F.arrays_zip(F.col("near_ids").alias("vec_id"), F.col("near_scores").alias("score"))))
+    asked = asked.drop("near_ids", "near_scores")
     shares = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
     asked = asked.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int")).drop("shares")
     there = rows.mapInArrow(to_block, "block long, id long, vec array<double>, leaf int").join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
@@ -247,14 +257,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sam
                 part = q.iloc[at : at + 256]
                 qs = np.stack(part["qvec"].to_numpy())
                 s = qs @ x.T
-                for j, (qid, leaves) in enumerate(zip(part["qid"], part["leaves"], strict=True)):
-                    pick, score = top_rows(qid, qs[j], np.where(np.isin(leaf, leaves), s[j], -np.inf), ids, x, k)
+                for j, (qid, leaves, floor) in enumerate(zip(part["qid"], part["leaves"], part["floor"], strict=True)):
+                    row = np.where(np.isin(leaf, leaves) & (s[j] >= floor - 1e-9 * max(1.0, abs(floor))), s[j], -np.inf) if floor > -np.inf else np.where(np.isin(leaf, leaves), s[j], -np.inf)
+                    pick, score = top_rows(qid, qs[j], row, ids, x, k)
                     found.append((np.full(len(pick), qid), ids[pick], score))
         cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], []]
         return pd.DataFrame({"query_id": np.asarray(cols[0], np.int64), "vec_id": np.asarray(cols[1], np.int64), "score": np.asarray(cols[2], np.float64)})
 
     near = asked.groupBy("block", "share").cogroup(there.groupBy("block", "share")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    # An id that occurs with several vectors is one neighbour, by its best.
-    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # An id that occurs with several vectors is one neighbour, by its best; so is one that was also in the sample.
+    near = near.unionByName(sampled).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
