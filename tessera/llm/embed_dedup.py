@@ -6,7 +6,9 @@ of random projections, and each is compared with those near it in the order. The
 compared before are not compared again. It ends when a round finds next to no new link and, on an audit sample compared
 with all rows by brute force, the share of links found is high enough; otherwise more random orders are added.
 A list whose members all link is saturated: it may not hold all links. It is enlarged to its whole component, whose
-pairs are counted exactly, in blocks, without writing any pair. Links are kept at the threshold.
+pairs are counted exactly, in blocks, without writing any pair; and to the components with saturated lists around it, as a
+link between two dense groups can be cut from the lists at both ends. Components that so link are one. Links are kept at
+the threshold.
 """
 
 from __future__ import annotations
@@ -136,6 +138,63 @@ def count_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
     return m.groupBy("component", "i", "j").applyInPandas(count, "cid long, linked long").groupBy("cid").agg(F.sum("linked").alias("linked"))
 
 
+def neighbours(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, side, cid, n, vec): for each two components a < b that may link, the vectors of a (side 0) and of b (side 1) that
+    may link to the other one. A vector with a link into a component is, by the triangle inequality of angles, no further
+    from its centre than its radius and the threshold's angle together; so none is lost."""
+    reach = float(np.arccos(threshold)) + 1e-6
+    centres = members.groupBy("component").agg(F.min_by("vec", "cid").alias("centre"))
+
+    def angles(batches):
+        for b in batches:
+            a = np.arccos(np.clip((unit(matrix(b.column("vec"))) * unit(matrix(b.column("centre")))).sum(1), -1.0, 1.0)) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a, pa.float64())], names=[*b.schema.names, "angle"])
+
+    radii = members.select("component", "vec").join(centres, "component").mapInArrow(angles, "component long, vec array<float>, centre array<float>, angle double")
+    balls = cut(radii.groupBy("component").agg(F.max("angle").alias("radius")).join(centres, "component"))
+    blocks = -(-balls.count() // BLOCK)
+    dealt = balls.withColumn("b", F.pmod(F.xxhash64("component"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        c, b, r, x = pdf["component"].to_numpy(), pdf["b"].to_numpy(), pdf["radius"].to_numpy(), unit(np.stack(pdf["centre"].to_numpy()).astype(np.float64))
+        one, two = np.flatnonzero(b == i), np.flatnonzero(b == j)
+        near = np.arccos(np.clip(x[one] @ x[two].T, -1.0, 1.0)) <= r[one][:, None] + r[two] + reach
+        k, m = np.nonzero(near & ((c[one][:, None] < c[two]) if i == j else True))
+        p, q = c[one[k]], c[two[m]]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    pairs = dealt.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "component", "radius", "centre").groupBy("i", "j").applyInPandas(meet, "a long, b long")
+    pairs = cut(pairs)
+    ways = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("component"), F.col("b").alias("other")).unionByName(pairs.select("a", "b", F.lit(1).alias("side"), F.col("b").alias("component"), F.col("a").alias("other")))
+    ways = ways.join(balls.withColumnRenamed("component", "other"), "other").select("a", "b", "side", "component", "radius", "centre")
+    sent = members.join(ways, "component").select("a", "b", "side", "cid", "n", "radius", "vec", "centre")
+    sent = sent.mapInArrow(angles, "a long, b long, side int, cid long, n long, radius double, vec array<float>, centre array<float>, angle double")
+    return sent.where(F.col("angle") <= F.col("radius") + reach).select("a", "b", "side", "cid", "n", "vec")
+
+
+def count_between(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cid, linked): how many vectors, copies counted, of the other one of the components a and b link to each class, where
+    any does. ``members`` are as for ``count_in_blocks``; a task has at most a block of each component."""
+    sent = cut(neighbours(members, threshold))
+    sizes = sent.groupBy("a", "b").agg(*(F.ceil(F.sum((F.col("side") == k).cast("int")) / BLOCK).cast("int").alias(f"blocks{k}") for k in (0, 1))).where("blocks0 > 0 and blocks1 > 0")
+    mine, other = (F.when(F.col("side") == k, F.col("blocks0")).otherwise(F.col("blocks1")) for k in (0, 1))
+    m = sent.join(sizes, ["a", "b"]).withColumn("own", F.pmod(F.xxhash64("cid"), mine).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), other - 1)))
+    m = m.select("a", "b", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("o")).alias("i"), F.when(F.col("side") == 0, F.col("o")).otherwise(F.col("own")).alias("j"), "side", "cid", "n", "vec")
+
+    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        cid, n, side, x = pdf["cid"].to_numpy(), pdf["n"].to_numpy(), pdf["side"].to_numpy(), unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        linked = np.minimum(x[one] @ x[two].T, 1.0) >= threshold
+        total = np.zeros(len(cid), np.int64)
+        total[one], total[two] = linked @ n[two], linked.T @ n[one]
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"a": key[0], "b": key[1], "cid": cid[some], "linked": total[some]})
+
+    found = m.groupBy("a", "b", "i", "j").applyInPandas(count, "a long, b long, cid long, linked long")
+    return found.groupBy("a", "b", "cid").agg(F.sum("linked").alias("linked"))
+
+
 def audit(classes: DataFrame, links: DataFrame, size: int, threshold: float) -> float:
     """The share of the links of a sample of classes that ``links(cid, linked)`` has, against brute force over all rows."""
     picked = bounded_sample(classes.select(F.col("cid").alias("id"), "vec"), size, "audit")
@@ -193,7 +252,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = L
         both = close.union(close.select("v", "u")).distinct()
         narrow = comps.join(wide, "component", "left_anti").select(F.col("cid").alias("u"))
         plain = both.join(narrow, "u", "left_semi").join(classes.select(F.col("cid").alias("v"), "n"), "v").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("linked"))
-        links = cut(plain.unionByName(count_in_blocks(members, threshold)))
+        links = plain.unionByName(count_in_blocks(members, threshold))
+        if wide.limit(2).count() > 1:
+            between = cut(count_between(members, threshold))
+            links = links.unionByName(between.select("cid", "linked")).groupBy("cid").agg(F.sum("linked").alias("linked"))
+            joined = components(between.select("a", "b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("least"))
+            comps = cut(comps.join(joined, "component", "left").select("cid", F.coalesce("least", "component").alias("component")))
+        links = cut(links)
         if audit(classes, links, sample, threshold) >= recall:
             break
     return done(links, comps)

@@ -65,6 +65,27 @@ def test_embedding_dedup_small_tables(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
+def bridged(groups, size, dim=16):
+    """Dense groups 20 degrees apart, the first two joined only by a vector of each that are 17 degrees apart."""
+    rng = np.random.default_rng(5)
+    at = lambda degrees, turn: np.concatenate([[np.cos(np.radians(degrees)), np.sin(np.radians(degrees))] if not turn else [0, 0], np.eye(dim - 2)[turn] if turn else np.zeros(dim - 2)])
+    centres = [at(0, 0), at(20, 0), *(at(0, t) for t in range(1, groups - 1))]
+    x = [c + rng.normal(size=dim) * 0.0005 for c in centres for _ in range(size)] + [at(1.5, 0), at(18.5, 0)]
+    return [(i, v) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_link_between_dense_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    rows = bridged(4, 25)
+    x = embed_dedup.unit(np.stack([v for _, v in valid(rows)]))
+    linked = x @ x.T >= 0.95
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: int(linked[i].sum()) - 1 for i, _ in rows}
+    assert linked[100, 101] and not linked[:25, 25:50].any()
+    assert {i: r.component_id for i, r in got.items()} == {i: 0 if i < 50 or i > 99 else i // 25 * 25 for i, _ in rows}
+
+
 def test_blocks_of_a_component(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 7)
     rng = np.random.default_rng(3)
