@@ -3,8 +3,9 @@
 Vectors that are equal are one class. A first neighbour graph comes from random orders: vectors are sorted by the signs
 of random projections, and each is compared with those near it in the order. Then NN-descent: a vector's neighbours
 (and those that it is a neighbour of) are compared with each other, and what improves a list enters it; pairs that were
-compared before are not compared again. It ends when a round finds next to no new link and, on an audit sample compared
-with all rows by brute force, the share of links found is high enough; otherwise more random orders are added.
+compared before are not compared again. It ends when a round finds next to no new link and, on audit samples compared
+with all rows by brute force, the share of a vector's links that was found is high enough, in small components as in large
+ones; otherwise more random orders are added, each time twice as many, and if that never does it raises.
 A list whose members all link is saturated: it may not hold all links. It is enlarged to its whole component, whose
 pairs are counted exactly, in blocks, without writing any pair; and to the components with saturated lists around it, as a
 link between two dense groups can be cut from the lists at both ends. Components that so link are one. Links are kept at
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ann import bounded_sample, matrix
+from .ann import matrix
 from .common import components, cut, is_valid_vector
 
 THRESHOLD = 0.95
 LIST = 10
 REVERSE = 10
+#: Vectors with links that the audit wants to see of each stratum.
+LINKED = 256
 ORDER_BLOCK = 192
 BLOCK = 1024
 GRAPH = "u long, v long, s double"
@@ -195,26 +198,46 @@ def count_between(members: DataFrame, threshold: float) -> DataFrame:
     return found.groupBy("a", "b", "cid").agg(F.sum("linked").alias("linked"))
 
 
-def audit(classes: DataFrame, links: DataFrame, size: int, threshold: float) -> float:
-    """The share of the links of a sample of classes that ``links(cid, linked)`` has, against brute force over all rows."""
-    picked = bounded_sample(classes.select(F.col("cid").alias("id"), "vec"), size, "audit")
-    if not picked:
-        return 1.0
-    ids, q = np.asarray([r.id for r in picked]), unit(np.asarray([r.vec for r in picked], np.float64))
-
-    def scan(batches):
-        total = np.zeros(len(ids), np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                c = b.slice(at, 4096)
-                linked = (q @ unit(matrix(c.column(2))).T >= threshold) & (c.column(0).to_numpy() != ids[:, None])
-                total += linked @ c.column(1).to_numpy()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["cid", "true"])
-
-    true = classes.select("cid", "n", "vec").mapInArrow(scan, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
-    got = true.join(links, "cid", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("linked", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+def audit(classes: DataFrame, links: DataFrame, comps: DataFrame, size: int, threshold: float, seed: int = 0, need: int = LINKED) -> float:
+    """The least recall of the strata, which are vectors in found components of at most 3 classes (or in none), of up to 31, and of
+    more: the mean, over sampled vectors that link, of the share of their links that ``links(cid, linked)`` has, against brute
+    force over all rows. Each stratum is sampled in batches of about ``size`` to four times that until ``need`` of its vectors link or none is left,
+    so 1.0 of a stratum without links means that all of it was compared. A vector counts once, whatever its links."""
+    sizes = comps.groupBy("component").count()
+    sized = comps.join(sizes, "component").select("cid", "count")
+    kind = F.when(F.coalesce("count", F.lit(1)) <= 3, 0).when(F.col("count") <= 31, 1).otherwise(2)
+    strata = cut(classes.select("cid", "vec").join(sized, "cid", "left").select("cid", "vec", kind.alias("kind"), F.xxhash64("cid", F.lit(f"audit {seed}")).alias("h")))
+    rows = {r.kind: r.n for r in strata.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    worst = 1.0
+    for k, n in sorted(rows.items()):
+        parts, at, seen, share = -(-n // size), 0, 0, 0.0
+        while at < parts and seen < need:
+            upto = min(at + min(at + 1, 4), parts)
+            part = F.pmod("h", F.lit(parts))
+            picked = strata.where((F.col("kind") == k) & (part >= at) & (part < upto)).select("cid", "vec").toArrow()
+            at = upto
+            if not picked.num_rows:
+                continue
+            ids, q = picked["cid"].to_numpy(), unit(matrix(picked["vec"].combine_chunks()))
+
+            def scan(batches, ids=ids, q=q):
+                total = np.zeros(len(ids), np.int64)
+                for b in batches:
+                    step = max(64, (1 << 22) // len(ids))
+                    for start in range(0, b.num_rows, step):
+                        c = b.slice(start, step)
+                        i, j = np.nonzero(q @ unit(matrix(c.column(2))).T >= threshold)
+                        cid, copies = c.column(0).to_numpy(), c.column(1).to_numpy()
+                        other = ids[i] != cid[j]
+                        np.add.at(total, i[other], copies[j[other]])
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["cid", "true"])
+
+            true = classes.select("cid", "n", "vec").mapInArrow(scan, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
+            got = true.join(links, "cid", "left").agg(F.count("*").alias("n"), F.sum(F.least("true", F.coalesce("linked", F.lit(0))) / F.col("true")).alias("share")).first()
+            seen, share = seen + got.n, share + (got.share or 0.0)
+        worst = min(worst, share / seen if seen else 1.0)
+    return worst
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST, recall: float = 0.98, sample: int = 1024, max_rounds: int = 6, max_restarts: int = 4, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -237,8 +260,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = L
         return done(none, classes.where("false").select("cid", F.col("cid").alias("component")))
     orders, graph = 4, None
     for restart in range(max_restarts):
-        fresh = random_orders(classes, [1 + restart * orders + i for i in range(orders)], k, dim).withColumn("new", F.lit(1))
-        graph = cut(best_lists(fresh if graph is None else graph.withColumn("new", F.lit(0)).unionByName(fresh), k))
+        for part in range(2**restart - 1, 2 ** (restart + 1) - 1):  # each time twice as many orders, a few at once
+            fresh = random_orders(classes, [1 + part * orders + i for i in range(orders)], k, dim).withColumn("new", F.lit(1))
+            graph = cut(best_lists(fresh if graph is None else graph.unionByName(fresh), k))
         for _ in range(max_rounds):
             graph = cut(descend(classes, graph, k))
             new, all_links = graph.where(F.col("s") >= threshold).agg(F.sum("new"), F.count("*")).first()
@@ -259,8 +283,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = L
             joined = components(between.select("a", "b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("least"))
             comps = cut(comps.join(joined, "component", "left").select("cid", F.coalesce("least", "component").alias("component")))
         links = cut(links)
-        if audit(classes, links, sample, threshold) >= recall:
+        share = audit(classes, links, comps, sample, threshold, restart)
+        if share >= recall:
             break
+    else:
+        raise RuntimeError(f"near_duplicates: {share:.4f} of the links of an audited vector found after {max_restarts} restarts, below {recall}")
     return done(links, comps)
 
 

@@ -86,6 +86,32 @@ def test_link_between_dense_groups(spark, monkeypatch, block):
     assert {i: r.component_id for i, r in got.items()} == {i: 0 if i < 50 or i > 99 else i // 25 * 25 for i, _ in rows}
 
 
+def rare_pairs(groups=1, size=150, pairs=20, alone=700, dim=32):
+    """A dense group, pairs and vectors with nothing near; the ids of pairs follow those of the group."""
+    rng = np.random.default_rng(7)
+    x = [v for _ in range(groups) for v in rng.normal(size=dim) + rng.normal(size=(size, dim)) * 0.01]
+    for v in rng.normal(size=(pairs, dim)):
+        x += [v, v + rng.normal(size=dim) * 0.2]
+    return list(enumerate([*x, *rng.normal(size=(alone, dim))]))
+
+
+def test_audit_sees_pairs_beside_a_dense_group(spark):
+    rows = rare_pairs()
+    x = embed_dedup.unit(np.stack([v for _, v in rows]))
+    linked = (x @ x.T >= 0.95).sum(1) - 1
+    classes = spark.createDataFrame([(i, 1, [float(c) for c in v]) for i, v in rows], "cid long, n long, vec array<float>")
+    comps = spark.createDataFrame([(i, 0) for i in range(150)], "cid long, component long")
+    all_links = spark.createDataFrame([(i, int(n)) for i, n in enumerate(linked) if n], "cid long, linked long")
+    assert linked[150:190].min() == 1
+    assert embed_dedup.audit(classes, all_links, comps, 64, 0.95) == 1.0
+    assert embed_dedup.audit(classes, all_links.where("cid < 150"), comps, 64, 0.95) == 0.0
+
+
+def test_audit_failure_is_raised(spark):
+    with pytest.raises(RuntimeError):
+        embed_dedup.near_duplicates(vectors(spark, rare_pairs(size=20, pairs=5, alone=20, dim=16)), recall=1.1, max_restarts=1)
+
+
 def test_blocks_of_a_component(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 7)
     rng = np.random.default_rng(3)
