@@ -3,7 +3,8 @@
 The vocabulary has no piece with a word mark behind another character, so merges never cross from a word into the
 space after it, and a text's tokens are those of its pre-tokens: each word with the spaces before it. ``prove`` checks
 that on the vocabulary itself, and finds which pieces encode alone as one token. A pre-token that is such a piece
-counts one; only the rest are merged by the library, and a bounded table keeps their counts.
+counts one; only the rest are merged by the library, and a bounded table keeps their counts. A text that holds the mark
+itself goes to the library whole: there it is like a space, and marks in a row merge.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ class Counter(dict):
     def count(self, text: str) -> int:
         if not text:
             return 0
+        if MARK in text:
+            return len(self.model.encode(text))
         if "  " in text or text[0] == " " or text[-1] == " ":  # spaces in a run may merge with each other
             return sum(self[x[1:]] for x in RUNS.findall(" " + text))
         return sum(map(self.__getitem__, text.split(" ")))

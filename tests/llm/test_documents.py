@@ -67,6 +67,15 @@ def test_licence_index_misses_nothing():
 # Tokens
 
 
+@pytest.mark.parametrize("text", ["x▁ ▁ ▁y", "a▁ ▁b", "▂▁ ▁▂", "▁ ", " ▁ ", "a\n▁ ▁b\n ▁", "▁▁ ▁▁ " * 20])
+def test_token_counts_of_literal_marks(spark, text):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    want = len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))
+    assert [r.n_tokens for r in tokens.count_tokens(docs(spark, [(1, text, "en", "s")]), path).collect()] == [want]
+
+
 def test_token_counts(spark, sf_dir):
     import sentencepiece
 
