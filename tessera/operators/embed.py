@@ -14,7 +14,8 @@ DIM = 64
 
 
 class Encoder(Protocol):
-    """Unit vectors of texts, in order. Encoders are sent to the executors; one with a large model loads it there on first use."""
+    """Unit vectors of texts, in order. Encoders are sent to the executors; one with a large model loads it there on first use.
+    ``most_tokens`` is what its model reads of a text, None if all; an encoder that doesn't say has a model of 512."""
 
     dim: int
 
@@ -22,7 +23,9 @@ class Encoder(Protocol):
 
 
 class HashEncoder:
-    """Deterministic, offline, and without any knowledge of meaning."""
+    """Deterministic, offline, and without any knowledge of meaning. It reads texts of any length."""
+
+    most_tokens = None
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
@@ -69,7 +72,8 @@ def embed(rows: DataFrame, encoder: Encoder | None = None, text: str = "chunk_te
             yield pd.Series([np.asarray(v, np.float32) for v in vectors], dtype=object)
 
     vector = F.pandas_udf(run, "array<float>")
-    return rows.withColumn(out, vector(cut_for_model(F.col(text))))
+    most = getattr(enc, "most_tokens", 512)
+    return rows.withColumn(out, vector(F.col(text) if most is None else cut_for_model(F.col(text), most)))
 
 
 def embed_missing(rows: DataFrame, store: DataFrame, encoder: Encoder | None = None, key: str = "chunk_sha", text: str = "chunk_text") -> DataFrame:

@@ -197,3 +197,17 @@ def test_service(spark, index):
     status, body = server.respond(spark, index, "/search?q=struct+FHitInfo&top_k=2&scope=all")
     assert status == 200 and body["metadata"]["definition_count"] >= 1
     assert server.respond(spark, index, "/config")[1]["dimension"] == embed.DIM
+
+
+def test_whole_texts_are_embedded(spark):
+    texts = ["word " * 1000 + "tail", "." * 3000 + " tail", "word " * 1000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, chunk_text string").withColumn("chunk_sha", F.sha2("chunk_text", 256))
+    none = spark.createDataFrame([], "chunk_sha string, embedding array<float>")
+    got = {r.i: r.embedding for r in embed.embed_missing(rows, none).collect()}
+    assert [got[i] for i in range(3)] == [list(map(float, v)) for v in embed.HashEncoder().encode(texts)]
+    assert got[0] != got[2] and any(got[1])
+
+    class Short(embed.HashEncoder):
+        most_tokens = 512
+
+    assert not any(embed.embed(rows.where("i = 1"), Short()).first().embedding)
