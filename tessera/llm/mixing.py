@@ -78,6 +78,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     f = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
     q = F.when(f > 0, F.col("u") / (1 - F.col("u")) / (f / (1 - f)))
     ranked = by_source(rows, targets).withColumn("p", F.coalesce(q / (1 + q), F.lit(1.0))).withColumn("fine", F.least(F.floor(F.col("p") * BUCKETS * BUCKETS), F.lit(BUCKETS * BUCKETS - 1))).withColumn("bucket", F.floor(F.col("fine") / BUCKETS))
+    # Whole copies meet the target of these sources: nothing is chosen, so there is no order to find.
+    settled = ranked.where(F.col("rest") <= 0).withColumn("chosen", F.lit(False))
+    ranked = ranked.where(F.col("rest") > 0)
 
     def edges_of(part: DataFrame, bucket: str) -> DataFrame:
         """(source, edge, edge_end, words_before): the bucket in which a source's remaining words end, the last one that AHEAD
@@ -116,7 +119,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     window = window.withColumn("one_more", F.array_min(F.transform(nearer, lambda d: F.struct(d["size"], d["k"]))))
     ahead = window.withColumn("d", F.explode("filled.out")).select("source_size", "target", "whole", "d.doc_id", "d.size", "d.text_key", (F.col("d.chosen") | F.col("d.k").eqNullSafe(F.col("one_more.k"))).alias("chosen"))
     keep = ["doc_id", "size", "text_key", "source_size", "target", "whole", "chosen"]
-    done = outer.select(keep).unionByName(plain.select(keep)).unionByName(ahead.select(keep))
+    done = outer.select(keep).unionByName(plain.select(keep)).unionByName(ahead.select(keep)).unionByName(settled.select(keep))
     copies = F.col("whole") + F.col("chosen").cast("long")
     return done.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "text_key")
 

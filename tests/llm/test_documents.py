@@ -357,3 +357,9 @@ def test_code_switched_text(spark, sf_dir):
 @pytest.mark.parametrize("f", [licenses.scan_licenses, simhash.near_duplicates, mixing.mix, lambda d: packing.pack_documents(d, tokenizer("byte_bpe_50k.json")), lambda d: tokens.count_tokens(d, tokenizer("piece_bpe_32k.model")), lambda d: langid.identify(d, langid.learn(d))])
 def test_empty_tables(spark, f):
     assert f(docs(spark, [])).count() == 0
+
+
+def test_capped_source_is_not_chosen_from(spark):
+    given = [(i, "a b" if i % 2 else " ", "en", "s") for i in range(10)] + [(100 + i, "a b c", "en", s) for i in range(40) for s in "tu"]
+    got = {r.doc_id: (r.target, r.copies) for r in mixing.mix(docs(spark, given)).where("doc_id < 100").collect()}
+    assert got == {i: (20.0, 2) for i in range(10)}
