@@ -3,19 +3,20 @@
 Documents become token ids, documents over the capacity are cut, and pieces are dealt to partitions of bounded
 size, each packed by best-fit decreasing. Dual-feasible functions give a lower bound on any packing of the
 partition. Where the bins exceed it, the partition gives its bins with room to a pool; the pool's pieces are
-dealt anew, meet those of other partitions, and are packed again. That ends when the bounds are met or a round
-saves nothing.
+dealt anew, meet those of other partitions, and are packed again. That ends when the bounds are met, a round saves
+nothing, or ``ROUNDS`` packings are done; whatever gap is left is in ``certificate``.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,51 +28,84 @@ PIECES = 1 << 16
 ROUNDS = 4
 END = (0).to_bytes(4, "little")
 
-#: Texts of these characters are cut into pre-tokens here as the tokenizer cuts them; it takes other texts whole.
-PLAIN = re.compile(r"[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ]*")
-CUTS = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ſ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[\x00-\x08\x0e-\x1b!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
+#: A space with no white space beside it: the tokenizer's pre-tokens begin there, whatever stands around it.
+LONE_SPACE = re.compile(r"(?<!\s) (?!\s)")
+WIDE_SPACE = re.compile(r"\s | \s")
+WIDE_ASCII = [x for c in "\t\n\v\f\r \x1c\x1d\x1e\x1f" for x in {c + " ", " " + c}]
+#: Texts of these characters, and their pre-tokens.
+PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ſ]*")
+PRE_TOKENS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Settings of a tokenizer for which these cuts hold.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary: itself if it is printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def cuts_hold(tokenizer) -> bool:
+    """Whether this tokenizer's ids are those of the parts of a text between lone spaces, and PRE_TOKENS its pre-tokens: by its
+    settings, and on a text that has every three kinds of characters in a row."""
+    t = json.loads(tokenizer.to_str())
+    given = {k: (t["pre_tokenizer"] or {}).get(k) for k in BYTE_LEVEL}
+    if given != BYTE_LEVEL or t["normalizer"] or t["post_processor"] or t["truncation"] or t["padding"] or t["model"]["type"] != "BPE" or t["model"]["dropout"]:
+        return False
+    plain_kinds = ["a", "Bc", "é", "ſ", "1", ".", "'s", "'", "\n", "\x1c", "\0", " "]
+    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    text = "".join(map("".join, product([*plain_kinds, "字", "²", "\u3000", "😀"], repeat=3)))
+    first, *rest = LONE_SPACE.split(text)
+    plain = "".join(map("".join, product(plain_kinds, repeat=3)))
+    return ids(text) == [i for part in (first, *(" " + x for x in rest)) for i in ids(part)] and PRE_TOKENS.findall(plain) == [plain[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
 
 
 class Ids(dict):
-    """Pre-token -> its ids as little-endian 32-bit numbers; encoded by the library once, about ``most`` kept."""
+    """Pre-token, or what stands from one lone space to the next -> its ids as little-endian 32-bit numbers.
 
-    def __init__(self, path: str, most: int = 250_000):
+    The library's model encodes a pre-token when it is new. Those of up to ``longest`` characters are kept, ``most`` of them; then
+    they are the old ones, from which those in use come back, and what was old before goes. So two times ``most`` short strings and their
+    ids are all that is held. A tokenizer for which the cuts aren't proven encodes texts whole."""
+
+    def __init__(self, path: str, most: int = 250_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.longest, self.old = Tokenizer.from_file(path), most, longest, {}
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.numbers = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = cuts_hold(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str], at_once: int = 1000) -> None:
-        """Encodes new pre-tokens. Words with a space in front are one text that the tokenizer cuts into just them."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        self.update((w, self.whole(w)) for w in words.difference(spaced))
-        for i in range(0, len(spaced), at_once):
-            part = spaced[i : i + at_once]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            owner, data = np.asarray(e.word_ids), np.asarray(e.ids, "<u4").tobytes()
-            cuts = (4 * np.flatnonzero(np.diff(owner, prepend=-1, append=owner[-1] + 1))).tolist()
-            if len(cuts) != len(part) + 1:
-                self.update((w, self.whole(w)) for w in part)
-            else:
-                self.update(zip(part, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        plain = [PLAIN.fullmatch(t) and not any(s in t for s in self.special) for t in texts]
-        cut = [CUTS.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        need = set().union(*(c for c in cut if c is not None))
-        new = need.difference(self)
-        if len(self) + len(new) > self.most:  # the table starts anew, with what these texts have in common with others
-            common = {w: self[w] for w in need.difference(new)}
-            self.clear()
-            self.update(common)
-        self.learn(new)
-        ids = {w: self[w] for w in need}.__getitem__  # smaller than the whole table, so looked up faster
-        return [self.whole(t) if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
+    def __missing__(self, part: str) -> bytes:
+        plain = part.isascii() or PLAIN.fullmatch(part)
+        if plain and not (part[1:] if part[:1] == " " else part).isalpha():
+            cut = PRE_TOKENS.findall(part)
+            if len(cut) != 1:
+                return b"".join(map(self.__getitem__, cut))
+        ids = self.old.get(part)
+        if ids is None:
+            words = [part.encode().decode("latin-1").translate(self.characters)] if plain else [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+            ids = b"".join([self.numbers[t.id] for w in words for t in self.model.tokenize(w)])
+        if len(part) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not self.cut or any(s in text for s in self.special):
+            return self.whole(text)
+        wide = any(x in text for x in WIDE_ASCII) if text.isascii() else WIDE_SPACE.search(text)
+        if wide or "\0" in text:
+            first, *rest = LONE_SPACE.split(text)
+            return b"".join(map(self.__getitem__, [first, *(" " + x for x in rest)]))
+        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 @lru_cache(maxsize=2)
@@ -80,16 +114,6 @@ def encoder(path: str) -> Ids:
     return Ids(path)
 
 
-def encoded(ids: Ids, texts: pa.Array, at_once: int = 1 << 22):
-    """The ids of each text in turn, about ``at_once`` bytes of texts together."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + at_once, "right")))
-        yield from ids.encode([t or "" for t in texts.slice(at, end - at).to_pylist()])
-        at = end
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids and the id 0 that ends it. A document
     of more than ``capacity`` ids is cut into pieces of that many; the first may be shorter."""
@@ -99,8 +123,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         ids = encoder(tokenizer_path)
         for b in batches:
             out = []
-            for i, data in zip(b.column(0).to_pylist(), encoded(ids, b.column(1)), strict=True):
-                data += END
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = ids.encode(t.as_py() or "") + END
                 n = len(data) // 4
                 start = 0
                 for k in range(-(-n // capacity)):
