@@ -3,7 +3,7 @@
 The vocabulary has no piece with a word mark behind another character, so merges never cross from a word into the
 space after it, and a text's tokens are those of its pre-tokens: each word with the spaces before it. ``prove`` checks
 that on the vocabulary itself, and finds which pieces encode alone as one token. A pre-token that is such a piece
-counts one; only the rest are merged by the library, and a bounded table keeps their counts. A text that holds the mark
+counts one; only the rest are merged by the library, and tables bounded in entries and characters keep their counts. A text that holds the mark
 itself goes to the library whole: there it is like a space, and marks in a row merge.
 """
 
@@ -34,34 +34,46 @@ def prove(model) -> tuple[frozenset[str], bool]:
 
 
 class Counter(dict):
-    """Pre-token (without its first mark) -> its tokens; what isn't proven single is merged once and kept, up to ``most`` entries."""
+    """Pre-token (without its first mark) -> its tokens; what isn't proven single is merged once and kept, if it has at most
+    ``longest`` characters. After ``most`` entries they are the old ones, from which those in use come back, and what was old
+    before goes; so two times ``most`` short strings are all that is held, and as many parts of pre-tokens behind line breaks."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000, longest: int = 48):
         import sentencepiece
 
-        self.model, self.most, self.inner = sentencepiece.SentencePieceProcessor(model_file=path), most, {}
+        super().__init__()
+        self.model, self.most, self.longest = sentencepiece.SentencePieceProcessor(model_file=path), most, longest
+        self.old, self.inner = {}, {}
         self.single, self.lines = prove(self.model)
-        super().__init__(dict.fromkeys(self.single, 1))
 
     def __missing__(self, word: str) -> int:
+        if word in self.single:
+            return 1
+        n = self.old.get(word)
+        if n is None:
+            n = self.merge(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = n
+        return n
+
+    def merge(self, word: str) -> int:
         if self.lines and "\n" in word:  # a line break is one token that merges with nothing
             first, *rest = word.split("\n")
-            n = self[first] + sum(1 + (self.unmarked(x) if x else 0) for x in rest)
-        else:
-            n = len(self.model.encode(word)) if word else 1
-        if len(self) >= self.most:
-            self.clear()
-            self.update(dict.fromkeys(self.single, 1))
-        self[word] = n
-        return n
+            return self[first] + sum(1 + (self.unmarked(x) if x else 0) for x in rest)
+        return len(self.model.encode(word)) if word else 1
 
     def unmarked(self, word: str) -> int:
         """Tokens of a word that follows a line break, so has no mark."""
         n = self.inner.get(word)
         if n is None:
-            if len(self.inner) >= self.most // 4:
-                self.inner.clear()
-            n = self.inner[word] = len(self.model.encode("\n" + word)) - 2
+            n = len(self.model.encode("\n" + word)) - 2
+            if len(word) <= self.longest:
+                if len(self.inner) >= self.most:
+                    self.inner.clear()
+                self.inner[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -82,8 +94,8 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of ``docs``, counted as the library does without
-    begin and end tokens. A narrow map: no shuffle, and memory bounded by a batch of rows and two tables of
-    counts. Null and empty texts have no bytes and no tokens. Repeated rows give repeated rows; a null id stays
+    begin and end tokens. A narrow map: no shuffle, and memory bounded by a batch of rows and tables of so many short
+    strings. Null and empty texts have no bytes and no tokens. Repeated rows give repeated rows; a null id stays
     null; other columns are ignored, whatever their names; an empty table gives an empty one."""
 
     def run(batches):
