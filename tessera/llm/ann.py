@@ -3,8 +3,9 @@
 The tree is fitted on a bounded sample; every vector is indexed, under the leaf that it falls into. A query walks the
 tree with a priority queue, always to the branch whose promise (inner product with its centre, plus what its spread can
 add) is largest, so leaves come in the order in which they are worth a visit. How many to visit is calibrated: the exact
-neighbours of some queries are found by brute force, and visits widen until their recall is the one asked for. A query's
-best in the sample set a floor, below which nothing is passed on.
+neighbours of some queries are found by brute force, and visits widen until their recall is the one asked for. Candidates
+come from visited leaves alone. A query's first leaves are visited first: its k-th best there is a floor, and of the other leaves
+only what reaches it is passed on.
 Leaves are gathered into blocks of bounded size; a task compares one block with a bounded share of the queries that
 visit it, so neither a large leaf nor a leaf that all queries visit is one task's work.
 """
@@ -24,6 +25,8 @@ from .common import cut, is_valid_vector
 
 BLOCK = 2048
 QUERIES = 8192
+#: The first visits, one in so many, whose results set the floor for the others.
+FIRST = 8
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -115,9 +118,8 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1)
 
 
-def top_rows(qid: int, q: np.ndarray, row: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def top_rows(q: np.ndarray, row: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, scores) of the k best of ``row`` (the matrix product's scores, -inf: not a candidate)."""
-    row = np.where(ids == qid, -np.inf, row)
     n = int((row > -np.inf).sum())
     edge = np.partition(row, len(row) - min(k, n))[len(row) - min(k, n)] if n else np.inf
     at = np.flatnonzero((row >= edge - 1e-9 * max(1.0, abs(edge))) & (row > -np.inf)) if n else np.empty(0, int)
@@ -129,28 +131,29 @@ def top_rows(qid: int, q: np.ndarray, row: np.ndarray, ids: np.ndarray, x: np.nd
 def bounded_sample(rows: DataFrame, size: int, salt: str) -> list:
     """About ``size`` rows, never more than 1.2 times it, that a hash of the id picks."""
     n = max(1, rows.count())
-    h = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000_007))
+    h = F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(1_000_000_007))
     return rows.where(h <= min(1.0, size / n) * 1_000_000_007).limit(int(1.2 * size)).collect()
 
 
 def calibrate(rows: DataFrame, queries: list, tree: Tree, k: int, target: float) -> int:
     """The fewest leaves to visit, widening a tenth at a time, for a recall of ``target`` on ``queries``. Their exact
-    neighbours come from a pass over all of ``rows(id, vec, leaf)``; a task passes on k of them a query."""
-    qids, qs = [r.id for r in queries], np.asarray([r.vec for r in queries], np.float64)
+    neighbours come from a pass over all of ``rows(row, id, vec, leaf)``; a task passes on k of them a query."""
+    own, qs = [r.row for r in queries], np.asarray([r.vec for r in queries], np.float64)
 
     def scan(batches):
         keep: dict[int, tuple] = {}
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 c = b.slice(at, BLOCK)
-                ids, x, leaf = c.column(0).to_numpy(), matrix(c.column(1)), c.column(2).to_numpy()
+                row, ids, x, leaf = c.column(0).to_numpy(), c.column(1).to_numpy(), matrix(c.column(2)), c.column(3).to_numpy()
                 s = qs @ x.T
-                for j, qid in enumerate(qids):
-                    pick, score = top_rows(qid, qs[j], s[j], ids, x, k)
+                for j in range(len(qs)):
+                    pick, score = top_rows(qs[j], np.where(row == own[j], -np.inf, s[j]), ids, x, k)
+                    mine = ids[pick], score, leaf[pick]
                     old = keep.get(j)
-                    a, b2, c2 = (ids[pick], score, leaf[pick]) if old is None else tuple(np.concatenate(z) for z in zip(old, (ids[pick], score, leaf[pick]), strict=True))
-                    top = best(a, b2, k)
-                    keep[j] = a[top], b2[top], c2[top]
+                    all_ = mine if old is None else tuple(np.concatenate(z) for z in zip(old, mine, strict=True))
+                    top = best(all_[0], all_[1], k)
+                    keep[j] = tuple(z[top] for z in all_)
         for j, (a, s, leaf) in keep.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), j, np.int32)), pa.array(a), pa.array(s), pa.array(leaf)], names=["q", "id", "s", "leaf"])
 
@@ -170,102 +173,127 @@ def calibrate(rows: DataFrame, queries: list, tree: Tree, k: int, target: float)
     return visits if len(place) else total
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sample: int = 16_384, calibration: int = 96, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest rows found, by inner product, its own left out.
-
-    is_query: a column over ``vectors`` that says which rows are queries. Vectors that are null, zero, of another
-    length than the most common one, or hold null or non-finite components take no part; nor do rows without id. Of
-    rows with equal vectors only the k + 1 of smallest id can be among a query's k nearest (ties go to the smaller id,
-    one may be the query), so copies beyond them aren't compared. A repeated id that is a query is one query, with the vector of
-    its first row by value; as candidates its rows with different vectors stay apart. Other columns are ignored; an empty table, or no query, gives an
-    empty result. With fewer than k candidates all are returned."""
-    spark = vectors.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
-    v = vectors.where(is_valid_vector(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    dims = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return spark.createDataFrame([], out)
-    v = v.where(F.size("vec") == dims.d)
-    copies = Window.partitionBy("vec").orderBy("id")
-    few = cut(v.select("id", "vec").distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"))
-    n = few.count()
-    picked = bounded_sample(few, min(sample, 2_000_000 // dims.d + 1), "fit")
-    if not picked:
-        picked = few.limit(1).collect()
-    picked = sorted(picked)
-    some_ids, some = np.asarray([r.id for r in picked]), np.asarray([r.vec for r in picked], np.float64)
-    tree = fit(some, leaf_rows=max(8, len(picked) // 256))
-
-    def assign(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.assign(matrix(b.column(1))))], names=["id", "vec", "leaf"])
-
-    rows = cut(few.mapInArrow(assign, "id long, vec array<double>, leaf int"))
-    queries = v.where("is_query").groupBy("id").agg(F.min("vec").alias("vec"))
-    tests = bounded_sample(queries, calibration, "calibrate") or queries.limit(calibration).collect()
-    if not tests:
-        return spark.createDataFrame([], out)
-    visits = calibrate(rows, tests, tree, k, recall)
-
-    # Blocks: small leaves together, large ones split. One row a leaf comes to the driver, and a tree has few.
-    sizes = dict(rows.groupBy("leaf").count().collect())
-    block, block_n, first, parts = -1, BLOCK, np.zeros(tree.n_leaves, np.int64), np.ones(tree.n_leaves, np.int64)
-    for leaf in range(tree.n_leaves):
-        m = sizes.get(leaf, 0)
-        if block_n + m > BLOCK:
-            block, block_n = block + 1, 0
-        first[leaf], parts[leaf] = block, max(1, -(-m // BLOCK))
-        block, block_n = block + parts[leaf] - 1, block_n + m if parts[leaf] == 1 else BLOCK
-
-    def to_block(batches):
-        for b in batches:
-            ids, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(first[leaf] + (ids * 2654435761 >> 16) % parts[leaf]), *b.columns], names=["block", "id", "vec", "leaf"])
-
-    def walk(batches):
-        for b in batches:
-            out = [[], [], [], [], [], [], []]
-            for qid, q, vec in zip(b.column(0).to_pylist(), matrix(b.column(1)), b.column(1).to_pylist(), strict=True):
-                visited = np.sort(tree.order(q, visits))
-                leaves = np.repeat(visited, parts[visited])
-                nth = np.arange(len(leaves)) - np.repeat(np.cumsum(parts[visited]) - parts[visited], parts[visited])
-                blocks = first[leaves] + nth  # in ascending order, as leaves are
-                cuts = np.flatnonzero(np.diff(blocks, prepend=-1, append=blocks[-1] + 1)).tolist()
-                # The sample's best are candidates as well; what is worse than the k-th of them isn't among the k nearest.
-                pick, score = top_rows(qid, q, some @ q, some_ids, some, k)
-                floor = float(score[-1]) if len(score) == k else -np.inf
-                for n, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    near = ([], []) if n else (some_ids[pick].tolist(), score.tolist())
-                    for col, x in zip(out, (int(blocks[a]), qid, vec, leaves[a:e].tolist(), floor, *near), strict=True):
-                        col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["block", "qid", "qvec", "leaves", "floor", "near_ids", "near_scores"])
-
-    asked = queries.repartition(max(4, spark.sparkContext.defaultParallelism), "id").mapInArrow(walk, "block long, qid long, qvec array<double>, leaves array<int>, floor double, near_ids array<long>, near_scores array<double>")
+@dataclass
+class Blocks:
+    """Where the rows of each leaf are: ``parts`` blocks from ``first`` on. Small leaves share a block, large ones are split."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: dict[int, int], n_leaves: int) -> Blocks:
+        block, filled, first, parts = -1, BLOCK, np.zeros(n_leaves, np.int64), np.ones(n_leaves, np.int64)
+        for leaf in range(n_leaves):
+            m = sizes.get(leaf, 0)
+            if filled + m > BLOCK:
+                block, filled = block + 1, 0
+            first[leaf], parts[leaf] = block, max(1, -(-m // BLOCK))
+            block, filled = block + parts[leaf] - 1, filled + m if parts[leaf] == 1 else BLOCK
+        return cls(first, parts)
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """``rows(row, id, vec, leaf)`` with the block of each."""
+
+        def run(batches):
+            for b in batches:
+                row, leaf = b.column(0).to_numpy(), b.column(3).to_numpy()
+                mixed = (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(self.first[leaf] + mixed % self.parts[leaf]), *b.columns], names=["block", "row", "id", "vec", "leaf"])
+
+        return rows.mapInArrow(run, "block long, row long, id long, vec array<double>, leaf int")
+
+    def ask(self, queries: DataFrame, tree: Tree, start: int, stop: int) -> DataFrame:
+        """(block, q, qvec, floor, leaves) for each block that has any of the leaves from ``start`` to ``stop`` in the order in
+        which each of ``queries(row, vec, floor)`` visits them."""
+
+        def run(batches):
+            for b in batches:
+                out = [[], [], [], [], []]
+                for q, vec, floor, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), matrix(b.column(1)), strict=True):
+                    visited = np.sort(tree.order(x, stop)[start:])
+                    leaves = np.repeat(visited, self.parts[visited])
+                    nth = np.arange(len(leaves)) - np.repeat(np.cumsum(self.parts[visited]) - self.parts[visited], self.parts[visited])
+                    blocks = self.first[leaves] + nth  # in ascending order, as leaves are
+                    cuts = np.flatnonzero(np.diff(blocks, prepend=-1, append=blocks[-1] + 1)).tolist() if len(blocks) else []
+                    for a, e in zip(cuts, cuts[1:], strict=False):
+                        for col, value in zip(out, (int(blocks[a]), q, vec, floor, leaves[a:e].tolist()), strict=True):
+                            col.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["block", "q", "qvec", "floor", "leaves"])
+
+        return queries.select("row", "vec", "floor").mapInArrow(run, "block long, q long, qvec array<double>, floor double, leaves array<int>")
+
+
+def compare(asked: DataFrame, there: DataFrame, k: int) -> DataFrame:
+    """(q, row, id, score): of each block, the k best of the leaves that a query visits in it, none below its floor. A task has
+    one block and at most about QUERIES of the queries that visit it."""
     asked = cut(asked)
-    sampled = asked.select(F.col("qid").alias("query_id"), F.inline(F.arrays_zip(F.col("near_ids").alias("vec_id"), F.col("near_scores").alias("score"))))
-    asked = asked.drop("near_ids", "near_scores")
     shares = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
-    asked = asked.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int")).drop("shares")
-    there = rows.mapInArrow(to_block, "block long, id long, vec array<double>, leaf int").join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    asked = asked.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("q"), F.col("shares")).cast("int")).drop("shares")
+    there = there.join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
 
-    def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(c):
-            ids, leaf, x = c["id"].to_numpy(), c["leaf"].to_numpy(), np.stack(c["vec"].to_numpy())
+            row, ids, leaf, x = c["row"].to_numpy(), c["id"].to_numpy(), c["leaf"].to_numpy(), np.stack(c["vec"].to_numpy())
             for at in range(0, len(q), 256):
                 part = q.iloc[at : at + 256]
                 qs = np.stack(part["qvec"].to_numpy())
                 s = qs @ x.T
-                for j, (qid, leaves, floor) in enumerate(zip(part["qid"], part["leaves"], part["floor"], strict=True)):
-                    row = np.where(np.isin(leaf, leaves) & (s[j] >= floor - 1e-9 * max(1.0, abs(floor))), s[j], -np.inf) if floor > -np.inf else np.where(np.isin(leaf, leaves), s[j], -np.inf)
-                    pick, score = top_rows(qid, qs[j], row, ids, x, k)
-                    found.append((np.full(len(pick), qid), ids[pick], score))
-        cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], []]
-        return pd.DataFrame({"query_id": np.asarray(cols[0], np.int64), "vec_id": np.asarray(cols[1], np.int64), "score": np.asarray(cols[2], np.float64)})
-
-    near = asked.groupBy("block", "share").cogroup(there.groupBy("block", "share")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    # An id that occurs with several vectors is one neighbour, by its best; so is one that was also in the sample.
-    near = near.unionByName(sampled).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for j, (own, leaves, floor) in enumerate(zip(part["q"], part["leaves"], part["floor"], strict=True)):
+                    there = np.isin(leaf, leaves) & (row != own) & (s[j] >= floor - 1e-9 * max(1.0, abs(floor)) if floor > -np.inf else True)
+                    pick, score = top_rows(qs[j], np.where(there, s[j], -np.inf), ids, x, k)
+                    found.append((np.full(len(pick), own), row[pick], ids[pick], score))
+        cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], [], []]
+        return pd.DataFrame({n: np.asarray(x, t) for n, x, t in zip(("q", "row", "id", "score"), cols, (np.int64, np.int64, np.int64, np.float64), strict=True)})
+
+    return asked.groupBy("block", "share").cogroup(there.groupBy("block", "share")).applyInPandas(run, "q long, row long, id long, score double")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "id", "row")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sample: int = 16_384, calibration: int = 96, visits: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest rows found, by inner product, its own left out.
+
+    is_query: a column over ``vectors`` that says which rows are queries. sample: rows that the tree is fitted on, about; all rows
+    are in its leaves. visits: leaves that a query visits, if they aren't to be found by ``calibration`` queries and ``recall``.
+    Vectors that are null, zero, or hold null or non-finite components take no part; nor do rows without id. A vector is compared
+    with those of its own length, which have a tree of their own. Each row is a candidate, and a query if it is one: rows that share an id, or
+    an id and a vector, stay apart, and a query's own row alone is left out. Ties go to the smaller id. Of rows with equal vectors only the k + 1
+    of smallest id can be among a query's k nearest, so copies beyond them aren't compared. Other columns are ignored; an empty table, or no
+    query, gives an empty result. With fewer than k candidates all are returned."""
+    v = vectors.where(is_valid_vector(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    v = cut(v.withColumn("row", F.monotonically_increasing_id()))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in v.where("is_query").select(F.size("vec").alias("dim")).distinct().orderBy("dim").toLocalIterator():
+        out = out.unionByName(_nearest(v.where(F.size("vec") == r.dim), r.dim, k, recall, sample, calibration, visits))
+    return out
+
+
+def _nearest(v: DataFrame, dim: int, k: int, recall: float, sample: int, calibration: int, visits: int | None) -> DataFrame:
+    copies = Window.partitionBy("vec").orderBy("id", "row")
+    few = cut(v.select("row", "id", "vec").withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"))
+    picked = bounded_sample(few, min(sample, 2_000_000 // dim + 1), "fit") or few.limit(1).collect()
+    tree = fit(np.asarray([r.vec for r in sorted(picked)], np.float64), leaf_rows=max(8, len(picked) // 256))
+
+    def assign(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.assign(matrix(b.column(2))))], names=["row", "id", "vec", "leaf"])
+
+    rows = cut(few.mapInArrow(assign, "row long, id long, vec array<double>, leaf int"))
+    queries = v.where("is_query")
+    if visits is None:
+        visits = calibrate(rows, bounded_sample(queries, calibration, "calibrate") or queries.limit(calibration).collect(), tree, k, recall)
+    blocks = Blocks.of(dict(rows.groupBy("leaf").count().collect()), tree.n_leaves)  # a row a leaf, and a tree has few
+    there = blocks.deal(rows)
+    queries = queries.select("id", "row", "vec").repartition(max(4, v.sparkSession.sparkContext.defaultParallelism), "row")
+    first = max(1, visits // FIRST)
+    near = cut(best_of(compare(blocks.ask(queries.withColumn("floor", F.lit(float("-inf"))), tree, 0, first), there, k), k))
+    floors = near.groupBy("q").agg(F.when(F.count("*") == k, F.min("score")).alias("floor")).select(F.col("q").alias("row"), "floor")
+    more = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = near.drop("rank").unionByName(compare(blocks.ask(more, tree, first, visits), there, k)) if first < visits else near.drop("rank")
+    ids = v.where("is_query").select(F.col("row").alias("q"), F.col("id").alias("query_id"))
+    return best_of(found, k).join(ids, "q").select("query_id", "rank", F.col("id").alias("vec_id"), "score")
