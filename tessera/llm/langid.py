@@ -15,13 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 SEGMENT = 64
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters: of characters for which str.isalpha() holds. WORD alone takes numerals such as \u00b2 for letters."""
+    words = WORD.findall(text)
+    return words if not words or "".join(words).isalpha() else LETTERS.findall(text)
+
+
 #: Features are rows of a table: hashed grams and affixes, the bias, then the lexicon's words.
 TABLE = 1 << 16
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -209,29 +217,33 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, per_lang: int = 300, window: int = 48, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from a bounded sample: about ``per_lang`` documents of each non-null language, ``window`` words of each
-    from a place that its id fixes. Documents that are held out, or have no id, are never looked at."""
+def learn(docs: DataFrame, per_lang: int = 300, window: int = 48, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model from a bounded sample: about ``per_lang`` different documents, never more than 1.2 times that, of each of the up to
+    ``most_langs`` languages with most of them (ties by name), ``window`` words of each from a place that its id fixes. A language
+    that has a document has one in the sample. Documents that are held out, or have no id, language or text, are never looked at."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & ~is_held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    # A document is in the sample by a hash of its id and text, with the odds that its language needs; that of the smallest hash is always.
+    span = 1_000_000_007
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("id", "text", F.lit("langid")), F.lit(span)))
+    langs = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not langs:
         return train([])
-    # A document is in the sample by a hash of its id, with the odds that its language needs.
-    h = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000_007)) / 1_000_000_007
-    odds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 1.2 * per_lang / n)))
-    picked = rows.where(h < odds[F.col("lang")])
+    edge = F.create_map(*(F.lit(x) for r in langs for x in (r.lang, max(r.least, int(1.1 * per_lang / max(r.n, 1) * span)))))
+    picked = rows.where(F.col("h") <= F.try_element_at(edge, "lang"))
 
     def cut_out(batches):
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = WORD.findall(t)
+                ws = words_of(t)
                 at = zlib.crc32(str(i).encode()) % max(1, len(ws) - window + 1)
                 out.append(ws[at : at + window])
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(out, pa.list_(pa.string()))], names=["lang", "h", "words"])
 
-    return train([(r.lang, r.words) for r in picked.mapInArrow(cut_out, "lang string, words array<string>").collect()])
+    cut = picked.mapInArrow(cut_out, "lang string, h long, words array<string>").groupBy("lang", "h").agg(F.min("words").alias("words"))  # repeated rows are one
+    some = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= 1.2 * per_lang)
+    return train([(r.lang, r.words) for r in some.select("lang", "words").collect()])
 
 
 class Scores:
@@ -277,7 +289,7 @@ def label(texts: list[str | None], model: Model, words_at_once: int = 150_000):
         return
     group, n = [], 0
     for k, t in enumerate([*texts, None]):
-        words = WORD.findall(t) if t else []
+        words = words_of(t) if t else []
         group.append(words)
         n += len(words)
         if n >= words_at_once or k == len(texts):
@@ -312,12 +324,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which a language has a mean probability of ``least_score`` or more over all
-    words. Null texts and texts without letters go; so does everything if the model knows no language. A narrow map."""
+    words. Null texts and texts without letters go. A model without languages can't tell, so then all texts with letters stay; one with
+    K languages can't give less than 1 / K. A narrow map."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            good = [bool(n and model.langs and p.mean(0).max() >= least_score) for n, p in label(b.column(at).to_pylist(), model)]
+            texts = b.column(at).to_pylist()
+            if model.langs:
+                good = [bool(n and p.mean(0).max() >= least_score) for n, p in label(texts, model)]
+            else:
+                good = [bool(t and words_of(t)) for t in texts]
             yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
