@@ -3,17 +3,21 @@
 Vectors that are equal are one class. A first neighbour graph comes from random orders: vectors are sorted by the signs
 of random projections, and each is compared with those near it in the order. Then NN-descent: a vector's neighbours
 (and those that it is a neighbour of) are compared with each other, and what improves a list enters it; pairs that were
-compared before are not compared again. It ends when a round finds next to no new link and, on audit samples compared
-with all rows by brute force, the share of a vector's links that was found is high enough, in small components as in large
-ones; otherwise more random orders are added, each time twice as many, and if that never does it raises.
+compared before are not compared again. Lists hold what lies within two times the threshold's angle: vectors that both link
+to a third do, so no path from link to link is cut, and what is further away costs nothing. It ends when a round finds next to no new
+link and, on audit samples compared with all rows by brute force, the share of a vector's links that was found is high enough, in
+small components as in large ones; otherwise more random orders are added, each time twice as many, and if that never does it raises.
 A list whose members all link is saturated: it may not hold all links. It is enlarged to its whole component, whose
-pairs are counted exactly, in blocks, without writing any pair; and to the components with saturated lists around it, as a
+links are counted exactly: rings around the component's centre say which vectors all link and which can't, and the
+others' pairs are counted in blocks, without writing any pair; and to the components with saturated lists around it, as a
 link between two dense groups can be cut from the lists at both ends. Components that so link are one. Links are kept at
 the threshold.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,9 +32,14 @@ LIST = 10
 REVERSE = 10
 #: Vectors with links that the audit wants to see of each stratum.
 LINKED = 256
+#: Vectors that the audit compares with all rows, at most, for one stratum.
+AUDITED = 1 << 20
 ORDER_BLOCK = 192
 BLOCK = 1024
+#: Rings around a component's centre within the threshold's angle.
+RINGS = 64
 GRAPH = "u long, v long, s double"
+log = logging.getLogger(__name__)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -43,8 +52,13 @@ def edges_of(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["u", "v", "s"])
 
 
-def random_orders(classes: DataFrame, seeds: list[int], k: int, dim: int) -> DataFrame:
-    """Edges (u, v, s): in each random order the k best of those in the same block of ORDER_BLOCK neighbours."""
+def reach_of(threshold: float) -> float:
+    """The cosine of two times the threshold's angle: vectors further apart have no vector that links to both."""
+    return 2 * threshold * threshold - 1 - 1e-9 if threshold > 0 else -2.0
+
+
+def random_orders(classes: DataFrame, seeds: list[int], k: int, dim: int, least: float) -> DataFrame:
+    """Edges (u, v, s): in each random order the k best of those in the same block of ORDER_BLOCK neighbours, s being ``least`` or more."""
 
     def place(batches):
         for b in batches:
@@ -72,7 +86,7 @@ def random_orders(classes: DataFrame, seeds: list[int], k: int, dim: int) -> Dat
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 row = np.repeat(np.arange(len(ids)), n)
                 val = s[row, top.ravel()]
-                ok = val > -2
+                ok = val >= max(least, -1.0)
                 parts.append((ids[row][ok], ids[top.ravel()][ok], val[ok]))
             yield edges_of(parts)
             left = t.slice(at) if at < t.num_rows else None
@@ -88,11 +102,12 @@ def best_lists(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def descend(classes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """One round: the lists after the neighbours of each vector have been compared with each other."""
+def descend(classes: DataFrame, graph: DataFrame, k: int, least: float) -> DataFrame:
+    """One round: the lists after the neighbours of each vector have been compared with each other. Vectors are sent to lists that hold a new edge."""
     back = Window.partitionBy("u").orderBy(F.desc("new"), F.desc("s"), "v")
     reverse = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "new").withColumn("r", F.row_number().over(back)).where(F.col("r") <= REVERSE).drop("r")
     around = graph.unionByName(reverse).groupBy("u", "v").agg(F.max("new").alias("new"))
+    around = around.join(around.where("new = 1").select("u").distinct(), "u", "left_semi")
     worst = graph.groupBy("u").agg(F.min("s").alias("worst"), F.count("*").alias("n")).select(F.col("u").alias("v"), F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
     known = classes.select(F.col("cid").alias("v"), "vec").join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
     # Lists of at most LIST + REVERSE neighbours with their vectors; a hub is in many lists but has a short one itself.
@@ -108,7 +123,7 @@ def descend(classes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
             parts = []
             for i, j in zip(ends, ends[1:], strict=False):
                 s = np.minimum(x[i:j] @ x[i:j].T, 1.0)
-                a, c = np.nonzero((s > np.minimum(worst[i:j, None], worst[i:j])) & np.triu(new[i:j, None] | new[i:j], 1).astype(bool))
+                a, c = np.nonzero((s >= least) & (s > np.minimum(worst[i:j, None], worst[i:j])) & np.triu(new[i:j, None] | new[i:j], 1).astype(bool))
                 if len(a):
                     parts.append((ids[i + a], ids[i + c], s[a, c]))
             yield edges_of(parts)
@@ -118,27 +133,73 @@ def descend(classes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     return best_lists(graph.withColumn("new", F.lit(0)).unionByName(found), k)
 
 
+def centres_of(members: DataFrame, most: int = 4096) -> DataFrame:
+    """(component, centre): the mean direction of each component of ``members(component, vec)``. Sums leave a task, no vectors."""
+
+    def sums(batches):
+        part: dict[int, np.ndarray] = {}
+        for b in [*batches, None]:
+            if b is None or len(part) > most:
+                if part:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.int64()), pa.array([x.tolist() for x in part.values()], pa.list_(pa.float64()))], names=["component", "part"])
+                part = {}
+            if b is not None and b.num_rows:
+                c, x = b.column(0).to_numpy(), unit(matrix(b.column(1)))
+                order = np.argsort(c, kind="stable")
+                each, first = np.unique(c[order], return_index=True)
+                for key, total in zip(each.tolist(), np.add.reduceat(x[order], first, axis=0), strict=True):
+                    part[key] = part[key] + total if key in part else total
+
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["part"].to_numpy()).sum(0)
+        return pd.DataFrame({"component": [key[0]], "centre": [x if np.abs(x).max() > 1e-9 else np.eye(1, len(x))[0]]})
+
+    return members.select("component", "vec").mapInArrow(sums, "component long, part array<double>").groupBy("component").applyInPandas(add, "component long, centre array<double>")
+
+
 def count_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """(cid, linked): how many vectors, copies counted, link to each class of ``members(component, cid, n, vec)``. Each pair of
-    blocks of a component is one task's matrix product; the sums are all that leaves it."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    m = members.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cid", "n", "vec")
+    """(cid, linked): how many vectors, copies counted, link to each class of ``members(component, cid, n, vec)``.
 
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        cid, n, b, x = pdf["cid"].to_numpy(), pdf["n"].to_numpy(), pdf["b"].to_numpy(), unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
-        one, two = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        linked = np.minimum(x[one] @ x[two].T, 1.0) >= threshold
+    Vectors are dealt to rings by their angle to the component's centre, RINGS of them to the threshold's angle. By the triangle inequality all
+    vectors of two rings link if their outer edges add up to less than that angle, and none do if they lie further apart than it; so a dense
+    component is counted by its rings' sizes. Each pair of blocks of the other pairs of rings is one task's matrix product; the sums are all
+    that leaves it."""
+    step = float(np.arccos(threshold)) / RINGS
+
+    def rings(batches):
+        for b in batches:
+            a = np.arccos(np.clip((unit(matrix(b.column("vec"))) * unit(matrix(b.column("centre")))).sum(1), -1.0, 1.0)) if b.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "cid", "n", "vec")), pa.array((a / step).astype(np.int32))], names=["component", "cid", "n", "vec", "ring"])
+
+    m = cut(members.join(centres_of(members), "component").select("component", "cid", "n", "vec", "centre").mapInArrow(rings, "component long, cid long, n long, vec array<float>, ring int"))
+    sizes = cut(m.groupBy("component", "ring").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    other = sizes.select("component", F.col("ring").alias("o"), F.col("total").alias("o_total"), F.col("parts").alias("o_parts"))
+    pairs = sizes.join(other, "component")
+    all_link = F.col("ring") + F.col("o") + 3 <= RINGS  # a ring to spare
+    whole = pairs.where(all_link).groupBy("component", "ring").agg(F.sum("o_total").alias("inside"))
+    own = F.when(F.col("ring") * 2 + 3 <= RINGS, F.col("n")).otherwise(F.lit(0))
+    by_rings = m.join(whole, ["component", "ring"]).select("cid", (F.col("inside") - own).alias("linked"))
+    some = pairs.where(~all_link & (F.abs(F.col("ring") - F.col("o")) <= RINGS + 1)).select("component", "ring", "o", "parts", "o_parts")
+    dealt = m.join(some, ["component", "ring"]).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("o_parts") - 1)))
+    mine, theirs = F.struct(F.col("ring").alias("r"), F.col("b").alias("b")), F.struct(F.col("o").alias("r"), F.col("p").alias("b"))
+    dealt = dealt.select("component", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), mine.alias("own"), "cid", "n", "vec").withColumn("first", F.col("own") == F.col("i")).withColumn("same", F.col("i") == F.col("j"))
+    dealt = dealt.select("component", *(F.col(f"{x}.{y}").alias(f"{x}{y}") for x in "ij" for y in "rb"), "first", "same", "cid", "n", "vec")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        cid, n, first, x = pdf["cid"].to_numpy(), pdf["n"].to_numpy(), pdf["first"].to_numpy(), unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
         total = np.zeros(len(cid), np.int64)
-        if i == j:
+        if pdf["same"].iat[0]:
+            linked = np.minimum(x @ x.T, 1.0) >= threshold
             np.fill_diagonal(linked, False)
-            total[one] = linked @ n[two]
+            total = linked @ n
         else:
+            one, two = np.flatnonzero(first), np.flatnonzero(~first)
+            linked = np.minimum(x[one] @ x[two].T, 1.0) >= threshold
             total[one], total[two] = linked @ n[two], linked.T @ n[one]
         return pd.DataFrame({"cid": cid, "linked": total})
 
-    return m.groupBy("component", "i", "j").applyInPandas(count, "cid long, linked long").groupBy("cid").agg(F.sum("linked").alias("linked"))
+    in_blocks = dealt.groupBy("component", "ir", "ib", "jr", "jb").applyInPandas(count, "cid long, linked long")
+    return by_rings.unionByName(in_blocks).groupBy("cid").agg(F.sum("linked").alias("linked"))
 
 
 def neighbours(members: DataFrame, threshold: float) -> DataFrame:
@@ -202,7 +263,8 @@ def audit(classes: DataFrame, links: DataFrame, comps: DataFrame, size: int, thr
     """The least recall of the strata, which are vectors in found components of at most 3 classes (or in none), of up to 31, and of
     more: the mean, over sampled vectors that link, of the share of their links that ``links(cid, linked)`` has, against brute
     force over all rows. Each stratum is sampled in batches of about ``size`` to four times that until ``need`` of its vectors link or none is left,
-    so 1.0 of a stratum without links means that all of it was compared. A vector counts once, whatever its links."""
+    or AUDITED of them were compared: 1.0 of a stratum without links means that all of it was, or that of so many none had a link. A vector
+    counts once, whatever its links."""
     sizes = comps.groupBy("component").count()
     sized = comps.join(sizes, "component").select("cid", "count")
     kind = F.when(F.coalesce("count", F.lit(1)) <= 3, 0).when(F.col("count") <= 31, 1).otherwise(2)
@@ -211,7 +273,7 @@ def audit(classes: DataFrame, links: DataFrame, comps: DataFrame, size: int, thr
     worst = 1.0
     for k, n in sorted(rows.items()):
         parts, at, seen, share = -(-n // size), 0, 0, 0.0
-        while at < parts and seen < need:
+        while at < parts and seen < need and at * size < AUDITED:
             upto = min(at + min(at + 1, 4), parts)
             part = F.pmod("h", F.lit(parts))
             picked = strata.where((F.col("kind") == k) & (part >= at) & (part < upto)).select("cid", "vec").toArrow()
@@ -242,29 +304,36 @@ def audit(classes: DataFrame, links: DataFrame, comps: DataFrame, size: int, thr
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST, recall: float = 0.98, sample: int = 1024, max_rounds: int = 6, max_restarts: int = 4, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links (other vectors with a cosine of ``threshold`` or more that were
-    found), component_id (smallest vec_id reachable), kept (vec_id is component_id).
+    found), component_id (smallest vec_id reachable), kept (vec_id is component_id). Raises if an audit finds less than ``recall`` of
+    the links after ``max_restarts`` restarts; the log tells what it found.
 
-    Equal vectors are compared once and counted as often as they occur. Vectors that are null, zero, of another length than the
-    most common one, or hold null or non-finite components link with nothing: 0 links, their own component, kept. So do
-    vectors with none near. Repeated rows link like other copies; a null id is null in component_id unless its component
+    Equal vectors are compared once and counted as often as they occur. A vector can link with those of its own length, each
+    length being searched by itself. Vectors that are null, zero, or hold null or non-finite components link with nothing: 0 links, their own
+    component, kept. So do vectors with none near. Repeated rows link like other copies; a null id is null in component_id unless its component
     has another, and is kept only if it hasn't. Other columns are ignored; an empty table gives an empty one."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    valid = rows.where(is_valid_vector("vec"))
-    dims = valid.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = dims.d if dims else 0
-    ok = is_valid_vector("vec") & (F.size("vec") == dim)
-    classes = cut(valid.where(F.size("vec") == dim).groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
-    done = lambda links, comps: _answer(rows, ok, classes, links, comps)
-    none = classes.where("false").select("cid", F.lit(0).cast("long").alias("linked"))
-    if classes.limit(2).count() < 2:
-        return done(none, classes.where("false").select("cid", F.col("cid").alias("component")))
-    orders, graph = 4, None
+    ok = is_valid_vector("vec")
+    classes = cut(rows.where(ok).groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
+    out = rows.where(~F.coalesce(ok, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for r in classes.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").toLocalIterator():
+        mine = classes.where(F.size("vec") == r.dim)
+        links, comps = _search(mine, r.dim, threshold, k, recall, sample, max_rounds, max_restarts) if r["count"] > 1 else (mine.where("false").select("cid", F.lit(0).cast("long").alias("linked")), mine.where("false").select("cid", F.col("cid").alias("component")))
+        c = mine.join(links, "cid", "left").join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        least = c.groupBy("component").agg(F.min("least").alias("component_id"))
+        c = c.join(least, "component").select("vec", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
+        out = out.unionByName(rows.where(ok & (F.size("vec") == r.dim)).join(c, "vec").select("vec_id", "n_links", "component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _search(classes: DataFrame, dim: int, threshold: float, k: int, recall: float, sample: int, max_rounds: int, max_restarts: int) -> tuple[DataFrame, DataFrame]:
+    """((cid, linked), (cid, component)) of ``classes(cid, n, vec)`` that link to others."""
+    orders, graph, least = 4, None, reach_of(threshold)
     for restart in range(max_restarts):
         for part in range(2**restart - 1, 2 ** (restart + 1) - 1):  # each time twice as many orders, a few at once
-            fresh = random_orders(classes, [1 + part * orders + i for i in range(orders)], k, dim).withColumn("new", F.lit(1))
+            fresh = random_orders(classes, [1 + part * orders + i for i in range(orders)], k, dim, least).withColumn("new", F.lit(1))
             graph = cut(best_lists(fresh if graph is None else graph.unionByName(fresh), k))
         for _ in range(max_rounds):
-            graph = cut(descend(classes, graph, k))
+            graph = cut(descend(classes, graph, k, least))
             new, all_links = graph.where(F.col("s") >= threshold).agg(F.sum("new"), F.count("*")).first()
             if (new or 0) <= 0.002 * all_links:
                 break
@@ -275,26 +344,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = L
         members = comps.join(wide, "component", "left_semi").join(classes, "cid").select("component", "cid", "n", "vec")
         both = close.union(close.select("v", "u")).distinct()
         narrow = comps.join(wide, "component", "left_anti").select(F.col("cid").alias("u"))
-        plain = both.join(narrow, "u", "left_semi").join(classes.select(F.col("cid").alias("v"), "n"), "v").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("linked"))
-        links = plain.unionByName(count_in_blocks(members, threshold))
-        if wide.limit(2).count() > 1:
+        links = both.join(narrow, "u", "left_semi").join(classes.select(F.col("cid").alias("v"), "n"), "v").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("linked"))
+        n_wide = wide.limit(2).count()
+        if n_wide:
+            members = cut(members)
+            links = links.unionByName(count_in_blocks(members, threshold))
+        if n_wide > 1:
             between = cut(count_between(members, threshold))
             links = links.unionByName(between.select("cid", "linked")).groupBy("cid").agg(F.sum("linked").alias("linked"))
             joined = components(between.select("a", "b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("least"))
             comps = cut(comps.join(joined, "component", "left").select("cid", F.coalesce("least", "component").alias("component")))
         links = cut(links)
         share = audit(classes, links, comps, sample, threshold, restart)
+        log.info("near_duplicates: %.4f of the links of an audited vector found after %d orders", share, orders * (2 ** (restart + 1) - 1))
         if share >= recall:
-            break
-    else:
-        raise RuntimeError(f"near_duplicates: {share:.4f} of the links of an audited vector found after {max_restarts} restarts, below {recall}")
-    return done(links, comps)
-
-
-def _answer(rows: DataFrame, ok, classes: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
-    c = classes.join(links, "cid", "left").join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = c.groupBy("component").agg(F.min("least").alias("component_id"))
-    c = c.join(least, "component").select("vec", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
-    good = rows.where(ok).join(c, "vec").select("vec_id", "n_links", "component_id")
-    bad = rows.where(~F.coalesce(ok, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+            return links, comps
+    raise RuntimeError(f"near_duplicates: {share:.4f} of the links of an audited vector found after {max_restarts} restarts, below {recall}")
