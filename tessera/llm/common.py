@@ -14,16 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; one is set only where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The checkpoint folder that the session names. Where it names none, a local session gets a temporary one; on a cluster
+    that would be on one machine alone, so there it is an error."""
+    folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not folder:
-        sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
         folder = sc.getCheckpointDir()
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the session's own, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that nothing before it is computed again
     when an executor is lost."""
@@ -52,7 +61,7 @@ def forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 40, per_task: int = EDGES) -> DataFrame:
+def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): one row (node, component) for each node that has
     an edge to another; component is the smallest node reachable.
 
@@ -60,12 +69,13 @@ def components(edges: DataFrame, max_rounds: int = 40, per_task: int = EDGES) ->
     Else the large-star and small-star steps join the stars of different tasks, and both alternate until nothing
     changes. A star step takes a minimum per node (combined before the shuffle) and joins it back, so a node with very many
     edges is a skewed join, which adaptive execution splits, and never one task's list.
-    Empty edges give an empty result. Raises if ``max_rounds`` rounds aren't enough.
+    Empty edges give an empty result. No round raises the smaller end of an edge, so it ends; mostly after as many rounds as the logarithm of
+    the nodes.
     """
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     last = (e.count(), None)
-    for _ in range(max_rounds):
+    while True:
         parts = max(1, -(-last[0] // per_task))
         e = cut(e.coalesce(parts).mapInArrow(forest, "a long, b long"))
         if parts == 1:
@@ -80,8 +90,6 @@ def components(edges: DataFrame, max_rounds: int = 40, per_task: int = EDGES) ->
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"components: not done after {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 

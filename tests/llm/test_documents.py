@@ -389,6 +389,43 @@ def test_language_edges(spark, sf_dir):
     assert kept.columns == docs(spark, EDGES).columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 7, None, 9, 10}
 
 
+@pytest.mark.parametrize("text", ["²", "½", "①", "Ⅷ 12 _", "٣", "²½①Ⅷ", "_", "\u0301"])
+def test_numerals_and_marks_are_no_letters(spark, text):
+    model = langid.train([("aa", ["plain", "text"]), ("bb", ["other", "words"])])
+    got = langid.identify(docs(spark, [(1, text, None, None), (2, f"{text}plain{text}text", None, None)]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "und", 2: "aa"}
+    assert langid.words_of(f"{text}plain{text}text") == ["plain", "text"]
+
+
+def sample_of(monkeypatch, frame, **options):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda samples: seen.append(samples))
+    langid.learn(frame, **options)
+    return seen[0]
+
+
+def test_sample_of_one_repeated_row_or_id(spark, monkeypatch):
+    """Many rows of one id: equal ones are one, and different texts are sampled by their text."""
+    free = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    same = spark.range(20_000).select(F.lit(free).alias("doc_id"), F.lit("the same words").alias("text"), F.lit("aa").alias("lang"))
+    assert sample_of(monkeypatch, same) == [("aa", ["the", "same", "words"])]
+    other = spark.range(20_000).select(F.lit(free).alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("aa").alias("lang"))
+    assert 250 <= len(sample_of(monkeypatch, other)) <= 360
+    few = same.unionByName(other.limit(3).withColumn("lang", F.lit("bb")))
+    assert sorted(x for x, _ in sample_of(monkeypatch, few)) == ["aa", "bb", "bb", "bb"]
+
+
+def test_sample_of_very_many_labels(spark, monkeypatch):
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.concat(F.lit("l"), F.col("id") % 10_000).alias("lang"))
+    got = sample_of(monkeypatch, many.unionByName(many.where("id < 300").withColumn("lang", F.lit("most"))), per_lang=5)
+    assert len({x for x, _ in got}) == 200 and len(got) <= 200 * 6 and "most" in {x for x, _ in got}
+
+
+def test_keep_without_a_model(spark):
+    kept = langid.keep(docs(spark, EDGES), langid.train([]), 0.34)
+    assert {r.doc_id for r in kept.collect()} == {4, 5, 6, 7, None, 9, 10}
+
+
 def test_learning_never_sees_held_out_documents(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 == 1]
     given = [(i, "secret words here" if i in held else "plain text there", "xx" if i in held else "aa", "s") for i in range(200)]

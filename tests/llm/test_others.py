@@ -65,6 +65,12 @@ def test_embedding_dedup_small_tables(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
+def test_embedding_dedup_of_every_length(spark):
+    rows = [(1, [1, 0]), (2, [1, 0.01]), (5, [1, 0, 0]), (4, [1, 0.01, 0]), (7, [0, 1, 0]), (8, [3.0]), (9, [5.0]), (6, [-1.0])] + [(20 + i, np.eye(5)[i]) for i in range(5)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 5: (1, 4, False), 4: (1, 4, True), 7: (0, 7, True), 8: (1, 8, True), 9: (1, 8, False), 6: (0, 6, True)} | {20 + i: (0, 20 + i, True) for i in range(5)}
+
+
 def bridged(groups, size, dim=16):
     """Dense groups 20 degrees apart, the first two joined only by a vector of each that are 17 degrees apart."""
     rng = np.random.default_rng(5)
@@ -112,13 +118,14 @@ def test_audit_failure_is_raised(spark):
         embed_dedup.near_duplicates(vectors(spark, rare_pairs(size=20, pairs=5, alone=20, dim=16)), recall=1.1, max_restarts=1)
 
 
-def test_blocks_of_a_component(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [0.01, 0.1, 0.2, 0.5, 3.0])
+def test_blocks_of_a_component(spark, monkeypatch, spread):
     monkeypatch.setattr(embed_dedup, "BLOCK", 7)
     rng = np.random.default_rng(3)
-    x = rng.normal(size=8) + rng.normal(size=(40, 8)) * 0.2
+    x = rng.normal(size=8) + rng.normal(size=(40, 8)) * spread
     n = rng.integers(1, 4, 40)
-    df = spark.createDataFrame([(0, i, int(n[i]), [float(c) for c in x[i]]) for i in range(40)], "component long, cid long, n long, vec array<double>")
-    u = embed_dedup.unit(x)
+    df = spark.createDataFrame([(0, i, int(n[i]), [float(c) for c in x[i]]) for i in range(40)], "component long, cid long, n long, vec array<float>")
+    u = embed_dedup.unit(x.astype(np.float32).astype(float))
     linked = u @ u.T >= 0.95
     np.fill_diagonal(linked, False)
     assert {r.cid: r.linked for r in embed_dedup.count_in_blocks(df, 0.95).collect()} == {i: int(linked[i] @ n) for i in range(40)}
@@ -305,13 +312,55 @@ def test_components(spark, edges):
 
 
 def test_pipeline(spark, sf_dir):
+    """Each stage against a plain computation over its own input."""
+    import duckdb
+    from test_documents import brute_fingerprint, check_packing, components_by_brute_force
+    from tokenizers import Tokenizer
+
+    from tessera.llm import langid, mixing, packing
+    from tessera.llm.queries import tokenizer
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns, name
-        assert out.join(docs.select("doc_id"), "doc_id", "left_anti").count() == 0
-        docs = out.cache()
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    assert {r.doc_id for r in last} == {r.doc_id for r in docs.select("doc_id").distinct().collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "mixing", "best_fit_packing"]
-    assert corpus_pipeline.run(spark, sf_dir).count() == len(last)
+    held = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, held[-1], sf_dir).cache()
+        assert name == "best_fit_packing" or out.columns == docs.columns, name
+        held.append(out)
+    start, spoken, single, mixed, packed = ([r.asDict() for r in d.collect()] for d in held)
+    model = langid.learn(docs)
+    p = [0.0 if not n else float(x.mean(0).max()) for n, x in langid.label([r["text"] for r in start], model)]
+    assert sorted(r["doc_id"] for r in spoken) == sorted(r["doc_id"] for r, x in zip(start, p, strict=True) if x >= corpus_pipeline.LEAST_SCORE)
+    fps = [brute_fingerprint(r["text"] or "") for r in spoken]
+    least = {}
+    for r, c in zip(spoken, components_by_brute_force(fps, lambda a, b: (a ^ b).bit_count() <= 2), strict=True):
+        least[c] = min(least.get(c, 1 << 60), r["doc_id"])
+    assert sorted(r["doc_id"] for r in single) == sorted(least.values()) and len(single) < len(spoken)
+    con = duckdb.connect()
+    con.register("documents", held[2].toPandas())
+    taken = con.sql(mixing.ORACLE).df()
+    copies = {int(r.doc_id): round(r.taken / r.size) for r in taken.itertuples() if r.taken}
+    assert Counter(r["doc_id"] for r in mixed) == copies
+    tok, texts = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), {r["doc_id"]: r["text"] for r in single}
+    lengths = {i: len(tok.encode(texts[i], add_special_tokens=False).ids) + 1 for i in copies}
+    total = Counter()
+    for r in packed:
+        total[r["doc_id"]] += r["length"]
+    assert total == {i: n * lengths[i] for i, n in copies.items()}
+    n = check_packing(held[-1].collect(), [copies[i] * lengths[i] for i in copies], packing.CAPACITY)
+    assert n <= 1.02 * packing.lower_bound(np.bincount([r["length"] for r in packed], minlength=2049)) + 2
+    again = corpus_pipeline.run(spark, sf_dir).collect()
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert Counter(map(key, again)) == Counter(map(key, packed))
+    for d in held:
+        d.unpersist()
+
+
+def test_stage_folders_are_removed(spark, sf_dir):
+    import glob
+
+    from tessera.llm.common import shared_folder
+
+    out = corpus_pipeline.run(spark, sf_dir)
+    folders = glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*/*")
+    assert {f.rsplit("/", 1)[1] for f in folders} == {"best_fit_packing"} and out.count() > 0
