@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, mixing, packing, simhash
-from tessera.llm.common import shared_folder, table
+from tessera.llm.common import remove_folder, shared_folder, table
 from tessera.llm.queries import tokenizer
 
 #: A document in which no language has a third of the words is noise; one of two or three parts in as many languages isn't.
@@ -20,7 +20,8 @@ LEAST_SCORE = 0.34
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those in which no learned language has LEAST_SCORE of the words."""
+    """Drops documents without letters and those in which no learned language has LEAST_SCORE of the words. Of three or more learned
+    languages one can have less than that; if no document has a language, those with letters all stay."""
     return langid.keep(docs, langid.learn(docs), LEAST_SCORE)
 
 
@@ -45,11 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet beside the session's checkpoints."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet beside the session's checkpoints. A stage's folder goes when the next
+    one is written; the last one is what the result is read from."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     for name, stage in STAGES:
         path = os.path.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
