@@ -111,7 +111,10 @@ def context(definitions: DataFrame, most_chars: int) -> DataFrame:
     that passes ``most_chars`` in all. No row for a question without an entry. Empty definitions are passed over."""
     d = definitions.where(F.coalesce(F.length("definition"), F.lit(0)) > 0)
     d = d.withColumn("entry", F.format_string(ENTRY, F.coalesce("entity_name", F.lit("Unknown")), F.coalesce("file_path", F.lit("Unknown")), "definition"))
-    upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    # No entry is shorter than its frame, so only the first of these can fit, and a task passes on no more of a question.
+    first = Window.partitionBy("query_id").orderBy("rank")
+    d = d.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= max(1, most_chars // len(ENTRY.replace("%s", "")) + 1))
+    upto = first.rowsBetween(Window.unboundedPreceding, 0)
     # Lengths only grow, so all entries up to the first that doesn't fit are those whose running sum fits.
     kept = d.withColumn("__sum", F.sum(F.length("entry")).over(upto)).where(F.col("__sum") <= most_chars)
     entries = F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda x: x["entry"])

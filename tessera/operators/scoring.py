@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.naming import file_name, strip_all_prefixes, strip_prefix
+from ..functions.naming import file_name, list_of, strip_all_prefixes, strip_prefix
 from .enrich import BOOSTED_MACROS
 from .intent import words
 
@@ -23,7 +23,7 @@ def dense(vector: Column, query: Column) -> Column:
 
 def keywords(question: Column) -> Column:
     """Distinct lower-case words of a question, without stop words."""
-    return F.array_except(F.array_distinct(words(F.lower(question))), F.array(*map(F.lit, STOP_WORDS)))
+    return F.array_except(F.array_distinct(words(F.lower(question))), list_of(STOP_WORDS))
 
 
 def sparse(tokens: Column, path: Column, entities: Column) -> Column:
@@ -90,14 +90,20 @@ def with_questions(chunks: DataFrame, questions: DataFrame, most: int = MOST_QUE
     return out
 
 
-def search(chunks: DataFrame, questions: DataFrame, k: int = 5, boost_macros: bool = True, logical: bool = True, strict_parity: bool = False, files_once: bool = False, over_fetch: int = 10) -> DataFrame:
-    """The k best ``chunks`` for each row of ``questions(query_id, tokens, vector, boost_entities, type, scope)``. With
-    ``files_once`` the best chunk of each file counts, of the k * ``over_fetch`` best chunks."""
+def scores(chunks: DataFrame, questions: DataFrame, boost_macros: bool = True, logical: bool = True, strict_parity: bool = False, where: Column | None = None) -> DataFrame:
+    """Every one of ``chunks`` in scope with its score for each row of ``questions(query_id, tokens, vector, boost_entities, type, scope)``.
+    where: a further condition over the columns of both."""
     scope = (F.col("scope") == "all") | ((F.col("scope") == "engine") == (F.coalesce(F.col("origin"), F.lit("engine")) == "engine"))
-    pairs = with_questions(chunks, questions).where(scope)
+    pairs = with_questions(chunks, questions).where(scope if where is None else scope & where)
     raw = dense(F.col("embedding"), F.col("vector")) + sparse(F.col("tokens"), F.col("path"), F.col("entities"))
     scored = pairs.withColumn("score", boosted(raw, F.col("boost_entities"), F.col("type"), F.col("path"), F.col("entities"), boost_macros, logical, strict_parity))
-    scored = scored.drop("vector", "embedding", "tokens")
+    return scored.drop("vector", "embedding", "tokens")
+
+
+def search(chunks: DataFrame, questions: DataFrame, k: int = 5, files_once: bool = False, over_fetch: int = 10, **options) -> DataFrame:
+    """The k best ``chunks`` for each of ``questions``, by ``scores`` with its options. With ``files_once`` the best chunk of each file
+    counts, of the k * ``over_fetch`` best chunks."""
+    scored = scores(chunks, questions, **options)
     if not files_once:
         return top_k(scored, k, ["query_id"])
     many = top_k(scored, k * over_fetch, ["query_id"]).drop("rank")
@@ -122,11 +128,20 @@ def rerank(hits: DataFrame, k: int, scorer=None) -> DataFrame:
     return top_k(out.withColumn("score", F.col("rerank_score")), k, ["query_id"])
 
 
-def lexical(question: Column, text: Column) -> Column:
-    asked, there = keywords(question), F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != ""))
+def text_words(text: Column) -> Column:
+    """The distinct lower-case words of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != ""))
+
+
+def shared(asked: Column, there: Column) -> Column:
+    """The share of the words ``asked`` that are ``there``."""
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, there)) / F.size(asked)).otherwise(F.lit(0.0))
 
 
+def lexical(question: Column, text: Column) -> Column:
+    return shared(keywords(question), text_words(text))
+
+
 def entity_rank(scored: DataFrame, entity: str) -> DataFrame:
     """One row for a ranking ``scored(chunk_id, score, entities)``: best_rank and best_score of the chunks with ``entity``,
     top_score, and the factor that would put the best of them on top. Two aggregates, no sort of the whole."""

@@ -73,10 +73,14 @@ def url_suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reranked_pages(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Every benchmark item's first eight words as a question to every page: the k pages that share most of its words."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("path"), F.regexp_replace("html", "<[^>]*>", " ").alias("chunk_text"), (1.0 / (F.col("page_id") + 1)).alias("score"))
-    return scoring.rerank(scoring.with_questions(pages, b), k)
+    """Every benchmark item's text as a question to every page: the k pages that share most of its words. A page's words are taken
+    once, pairs carry words and numbers, and texts come back to the k best."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("path"), F.regexp_replace("html", "<[^>]*>", " ").alias("chunk_text"), (1.0 / (F.col("page_id") + 1)).alias("vector_score"))
+    asked = b.select("query_id", scoring.keywords(F.col("question")).alias("asked"))
+    pairs = scoring.with_questions(pages.select("chunk_id", scoring.text_words(F.col("chunk_text")).alias("there")), asked)
+    best = scoring.top_k(pairs.select("query_id", "chunk_id", scoring.shared(F.col("asked"), F.col("there")).alias("score")), k, ["query_id"])
+    return best.withColumn("rerank_score", F.col("score")).join(pages, "chunk_id").join(b, "query_id")
 
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +158,7 @@ def _compound(a: str, b: str) -> str:
 
 _WORDS = "list_filter(list_distinct(regexp_split_to_array(lower(question), '\\s+')), lambda w: w <> '' AND NOT list_contains(['the','a','an','in','on','at','for','to','of','is','are','how','why','what'], w))"
 
-_RERANKED = f"""b AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark), k AS (SELECT *, {_WORDS} AS words FROM b),
+_RERANKED = f"""b AS (SELECT item_id AS query_id, text AS question FROM benchmark), k AS (SELECT *, {_WORDS} AS words FROM b),
 g AS (SELECT page_id, url, regexp_replace(html, '<[^>]*>', ' ', 'g') AS page FROM pages), v AS (SELECT *, list_distinct(regexp_split_to_array(lower(page), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) AS there FROM g),
 s AS (SELECT query_id, question, page_id AS chunk_id, url, page, 1.0::DOUBLE / (page_id + 1) AS vector_score, CASE WHEN len(words) > 0 THEN len(list_intersect(words, there)) / len(words) ELSE 0 END AS r FROM k, v),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id)::INT AS rank FROM s)"""

@@ -51,14 +51,12 @@ def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boosted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of every chunk in scope for every question."""
-    out = scoring.search(store(spark, sf_dir), _searches(spark, sf_dir), 1 << 30)
-    return out.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    """The score of every chunk in scope for every question: a map over chunks, so nothing is shuffled or ranked."""
+    return scoring.scores(store(spark, sf_dir), _searches(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def boosted_score_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scoring.search(store(spark, sf_dir), _searches(spark, sf_dir), 1 << 30, strict_parity=True)
-    return out.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return scoring.scores(store(spark, sf_dir), _searches(spark, sf_dir), strict_parity=True).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def file_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +138,7 @@ z AS (SELECT *, raw * (CASE WHEN {has} THEN 1.2::DOUBLE ELSE 1 END) * (CASE WHEN
 
 _ONE_PREFIX = "CASE WHEN regexp_matches(e, '^[FUAIE]\\p{Lu}') THEN e[2:] ELSE e END"
 _ALL_PREFIXES = "regexp_replace(e, '^[FUAE]+', '')"
-_ALL = "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, round(score, 6) AS score FROM z"
+_ALL = "SELECT query_id, chunk_id, round(score, 6) AS score FROM z"
 _AUDIT = """SELECT count(*) AS chunks, count(*) FILTER (embedding IS NULL) AS missing, count(*) FILTER (len(embedding) <> 64) AS wrong_dimension,
   count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0) AS with_nan, count(*) FILTER (len(list_filter(embedding, lambda x: isinf(x))) > 0) AS with_infinity,
   count(*) FILTER (len(embedding) > 0 AND len(list_filter(embedding, lambda x: x = 0)) = len(embedding)) AS zero,
