@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def list_of(xs) -> Column:
+    """An array of texts, as one expression: a long list costs one call to the JVM, not one for each of its members."""
+    return F.expr(f"array({', '.join(map(_quoted, xs))})")
+
+
+def lists_by(table: dict[str, list[str]]) -> Column:
+    """A map from texts to arrays of texts, as one expression."""
+    return F.expr("map(" + ", ".join(f"{_quoted(k)}, array({', '.join(map(_quoted, xs))})" for k, xs in table.items()) + ")")
+
 # File kinds.
 HEADER = (".h", ".hpp")
 IMPLEMENTATION = (".cpp", ".c", ".cc", ".m", ".mm")

@@ -34,9 +34,9 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP, tail: int =
 
 
 def explode_chunks(files: DataFrame, chunks: Column) -> DataFrame:
-    """One row for each chunk: the file's columns but its text, chunk_index, total_chunks, chars, chunk_text."""
-    made = files.withColumn("__chunks", chunks).withColumn("total_chunks", F.size("__chunks"))
-    made = made.drop("text") if "text" in files.columns else made
+    """One row for each chunk: the file's columns but its text and those of the names that follow; chunk_index, total_chunks,
+    chars, chunk_text."""
+    made = files.withColumn("__chunks", chunks).drop("text", "chunk_index", "total_chunks", "chars", "chunk_text").withColumn("total_chunks", F.size("__chunks"))
     rest = [c for c in made.columns if c != "__chunks"]
     out = made.select(*rest, F.posexplode("__chunks").alias("chunk_index", "chunk_text"))
     return out.withColumn("chars", F.length("chunk_text"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import include_of, module_by_place
-from ..functions.similarity import match_quality
+from ..functions.similarity import match_quality, may_match
 
 # How definitions start. The group "name" is the entity's.
 STARTS = {
@@ -116,8 +116,9 @@ def look_up(defs: DataFrame, wanted: DataFrame, fuzzy: bool = True) -> DataFrame
     asked = wanted.select("name", "kind").distinct()
     if asked.limit(10_001).count() <= 10_000:
         asked = F.broadcast(asked)
-    # Both sides carry the kind, an equal key; inside a kind it is the similarity that decides.
-    close = names.join(asked, "kind").withColumn("match_quality", match_quality(F.col("name"), F.col("entity_name"), fuzzy)).where("match_quality > 0")
+    # Both sides carry the kind, an equal key; inside a kind it is the similarity that decides, after a bound that needs no Python.
+    can = may_match(F.col("name"), F.col("entity_name")) if fuzzy else F.lit(True)
+    close = names.join(asked, "kind").where(can).withColumn("match_quality", match_quality(F.col("name"), F.col("entity_name"), fuzzy)).where("match_quality > 0")
     hits = wanted.join(close, ["name", "kind"]).join(defs.withColumn("kind", kinds), ["entity_name", "kind"])
     hits = hits.where((F.col("scope") == "all") | ((F.col("scope") == "engine") == (F.col("origin") == "engine")))
     once = Window.partitionBy("query_id", "file_path", "line_start").orderBy(F.desc("match_quality"), "name", "entity_type", "entity_name")

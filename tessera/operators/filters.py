@@ -151,6 +151,45 @@ def parse_filter(text: str | None) -> Filter:
     return out
 
 
+def parsed(text: Column) -> Column:
+    """``parse_filter`` as a column: a struct of what a filter narrows to and boosts, and error, its message, else null. So a batch has as
+    many different filters as it likes."""
+    bare = lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")
+    texts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), " AND ", -1), bare), lambda p: p != "")
+    group = lambda p, k: F.regexp_extract(p, r"(?U)^(\w+):(\w+)", k)
+    parts = F.transform(texts, lambda p: F.struct(p.alias("text"), F.lower(group(p, 1)).alias("key"), group(p, 2).alias("value")))
+
+    def wrong(value: Column, allowed: tuple[str, ...], what: str) -> Column:
+        return F.when(~value.isin(*allowed), F.concat(F.lit(f"Invalid {what}: '"), value, F.lit(f"'. Must be one of {', '.join(allowed)}\n\n{HELP}")))
+
+    def message(p: Column) -> Column:
+        key, low = p["key"], F.lower(p["value"])
+        return (
+            F.when(key == "", F.concat(F.lit("Invalid filter syntax: '"), p["text"], F.lit(f"'. Expected format: key:value\n\n{HELP}"))).when(~key.isin(*KEYS), wrong(key, KEYS, "filter key"))
+            .when(key == "type", wrong(low, TYPES, "entity type")).when(key == "macro", wrong(F.upper(p["value"]), MACRO_NAMES, "macro")).when(key == "origin", wrong(low, ("engine", "project"), "origin"))
+            .when(key == "file", wrong(low, ("header", "implementation"), "file type")).when(key == "boost", wrong(low, ("macros", "entity", "entities"), "boost type"))
+        )
+
+    of = lambda key: F.transform(F.filter(parts, lambda p: p["key"] == key), lambda p: p["value"])
+    last = lambda key: F.try_element_at(of(key), F.lit(-1))
+    macros = F.transform(of("macro"), lambda v: F.upper(v))
+    flags = [F.array_contains(macros, m).alias(f"has_{m.lower()}") for m in MACRO_NAMES]
+    return F.struct(
+        last("entity").alias("entity"), F.lower(last("type")).alias("entity_type"), F.lower(last("origin")).alias("origin"), *flags, F.lower(last("file")).alias("file_type"), of("entity").alias("boost_entities"),
+        F.exists(of("boost"), lambda v: F.lower(v) == "macros").alias("boost_macros"), F.try_element_at(F.filter(F.transform(parts, message), lambda m: m.isNotNull()), F.lit(1)).alias("error"))
+
+
+def matches(f: Column) -> Column:
+    """The predicate of a filter that ``parsed`` made, over chunks beside it."""
+    unless = lambda wanted, held: wanted.isNull() | F.coalesce(held, F.lit(False))
+    is_engine = F.coalesce(F.col("origin"), F.lit("engine")) == "engine"
+    p = unless(f["origin"], (f["origin"] == "engine") == is_engine)
+    for flag in ("has_uproperty", "has_uclass", "has_ufunction", "has_ustruct"):
+        p &= ~f[flag] | F.coalesce(F.col(flag), F.lit(False))
+    p &= unless(f["file_type"], F.when(f["file_type"] == "header", F.col("is_header")).otherwise(F.col("is_implementation")))
+    return p & unless(f["entity"], F.array_contains("entities", f["entity"])) & unless(f["entity_type"], F.array_contains("entity_types", f["entity_type"]))
+
+
 def form_filter(macro: str = "", entity_type: str = "", file_type: str = "", boost_macros: bool = False) -> Filter:
     """A Filter from the choices of a form; "" and "any" choose nothing."""
     chosen = lambda x: x if x and x.lower() != "any" else None

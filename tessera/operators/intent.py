@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import kind_of
+from ..functions.naming import kind_of, list_of, lists_by
 
 # Patterns of questions that ask for a definition, tried in this order.
 KIND_NAME = r"\b(struct|class|enum)\s+([A-Z_]\w+)"
@@ -36,18 +36,18 @@ def words(text: Column) -> Column:
 
 
 def has_any(text: Column, keywords: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(text, k))
+    return F.exists(list_of(keywords), lambda k: F.contains(text, k))
 
 
 def entity_names(question: Column) -> Column:
     """Words with a capital in front, in order, without question words."""
-    return F.filter(F.regexp_extract_all(question, F.lit(r"(?U)\b[A-Z]\w+\b"), F.lit(0)), lambda w: ~w.isin(*NOT_ENTITIES))
+    return F.filter(F.regexp_extract_all(question, F.lit(r"(?U)\b[A-Z]\w+\b"), F.lit(0)), lambda w: ~F.array_contains(list_of(NOT_ENTITIES), w))
 
 
 def enhance(question: Column, name: Column, kind: Column) -> Column:
     """The question with the words of its entity's kind that it lacks, then the capitalised words that it mentions."""
     low = F.lower(question)
-    own = F.coalesce(*(F.when(kind == k, F.array(*map(F.lit, ws))) for k, ws in KIND_WORDS.items()), F.array().cast("array<string>"))
+    own = F.coalesce(*(F.when(kind == k, list_of(ws)) for k, ws in KIND_WORDS.items()), F.array().cast("array<string>"))
     more = F.array_compact(F.array(*(F.when((kind == k) & has_any(low, hints), F.lit(word)) for k, hints, word in HINTS)))
     lacking = F.filter(F.concat(own, more), lambda w: ~F.contains(low, F.lower(w)))
     named = F.filter(F.regexp_extract_all(question, F.lit(r"(?U)\b([A-Z][a-z]+(?:[A-Z][a-z]+)*)\b"), F.lit(1)), lambda w: w != name)
@@ -58,7 +58,7 @@ def _explicit(q: Column) -> tuple[Column, Column]:
     """(name, keyword) by the first pattern that matches, null if none does."""
     get = lambda p, k: F.regexp_extract(q, "(?iU)" + p, k)
     first = get(NAME_KIND, 1)
-    turned = F.lower(first).isin(*LEADING) | F.contains(F.lower(first), F.lit("definition"))
+    turned = F.array_contains(list_of(LEADING), F.lower(first)) | F.contains(F.lower(first), F.lit("definition"))
     ways = [
         (get(KIND_NAME, 2), get(KIND_NAME, 1)),
         (F.when(turned, get(NAME_KIND, 2)).otherwise(first), F.when(turned, first).otherwise(get(NAME_KIND, 2))),
@@ -82,8 +82,8 @@ def intent(question: Column) -> Column:
     conceptual, by_file, by_definition = has_any(low, CONCEPTUAL), has_any(low, FILE), has_any(low, DEFINITION)
     entity = F.try_element_at(entity_names(q), F.lit(1))
     kind = kind_of(entity)
-    significant = F.filter(words(q), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*INSIGNIFICANT))
-    bare = (F.size(significant) <= 2) & ~F.exists(significant, lambda w: F.lower(w).isin(*DEFINITION))
+    significant = F.filter(words(q), lambda w: (F.length(w) > 2) & ~F.array_contains(list_of(INSIGNIFICANT), F.lower(w)))
+    bare = (F.size(significant) <= 2) & ~F.exists(significant, lambda w: F.array_contains(list_of(DEFINITION), F.lower(w)))
     enhanced = F.when(entity.isNotNull(), enhance(q, entity, kind)).otherwise(q)
 
     def made(type_: str, entity_type: Column, entity_name: Column, confidence: float, text: Column = q, is_file: bool = False) -> Column:
@@ -170,7 +170,7 @@ SYNONYMS = {
 
 
 def synonym_map() -> Column:
-    return F.create_map(*(x for k, vs in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, vs)))))
+    return lists_by(SYNONYMS)
 
 
 def related(term: Column) -> Column:
@@ -186,15 +186,24 @@ def expand(question: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(question), related(question), F.flatten(of_words))))
 
 
-def analyse(questions: DataFrame, column: str = "question") -> DataFrame:
-    """``questions`` with intent, expanded_terms, finds_entities (a term looks like an entity name, so that a semantic
+def with_intent(questions: DataFrame, column: str = "question") -> DataFrame:
+    return questions.withColumn("intent", intent(F.col(column)))
+
+
+def with_terms(questions: DataFrame, column: str = "question") -> DataFrame:
+    """``questions`` that have their intent, with expanded_terms, finds_entities (a term looks like an entity name, so that a semantic
     question also looks for definitions), semantic_text and entities (name and kind of all that definitions are looked up for)."""
-    out = questions.withColumn("intent", intent(F.col(column)))
     known = F.col("intent.type") != "unknown"
-    out = out.withColumn("expanded_terms", F.when(known, expand(F.col(column))).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("finds_entities", (F.col("intent.type") == "semantic") & F.exists("expanded_terms", lambda t: t.rlike(r"^[FUAIE]\p{Lu}.")))
-    out = out.withColumn("semantic_text", F.when(F.size("expanded_terms") > 1, F.array_join("expanded_terms", " ")).otherwise(F.col("intent.enhanced_query")))
+    out = questions.withColumn("expanded_terms", F.when(known, expand(F.col(column))).otherwise(F.array().cast("array<string>")))
+    names = (F.col("intent.type") == "semantic") & F.exists("expanded_terms", lambda t: t.rlike(r"^[FUAIE]\p{Lu}."))
+    text = F.when(F.size("expanded_terms") > 1, F.array_join("expanded_terms", " ")).otherwise(F.col("intent.enhanced_query"))
     terms = F.filter(F.transform("expanded_terms", lambda t: F.struct(t.alias("name"), kind_of(t).alias("kind"))), lambda t: (t["kind"] != "unknown") & ~t["name"].eqNullSafe(F.col("intent.entity_name")))
     own = F.when(F.col("intent.entity_name").isNotNull(), F.array(F.struct(F.col("intent.entity_name").alias("name"), F.col("intent.entity_type").alias("kind"))))
-    searched = F.when(F.col("intent.type").isin("definition", "hybrid") | F.col("finds_entities"), F.concat(F.coalesce(own, F.array().cast("array<struct<name: string, kind: string>>")), terms))
-    return out.withColumn("entities", F.coalesce(searched, F.array().cast("array<struct<name: string, kind: string>>")))
+    none = F.array().cast("array<struct<name: string, kind: string>>")
+    searched = F.when(F.col("intent.type").isin("definition", "hybrid") | names, F.concat(F.coalesce(own, none), terms))
+    return out.withColumns({"finds_entities": names, "semantic_text": text, "entities": F.coalesce(searched, none)})
+
+
+def analyse(questions: DataFrame, column: str = "question") -> DataFrame:
+    """``questions`` with their intent and what ``with_terms`` adds."""
+    return with_terms(with_intent(questions, column), column)

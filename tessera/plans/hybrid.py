@@ -2,119 +2,177 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from collections import OrderedDict
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import norm_path
 from ..operators import chunking, definitions, enrich, formats, intent, relations, scoring
 from ..operators.embed import Encoder, HashEncoder, embed
-from ..operators.filters import parse_filter
+from ..operators.filters import matches, parsed
 
 FEW_DEFINITIONS = 3
-
-
-def merge(defs: DataFrame, sems: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, kind, position) of the combined result of each question: definitions in order, then the semantic hits whose path
-    no definition has, cut to the question's top_k; a question without definitions keeps all of its semantic hits."""
-    d = defs.select("query_id", F.lit("definition").alias("kind"), "rank", norm_path(F.col("file_path")).alias("path_norm"))
-    s = sems.select("query_id", F.lit("semantic").alias("kind"), "rank", norm_path(F.col("path")).alias("path_norm"))
-    fresh = s.join(d.select("query_id", "path_norm").distinct(), ["query_id", "path_norm"], "left_anti")
-    w = Window.partitionBy("query_id").orderBy("kind", "rank")
-    both = d.unionByName(fresh).withColumn("position", F.row_number().over(w)).withColumn("has_definition", F.max(F.col("kind") == "definition").over(Window.partitionBy("query_id")))
-    return both.join(questions.select("query_id", "top_k"), "query_id").where(~F.col("has_definition") | (F.col("position") <= F.col("top_k"))).select("query_id", "kind", "rank", "position")
+#: How many more chunks a re-ranker looks at than are asked for.
+RERANKED = 10
+#: Encoded questions that an index keeps on the driver.
+ENCODED = 64
+#: Analysed questions, of a few KB each, that go through the driver as a table of its own; more are persisted.
+SETTLED = 10_000
 
 
 @dataclass
 class Index:
-    """What questions are answered from: chunks with their text, entities and vectors, and all definitions."""
+    """What questions are answered from: chunks with their text, entities and vectors, and all definitions. Questions are encoded
+    by ``encoder``, or by the one of ``encoders`` that they name as their model."""
 
     chunks: DataFrame
     definitions: DataFrame
     encoder: Encoder
+    encoders: dict[str, Encoder] = field(default_factory=dict)
+    encoded: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     @classmethod
-    def build(cls, files: DataFrame, encoder: Encoder | None = None, **options) -> Index:
+    def build(cls, files: DataFrame, encoder: Encoder | None = None, encoders: dict[str, Encoder] | None = None, **options) -> Index:
         """From ``files(path, origin, text)``; chunk_id follows path and number in the file."""
         enc = encoder or HashEncoder()
         chunks = enrich.enrich(chunking.chunk_files(files, **options))
         chunks = chunks.withColumn("chunk_id", F.xxhash64("path", "chunk_index"))
-        return cls(embed(chunks, enc), definitions.definitions(files), enc)
+        return cls(embed(chunks, enc), definitions.definitions(files), enc, encoders or {})
 
     def kept(self) -> Index:
         """The same, computed once for all plans of the session (an index that is to last is a written store)."""
-        return Index(self.chunks.persist(), self.definitions.persist(), self.encoder)
+        return Index(self.chunks.persist(), self.definitions.persist(), self.encoder, self.encoders)
+
+    def model_error(self, model: Column) -> Column:
+        """What is wrong with the model that a question names: it isn't known, or its vectors are of another length than the chunks'. Else null."""
+        bad = {m: f"Dimension mismatch: Query vector has {e.dim} dimensions (model: {m}), but vector store has {self.encoder.dim} dimensions." for m, e in self.encoders.items() if e.dim != self.encoder.dim}
+        wrong = F.when(~model.isin(*self.encoders), F.concat(F.lit("Unknown model: "), model)) if self.encoders else F.concat(F.lit("Unknown model: "), model)
+        return F.when(model.isNotNull(), F.coalesce(*(F.when(model == m, F.lit(text)) for m, text in bad.items()), wrong))
+
+    def encode(self, text: str, model: str | None = None) -> list[float]:
+        """The vector of one question, on the driver; the last ENCODED ones are kept."""
+        key = (text, model)
+        if key not in self.encoded:
+            self.encoded[key] = np.asarray((self.encoders[model] if model else self.encoder).encode([text])[0], float).tolist()
+            if len(self.encoded) > ENCODED:
+                self.encoded.popitem(last=False)
+        self.encoded.move_to_end(key)
+        return self.encoded[key]
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once, so that no plan on top of them repeats or optimises the expressions below."""
+    some = rows.limit(SETTLED + 1).toArrow()
+    return rows.sparkSession.createDataFrame(some, rows.schema) if some.num_rows <= SETTLED else rows.persist()
+
+
+def understood(questions: DataFrame, index: Index) -> DataFrame:
+    """``questions(query_id, question, top_k, scope, ...)`` analysed. Optional columns are filter, use_reranker and model; a filter or model
+    that is wrong fails the job."""
+    given = {"filter": "string", "use_reranker": "boolean", "model": "string"}
+    questions = questions.withColumns({c: F.lit(None).cast(kind) for c, kind in given.items() if c not in questions.columns})
+    error = F.coalesce(F.col("parsed_filter.error"), index.model_error(F.col("model")))
+    q = settled(intent.with_intent(questions).withColumn("parsed_filter", parsed(F.col("filter"))))
+    q = q.withColumn("question", F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.col("question")))
+    return settled(intent.with_terms(q))
 
 
 def analyse(questions: DataFrame, index: Index) -> DataFrame:
-    """``questions(query_id, question, top_k, scope, ...)`` analysed, with the vector of their semantic text."""
-    q = intent.analyse(questions)
-    return embed(q, index.encoder, "semantic_text", "vector")
+    """``understood`` questions with the vector of their semantic text."""
+    q = understood(questions, index)
+    out = embed(q.where("model IS NULL") if index.encoders else q, index.encoder, "semantic_text", "vector")
+    for name, encoder in index.encoders.items():
+        out = out.unionByName(embed(q.where(F.col("model") == name), encoder, "semantic_text", "vector"))
+    return settled(out)
 
 
-def answer(questions: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False) -> DataFrame:
-    """A row for each question: question, intent, definition_results, semantic_results, combined_results, timing (empty: a plan for
-    all questions at once has no time of one). Blank questions have the type unknown and no results.
-
-    Questions with few definitions of those asked for look into chunks too. A question's filter text narrows its chunks;
-    questions with one filter are one branch of the plan."""
-    q = analyse(questions, index).persist()  # a row for each question; five branches start from it
+def find_definitions(q: DataFrame, index: Index) -> DataFrame:
+    """(query_id, rank, d) of the definitions of all names that analysed questions ask for."""
     wanted = q.select("query_id", "scope", F.explode("entities").alias("e")).select("query_id", "scope", "e.name", "e.kind")
-    defs = definitions.shown(definitions.look_up(index.definitions, wanted)).persist()
-    n = defs.groupBy("query_id").agg(F.count("*").alias("n_defs"))
-    q = q.join(n, "query_id", "left")
-    semantic = F.col("intent.type").isin("semantic", "hybrid") | ((F.col("intent.type") == "definition") & (F.coalesce("n_defs", F.lit(0)) < FEW_DEFINITIONS))
+    defs = definitions.shown(definitions.look_up(index.definitions, wanted))
+    return defs.select("query_id", "rank", F.struct("entity_type", "entity_name", "file_path", "line_start", "line_end", "match_quality", "definition", "members", "total_members", "origin").cast(formats.DEFINITION).alias("d"))
+
+
+def find_chunks(q: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False) -> DataFrame:
+    """(query_id, rank, s) of the best chunks for analysed questions that aren't blank, each narrowed by its own filter and re-ranked
+    if it says so (or, if it says nothing, by ``use_reranker``)."""
     own = F.when(F.col("intent.entity_name").isNotNull(), F.array("intent.entity_name")).otherwise(F.array().cast("array<string>"))
-    asked = q.where(semantic).select("query_id", "question", "scope", "top_k", F.coalesce("filter", F.lit("")).alias("filter") if "filter" in q.columns else F.lit("").alias("filter"), scoring.keywords(F.col("semantic_text")).alias("tokens"), "vector", own.alias("boost_entities"), F.col("intent.type").alias("type"))
-    sems = _semantic(asked, index, files_once, use_reranker).persist()
-    combined = merge(defs, sems, questions)
-    return _collect(q, defs, sems, combined)
-
-
-def _semantic(asked: DataFrame, index: Index, files_once: bool, use_reranker: bool) -> DataFrame:
-    filters = [r.filter for r in asked.select("filter").distinct().limit(101).collect()]
-    if len(filters) > 100:
-        raise ValueError("more than 100 different filters in one batch; split it")
-    most = asked.agg(F.max("top_k")).first()[0] or 1
-    parts = []
-    for text in filters or [""]:
-        f = parse_filter(text)
-        more = F.array(*map(F.lit, f.boost_entities)) if f.boost_entities else F.array().cast("array<string>")
-        mine = asked.where(F.col("filter") == text).withColumn("boost_entities", F.array_distinct(F.concat("boost_entities", more)))
-        parts.append(scoring.search(index.chunks.where(f.predicate()), mine, most * (10 if use_reranker else 1), files_once=files_once))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    if use_reranker:
-        hits = scoring.rerank(hits.drop("rank"), most)
-    return hits.where(F.col("rank") <= F.col("top_k"))
-
-
-def _collect(q: DataFrame, defs: DataFrame, sems: DataFrame, combined: DataFrame) -> DataFrame:
-    in_order = lambda: F.transform(F.array_sort(F.collect_list(F.struct("rank", "x"))), lambda r: r["x"])
-    d = defs.withColumn("x", F.struct("entity_type", "entity_name", "file_path", "line_start", "line_end", "match_quality", "definition", "members", "total_members", "origin").cast(formats.DEFINITION)).groupBy("query_id").agg(in_order().alias("definition_results"))
-    s = sems.withColumn("x", F.struct("path", "chunk_index", "total_chunks", "score", F.coalesce("origin", F.lit("engine")), "entities").cast(formats.SEMANTIC)).groupBy("query_id").agg(in_order().alias("semantic_results"))
-    paths = defs.select("query_id", F.lit("definition").alias("kind"), "rank", F.col("file_path").alias("path"), F.col("entity_name").alias("label")).unionByName(sems.select("query_id", F.lit("semantic").alias("kind"), "rank", "path", F.lit(None).cast("string").alias("label")))
-    c = combined.join(paths, ["query_id", "kind", "rank"]).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "kind", "path", "label"))), lambda r: F.struct(r["kind"].alias("kind"), r["path"].alias("path"), r["label"].alias("entity_name"))).alias("combined_results"))
-    out = q.select("query_id", "question", "intent", "expanded_terms")
-    for part, name, kind in ((d, "definition_results", f"array<{formats.DEFINITION}>"), (s, "semantic_results", f"array<{formats.SEMANTIC}>"), (c, "combined_results", "array<struct<kind: string, path: string, entity_name: string>>")):
-        out = out.join(part, "query_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
-    return out.withColumn("timing", F.create_map().cast("map<string, double>"))
+    again = F.coalesce("use_reranker", F.lit(use_reranker))
+    asked = q.where("intent.type <> 'unknown'").select("query_id", "question", "scope", "top_k", F.col("parsed_filter").alias("f"), scoring.keywords(F.col("semantic_text")).alias("tokens"), "vector", F.array_distinct(F.concat(own, "parsed_filter.boost_entities")).alias("boost_entities"), F.col("intent.type").alias("type"), again.alias("again"))
+    most, some = asked.agg(F.max(F.col("top_k") * F.when(F.col("again"), RERANKED).otherwise(1)), F.bool_or("again")).first()
+    hits = scoring.search(index.chunks, asked, most or 1, files_once=files_once, where=matches(F.col("f")))
+    plain = hits.where(~F.col("again") & (F.col("rank") <= F.col("top_k")))
+    if some:
+        best = scoring.rerank(hits.where(F.col("again") & (F.col("rank") <= F.col("top_k") * RERANKED)).drop("rank"), most)
+        plain = plain.unionByName(best.where(F.col("rank") <= F.col("top_k")), allowMissingColumns=True)
+    return plain.select("query_id", "rank", F.struct("path", "chunk_index", "total_chunks", "score", F.coalesce("origin", F.lit("engine")), "entities").cast(formats.SEMANTIC).alias("s"))
+
+
+def assemble(q: DataFrame, defs: DataFrame, sems: DataFrame) -> DataFrame:
+    """A row for each analysed question, with its results in order and combined: definitions, then the semantic hits whose path no
+    definition has, cut to top_k; a question without definitions keeps all of its semantic hits. One that asks for a definition
+    has semantic hits if it found fewer than FEW_DEFINITIONS."""
+    found = defs.withColumn("s", F.lit(None).cast(formats.SEMANTIC)).unionByName(sems.withColumn("d", F.lit(None).cast(formats.DEFINITION)))
+    in_order = lambda x: F.transform(F.array_sort(F.collect_list(F.when(F.col(x).isNotNull(), F.struct("rank", x)))), lambda r: r[x])
+    found = found.groupBy("query_id").agg(in_order("d").alias("ds"), in_order("s").alias("ss"))
+    out = q.join(found, "query_id", "left").withColumns({"ds": F.coalesce("ds", F.array().cast(f"array<{formats.DEFINITION}>")), "ss": F.coalesce("ss", F.array().cast(f"array<{formats.SEMANTIC}>"))})
+    wants = (F.col("intent.type") != "definition") | (F.size("ds") < FEW_DEFINITIONS)
+    out = out.withColumn("ss", F.when(wants, F.col("ss")).otherwise(F.slice("ss", 1, 0)))
+    paths = F.transform("ds", lambda d: norm_path(d["file_path"]))
+    fresh = F.filter("ss", lambda s: ~F.array_contains(paths, norm_path(s["path"])))
+    hit = lambda kind, path, name: F.struct(F.lit(kind).alias("kind"), path.alias("path"), name.cast("string").alias("entity_name"))
+    semantic = lambda xs: F.transform(xs, lambda s: hit("semantic", s["path"], F.lit(None)))
+    both = F.slice(F.concat(F.transform("ds", lambda d: hit("definition", d["file_path"], d["entity_name"])), semantic(fresh)), F.lit(1), F.col("top_k"))
+    combined = F.when(F.size("ds") > 0, both).otherwise(semantic("ss"))
+    return out.select("query_id", "question", "intent", "expanded_terms", F.col("ds").alias("definition_results"), F.col("ss").alias("semantic_results"), combined.alias("combined_results"), F.create_map().cast("map<string, double>").alias("timing"))
+
+
+def answer(questions: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False) -> DataFrame:
+    """A row for each question: question, intent, definition_results, semantic_results, combined_results, timing (empty: in a plan for
+    all questions at once no phase has a time of its own; ``timed`` has them). Blank questions have the type unknown and no results.
+    Definitions and chunks are two branches of one plan, and one aggregate brings them together. More than SETTLED questions stay persisted."""
+    q = analyse(questions, index)
+    return assemble(q, find_definitions(q, index), find_chunks(q, index, files_once, use_reranker))
+
+
+def timed(questions: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False) -> DataFrame:
+    """``answer``, phase by phase, with the seconds of each in timing. The result is kept until it is unpersisted."""
+    took, held = {}, []
+
+    def run(name: str, made: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        made = made.persist()
+        made.count()
+        took[name] = time.perf_counter() - began
+        held.append(made)
+        return made
+
+    began = time.perf_counter()
+    q = run("intent_analysis_s", analyse(questions, index))
+    defs, sems = run("definition_s", find_definitions(q, index)), run("semantic_s", find_chunks(q, index, files_once, use_reranker))
+    out = run("merge_s", assemble(q, defs, sems))
+    took["total_s"] = time.perf_counter() - began
+    for part in held[:-1]:
+        part.unpersist()
+    return out.withColumn("timing", F.create_map(*(F.lit(x) for kv in took.items() for x in kv)))
+
+
+def answer_one(spark: SparkSession, index: Index, question: str, top_k: int = 5, scope: str = "engine", model: str | None = None, **options) -> DataFrame:
+    """``answer`` for one question, encoded on the driver, where the last ones are kept."""
+    q = understood(spark.createDataFrame([(0, question, top_k, scope, model)], "query_id long, question string, top_k int, scope string, model string"), index)
+    q = q.withColumn("vector", F.lit(index.encode(q.first().semantic_text or "", model)).cast("array<double>"))
+    return assemble(q, find_definitions(q, index), find_chunks(q, index, **options))
 
 
 def run_batch(batch: DataFrame, index: Index, **options) -> DataFrame:
-    """(query_id, question, status, results or error) of a parsed batch; a bad line or filter is an error of its own question."""
-    bad = {}
-    for r in batch.select("filter").where("filter IS NOT NULL").distinct().limit(101).collect():
-        try:
-            parse_filter(r.filter)
-        except ValueError as e:
-            bad[r.filter] = str(e)
-    if bad:
-        table = F.create_map(*(F.lit(x) for kv in bad.items() for x in kv))
-        wrong = F.try_element_at(table, "filter")
-        batch = batch.withColumn("error", F.coalesce("error", wrong)).withColumn("status", F.when(F.col("error").isNotNull(), "error").otherwise(F.col("status")))
+    """(query_id, question, status, results or error) of a parsed batch; a bad line, filter or model is an error of its own question."""
+    model = F.col("model") if "model" in batch.columns else F.lit(None).cast("string")
+    wrong = F.coalesce(parsed(F.col("filter"))["error"], index.model_error(model))
+    batch = settled(batch.withColumn("error", F.coalesce("error", wrong)).withColumn("status", F.when(F.col("error").isNotNull(), "error").otherwise(F.col("status"))))
     good = answer(batch.where("status = 'success'"), index, **options)
     done = good.select("query_id", "question", F.lit("success").alias("status"), F.struct("intent", "definition_results", "semantic_results", "combined_results").alias("results"))
     failed = batch.where("status = 'error'").select("query_id", "question", "status", "error")

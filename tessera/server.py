@@ -1,8 +1,9 @@
-"""A search service over one index: /health, /config, /describe, /search?q=&top_k=&scope=. Each request is a Spark job."""
+"""A search service over one index: /health, /config, /describe, /search?q=&top_k=&scope=&model=. Each request is a Spark job."""
 
 from __future__ import annotations
 
 import json
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -10,16 +11,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.formats import as_json
-from .plans.hybrid import Index, answer
+from .plans.hybrid import Index, answer_one
 
 SCOPES = ("engine", "project", "all")
-DESCRIPTION = {"name": "search", "parameters": {"q": "question", "top_k": "how many results, 1 to 100 (5)", "scope": "engine, project or all (engine)"}}
+DESCRIPTION = {"name": "search", "parameters": {"q": "question", "top_k": "how many results, 1 to 100 (5)", "scope": "engine, project or all (engine)", "model": "an encoder of the index (its own)"}}
 
 
-def search(spark: SparkSession, index: Index, question: str, top_k: int = 5, scope: str = "engine") -> dict:
-    q = spark.createDataFrame([(0, question, top_k, scope)], "query_id long, question string, top_k int, scope string")
-    row = answer(q, index).select(as_json().alias("j")).first()
-    return json.loads(row.j)
+def search(spark: SparkSession, index: Index, question: str, top_k: int = 5, scope: str = "engine", model: str | None = None) -> dict:
+    began = time.perf_counter()
+    out = json.loads(answer_one(spark, index, question, top_k, scope, model).select(as_json().alias("j")).first().j)
+    return out | {"timing": {"total_s": time.perf_counter() - began}}
 
 
 def respond(spark: SparkSession, index: Index | None, target: str) -> tuple[int, dict]:
@@ -39,7 +40,9 @@ def respond(spark: SparkSession, index: Index | None, target: str) -> tuple[int,
     top_k, scope = args.get("top_k", "5"), args.get("scope", "engine")
     if not args.get("q", "").strip() or not top_k.isdigit() or not 1 <= int(top_k) <= 100 or scope not in SCOPES:
         return 400, {"error": "q, top_k from 1 to 100, and scope are needed", **DESCRIPTION}
-    return 200, search(spark, index, args["q"], int(top_k), scope)
+    if (model := args.get("model")) and (model not in index.encoders or index.encoders[model].dim != index.encoder.dim):
+        return 400, {"error": f"model {model} isn't known, or of another dimension than the index"}
+    return 200, search(spark, index, args["q"], int(top_k), scope, model)
 
 
 def serve(spark: SparkSession, index: Index | None, host: str = "127.0.0.1", port: int = 8765) -> ThreadingHTTPServer:

@@ -132,6 +132,107 @@ def test_batch_errors_stay_with_their_question(spark, index):
     assert got[0].status == "success" and got[1].status == "error" and "entity type" in got[1].error
 
 
+BROKEN_FILTERS = ["type:no", "type", "what:x", "macro:UENUM", "origin:mars", "file:h", "boost:all", "type:struct OR macro:UCLASS", "  ", "type:struct AND AND macro:UCLASS", "TYPE:Enum AND entity:A AND entity:B AND boost:Macros", "macro:uproperty AND macro:UCLASS", "entity:x y z", "type:struct AND type:wrong AND what:x"]
+
+
+def test_filters_as_columns(spark):
+    """The column against the parser, for right and wrong filters, and both predicates over chunks."""
+    from tessera.operators import filters
+    from tessera.plans.vector_queries import FILTERS
+
+    texts = [*FILTERS, *BROKEN_FILTERS, None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", filters.parsed(F.col("t")).alias("f")).collect()
+    good = []
+    for i, f in got:
+        try:
+            want = filters.parse_filter(texts[i])
+        except ValueError as e:
+            assert f.error == str(e), texts[i]
+            continue
+        good.append(texts[i])
+        assert f.error is None and (f.entity, f.entity_type, f.origin, f.file_type, f.boost_entities, f.boost_macros) == (want.entity, want.entity_type, want.origin, want.file_type, want.boost_entities, want.boost_macros)
+        assert all(getattr(f, n) == bool(getattr(want, n)) for n in ("has_uproperty", "has_uclass", "has_ufunction", "has_ustruct"))
+    rows = [(i, ["A", "B"][: i % 3], [["struct"], ["enum"], None][i % 3], ["engine", "project", None][i % 3], i % 2 == 0, [True, None][i % 2], i % 4 == 0, False, i % 5 == 0, i % 5 == 1) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "id int, entities array<string>, entity_types array<string>, origin string, has_uproperty boolean, has_uclass boolean, has_ufunction boolean, has_ustruct boolean, is_header boolean, is_implementation boolean")
+    both = chunks.crossJoin(spark.createDataFrame([(t,) for t in good], "t string")).where(filters.matches(filters.parsed(F.col("t"))))
+    found = {t: {r.id for r in both.collect() if r.t == t} for t in good}
+    assert found == {t: {r.id for r in chunks.where(filters.parse_filter(t).predicate()).collect()} for t in good}
+
+
+def test_very_many_filters(spark, index):
+    batch = sources.batch_of(spark, [{"question": "how do wheels work", "scope": "all", "filter": f"entity:E{i}"} for i in range(150)] + [{"question": "how do wheels work", "scope": "all", "filter": "file:header"}])
+    got = {r.query_id: r.results.semantic_results for r in hybrid.run_batch(batch, index).collect()}
+    assert all(got[i] == [] for i in range(150)) and got[150] and all(s.path.endswith(".h") for s in got[150])
+
+
+def test_reranker_of_each_question(spark, index):
+    q = {"question": "how do wheels work", "scope": "all", "top_k": 3}
+    batch = sources.batch_of(spark, [q, q | {"use_reranker": True}, q | {"use_reranker": False}])
+    got = {r.query_id: [(s.path, s.score) for s in r.results.semantic_results] for r in hybrid.run_batch(batch, index).collect()}
+    assert got[0] == got[2] != got[1] and got[1][0][0].endswith("notes.txt") and len(got[1]) == 3
+    over = {r.query_id: [(s.path, s.score) for s in r.results.semantic_results] for r in hybrid.run_batch(batch, index, use_reranker=True).collect()}
+    assert over[0] == over[1] == got[1] and over[2] == got[2]
+
+
+def test_model_of_each_question(spark, index):
+    class Turned(embed.HashEncoder):
+        def encode(self, texts):
+            return -super().encode(texts)
+
+    more = hybrid.Index(index.chunks, index.definitions, index.encoder, {"turned": Turned(), "short": embed.HashEncoder(8)})
+    q = {"question": "how do wheels work", "scope": "all"}
+    got = {r.query_id: r for r in hybrid.run_batch(sources.batch_of(spark, [q, q | {"model": "turned"}, q | {"model": "short"}, q | {"model": "none"}]), more).collect()}
+    first, second = ({s.path: s.score for s in got[i].results.semantic_results} for i in (0, 1))
+    assert first != second and got[2].status == got[3].status == "error"
+    assert "8 dimensions (model: short)" in got[2].error and got[3].error == "Unknown model: none"
+    assert server.respond(spark, more, "/search?q=x&model=short")[0] == 400 and server.respond(spark, more, "/search?q=wheels&model=turned")[0] == 200
+
+
+def test_encoded_questions_are_kept(spark, index):
+    seen = []
+
+    class Counted(embed.HashEncoder):
+        def encode(self, texts):
+            seen.extend(texts)
+            return super().encode(texts)
+
+    mine = hybrid.Index(index.chunks, index.definitions, Counted())
+    a, b = (server.search(spark, mine, "struct FHitInfo", 2, "all") for _ in range(2))
+    assert len(seen) == 1 and a["results"] == b["results"] and b["timing"]["total_s"] > 0
+    for i in range(hybrid.ENCODED):
+        mine.encode(f"q{i}")
+    assert len(mine.encoded) == hybrid.ENCODED and mine.encode("q0") and len(seen) == 1 + hybrid.ENCODED
+
+
+def test_timed_answers_are_the_answers(spark, index):
+    q = spark.createDataFrame([(0, "struct FHitInfo", 3, "all"), (1, "how do wheels work", 3, "all"), (2, "", 3, "all")], "query_id long, question string, top_k int, scope string")
+    timed = hybrid.timed(q, index)
+    plain = hybrid.answer(q, index)
+    key = lambda r: r.query_id
+    assert sorted(timed.drop("timing").collect(), key=key) == sorted(plain.drop("timing").collect(), key=key)
+    t = timed.first().timing
+    assert set(t) == {"intent_analysis_s", "definition_s", "semantic_s", "merge_s", "total_s"} and t["total_s"] > 0
+    timed.unpersist()
+
+
+def test_bound_of_the_match(spark):
+    import random
+
+    from tessera.functions import similarity
+
+    random.seed(4)
+    word = lambda: "".join(random.choice("FUAabcdeHit_") for _ in range(random.randint(0, 9)))
+    pairs = [(word(), word()) for _ in range(1500)] + [(w, w + word()) for w in (word() for _ in range(300))] + [("FHit", "hit"), ("", ""), ("a", "")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.match_quality(F.col("a"), F.col("b")).alias("q"), similarity.may_match(F.col("a"), F.col("b")).alias("m"), similarity.compound(F.col("a"), F.col("b")).alias("c"), similarity.most_compound(F.col("a"), F.col("b")).alias("most")).collect()
+    assert all(r.m or r.q == 0 for r in got) and all(r.most >= r.c - 1e-9 or r.a.lower() == r.b.lower() for r in got)
+    assert sum(not r.m for r in got) > 300
+
+
+def test_chunk_columns_that_clash(spark):
+    df = spark.createDataFrame([("a", "x" * 2101, 7, "old", 9, 3)], "path string, text string, chunk_index int, chunk_text string, total_chunks int, chars int")
+    assert sorted((r.chunk_index, r.total_chunks, r.chars) for r in chunking.window_chunks(df).collect()) == [(0, 2, 2000), (1, 2, 301)]
+
+
 def test_relationships(spark, index):
     q = spark.createDataFrame([(0, "what does AThing contain"), (1, "relationships of FNothing")], "query_id long, question string")
     got = {r.query_id: r for r in hybrid.relationships(q, index, 2).collect()}
