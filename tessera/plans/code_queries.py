@@ -1,4 +1,4 @@
-"""Queries over snippets of code and over questions."""
+"""Queries over source files (snippets, and documents with code of their own) and over questions."""
 
 from __future__ import annotations
 
@@ -11,56 +11,56 @@ from . import hybrid
 from .fixtures import CODE_SQL, QUESTIONS_SQL, code, questions, table, values
 
 
-def _enriched(spark: SparkSession) -> DataFrame:
-    return enrich.enrich(code(spark), "text")
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.enrich(code(spark, sf_dir), "text")
 
 
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _enriched(spark)
+    e = _enriched(spark, sf_dir)
     return e.select("path", F.array_join("entities", ",").alias("entities"), F.array_join("entity_types", ",").alias("entity_types"))
 
 
 def macro_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark).select("path", *(f"has_{m}" for m in enrich.MACROS), "is_header", "is_implementation")
+    return _enriched(spark, sf_dir).select("path", *(f"has_{m}" for m in enrich.MACROS), "is_header", "is_implementation")
 
 
 def entity_frequency_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.entity_frequency(_enriched(spark))
+    return reports.entity_frequency(_enriched(spark, sf_dir))
 
 
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark).where(F.array_contains("entities", "FHitInfo")).select("path")
+    return _enriched(spark, sf_dir).where(F.array_contains("entities", "FHitInfo")).select("path")
 
 
 def include_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code(spark).select("path", F.posexplode(relations.includes(F.col("text"))).alias("pos", "include"))
+    return code(spark, sf_dir).select("path", F.posexplode(relations.includes(F.col("text"))).alias("pos", "include"))
 
 
-def _graph(spark: SparkSession) -> DataFrame:
-    return relations.graph(definitions.definitions(code(spark)))
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.graph(definitions.definitions(code(spark, sf_dir)))
 
 
 def inheritance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.edges(_graph(spark)).where("rel = 'inherits'").select("src", "dst")
+    return relations.edges(_graph(spark, sf_dir)).where("rel = 'inherits'").select("src", "dst")
 
 
 def composition_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = relations.edges(_graph(spark)).where("rel = 'contains'")
+    e = relations.edges(_graph(spark, sf_dir)).where("rel = 'contains'")
     return e.select("src", "dst", "member_name", F.coalesce("macro", F.lit("")).alias("macro"), "is_component", "is_pointer")
 
 
 def include_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.edges(_graph(spark), code(spark)).groupBy("rel").agg(F.count("*").alias("n"))
+    return relations.edges(_graph(spark, sf_dir), code(spark, sf_dir)).groupBy("rel").agg(F.count("*").alias("n"))
 
 
 def reachable_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = relations.edges(_graph(spark))
+    e = relations.edges(_graph(spark, sf_dir))
     roots = e.select(F.col("src").alias("root")).distinct()
     return relations.reachable(e, roots, 3)
 
 
 def definition_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = definitions.definitions(code(spark))
+    d = definitions.definitions(code(spark, sf_dir))
     return d.select("file_path", "entity_type", "entity_name", "line_start", "line_end", F.array_join("members", "; ").alias("members"), "origin", "module", "include")
 
 
@@ -69,11 +69,11 @@ WANTED = [(0, "FHitInfo", "struct", "all"), (1, "HitInfo", "struct", "engine"),
 
 def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = spark.createDataFrame(WANTED, "query_id long, name string, kind string, scope string")
-    return definitions.look_up(definitions.definitions(code(spark)), w).select("query_id", "rank", "file_path", "line_start", "entity_name", F.round("match_quality", 6).alias("match_quality"))
+    return definitions.look_up(definitions.definitions(code(spark, sf_dir)), w).select("query_id", "rank", "file_path", "line_start", "entity_name", F.round("match_quality", 6).alias("match_quality"))
 
 
 def relationship_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.as_json(relations.tree(relations.one_each(_graph(spark)))).select("entity", "tree", "json")
+    return relations.as_json(relations.tree(relations.one_each(_graph(spark, sf_dir)))).select("entity", "tree", "json")
 
 
 PATHS = [
@@ -102,9 +102,9 @@ def version_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated questions, what users say in all conversations, and the first eight words of the benchmark."""
+    """The stated questions, what users say in all conversations, and the texts of the benchmark."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("query_id"), F.col("text").alias("question"))
-    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 500_000).alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
+    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 500_000).alias("query_id"), F.col("text").alias("question"))
     return questions(spark).unionByName(c).unionByName(b)
 
 
@@ -126,15 +126,15 @@ def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stated questions against the snippets, in one plan, rendered."""
+    """All stated questions against all files, in one plan, rendered."""
     q = questions(spark).withColumns({"top_k": F.lit(5), "scope": F.lit("all"), "filter": F.lit(None).cast("string")})
-    out = hybrid.answer(q, hybrid.Index.build(code(spark)).kept())
+    out = hybrid.answer(q, hybrid.Index.build(code(spark, sf_dir)).kept())
     return out.select("query_id", "intent.type", F.size("definition_results").alias("n_definitions"), F.size("semantic_results").alias("n_semantic"), F.size("combined_results").alias("n_combined"), formats.as_paths().alias("paths"), formats.as_json(False).alias("json"))
 
 
 def format_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = spark.createDataFrame([(0, "struct FHitInfo"), (1, "how do wheels work")], "query_id long, question string").withColumns({"top_k": F.lit(3), "scope": F.lit("all")})
-    out = hybrid.answer(q, hybrid.Index.build(code(spark)).kept()).persist()
+    out = hybrid.answer(q, hybrid.Index.build(code(spark, sf_dir)).kept())
     kinds = F.create_map(*(x for name, f in formats.FORMATS.items() for x in (F.lit(name), f())))
     return out.select("query_id", F.explode(kinds).alias("format", "rendered"))
 
@@ -142,7 +142,7 @@ def format_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (entity_extract, macro_flags, entity_frequency_top10, entity_mentions, include_dependencies, inheritance_edges, composition_edges, include_edges, reachable_entities, definition_extract, definition_lookup, relationship_tree, module_include, path_subsumption, version_match, intent_route, query_expand, relationship_entity, related_entities, hybrid_answers, format_outputs)}
 
 _ASKED = f"""{QUESTIONS_SQL}, asked AS (SELECT query_id::BIGINT AS query_id, question FROM questions UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations WHERE role = 'user'
-UNION ALL SELECT item_id + 500000, array_to_string(string_split(text, ' ')[1:8], ' ') FROM benchmark)"""
+UNION ALL SELECT item_id + 500000, text FROM benchmark)"""
 _ENTITIES = r"""e AS (SELECT path, text, regexp_extract_all(text, '\bstruct\s+(?:\w+_API\s+)?([A-Z_]\w+)', 1) AS s, regexp_extract_all(text, '\bclass\s+(?:\w+_API\s+)?([UAI][A-Z]\w+)', 1) AS c,
   regexp_extract_all(text, '\benum\s+(?:class\s+)?([A-Z_]\w+)', 1) AS n FROM code), d AS (SELECT *, list_sort(list_distinct(s || c || n)) AS entities FROM e)"""
 #: Headers and bodies of the snippets' structs and classes, by an expression of their own.

@@ -80,11 +80,23 @@ CODE = [
 ]
 
 
-def code(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CODE, "path string, origin string, text string")
+#: What stands before the text of a document that is a .h or .cpp file: a struct and a class of its own.
+OWN_CODE = "struct FDoc{}\n{\n\tFVector Place;\n\tUDoc{}* Next;\n};\nclass UDoc{} : public UObject\n{\n\tUPROPERTY()\n\tFDoc{} Item;\n};\n"
 
 
-CODE_SQL = values("code", "path, origin, text", CODE)
+def code(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """The snippets, and with ``sf_dir`` all documents as files, each source file with code of its own."""
+    snippets = spark.createDataFrame(CODE, "path string, origin string, text string")
+    if sf_dir is None:
+        return snippets
+    parts = OWN_CODE.split("{}")
+    own = F.concat(F.lit(parts[0]), *(x for p in parts[1:] for x in (F.col("doc_id").cast("string"), F.lit(p))))
+    text = F.when(F.col("path").rlike(r"\.(h|cpp)$"), F.concat(own, "text")).otherwise(F.col("text"))
+    return snippets.unionByName(files(spark, sf_dir).select("path", "origin", text.alias("text")))
+
+
+CODE_SQL = f"""{FILES}, {values("snippets", "path, origin, text", CODE)},
+code AS (SELECT path, origin, text FROM snippets UNION ALL SELECT path, origin, CASE WHEN regexp_matches(path, '\\.(h|cpp)$') THEN replace({_literal(OWN_CODE)}, '{{}}', doc_id::VARCHAR) ELSE '' END || text FROM files)"""
 
 QUESTIONS = [
     "struct FHitResult", "FHitResult struct", "definition of FHitResult", "define FHitResult", "what is FHitResult", "class AActor", "AActor class", "show me AActor", "define AActor",

@@ -41,11 +41,11 @@ def safety_brake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all documents, each text encoded once; the share of components that aren't zero stands for the vector."""
+    """Vectors of all documents, each text encoded once; the digest of the components stands for the vector."""
     f = files(spark, sf_dir).select("doc_id", F.col("text").alias("chunk_text"), F.sha2("text", 256).alias("chunk_sha"))
     none = spark.createDataFrame([], "chunk_sha string, embedding array<float>")
     e = embed.embed_missing(f, none)
-    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 4).alias("norm"))
+    return e.select("doc_id", F.size("embedding").alias("dim"), F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x * 1000).cast("int").cast("string")), ",")).alias("digest"))
 
 
 CASES = [(0, ["FHitResult", "HitResult.h"]), (1, ["AActor"]), (2, ["LineTraceSingle", "World.h", "nothing"]), (3, []), (4, ["x"])]
@@ -89,7 +89,7 @@ def batch_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.createDataFrame(list(enumerate(LINES)), "query_id long, value string")
-    out = hybrid.run_batch(sources.parse_batch(lines), hybrid.Index.build(code(spark)).kept())
+    out = hybrid.run_batch(sources.parse_batch(lines), hybrid.Index.build(code(spark, sf_dir)).kept())
     return out.groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -160,14 +160,14 @@ def index_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def re_enriched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored chunks of the snippets, two of a file that is gone."""
-    stored = code(spark).select("path").withColumn("chunk_index", F.lit(0)).union(spark.createDataFrame([("/gone.h", 0), ("/gone.h", 1)], "path string, chunk_index int"))
-    r = enrich.re_enrich(stored, code(spark))
+    """Stored chunks of all files, two of a file that is gone."""
+    stored = code(spark, sf_dir).select("path").withColumn("chunk_index", F.lit(0)).union(spark.createDataFrame([("/gone.h", 0), ("/gone.h", 1)], "path string, chunk_index int"))
+    r = enrich.re_enrich(stored, code(spark, sf_dir))
     return r.select("path", "chunk_index", F.array_join("entities", ",").alias("entities"), "has_uclass", "is_header")
 
 
 def first_kind_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = definitions.definitions(code(spark))
+    d = definitions.definitions(code(spark, sf_dir))
     return definitions.first_kind(d, F.lit("FHitInfo")).select("file_path", "entity_type", "line_start")
 
 
@@ -183,31 +183,41 @@ w{name} AS (SELECT case_id, unnest(list_distinct(expected)) AS x FROM c{name}),
 e{name} AS (SELECT case_id::BIGINT AS case_id, found / 5 AS precision, found / n AS recall FROM h{name} UNION ALL SELECT {next(i for i, x in CASES if not x)}::BIGINT, 0.0, 0.0)"""
 
 
+_BATCH_SQL = f"""{values("v", "query_id, value", list(enumerate(LINES)))},
+j AS (SELECT query_id, value, json_valid(value) AND coalesce(json_type(CASE WHEN json_valid(value) THEN value ELSE 'null' END), '') = 'OBJECT' AS good FROM v WHERE trim(value) <> ''),
+b AS (SELECT query_id::BIGINT AS query_id, good, CASE WHEN good THEN coalesce(value->>'question', '') END AS question, CASE WHEN good THEN coalesce((value->>'top_k')::INT, 5) END AS top_k,
+             CASE WHEN good THEN coalesce(value->>'scope', 'engine') END AS scope, CASE WHEN good THEN value->>'filter' END AS filter FROM j)"""
+
 SQL = {
     "module_build_files": f"""WITH {values("l", "path", LISTED)}, b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([^/]*)\\.Build\\.cs$', 1) AS name FROM l WHERE path LIKE '%.Build.cs'),
 f AS (SELECT path, string_split(path, '/') AS parts FROM l WHERE path NOT LIKE '%.Build.cs'), m AS (SELECT f.path, arg_max(name, length(folder)) AS name FROM f JOIN b ON starts_with(f.path, folder || '/') AND regexp_matches(folder, '/Source/') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) GROUP BY f.path)
 SELECT path, coalesce(name, CASE WHEN list_contains(parts, 'Source') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) THEN parts[len(parts) - list_position(list_reverse(parts), 'Source') + 3] ELSE 'Unknown' END) AS module FROM f LEFT JOIN m USING (path)""",
     "stored_chunk_text": f"WITH {FILES}, w AS (SELECT path, text, CASE WHEN length(text) <= 2000 THEN [0] ELSE list_filter(range(0, length(text), 1800), lambda s: s = 0 OR length(text) - s >= 300) END AS starts FROM files) SELECT path, (len(starts) - 1)::INT AS chunk_index, md5(substr(text, starts[-1] + 1, 2000)) AS md5 FROM w",
-    "index_staleness": "SELECT built, built = 'before' AS stale, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS newest FROM (VALUES ('before'), ('after')) AS t(built)",
+    "index_staleness": "SELECT built, (SELECT max(ts) FROM events) > made AS stale, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS newest FROM (VALUES ('before', TIMESTAMP '2020-01-01'), ('after', TIMESTAMP '2100-01-01')) AS t(built, made)",
     "re_enriched_chunks": f"""WITH {CODE_SQL}, e AS (SELECT path, substr(text, 1, 1500) AS t FROM code) SELECT path, 0 AS chunk_index, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\bstruct\\s+(?:\\w+_API\\s+)?([A-Z_]\\w+)', 1) || regexp_extract_all(t, '\\bclass\\s+(?:\\w+_API\\s+)?([UAI][A-Z]\\w+)', 1) || regexp_extract_all(t, '\\benum\\s+(?:class\\s+)?([A-Z_]\\w+)', 1))), ',') AS entities,
 regexp_matches(t, '\\bUCLASS\\s*\\(') AS has_uclass, regexp_matches(path, '\\.h$') AS is_header FROM e UNION ALL SELECT '/gone.h', i, '', false, false FROM (VALUES (0), (1)) AS g(i)""",
-    "first_kind_definition": "SELECT '/eng/Source/Runtime/Phys/Public/Hit.h' AS file_path, 'struct' AS entity_type, 5 AS line_start",
+    "first_kind_definition": rf"""WITH {CODE_SQL}, k(no, kind, p) AS (VALUES (1, 'struct', '(USTRUCT\s*\([^)]*\)\s*)?struct\s+(\w+_API\s+)?FHitInfo\s*(:[^{{;]*)?\{{'), (2, 'class', '(UCLASS\s*\([^)]*\)\s*)?class\s+(\w+_API\s+)?FHitInfo\s*(:[^{{;]*)?\{{'), (3, 'enum', '(UENUM\s*\([^)]*\)\s*)?enum\s+(class\s+)?FHitInfo\s*(:[^{{;]*)?\{{')),
+f AS (SELECT path, no, kind, position(regexp_extract(text, p) IN text) AS spot, text FROM code, k WHERE regexp_matches(text, p))
+SELECT path AS file_path, kind AS entity_type, (length(text[1:spot - 1]) - length(replace(text[1:spot - 1], chr(10), '')) + 1)::INT AS line_start FROM f WHERE no = (SELECT min(no) FROM f)""",
     "incremental_anti_join": f"WITH {_NEW} SELECT coalesce(n.path, f.path) AS path, sha256(coalesce(n.text, f.text)) AS sha256, CASE WHEN f.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN n.text = f.text THEN 'unchanged' ELSE 'edited' END AS state FROM new n FULL JOIN files f ON n.path = f.path",
     "incremental_rebuild": f"WITH {_NEW} SELECT n.path, n.origin, sha256(n.text) AS sha256, length(n.text)::INT AS chars, CASE WHEN f.text IS NOT DISTINCT FROM n.text THEN 'old' ELSE 'new' END AS run FROM new n LEFT JOIN files f ON n.path = f.path",
     "safety_brake": f"WITH {_NEW}, o AS (SELECT count(*) AS n FROM files WHERE origin = 'engine') SELECT o.n AS old_engine_chunks, (SELECT count(*) FROM new WHERE origin = 'engine') AS new_engine_files, false AS abort, 'whole' AS run FROM o UNION ALL SELECT o.n, 0, o.n > 100, 'lost' FROM o",
-    "embed_reuse": rf"SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0 END AS norm FROM documents",
     "precision_recall": f"WITH {_eval_sql(FOUND, '')} SELECT case_id, precision, recall FROM e",
     "ab_compare": f"WITH {_eval_sql(FOUND, '1')}, {_eval_sql(FOUND_B, '2')}, u AS (SELECT 'base' AS variant, * FROM e1 UNION ALL SELECT 'other', * FROM e2) SELECT variant, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, avg(recall) >= 0.4 AS passed FROM u GROUP BY variant",
     "label_quality": "SELECT lang, count(*) FILTER (length(coalesce(text, '')) > 1000 AND quality = 1) AS hits, count(*) FILTER (length(coalesce(text, '')) > 1000) AS retrieved, count(*) FILTER (quality = 1) AS relevant FROM labels JOIN documents USING (doc_id) GROUP BY lang",
     "context_budget": f"""WITH {FILES}, d AS (SELECT string_split(path, '/')[1] AS query_id, doc_id, '    <definition name="D' || doc_id || '" file="' || path || '">' || chr(10) || text || chr(10) || '    </definition>' AS entry FROM files WHERE text <> ''),
 s AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY doc_id) AS upto FROM d), c AS (SELECT query_id, '<context>' || chr(10) || string_agg(entry, chr(10) ORDER BY doc_id) || chr(10) || '</context>' AS context FROM s WHERE upto <= 6000 GROUP BY query_id)
 SELECT query_id, length(context)::INT AS chars, md5(context) AS md5 FROM c""",
-    "batch_parse": values("v", "query_id, question, top_k, scope, filter, status", [(0, "FHitInfo members", 3, "engine", None, "success"), (2, "how do wheels work", 5, "all", "file:header", "success"), (3, None, None, None, None, "error"), (4, "AThing", 5, "engine", "type:wrong", "success"), (5, None, None, None, None, "error"), (6, "", 2, "engine", None, "success"), (7, None, None, None, None, "error")]).join(["WITH ", " SELECT query_id::BIGINT AS query_id, question, top_k, scope, filter, status FROM v"]),
-    "batch_status": "SELECT * FROM (VALUES ('success', 3::BIGINT), ('error', 4::BIGINT)) AS t(status, n)",
+    "batch_parse": f"WITH {_BATCH_SQL} SELECT query_id, question, top_k, scope, filter, CASE WHEN good THEN 'success' ELSE 'error' END AS status FROM b",
+    "batch_status": f"""WITH {_BATCH_SQL}, p AS (SELECT query_id, good, unnest(list_filter(string_split(coalesce(filter, ''), ' AND '), lambda x: trim(x) <> '')) AS part FROM b),
+w AS (SELECT DISTINCT query_id FROM p WHERE NOT regexp_matches(trim(part), '^(type:(struct|class|enum|function|delegate)|macro:(UPROPERTY|UCLASS|UFUNCTION|USTRUCT)|origin:(engine|project)|file:(header|implementation)|entity:\\w+|boost:(macros|entity|entities))$'))
+SELECT CASE WHEN good AND w.query_id IS NULL THEN 'success' ELSE 'error' END AS status, count(*) AS n FROM b LEFT JOIN w USING (query_id) GROUP BY 1""",
     "event_log_counts": "SELECT event_type, date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS n, count(DISTINCT user_id) AS users, sum(floor(value))::BIGINT AS whole_value, sum(len(json_keys(props)))::BIGINT AS props FROM events GROUP BY 1, 2",
     "health_score": f"""WITH {values("c", "install, check_no, passed, score, issue, warning", CHECKS)}, k AS (SELECT *, bool_or(check_no = 1 AND NOT passed) OVER (PARTITION BY install) AS gone FROM c), s AS (SELECT * FROM k WHERE NOT gone OR check_no = 1)
 SELECT install, bool_and(passed) AS valid, CASE WHEN bool_or(gone) THEN 0 ELSE avg(score) END::DOUBLE AS health_score, coalesce(string_agg(issue, ';' ORDER BY check_no), '') AS issues, coalesce(string_agg(warning, ';' ORDER BY check_no), '') AS warnings, (count(*) FILTER (passed))::INT AS checks_passed, CASE WHEN bool_or(gone) THEN 4 ELSE count(*) END::INT AS checks_total FROM s GROUP BY install""",
     "install_dedup": f"WITH {values('i', 'engine_root, source, priority', INSTALLS)} SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY engine_root ORDER BY priority DESC, source) = 1",
-    "layout_profiles": "SELECT * FROM (VALUES ('/x', 'Launcher_Standard_Internal', '/x'), ('/y', 'Launcher_Standard_Base', '/y/Engine'), ('/z', 'Source_Build_GitHub', '/z/Engine')) AS t(root, layout, engine_root)",
+    "layout_profiles": f"""WITH {values("t", "root, path", LISTING)}, {values("m", "no, layout, path, n, sub", [(i, name, x, len(xs), sub) for i, (name, xs, sub) in enumerate(reports.LAYOUTS) for x in xs])},
+f AS (SELECT root, no, layout, sub FROM (SELECT DISTINCT root, path FROM t) JOIN m USING (path) GROUP BY root, no, layout, sub, n HAVING count(*) = n)
+SELECT root, layout, CASE WHEN sub = '' THEN root ELSE root || '/' || sub END AS engine_root FROM f QUALIFY row_number() OVER (PARTITION BY root ORDER BY no) = 1""",
     "fastest_model": f"WITH {values('r', 'model, encode_s, dim', RUNS)} SELECT model, encode_s::DOUBLE AS encode_s FROM r ORDER BY encode_s, model LIMIT 1",
 }
