@@ -5,7 +5,7 @@ of random projections, and each is compared with those near it in the order. The
 (and those that it is a neighbour of) are compared with each other, and what improves a list enters it; pairs that were
 compared before are not compared again. Lists hold what lies within two times the threshold's angle: vectors that both link
 to a third do, so no path from link to link is cut, and what is further away costs nothing. It ends when a round finds next to no new
-link and, on audit samples compared with all rows by brute force, the share of a vector's links that was found is high enough, in
+link for a list that isn't full of links and, on audit samples compared with all rows by brute force, the share of a vector's links that was found is high enough, in
 small components as in large ones; otherwise more random orders are added, each time twice as many, and if that never does it raises.
 A list whose members all link is saturated: it may not hold all links. It is enlarged to its whole component, whose
 links are counted exactly: rings around the component's centre say which vectors all link and which can't, and the
@@ -302,7 +302,7 @@ def audit(classes: DataFrame, links: DataFrame, comps: DataFrame, size: int, thr
     return worst
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST, recall: float = 0.98, sample: int = 1024, max_rounds: int = 6, max_restarts: int = 4, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST, recall: float = 0.98, sample: int = 4096, max_rounds: int = 6, max_restarts: int = 4, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links (other vectors with a cosine of ``threshold`` or more that were
     found), component_id (smallest vec_id reachable), kept (vec_id is component_id). Raises if an audit finds less than ``recall`` of
     the links after ``max_restarts`` restarts; the log tells what it found.
@@ -334,8 +334,10 @@ def _search(classes: DataFrame, dim: int, threshold: float, k: int, recall: floa
             graph = cut(best_lists(fresh if graph is None else graph.unionByName(fresh), k))
         for _ in range(max_rounds):
             graph = cut(descend(classes, graph, k, least))
-            new, all_links = graph.where(F.col("s") >= threshold).agg(F.sum("new"), F.count("*")).first()
-            if (new or 0) <= 0.002 * all_links:
+            # What is new in a saturated list tells nothing: its component is enlarged below.
+            of_u = graph.where(F.col("s") >= threshold).groupBy("u").agg(F.sum("new").alias("new"), F.count("*").alias("n"))
+            new, all_links = of_u.agg(F.sum(F.when(F.col("n") < k, F.col("new"))), F.sum("n")).first()
+            if (new or 0) <= 0.002 * (all_links or 0):
                 break
         close = graph.where(F.col("s") >= threshold).select("u", "v")
         comps = cut(components(close.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("node").alias("cid"), "component"))
