@@ -138,9 +138,15 @@ def overlap_by_window(chunks: DataFrame, size: int = SIZE, overlap: int = OVERLA
     return chunks.withColumn("chunk_text", F.when(F.length("chunk_text") + F.length(more) <= size, F.concat("chunk_text", more)).otherwise(F.col("chunk_text")))
 
 
-def chunk_files(files: DataFrame, structure: bool = True, size: int | None = None, overlap: int = OVERLAP) -> DataFrame:
-    """The chunks of ``files(path, ..., text)`` under the size cap: structure-aware ones, or fixed windows of 1500."""
-    capped = files.where(F.length("text") <= MAX_CHARS)
+def over_cap(files: DataFrame, most_chars: int = MAX_CHARS) -> DataFrame:
+    """(origin, files, over, chars_over): how many files the size cap leaves out, and how many characters."""
+    over, chars = F.length("text") > most_chars, F.length("text").cast("long")
+    return files.groupBy("origin").agg(F.count("*").alias("files"), F.count_if(over).alias("over"), F.coalesce(F.sum(F.when(over, chars)), F.lit(0)).cast("long").alias("chars_over"))
+
+
+def chunk_files(files: DataFrame, structure: bool = True, size: int | None = None, overlap: int = OVERLAP, most_chars: int | None = MAX_CHARS) -> DataFrame:
+    """The chunks of ``files(path, ..., text)`` under the size cap (None: of all): structure-aware ones, or fixed windows of 1500."""
+    capped = files if most_chars is None else files.where(F.length("text") <= most_chars)
     return structured_chunks(capped, size or SIZE, overlap=overlap) if structure else window_chunks(capped, size or 1500, overlap)
 
 

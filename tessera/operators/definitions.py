@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.naming import include_of, module_by_place
 from ..functions.similarity import match_quality, may_match
 
-# How definitions start. The group "name" is the entity's.
+# How definitions start: behind blanks of their own line, so that line numbers are those of the line that they or their macro stand in.
+# The group "name" is the entity's.
 STARTS = {
     "struct": re.compile(r"^[ \t]*(?:USTRUCT\s*\([^)]*\)\s*)?struct\s+(?:\w+_API\s+)?(?P<name>[A-Z_]\w*)\s*(?::\s*public\s+\w+)?\s*\{", re.M),
     "class": re.compile(r"^[ \t]*(?:UCLASS\s*\([^)]*\)\s*)?class\s+(?:\w+_API\s+)?(?P<name>[UAI][A-Z]\w*)\s*(?::\s*public\s+[\w\s,]+)?\s*\{", re.M),

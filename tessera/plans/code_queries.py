@@ -64,6 +64,12 @@ def definition_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("file_path", "entity_type", "entity_name", "line_start", "line_end", F.array_join("members", "; ").alias("members"), "origin", "module", "include")
 
 
+def definition_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where structs, classes and enums start."""
+    d = definitions.definitions(code(spark, sf_dir))
+    return d.where("entity_type IN ('struct', 'class', 'enum')").select("file_path", "entity_type", "entity_name", "line_start")
+
+
 WANTED = [(0, "FHitInfo", "struct", "all"), (1, "HitInfo", "struct", "engine"), (2, "AThing", "class", "engine"), (3, "UWheelComp", "class", "project"), (4, "Use", "function", "all"), (5, "FOnHit", "function", "all"), (6, "EChannel", "enum", "engine"), (7, "FPlain", "struct", "engine")]
 
 
@@ -139,7 +145,7 @@ def format_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.explode(kinds).alias("format", "rendered"))
 
 
-QUERIES = {f.__name__: f for f in (entity_extract, macro_flags, entity_frequency_top10, entity_mentions, include_dependencies, inheritance_edges, composition_edges, include_edges, reachable_entities, definition_extract, definition_lookup, relationship_tree, module_include, path_subsumption, version_match, intent_route, query_expand, relationship_entity, related_entities, hybrid_answers, format_outputs)}
+QUERIES = {f.__name__: f for f in (entity_extract, macro_flags, entity_frequency_top10, entity_mentions, include_dependencies, inheritance_edges, composition_edges, include_edges, reachable_entities, definition_extract, definition_starts, definition_lookup, relationship_tree, module_include, path_subsumption, version_match, intent_route, query_expand, relationship_entity, related_entities, hybrid_answers, format_outputs)}
 
 _ASKED = f"""{QUESTIONS_SQL}, asked AS (SELECT query_id::BIGINT AS query_id, question FROM questions UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations WHERE role = 'user'
 UNION ALL SELECT item_id + 500000, text FROM benchmark)"""
@@ -210,6 +216,13 @@ SQL = {
     "composition_edges": f"WITH {CODE_SQL}, {_HEADS}, {_CONTAINS} SELECT src, regexp_extract(type, '^\\w+') AS dst, member_name, macro, contains(type, 'Component') AS is_component, contains(type, '*') AS is_pointer FROM o",
     "include_edges": f"""WITH {CODE_SQL}, {_HEADS}, {_INHERITS}, {_CONTAINS}, r AS (SELECT 'inherits' AS rel FROM i UNION ALL SELECT 'contains' FROM o UNION ALL SELECT 'includes' FROM (SELECT unnest(regexp_extract_all(text, '#include\\s+[<"]([^>"]+)[>"]', 1)) FROM code)) SELECT rel, count(*) AS n FROM r GROUP BY rel""",
     "reachable_entities": f"WITH RECURSIVE {CODE_SQL}, {_HEADS}, {_INHERITS}, {_CONTAINS}, ed AS (SELECT src, dst FROM i UNION SELECT src, regexp_extract(type, '^\\w+') FROM o), t(root, node, hops) AS (SELECT DISTINCT src, src, 0 FROM ed UNION SELECT t.root, ed.dst, t.hops + 1 FROM t JOIN ed ON t.node = ed.src WHERE t.hops < 3) SELECT root, node, min(hops)::INT AS hops FROM t GROUP BY root, node",
+    "definition_starts": rf"""WITH {CODE_SQL}, k(kind, macro, body) AS (VALUES ('struct', 'USTRUCT', 'struct\s+(?:\w+_API\s+)?([A-Z_]\w*)\s*(?::\s*public\s+\w+)?\s*\{{'),
+  ('class', 'UCLASS', 'class\s+(?:\w+_API\s+)?([UAI][A-Z]\w*)\s*(?::\s*public\s+[\w\s,]+)?\s*\{{'), ('enum', 'UENUM', 'enum\s+(?:class\s+)?([A-Z_]\w*)\s*(?::\s*\w+)?\s*\{{')),
+l AS (SELECT path, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM code),
+o AS (SELECT path, text, no, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot FROM l),
+m AS (SELECT path, kind, no, macro, body, text[1:spot] AS before, text[spot + 1:] AS after FROM o, k)
+SELECT path AS file_path, kind AS entity_type, regexp_extract(after, '^[ \t]*(?:' || macro || '\s*\([^)]*\)\s*)?' || body, 1) AS entity_name, no::INT AS line_start FROM m
+WHERE regexp_matches(after, '^[ \t]*(?:' || macro || '\s*\([^)]*\)\s*)?' || body) AND NOT regexp_matches(before, macro || '\s*\([^)]*\)\s*$')""",
     "module_include": rf"""WITH {values("p", "path", PATHS)}, s AS (SELECT path, string_split(path, '/') AS parts FROM p), i AS (SELECT *, len(parts) - list_position(list_reverse(parts), 'Source') + 1 AS spot FROM s),
 m AS (SELECT *, CASE WHEN spot + 2 <= len(parts) THEN parts[spot + 2] ELSE 'Unknown' END AS module,
   CASE WHEN regexp_matches(path, '/Public/') THEN regexp_extract(path, '.*/Public/(.*)$', 1) WHEN regexp_matches(path, '/Classes/') THEN regexp_extract(path, '.*/Classes/(.*)$', 1) WHEN regexp_matches(path, '/Private/') THEN regexp_extract(path, '.*/Private/(.*)$', 1) ELSE parts[-1] END AS inner_path FROM i)

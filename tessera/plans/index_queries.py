@@ -193,6 +193,13 @@ SQL = {
 f AS (SELECT path, string_split(path, '/') AS parts FROM l WHERE path NOT LIKE '%.Build.cs'), m AS (SELECT f.path, arg_max(name, length(folder)) AS name FROM f JOIN b ON starts_with(f.path, folder || '/') AND regexp_matches(folder, '/Source/') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) GROUP BY f.path)
 SELECT path, coalesce(name, CASE WHEN list_contains(parts, 'Source') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) THEN parts[len(parts) - list_position(list_reverse(parts), 'Source') + 3] ELSE 'Unknown' END) AS module FROM f LEFT JOIN m USING (path)""",
     "stored_chunk_text": f"WITH {FILES}, w AS (SELECT path, text, CASE WHEN length(text) <= 2000 THEN [0] ELSE list_filter(range(0, length(text), 1800), lambda s: s = 0 OR length(text) - s >= 300) END AS starts FROM files) SELECT path, (len(starts) - 1)::INT AS chunk_index, md5(substr(text, starts[-1] + 1, 2000)) AS md5 FROM w",
+    "index_progress": rf"""WITH {values("l", "line", [(x,) for x in PROGRESS])}, n AS (SELECT *, nullif(regexp_extract(line, '(\d+)/(\d+)', 1), '')::INT AS done, nullif(regexp_extract(line, '(\d+)/(\d+)', 2), '')::INT AS total,
+  nullif(regexp_extract(line, '(\d+(?:\.\d+)?)%', 1), '')::DOUBLE AS share, regexp_matches(line, 'Chunking|Processing') AS files, regexp_matches(line, 'Embedding|(?i:batch)') AS batch FROM l),
+k AS (SELECT *, CASE WHEN regexp_matches(line, 'Discovering|Finding') THEN 1 WHEN contains(line, 'Found') AND contains(line, 'files') THEN 2 WHEN files AND done IS NOT NULL THEN 3 WHEN files THEN 4 WHEN batch AND done IS NOT NULL THEN 5
+  WHEN batch AND share IS NOT NULL THEN 6 WHEN batch THEN 7 WHEN regexp_matches(line, 'Saving|Writing') THEN 8 WHEN regexp_matches(line, 'Complete|SUCCESS|Done') THEN 9 END AS step FROM n)
+SELECT line, CASE step WHEN 3 THEN trunc(CASE WHEN total > 0 THEN 10 + done / total * 20 ELSE 15 END) WHEN 5 THEN trunc(CASE WHEN total > 0 THEN 30 + done / total * 60 ELSE 60 END) WHEN 6 THEN trunc(30 + share * 0.6) ELSE [5, 10, 0, 20, 0, 0, 60, 95, 100][step] END::INT AS percent,
+  CASE step WHEN 1 THEN 'Discovering source files...' WHEN 2 THEN 'Discovered: ' || trim(line) WHEN 3 THEN printf('Processing files (%d/%d)...', done, total) WHEN 4 THEN 'Processing files...' WHEN 5 THEN printf('Generating embeddings (%d/%d)...', done, total)
+  WHEN 6 THEN printf('Generating embeddings (%.1f%%)...', share) WHEN 7 THEN 'Generating embeddings...' WHEN 8 THEN 'Saving vector store...' WHEN 9 THEN 'Complete!' END AS message FROM k""",
     "index_staleness": "SELECT built, (SELECT max(ts) FROM events) > made AS stale, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS newest FROM (VALUES ('before', TIMESTAMP '2020-01-01'), ('after', TIMESTAMP '2100-01-01')) AS t(built, made)",
     "re_enriched_chunks": f"""WITH {CODE_SQL}, e AS (SELECT path, substr(text, 1, 1500) AS t FROM code) SELECT path, 0 AS chunk_index, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\bstruct\\s+(?:\\w+_API\\s+)?([A-Z_]\\w+)', 1) || regexp_extract_all(t, '\\bclass\\s+(?:\\w+_API\\s+)?([UAI][A-Z]\\w+)', 1) || regexp_extract_all(t, '\\benum\\s+(?:class\\s+)?([A-Z_]\\w+)', 1))), ',') AS entities,
 regexp_matches(t, '\\bUCLASS\\s*\\(') AS has_uclass, regexp_matches(path, '\\.h$') AS is_header FROM e UNION ALL SELECT '/gone.h', i, '', false, false FROM (VALUES (0), (1)) AS g(i)""",

@@ -28,12 +28,19 @@ def chunk_overlap_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir).where(F.length("text") <= chunking.MAX_CHARS)
-    return reports.build_stats(chunking.window_chunks(f))
+    return reports.build_stats(chunking.window_chunks(files(spark, sf_dir)))
+
+
+#: The cap of the query, which leaves out some files of every table; that of an index is ``chunking.MAX_CHARS``.
+CAP = 6_000
+
+
+def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.over_cap(files(spark, sf_dir), CAP)
 
 
 def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.chunk_files(files(spark, sf_dir))
+    c = chunking.chunk_files(files(spark, sf_dir), most_chars=None)
     return c.select("doc_id", "chunk_index", "total_chunks", "chars", F.md5("chunk_text").alias("md5"))
 
 
@@ -163,7 +170,7 @@ g AS (SELECT page_id, url, regexp_replace(html, '<[^>]*>', ' ', 'g') AS page FRO
 s AS (SELECT query_id, question, page_id AS chunk_id, url, page, 1.0::DOUBLE / (page_id + 1) AS vector_score, CASE WHEN len(words) > 0 THEN len(list_intersect(words, there)) / len(words) ELSE 0 END AS r FROM k, v),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id)::INT AS rank FROM s)"""
 
-QUERIES = {f.__name__: f for f in (content_hash_dedup, char_window_chunks, chunk_overlap_lead, chunk_stats, structured_chunks, snippets, category_counts, extension_stats, index_previews, ext_filter, path_exclude, url_suffix_counts, lexical_rerank, answer_prompt, levenshtein_match, jaro_winkler_match, bigram_dice, compound_fuzzy, fuzzy_match, prefix_strip_match)}
+QUERIES = {f.__name__: f for f in (content_hash_dedup, char_window_chunks, chunk_overlap_lead, chunk_stats, size_cap, structured_chunks, snippets, category_counts, extension_stats, index_previews, ext_filter, path_exclude, url_suffix_counts, lexical_rerank, answer_prompt, levenshtein_match, jaro_winkler_match, bigram_dice, compound_fuzzy, fuzzy_match, prefix_strip_match)}
 _WINDOWS = """w AS (SELECT *, CASE WHEN length(text) <= 2000 THEN [0] ELSE list_filter(range(0, length(text), 1800), lambda s: s = 0 OR length(text) - s >= 300) END AS starts FROM files {where}),
 x AS (SELECT *, unnest(starts) AS s, unnest(range(len(starts))) AS i FROM w)"""
 SQL = {
@@ -172,7 +179,8 @@ SQL = {
     "chunk_overlap_lead": f"""WITH {FILES}, x AS (SELECT path, text, unnest(range(0, greatest(length(text), 1), 1000)) AS s FROM files),
 y AS (SELECT path, s, substr(text, s + 1, 1000) AS c FROM x), z AS (SELECT *, lead(c) OVER (PARTITION BY path ORDER BY s)[1:200] AS more FROM y),
 t AS (SELECT path, s, CASE WHEN length(c) + length(more) <= 1200 THEN c || more ELSE c END AS c FROM z) SELECT path, (s // 1000)::INT AS chunk_index, length(c)::INT AS chars, md5(c) AS md5 FROM t""",
-    "chunk_stats": f"WITH {FILES}, {_WINDOWS.format(where='WHERE length(text) <= 120000')} SELECT coalesce(origin, 'all') AS origin, count(DISTINCT path) AS files, count(*) AS chunks, count(*) AS new_chunks, sum(length(substr(text, s + 1, 2000)))::BIGINT AS chars FROM x GROUP BY ROLLUP (origin)",
+    "chunk_stats": f"WITH {FILES}, {_WINDOWS.format(where='')} SELECT coalesce(origin, 'all') AS origin, count(DISTINCT path) AS files, count(*) AS chunks, count(*) AS new_chunks, sum(length(substr(text, s + 1, 2000)))::BIGINT AS chars FROM x GROUP BY ROLLUP (origin)",
+    "size_cap": f"WITH {FILES} SELECT origin, count(*) AS files, count(*) FILTER (length(text) > {CAP}) AS over, coalesce(sum(length(text)) FILTER (length(text) > {CAP}), 0)::BIGINT AS chars_over FROM files GROUP BY origin",
     "snippets": f"WITH {FILES} SELECT doc_id, md5(substr(text, 1301, 1500)) AS md5 FROM files",
     "category_counts": f"WITH {FILES} SELECT CASE WHEN path LIKE '%.md' THEN 'doc' WHEN path LIKE '%.json' THEN 'data' ELSE 'code' END AS category, path LIKE '%.h' AS is_header, path LIKE '%.cpp' AS is_implementation, count(*) AS n FROM files GROUP BY 1, 2, 3",
     "extension_stats": f"WITH {FILES}, e AS (SELECT regexp_extract(path, '\\.[^.]+$') AS ext, octet_length(encode(text))::BIGINT AS bytes FROM files) SELECT ext, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM e GROUP BY ROLLUP (ext)",
