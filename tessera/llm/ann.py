@@ -268,7 +268,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sam
     v = vectors.where(is_valid_vector(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     v = cut(v.withColumn("row", F.monotonically_increasing_id()))
     out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    for r in v.where("is_query").select(F.size("vec").alias("dim")).distinct().orderBy("dim").toLocalIterator():
+    for r in sorted(v.where("is_query").select(F.size("vec").alias("dim")).distinct().collect()):  # a row for each length
         out = out.unionByName(_nearest(v.where(F.size("vec") == r.dim), r.dim, k, recall, sample, calibration, visits))
     return out
 

@@ -315,7 +315,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = L
     ok = is_valid_vector("vec")
     classes = cut(rows.where(ok).groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
     out = rows.where(~F.coalesce(ok, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    for r in classes.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").toLocalIterator():
+    for r in sorted(classes.groupBy(F.size("vec").alias("dim")).count().collect()):  # a row for each length
         mine = classes.where(F.size("vec") == r.dim)
         links, comps = _search(mine, r.dim, threshold, k, recall, sample, max_rounds, max_restarts) if r["count"] > 1 else (mine.where("false").select("cid", F.lit(0).cast("long").alias("linked")), mine.where("false").select("cid", F.col("cid").alias("component")))
         c = mine.join(links, "cid", "left").join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
