@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` written as Parquet below ``folder`` and read again: computed once, and read by columns."""
+    path = f"{folder}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Edges that one task contracts.
 EDGES = 100_000
 

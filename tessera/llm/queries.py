@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, langid, licenses, mixing, packing, simhash, tokens, url_filters
+from . import ann, chat, embed_dedup, kmeans, langid, licenses, mixing, packing, repair, simhash, suffix, tokens, url_filters
 from .common import table
 
 
@@ -59,13 +59,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filters, op3_language_id, op4_simhash, op5_embedding_dedup, op6_chat_format, op7_nearest, op8_packing, op9_mixing, op10_token_counts, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_url_filters, op3_language_id, op4_simhash, op5_embedding_dedup, op6_chat_format, op7_nearest, op8_packing, op9_mixing, op10_token_counts, op11_centroids, op12_suffix_dedup, op13_conversation_repair, pipeline)
+}
 
 
 def _components_sql(nodes: str, links: str) -> str:
@@ -91,4 +106,7 @@ SQL = {
     "op5_embedding_dedup": OP5_SQL,
     "op6_chat_format": chat.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_centroids": kmeans.ORACLE,
+    "op12_suffix_dedup": suffix.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
 }
