@@ -277,11 +277,13 @@ WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
 w AS (SELECT *, xor({crc}, 4294967295) % 20 AS what FROM k),
 d AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
              unnest(CASE WHEN what = 3 THEN [1, 2] ELSE [1] END) AS copy FROM w WHERE what <> 0),
-f AS (SELECT conv_id, turn, role, text, role[1] AS initial, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last,
-             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+f AS (SELECT conv_id, turn, role, text, role[1] AS initial, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM f),
 r AS (SELECT *, last = '' AS blank, last = '' OR again AS gone, (last NOT IN ('', '.', '!', '?') AND NOT again)::INT AS cut,
-             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS bad FROM f),
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS bad FROM g),
 p AS (SELECT conv_id, 0::BIGINT AS i, [{{'c': 0::BIGINT, 'a': '', 't': ''}}, NULL, NULL, NULL] AS s FROM r GROUP BY conv_id
       UNION ALL SELECT r.conv_id, r.i, [{step}] FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1),
 n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
