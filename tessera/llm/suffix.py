@@ -28,11 +28,11 @@ from .common import cut, remove_folder, shared_folder, stored
 LENGTH = 200
 SEED = 32
 #: Different segments of one anchor that are sorted in one task.
-MOST = 8192
-#: Segments that are sorted together, at least.
-BLOCK = 16_384
+MOST = 4096
+#: Segments that are sorted together, at least, and rows of a batch.
+BLOCK = 2048
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 16
 #: Odd multipliers modulo 2^64: the first makes anchors, the others compare suffixes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 U = np.uint64
@@ -322,7 +322,7 @@ CUT = "id binary, n_removed long, spans array<struct<start: long, stop: long>>,
 def removed(batches, length: int):
     """Texts with the starts of repeated strings -> the maximal runs of covered bytes, and the bytes that are left."""
     types = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
-    for batch in batches:
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         rows = []
         for name, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "found")), strict=True):
             data, spans = text.encode(), []
