@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -47,6 +48,12 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver's JVM collects its garbage, which one with much memory seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Edges that one task contracts.
 EDGES = 100_000
 

@@ -7,6 +7,8 @@ anchors, and the reversed prefixes that end there, are sorted: a mergesort whose
 prefix polynomial hashes. Each result is verified byte by byte and sorted again by another base if a hash collided. Two strings at the same
 distance from their anchors are equal if they are neighbours deep enough in both orders.
 
+Texts are shuffled once, compressed, into a table with buckets by text; whatever needs them again is sent to their buckets.
+
 Anchors that very many different segments share are split: the strings on each side of the anchor take a longer one, half of the missing
 bytes to the left or to the right, until few are together or the anchor is the whole string. So no group is ever held whole.
 """
@@ -16,14 +18,16 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from collections.abc import Callable
 from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove_folder, shared_folder, stored
+from .common import collect_garbage, cut, remove_folder, shared_folder, stored
 
 LENGTH = 200
 SEED = 32
@@ -120,13 +124,13 @@ def keys(batches, length: int, seed: int):
 
 
 #: ``parent`` and ``pos``: the text, or the segment one level up, and where in it the first string starts. ``starts`` strings; ``at``: the
-#: anchor's place from the first start; ``bytes``: null if this task has said them before.
-ROWS = "key long, seg binary, parent binary, pos long, starts int, at int, copies long, bytes binary"
+#: anchor's place from the first start; ``fresh``: this task hasn't said the segment before; ``bytes``: null where the parent is a text.
+ROWS = "key long, seg binary, parent binary, pos long, starts int, at int, copies long, fresh boolean, bytes binary"
 
 
 def to_rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [[]] * 8
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 9
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in ROWS.split(", ")])
 
 
@@ -135,10 +139,25 @@ def name_of(at: int, part: bytes) -> bytes:
     return hashlib.blake2b(part, digest_size=16, salt=at.to_bytes(8, "little")).digest()
 
 
+def compressed(batches):
+    """id and text -> id and the text compressed."""
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([z.compress(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())], names=["id", "z"])
+
+
+def texts_of(batches, rows: int = 256):
+    """Batches of few rows, with their texts' bytes in place of the compressed ones."""
+    z = zstandard.ZstdDecompressor()
+    for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+        at = batch.schema.get_field_index("z")
+        yield batch.set_column(at, "text", pa.array([z.decompress(x) for x in batch.column(at).to_pylist()], pa.binary()))
+
+
 def segments(batches, length: int, seed: int):
     """Texts with the keys that occur again -> the segments of those keys."""
     said: set[bytes] = set()
-    for batch in batches:
+    for batch in texts_of(batches):
         ids, copies = batch.column("id").to_pylist(), batch.column("copies").to_pylist()
         wanted = np.unique(batch.column("keys").flatten().to_numpy(zero_copy_only=False))
         for data, ends, row, shift in pieces(batch, length):
@@ -149,9 +168,8 @@ def segments(batches, length: int, seed: int):
             pos = start - ends[text] + np.where(text == 0, shift, 0)
             whole, rows = data.tobytes(), []
             for s, n, p, k, t, at in zip(start.tolist(), count.tolist(), place.tolist(), key.tolist(), text.tolist(), pos.tolist(), strict=True):
-                part = whole[s : s + n - 1 + length]
-                seg = name_of(p - s, part)
-                rows.append((k, seg, ids[row + t], at, n, p - s, copies[row + t], None if seg in said else part))
+                seg = name_of(p - s, whole[s : s + n - 1 + length])
+                rows.append((k, seg, ids[row + t], at, n, p - s, copies[row + t], seg not in said, None))
                 said.add(seg)
                 if len(rows) == BLOCK:
                     yield to_rows(rows)
@@ -170,10 +188,25 @@ def split(batches, length: int, seed: int):
                 if i < j:
                     sub = part[i : j - 1 + length]
                     key = int.from_bytes(hashlib.blake2b(part[a : a + seed + more], digest_size=8).digest(), "little", signed=True)
-                    rows.append((key, name_of(a - i, sub), seg, i, j - i, a - i, copies, sub))
+                    rows.append((key, name_of(a - i, sub), seg, i, j - i, a - i, copies, True, sub))
         yield to_rows(rows)
 
 
+MET = "key long, seg binary, starts int, at int, n long, m long, bytes binary"
+
+
+def fetched(batches, length: int):
+    """Texts with the segments wanted of each -> the segments with their bytes."""
+    names = [x.split()[0] for x in MET.split(", ")]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    for batch in texts_of(batches):
+        rows = []
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            rows += [(*(w[c] for c in names[:-1]), text[w["pos"] : w["pos"] + w["starts"] - 1 + length]) for w in wanted]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
 def extension(h: Prefix, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the common beginning of the suffixes at a and b, up to ``most``: binary search over prefix hashes."""
     low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
@@ -299,20 +332,23 @@ def sorted_ranges(batches, length: int):
         yield done(held)
 
 
-def ranges(rows: DataFrame, folder: str, length: int, seed: int, most: int, level: int = 0) -> DataFrame:
-    """(parent, start, stop): ranges of starts within a text, or within a segment one level up, whose strings occur again."""
+def ranges(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], folder: str, length: int, seed: int, most: int, level: int = 0) -> DataFrame:
+    """(parent, start, stop): ranges of starts within a text, or within a segment one level up, whose strings occur again. ``fetch`` adds the
+    bytes to segments."""
     counted = stored(rows.groupBy("key", "seg").agg(F.sum("copies").alias("n"), F.first("starts").alias("starts")), folder, f"counted-{level}")
     shared = counted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = rows.where("bytes is not null").select("key", "seg", "starts", "at", "bytes").join(counted.select("key", "seg", "n").join(shared, "key"), ["key", "seg"])
+    met = rows.where("fresh").drop("copies", "fresh").join(counted.select("key", "seg", "n").join(shared, "key"), ["key", "seg"]).dropDuplicates(["key", "seg"])
+    met = stored(met, folder, f"met-{level}")
+    collect_garbage(rows.sparkSession)
     last = seed >= length
-    few = (met if last else met.where(F.col("m") <= most)).drop("m").repartition("key").sortWithinPartitions("key", "seg").mapInArrow(partial(sorted_ranges, length=length), RANGES)
+    few = fetch(met if last else met.where(F.col("m") <= most)).repartition("key").sortWithinPartitions("key", "seg").mapInArrow(partial(sorted_ranges, length=length), RANGES)
     found = counted.where("n > 1").select("seg", F.lit(0).alias("start"), F.col("starts").alias("stop")).union(few)
-    if not last and (shared.agg(F.max("m")).first()[0] or 0) > most:
-        many = met.where(F.col("m") > most).dropDuplicates(["seg"])
-        below = stored(many.mapInArrow(partial(split, length=length, seed=seed), ROWS), folder, f"rows-{level + 1}")
-        lower = ranges(below, folder, length, seed + -(-(length - seed) // 2), most, level + 1)
+    if not last and (met.agg(F.max("m")).first()[0] or 0) > most:
+        below = stored(fetch(met.where(F.col("m") > most)).mapInArrow(partial(split, length=length, seed=seed), ROWS), folder, f"rows-{level + 1}")
+        lower = ranges(below, lambda x: x, folder, length, seed + -(-(length - seed) // 2), most, level + 1)
         found = found.union(lower.select(F.col("parent").alias("seg"), "start", "stop"))
     found = stored(found, folder, f"found-{level}")
+    collect_garbage(rows.sparkSession)
     return rows.select("seg", "parent", "pos").join(found, "seg").select("parent", (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("stop")).alias("stop"))
 
 
@@ -322,10 +358,10 @@ CUT = "id binary, n_removed long, spans array<struct<start: long, stop: long>>,
 def removed(batches, length: int):
     """Texts with the starts of repeated strings -> the maximal runs of covered bytes, and the bytes that are left."""
     types = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
-    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+    for batch in texts_of(batches):
         rows = []
-        for name, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "found")), strict=True):
-            data, spans = text.encode(), []
+        for name, data, found in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "found")), strict=True):
+            spans = []
             for r in sorted((r["start"], r["stop"] - 1 + length) for r in found):
                 if spans and r[0] <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], r[1])
@@ -343,47 +379,63 @@ def text_id(text) -> F.Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def find(docs: DataFrame, folder: str, length: int = LENGTH, seed: int = SEED, most: int = MOST) -> DataFrame:
-    """The texts of ``docs(text)`` that lose bytes, each once: id (``text_id``), n_removed, spans (runs of removed bytes, [start, stop)), kept
-    (the bytes that are left, which may cut a character). Intermediate tables are written to ``folder``, from which the result reads.
+class Found:
+    """The texts of ``docs(text)`` that lose bytes, each once: ``texts(id, n_removed, spans, kept)``; id as by ``text_id``, spans as runs of
+    removed bytes, [start, stop), kept the bytes that are left, which may cut a character. To be used in a with block, at whose end the tables that it reads go.
 
     A null text is empty. Copies of a text are one text that counts as often; a text that occurs twice loses every byte if it has ``length``
     of them. Shorter texts lose nothing. An empty table gives an empty one. Texts are hashed in pieces and segments are short, so very long
     texts need no more memory than their own row; a run of one character has a segment for each byte."""
-    texts = docs.select(F.coalesce(docs["text"], F.lit("")).alias("text")).where(F.octet_length("text") >= length).withColumn("id", text_id(F.col("text")))
-    size = dict(length=length, seed=seed)
-    k = stored(texts.mapInArrow(partial(keys, **size), "key long, id binary, c long"), folder, "keys")
-    again = k.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key")
-    wanted = k.select("key", "id").join(again, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    once = texts.groupBy("id").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    held = stored(once.join(wanted, "id"), folder, "texts")
-    rows = stored(held.mapInArrow(partial(segments, **size), ROWS), folder, "rows-0")
-    found = ranges(rows, folder, length, seed, most).groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    return held.select("id", "text").join(found, "id").mapInArrow(partial(removed, length=length), CUT)
-
 
-def _folder(docs: DataFrame) -> str:
-    return os.path.join(shared_folder(docs.sparkSession), f"suffixes-{uuid.uuid4().hex}")
+    def __init__(self, docs: DataFrame, length: int = LENGTH, seed: int = SEED, most: int = MOST):
+        self.spark = docs.sparkSession
+        name = f"suffixes_{uuid.uuid4().hex}"
+        self.folder, self.table = os.path.join(shared_folder(self.spark), name), name
+        texts = docs.select(F.coalesce(docs["text"], F.lit("")).alias("text")).where(F.octet_length("text") >= length).withColumn("id", text_id(F.col("text")))
+        size = dict(length=length, seed=seed)
+        k = stored(texts.mapInArrow(partial(keys, **size), "key long, id binary, c long"), self.folder, "keys")
+        again = k.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key")
+        wanted = stored(k.select("key", "id").join(again, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")), self.folder, "wanted")
+        remove_folder(self.spark, f"{self.folder}/keys")
+        collect_garbage(self.spark)
+        once = texts.mapInArrow(compressed, "id binary, z binary").groupBy("id").agg(F.first("z").alias("z"), F.count("*").alias("copies"))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        once.join(wanted, "id").write.bucketBy(buckets, "id").option("path", f"{self.folder}/texts").saveAsTable(name)
+        collect_garbage(self.spark)
+        held = self.spark.table(name)
+        rows = stored(held.mapInArrow(partial(segments, **size), ROWS), self.folder, "rows-0")
+
+        def fetch(met: DataFrame) -> DataFrame:
+            asked = met.groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("key", "seg", "starts", "at", "n", "m", "pos")).alias("wanted"))
+            return held.select("id", "z").join(asked, "id").mapInArrow(partial(fetched, length=length), MET)
+
+        found = ranges(rows, fetch, self.folder, length, seed, most).groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+        self.texts = held.select("id", "z").join(found, "id").mapInArrow(partial(removed, length=length), CUT)
+
+    def __enter__(self) -> DataFrame:
+        return self.texts
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE {self.table}")
+        remove_folder(self.spark, self.folder)
 
 
 def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     """``docs(doc_id, text, ...)`` with text_left (binary) and spans added: what is left of each text, and the runs that were removed
-    (empty: none). Rows and other columns stay as they are, whatever they hold; columns named like these two are replaced. See ``find``."""
-    folder = _folder(docs)
-    lost = cut(find(docs, folder, **how).select(F.col("id").alias("_id"), F.col("spans").alias("_spans"), "kept"))
-    remove_folder(docs.sparkSession, folder)
+    (empty: none). Rows and other columns stay as they are, whatever they hold; columns named like these two are replaced. See ``Found``."""
+    with Found(docs, **how) as texts:
+        lost = cut(texts.select(F.col("id").alias("_id"), F.col("spans").alias("_spans"), F.col("kept").alias("_kept")))
     text = F.coalesce(docs["text"], F.lit(""))
     both = docs.withColumn("_id", text_id(text)).join(lost, "_id", "left")
     none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
-    return both.withColumns({"text_left": F.coalesce("kept", text.cast("binary")), "spans": F.coalesce("_spans", none)}).drop("_id", "_spans", "kept")
+    return both.withColumns({"text_left": F.coalesce("_kept", text.cast("binary")), "spans": F.coalesce("_spans", none)}).drop("_id", "_spans", "_kept")
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:
-    """For each row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256. See ``find``. Texts themselves
+    """For each row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256. See ``Found``. Texts themselves
     aren't joined, so repeated doc_ids, null ones and other columns play no part."""
-    folder = _folder(docs)
-    lost = cut(find(docs, folder, **how).select("id", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
-    remove_folder(docs.sparkSession, folder)
+    with Found(docs, **how) as texts:
+        lost = cut(texts.select("id", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")).withColumn("id", F.unhex(F.substring("sha", 1, 32)))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
