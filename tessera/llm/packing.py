@@ -179,13 +179,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return at, offset, np.asarray(fill, np.int64)
 
 
-PACKED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "gap"]
+PACKED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "gap", "row"]
 
 
 def pack_partitions(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
-    """``rows`` dealt to ``parts`` partitions at random and packed in each; fill: of a piece's bin; gap: the bins
-    of its partition over the partition's lower bound. Only numbers are dealt, no texts."""
-    given = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    """``rows`` dealt to ``parts`` partitions by a hash of their own number, whatever ids they share, and packed in each; fill: of a
+    piece's bin; gap: the bins of its partition over the partition's lower bound. Only numbers are dealt, no texts."""
+    given = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
 
     def run(batches):
         from pyspark import TaskContext
@@ -197,16 +197,16 @@ def pack_partitions(rows: DataFrame, parts: int, turn: int, capacity: int) -> Da
         at, offset, fill = best_fit_decreasing(lengths, capacity)
         gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         seq = (turn << 56) + (TaskContext.get().partitionId() << 32) + at
-        cols = [*(t[c] for c in given), pa.array(seq), pa.array(offset), pa.array(fill[at]), pa.array(np.full(len(at), gap))]
+        cols = [*(t[c] for c in given[:5]), pa.array(seq), pa.array(offset), pa.array(fill[at]), pa.array(np.full(len(at), gap)), t["row"]]
         yield from pa.table(cols, names=PACKED).combine_chunks().to_batches(max_chunksize=10_000)
 
-    dealt = rows.select(given).repartition(parts, F.xxhash64("doc_id", "piece", F.lit(turn)))
-    return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long, gap long")
+    dealt = rows.select(given).repartition(parts, F.xxhash64("row", F.lit(turn)))
+    return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long, gap long, row long")
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
     """``rows`` of ``pieces`` with sequence_id and offset: no sequence over ``capacity``, no gaps in one."""
-    rows = cut(rows)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     n_bins = lambda df: df.agg(F.count_if(F.col("offset") == 0)).first()[0]
     parts = lambda n: max(1, -(-n // per_task))
     packed = cut(pack_partitions(rows, parts(rows.count()), 0, capacity))
