@@ -29,6 +29,10 @@ QUERIES = 8192
 FIRST = 8
 
 
+#: For products and squares that may overflow: what isn't a number is dealt with where it matters.
+quiet = np.errstate(over="ignore", invalid="ignore")
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal length as doubles."""
     n = len(column)
@@ -48,6 +52,7 @@ class Tree:
     def n_leaves(self) -> int:
         return sum(x >= 0 for x in self.leaf)
 
+    @quiet
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row: at each node the child with the nearest centre."""
         out, todo = np.empty(len(x), np.int32), [(0, np.arange(len(x)))]
@@ -61,9 +66,10 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any()]
         return out
 
+    @quiet
     def order(self, q: np.ndarray, visits: int) -> np.ndarray:
-        """The first ``visits`` leaves in best-bin-first order."""
-        promise = self.centres @ q + self.spread * float(np.sqrt(q @ q))
+        """The first ``visits`` leaves in best-bin-first order; a promise that overflows is the largest."""
+        promise = np.nan_to_num(self.centres @ q + self.spread * float(np.sqrt(q @ q)), nan=np.inf, posinf=np.inf, neginf=-np.inf)
         queue, found = [(-promise[0], 0)], []
         while queue and len(found) < visits:
             _, node = heapq.heappop(queue)
@@ -74,6 +80,7 @@ class Tree:
         return np.asarray(found, np.int32)
 
 
+@quiet
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """The group of each row."""
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -83,6 +90,7 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
 
 
+@quiet
 def fit(sample: np.ndarray, leaf_rows: int, branching: int = 16, seed: int = 5) -> Tree:
     """A tree over ``sample`` whose leaves have about ``leaf_rows`` rows of it at most."""
     rng = np.random.default_rng(seed)
@@ -113,16 +121,28 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+@quiet
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products, each summed in the same way wherever the row stands."""
-    return (x * q).sum(1)
-
-
-def top_rows(q: np.ndarray, row: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, scores) of the k best of ``row`` (the matrix product's scores, -inf: not a candidate)."""
-    n = int((row > -np.inf).sum())
-    edge = np.partition(row, len(row) - min(k, n))[len(row) - min(k, n)] if n else np.inf
-    at = np.flatnonzero((row >= edge - 1e-9 * max(1.0, abs(edge))) & (row > -np.inf)) if n else np.empty(0, int)
+    """Inner products, each summed in the same way wherever the row stands; one that overflows both ways is minus infinity."""
+    s = (x * q).sum(1)
+    return np.where(np.isnan(s), -np.inf, s)
+
+
+@quiet
+def slack(qs: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """By how much at most a matrix product of ``qs`` and ``x`` may differ from ``exact``; not finite where products may overflow."""
+    d = x.shape[1]
+    return 4 * d * np.finfo(float).eps * np.sqrt((qs * qs).sum(1))[:, None] * np.sqrt((x * x).sum(1)) + d * np.finfo(float).tiny
+
+
+@quiet
+def top_rows(q: np.ndarray, row: np.ndarray, off: np.ndarray, there: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the k best of ``row`` (the matrix product's scores, ``off`` by so much at most) that are ``there``."""
+    at = np.flatnonzero(there)
+    if len(at) > k:
+        low, high = row[at] - off[at], row[at] + off[at]
+        if np.isfinite(low).all() and np.isfinite(high).all():
+            at = at[high >= np.partition(low, len(low) - k)[len(low) - k]]
     s = exact(q, x[at])
     pick = best(ids[at], s, k)
     return at[pick], s[pick]
@@ -146,9 +166,10 @@ def calibrate(rows: DataFrame, queries: list, tree: Tree, k: int, target: float)
             for at in range(0, b.num_rows, BLOCK):
                 c = b.slice(at, BLOCK)
                 row, ids, x, leaf = c.column(0).to_numpy(), c.column(1).to_numpy(), matrix(c.column(2)), c.column(3).to_numpy()
-                s = qs @ x.T
+                with np.errstate(over="ignore", invalid="ignore"):
+                    s, off = qs @ x.T, slack(qs, x)
                 for j in range(len(qs)):
-                    pick, score = top_rows(qs[j], np.where(row == own[j], -np.inf, s[j]), ids, x, k)
+                    pick, score = top_rows(qs[j], s[j], off[j], row != own[j], ids, x, k)
                     mine = ids[pick], score, leaf[pick]
                     old = keep.get(j)
                     all_ = mine if old is None else tuple(np.concatenate(z) for z in zip(old, mine, strict=True))
@@ -239,10 +260,12 @@ def compare(asked: DataFrame, there: DataFrame, k: int) -> DataFrame:
             for at in range(0, len(q), 256):
                 part = q.iloc[at : at + 256]
                 qs = np.stack(part["qvec"].to_numpy())
-                s = qs @ x.T
+                with np.errstate(over="ignore", invalid="ignore"):
+                    s, off = qs @ x.T, slack(qs, x)
+                    high = s + off
                 for j, (own, leaves, floor) in enumerate(zip(part["q"], part["leaves"], part["floor"], strict=True)):
-                    there = np.isin(leaf, leaves) & (row != own) & (s[j] >= floor - 1e-9 * max(1.0, abs(floor)) if floor > -np.inf else True)
-                    pick, score = top_rows(qs[j], np.where(there, s[j], -np.inf), ids, x, k)
+                    there = np.isin(leaf, leaves) & (row != own) & ~(high[j] < floor)  # what isn't a number may reach it
+                    pick, score = top_rows(qs[j], s[j], off[j], there, ids, x, k)
                     found.append((np.full(len(pick), own), row[pick], ids[pick], score))
         cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], [], []]
         return pd.DataFrame({n: np.asarray(x, t) for n, x, t in zip(("q", "row", "id", "score"), cols, (np.int64, np.int64, np.int64, np.float64), strict=True)})
@@ -263,7 +286,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sam
     Vectors that are null, zero, or hold null or non-finite components take no part; nor do rows without id. A vector is compared
     with those of its own length, which have a tree of their own. Each row is a candidate, and a query if it is one: rows that share an id, or
     an id and a vector, stay apart, and a query's own row alone is left out. Ties go to the smaller id. Of rows with equal vectors only the k + 1
-    of smallest id can be among a query's k nearest, so copies beyond them aren't compared. Other columns are ignored; an empty table, or no
+    of smallest id can be among a query's k nearest, so copies beyond them aren't compared. A product beyond the doubles is infinite,
+    one that overflows both ways minus infinity. Other columns are ignored; an empty table, or no
     query, gives an empty result. With fewer than k candidates all are returned."""
     v = vectors.where(is_valid_vector(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     v = cut(v.withColumn("row", F.monotonically_increasing_id()))
