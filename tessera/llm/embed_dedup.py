@@ -47,6 +47,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def kind(df: DataFrame) -> str:
+    """The type of its vectors: as given, floats or doubles."""
+    return df.schema["vec"].dataType.simpleString()
+
+
 def edges_of(parts: list[tuple]) -> pa.RecordBatch:
     u, v, s = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["u", "v", "s"])
@@ -92,7 +97,7 @@ def random_orders(classes: DataFrame, seeds: list[int], k: int, dim: int, least:
             left = t.slice(at) if at < t.num_rows else None
 
     n = max(2, classes.sparkSession.sparkContext.defaultParallelism)
-    dealt = classes.select("cid", "vec").mapInArrow(place, "seed int, code double, cid long, vec array<float>")
+    dealt = classes.select("cid", "vec").mapInArrow(place, f"seed int, code double, cid long, vec {kind(classes)}")
     return dealt.repartitionByRange(n, "seed", "code", "cid").sortWithinPartitions("seed", "code", "cid").mapInArrow(compare, GRAPH)
 
 
@@ -158,12 +163,26 @@ def centres_of(members: DataFrame, most: int = 4096) -> DataFrame:
 
 
 def count_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """(cid, linked): how many vectors, copies counted, link to each class of ``members(component, cid, n, vec)``.
+    """(cid, linked): how many vectors, copies counted, link to each class of ``members(component, cid, n, vec)``. A component of up to a
+    BLOCK of classes is one matrix product; of larger ones:
 
     Vectors are dealt to rings by their angle to the component's centre, RINGS of them to the threshold's angle. By the triangle inequality all
     vectors of two rings link if their outer edges add up to less than that angle, and none do if they lie further apart than it; so a dense
     component is counted by its rings' sizes. Each pair of blocks of the other pairs of rings is one task's matrix product; the sums are all
     that leaves it."""
+    sized = cut(members.groupBy("component").agg(F.count("*").alias("classes")))
+    few = members.join(sized.where(F.col("classes") <= BLOCK), "component", "left_semi")
+
+    def all_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
+        linked = np.minimum(x @ x.T, 1.0) >= threshold
+        np.fill_diagonal(linked, False)
+        return pd.DataFrame({"cid": pdf["cid"], "linked": linked @ pdf["n"].to_numpy()})
+
+    small = few.select("component", "cid", "n", "vec").groupBy("component").applyInPandas(all_of, "cid long, linked long")
+    if not sized.where(F.col("classes") > BLOCK).limit(1).count():
+        return small
+    members = members.join(sized.where(F.col("classes") > BLOCK), "component", "left_semi")
     step = float(np.arccos(threshold)) / RINGS
 
     def rings(batches):
@@ -171,7 +190,7 @@ def count_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
             a = np.arccos(np.clip((unit(matrix(b.column("vec"))) * unit(matrix(b.column("centre")))).sum(1), -1.0, 1.0)) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "cid", "n", "vec")), pa.array((a / step).astype(np.int32))], names=["component", "cid", "n", "vec", "ring"])
 
-    m = cut(members.join(centres_of(members), "component").select("component", "cid", "n", "vec", "centre").mapInArrow(rings, "component long, cid long, n long, vec array<float>, ring int"))
+    m = cut(members.join(centres_of(members), "component").select("component", "cid", "n", "vec", "centre").mapInArrow(rings, f"component long, cid long, n long, vec {kind(members)}, ring int"))
     sizes = cut(m.groupBy("component", "ring").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
     other = sizes.select("component", F.col("ring").alias("o"), F.col("total").alias("o_total"), F.col("parts").alias("o_parts"))
     pairs = sizes.join(other, "component")
@@ -199,7 +218,7 @@ def count_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"cid": cid, "linked": total})
 
     in_blocks = dealt.groupBy("component", "ir", "ib", "jr", "jb").applyInPandas(count, "cid long, linked long")
-    return by_rings.unionByName(in_blocks).groupBy("cid").agg(F.sum("linked").alias("linked"))
+    return by_rings.unionByName(in_blocks).groupBy("cid").agg(F.sum("linked").alias("linked")).unionByName(small)
 
 
 def neighbours(members: DataFrame, threshold: float) -> DataFrame:
@@ -214,7 +233,7 @@ def neighbours(members: DataFrame, threshold: float) -> DataFrame:
             a = np.arccos(np.clip((unit(matrix(b.column("vec"))) * unit(matrix(b.column("centre")))).sum(1), -1.0, 1.0)) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a, pa.float64())], names=[*b.schema.names, "angle"])
 
-    radii = members.select("component", "vec").join(centres, "component").mapInArrow(angles, "component long, vec array<float>, centre array<float>, angle double")
+    radii = members.select("component", "vec").join(centres, "component").mapInArrow(angles, f"component long, vec {kind(members)}, centre {kind(members)}, angle double")
     balls = cut(radii.groupBy("component").agg(F.max("angle").alias("radius")).join(centres, "component"))
     blocks = -(-balls.count() // BLOCK)
     dealt = balls.withColumn("b", F.pmod(F.xxhash64("component"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -233,7 +252,7 @@ def neighbours(members: DataFrame, threshold: float) -> DataFrame:
     ways = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("component"), F.col("b").alias("other")).unionByName(pairs.select("a", "b", F.lit(1).alias("side"), F.col("b").alias("component"), F.col("a").alias("other")))
     ways = ways.join(balls.withColumnRenamed("component", "other"), "other").select("a", "b", "side", "component", "radius", "centre")
     sent = members.join(ways, "component").select("a", "b", "side", "cid", "n", "radius", "vec", "centre")
-    sent = sent.mapInArrow(angles, "a long, b long, side int, cid long, n long, radius double, vec array<float>, centre array<float>, angle double")
+    sent = sent.mapInArrow(angles, f"a long, b long, side int, cid long, n long, radius double, vec {kind(members)}, centre {kind(members)}, angle double")
     return sent.where(F.col("angle") <= F.col("radius") + reach).select("a", "b", "side", "cid", "n", "vec")
 
 
@@ -311,7 +330,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = L
     length being searched by itself. Vectors that are null, zero, or hold null or non-finite components link with nothing: 0 links, their own
     component, kept. So do vectors with none near. Repeated rows link like other copies; a null id is null in component_id unless its component
     has another, and is kept only if it hasn't. Other columns are ignored; an empty table gives an empty one."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    floats = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if floats else "array<double>").alias("vec"))
     ok = is_valid_vector("vec")
     classes = cut(rows.where(ok).groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
     out = rows.where(~F.coalesce(ok, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
