@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 LETTERS = regex.compile(r"\p{L}+")
 SEGMENT = 64
+#: Numbers in the products of steps that segments hold at once.
+MESSAGES = 1 << 22
+#: Numbers in the messages of the training sequences that are worked on at once.
+AT_ONCE = 1 << 21
 
 
 def words_of(text: str) -> list[str]:
@@ -133,20 +137,39 @@ def marginals(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarr
     es = e[at]
     into, back = np.full((len(doc), k), 1 / k), np.full((len(doc), k), 1 / k)
     if (n_seg > 1).any():
-        whole = np.repeat(np.eye(k)[None], len(doc), 0)
         many = np.flatnonzero(n_seg[doc] > 1)
-        m = whole[many]
-        for t in range(SEGMENT):
-            y = (m @ moves) * es[many, t, None]
-            m = np.where(mask[many, t, None, None], y / y.sum((1, 2), keepdims=True), m)
-        whole[many] = m
+        if len(many) * k * k <= MESSAGES:
+            whole = np.repeat(np.eye(k)[None], len(doc), 0)
+            m = whole[many]
+            for t in range(SEGMENT):
+                y = (m @ moves) * es[many, t, None]
+                m = np.where(mask[many, t, None, None], y / y.sum((1, 2), keepdims=True), m)
+            whole[many] = m
+            ahead = lambda seg: np.einsum("sk,skl->sl", into[seg], whole[seg])
+            behind = lambda seg: np.einsum("skl,sl->sk", whole[seg], back[seg])
+        else:  # so many languages that a word at a time takes less
+
+            def ahead(seg: np.ndarray) -> np.ndarray:
+                x = into[seg]
+                for t in range(SEGMENT):
+                    y = (x @ moves) * es[seg, t]
+                    x = y / y.sum(1, keepdims=True)
+                return x
+
+            def behind(seg: np.ndarray) -> np.ndarray:
+                x = back[seg]
+                for t in range(SEGMENT - 1, -1, -1):
+                    y = (x * es[seg, t]) @ moves.T
+                    x = np.where(mask[seg, t, None], y / y.sum(1, keepdims=True), x)
+                return x
+
         for j in range(1, n_seg.max()):
             seg = first_seg[n_seg > j] + j
-            x = np.einsum("sk,skl->sl", into[seg - 1], whole[seg - 1])
+            x = ahead(seg - 1)
             into[seg] = x / x.sum(1, keepdims=True)
         for j in range(n_seg.max() - 1, 0, -1):
             seg = first_seg[n_seg > j] + j
-            x = np.einsum("skl,sl->sk", whole[seg], back[seg])
+            x = behind(seg)
             back[seg - 1] = x / x.sum(1, keepdims=True)
     a, b = steps(es, mask, moves, into, back)
     p = (a * b)[mask]
@@ -185,23 +208,36 @@ def train(samples: list[tuple[str, list[str]]], rounds: int = 60, seed: int = 7,
     scores, moves = model.weights, np.zeros((k, k))
     params = [scores, moves]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    one_hot = np.eye(k)[np.maximum(gold, 0)] * mask[..., None]
-    flat_first = np.full((len(words), k), 1 / k)
+    n_words = mask.sum()
+    by_gold = np.zeros((len(vocabulary), k), np.float32)
+    np.add.at(by_gold, (words[mask], gold[mask]), 1)
+    seen = np.zeros((k, k))
+    np.add.at(seen, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
+    part = max(1, AT_ONCE // (length * k))
     for r in range(1, rounds + 1):
-        per_word = np.stack([np.bincount(owner, scores[flat, j], len(vocabulary)) for j in range(k)], 1)
-        x = per_word[words]
-        e, go = np.exp(x - x.max(2, keepdims=True)), softmax(moves)
-        a, b = steps(e, mask, go, flat_first, flat_first)
-        p = a * b
-        p /= p.sum(2, keepdims=True)
-        left = (p * mask[..., None] - one_hot) / mask.sum()
-        by_word = np.stack([np.bincount(words.ravel(), left[..., j].ravel(), len(vocabulary)) for j in range(k)], 1)
-        g_scores = np.stack([np.bincount(flat, by_word[owner, j], len(scores)) for j in range(k)], 1) + 1e-7 * scores
-        pair = a[:, :-1, :, None] * go * (e * b)[:, 1:, None, :] * mask[:, 1:, None, None]
-        pair /= np.maximum(pair.sum((2, 3), keepdims=True), 1e-300)
-        seen = np.einsum("stk,stl->kl", one_hot[:, :-1], one_hot[:, 1:])
-        expected = (pair * mask[:, 1:, None, None]).sum((0, 1))
-        g = (expected - seen) / mask.sum()
+        per_word = np.empty((len(vocabulary), k), np.float32)
+        for j in range(k):
+            per_word[:, j] = np.bincount(owner, scores[flat, j], len(vocabulary))
+        go, expected, by_word = softmax(moves), np.zeros((k, k)), -by_gold
+        for at in range(0, len(words), part):  # the gradient is a sum over sequences
+            w, m = words[at : at + part], mask[at : at + part]
+            x = per_word[w].astype(np.float64)
+            e = np.exp(x - x.max(2, keepdims=True))
+            first = np.full((len(w), k), 1 / k)
+            a, b = steps(e, m, go, first, first)
+            p = a * b
+            p /= p.sum(2, keepdims=True)
+            np.add.at(by_word, w[m], p[m].astype(np.float32))
+            # of each move between neighbours: a's share, the move, what follows, over their sum
+            after = (e * b)[:, 1:].reshape(-1, k)
+            before = a[:, :-1].reshape(-1, k)
+            total = ((before @ go) * after).sum(1)
+            before = before * (m[:, 1:].ravel() / np.maximum(total, 1e-300))[:, None]
+            expected += go * (before.T @ after)
+        g_scores = 1e-7 * scores
+        for j in range(k):
+            g_scores[:, j] += np.bincount(flat, by_word[owner, j], len(scores)) / n_words
+        g = (expected - seen) / n_words
         g_moves = g - go * g.sum(1, keepdims=True)
         for i, grad in enumerate((g_scores, g_moves)):
             m1[i] = 0.9 * m1[i] + 0.1 * grad
@@ -217,10 +253,10 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, per_lang: int = 300, window: int = 48, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def learn(docs: DataFrame, per_lang: int = 300, window: int = 48, most_langs: int = 200, most_docs: int = 12_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from a bounded sample: about ``per_lang`` different documents, never more than 1.2 times that, of each of the up to
-    ``most_langs`` languages with most of them (ties by name), ``window`` words of each from a place that its id fixes. A language
-    that has a document has one in the sample. Documents that are held out, or have no id, language or text, are never looked at."""
+    ``most_langs`` languages with most of them (ties by name), ``window`` words of each from a place that its id fixes. ``per_lang`` is less where
+    languages have more than ``most_docs`` together. A language beyond ``most_langs`` is never predicted. A language that has a document has one in the sample. Documents that are held out, or have no id, language or text, are never looked at."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & ~is_held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # A document is in the sample by a hash of its id and text, with the odds that its language needs; that of the smallest hash is always.
@@ -229,6 +265,7 @@ def learn(docs: DataFrame, per_lang: int = 300, window: int = 48, most_langs: in
     langs = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     if not langs:
         return train([])
+    per_lang = max(1, min(per_lang, most_docs // len(langs)))
     edge = F.create_map(*(F.lit(x) for r in langs for x in (r.lang, max(r.least, int(1.1 * per_lang / max(r.n, 1) * span)))))
     picked = rows.where(F.col("h") <= F.try_element_at(edge, "lang"))
 
@@ -250,7 +287,7 @@ class Scores:
     """exp of words' scores by a model, kept for up to ``most`` words."""
 
     def __init__(self, model: Model, most: int = 150_000):
-        self.model, self.most = model, most
+        self.model, self.most = model, min(most, 8 * most // max(1, len(model.langs)))
         self.clear()
 
     def clear(self) -> None:
