@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -474,3 +475,44 @@ def test_capped_source_is_not_chosen_from(spark):
     given = [(i, "a b" if i % 2 else " ", "en", "s") for i in range(10)] + [(100 + i, "a b c", "en", s) for i in range(40) for s in "tu"]
     got = {r.doc_id: (r.target, r.copies) for r in mixing.mix(docs(spark, given)).where("doc_id < 100").collect()}
     assert got == {i: (20.0, 2 if i % 2 else 0) for i in range(10)}
+
+
+def test_pieces_of_one_id_are_dealt_to_all_tasks(spark):
+    """A third, or all, of the pieces may share an id or have none."""
+    for one in (F.lit(7).cast("long"), F.lit(None).cast("long")):
+        rows = spark.range(20_000).select(one.alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (1 + F.col("id") % 2048).alias("length"), F.lit(1).cast("long").alias("ids_crc32"), F.col("id").alias("row"))
+        got = packing.pack_partitions(rows, 20, 0, 2048)
+        sizes = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32).alias("part")).count().collect()]
+        assert sum(sizes) == 20_000 and len(sizes) == 20 and max(sizes) < 1500
+        packed = packing.pack(rows.drop("row"), 2048, 1000)
+        bins = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        assert bins[0] <= 2048 and bins[1] == sum(1 + i % 2048 for i in range(20_000))
+
+
+def test_training_is_bounded_in_memory():
+    """Sixty languages, really trained, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from tessera.llm import langid
+rnd = random.Random(1)
+letters = "abcdefghijklmnopqrstuvwxyz"
+langs = {f"l{k:02d}": ["".join(rnd.choices(letters, k=2)) for _ in range(12)] for k in range(60)}
+samples = [(x, ["".join(rnd.choices(parts, k=rnd.randint(1, 4))) for _ in range(48)]) for x, parts in langs.items() for _ in range(60)]
+model = langid.train(samples, rounds=12)
+right = sum(model.langs[int(p.mean(0).argmax())] == x for (x, _), (n, p) in zip(samples[::7], langid.label([" ".join(ws) for _, ws in samples[::7]], model)))
+print(right / len(samples[::7]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert float(out[0]) > 0.95 and float(out[1]) < 2000
+
+
+def test_messages_word_by_word_are_those_of_products(monkeypatch):
+    rng = np.random.default_rng(9)
+    moves, lengths = langid.softmax(rng.normal(size=(5, 5))), np.asarray([3, 700, 64, 0, 129, 65])
+    e = np.exp(rng.normal(size=(lengths.sum(), 5)))
+    by_products = langid.marginals(e, lengths, moves)
+    monkeypatch.setattr(langid, "MESSAGES", 0)
+    assert np.allclose(by_products, langid.marginals(e, lengths, moves), atol=1e-12)

@@ -359,3 +359,59 @@ def test_pipeline(spark, sf_dir):
     assert Counter(map(key, again)) == Counter(map(key, packed))
     for d in held:
         d.unpersist()
+
+
+def test_double_vectors_keep_their_digits(spark):
+    """Pairs a hair under the threshold don't link, a hair over it they do; copies at the ends of the range link."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(200):
+        a = rng.normal(size=16)
+        b = rng.normal(size=16)
+        a, b = a / np.linalg.norm(a), b - (b @ a) / (a @ a) * a
+        c = 0.95 + (1e-9 if i % 2 else -1e-9)
+        rows += [(2 * i, a * 3), (2 * i + 1, c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b))]
+    ends = [(1000, [1e200, 1e199]), (1001, [1e200, 1e199]), (1002, [1e-60, 1e-60]), (1003, [1e-60, 1e-60]), (1004, [-1e-60, 1e-60])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows + ends], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == (1, 2 * i) if i % 2 else got[2 * i] == (0, 2 * i) for i in range(200))
+    assert [got[i] for i in range(1000, 1005)] == [(1, 1000), (1, 1000), (1, 1002), (1, 1002), (0, 1004)]
+
+
+def test_a_dense_component_is_sent_once(spark, monkeypatch):
+    """Up to a block of classes it is one product: no rings, each vector once."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=16) + rng.normal(size=(200, 16)) * 0.05
+    members = spark.createDataFrame([(1, i, 1, v.tolist()) for i, v in enumerate(x)], "component long, cid long, n long, vec array<double>")
+    monkeypatch.setattr(embed_dedup, "centres_of", lambda m: pytest.fail("a small component has rings"))
+    got = {r.cid: r.linked for r in embed_dedup.count_in_blocks(members, 0.95).collect()}
+    u = embed_dedup.unit(x)
+    assert [got[i] for i in range(200)] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+
+def plain_nearest(rows, queries, k):
+    def product(q, v):
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = float((np.array(q) * np.array(v)).sum())
+        return -np.inf if np.isnan(s) else s
+
+    out = []
+    for i in queries:
+        q = dict(rows)[i]
+        found = sorted((-product(q, v), j) for j, v in rows if j != i)[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["large", "both ways", "cancelling"])
+def test_nearest_of_large_values(spark, kind):
+    rng = np.random.default_rng(5)
+    if kind == "large":
+        rows = [(i, [1e200, float(i)]) for i in range(30)]
+    elif kind == "both ways":
+        rows = [(i, [1e200 * (-1) ** i, 1e200 * (-1) ** (i // 2)]) for i in range(30)]
+    else:  # long vectors whose products cancel: a winner by little is still the winner
+        rows = [(i, [1e8, 1e8 * (1 if i == 0 else -1), float(x)]) for i, x in enumerate(rng.normal(size=60))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 10 == 0, visits=1000).collect()
+    assert sorted(map(tuple, got)) == plain_nearest(rows, [i for i, _ in rows if i % 10 == 0], 20)
