@@ -89,7 +89,7 @@ def batch_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.createDataFrame(list(enumerate(LINES)), "query_id long, value string")
-    out = hybrid.run_batch(sources.parse_batch(lines), hybrid.Index.build(code(spark, sf_dir)).kept())
+    out = hybrid.run_batch(sources.parse_batch(lines), hybrid.Index.build(code(spark, sf_dir), most_chars=None).kept())
     return out.groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -160,8 +160,8 @@ def index_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def re_enriched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored chunks of all files, two of a file that is gone."""
-    stored = code(spark, sf_dir).select("path").withColumn("chunk_index", F.lit(0)).union(spark.createDataFrame([("/gone.h", 0), ("/gone.h", 1)], "path string, chunk_index int"))
+    """All stored chunks of all files, two of a file that is gone."""
+    stored = chunking.chunk_files(code(spark, sf_dir), structure=False, most_chars=None).select("path", "chunk_index").union(spark.createDataFrame([("/gone.h", 0), ("/gone.h", 1)], "path string, chunk_index int"))
     r = enrich.re_enrich(stored, code(spark, sf_dir))
     return r.select("path", "chunk_index", F.array_join("entities", ",").alias("entities"), "has_uclass", "is_header")
 
@@ -201,7 +201,8 @@ SELECT line, CASE step WHEN 3 THEN trunc(CASE WHEN total > 0 THEN 10 + done / to
   CASE step WHEN 1 THEN 'Discovering source files...' WHEN 2 THEN 'Discovered: ' || trim(line) WHEN 3 THEN printf('Processing files (%d/%d)...', done, total) WHEN 4 THEN 'Processing files...' WHEN 5 THEN printf('Generating embeddings (%d/%d)...', done, total)
   WHEN 6 THEN printf('Generating embeddings (%.1f%%)...', share) WHEN 7 THEN 'Generating embeddings...' WHEN 8 THEN 'Saving vector store...' WHEN 9 THEN 'Complete!' END AS message FROM k""",
     "index_staleness": "SELECT built, (SELECT max(ts) FROM events) > made AS stale, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS newest FROM (VALUES ('before', TIMESTAMP '2020-01-01'), ('after', TIMESTAMP '2100-01-01')) AS t(built, made)",
-    "re_enriched_chunks": f"""WITH {CODE_SQL}, e AS (SELECT path, substr(text, 1, 1500) AS t FROM code) SELECT path, 0 AS chunk_index, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\bstruct\\s+(?:\\w+_API\\s+)?([A-Z_]\\w+)', 1) || regexp_extract_all(t, '\\bclass\\s+(?:\\w+_API\\s+)?([UAI][A-Z]\\w+)', 1) || regexp_extract_all(t, '\\benum\\s+(?:class\\s+)?([A-Z_]\\w+)', 1))), ',') AS entities,
+    "re_enriched_chunks": f"""WITH {CODE_SQL}, w AS (SELECT path, text, unnest(CASE WHEN length(text) <= 1500 THEN [0] ELSE list_filter(range(0, length(text), 1300), lambda s: s = 0 OR length(text) - s >= 300) END) AS spot FROM code),
+e AS (SELECT path, (spot // 1300)::INT AS chunk_index, substr(text, spot + 1, 1500) AS t FROM w) SELECT path, chunk_index, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\bstruct\\s+(?:\\w+_API\\s+)?([A-Z_]\\w+)', 1) || regexp_extract_all(t, '\\bclass\\s+(?:\\w+_API\\s+)?([UAI][A-Z]\\w+)', 1) || regexp_extract_all(t, '\\benum\\s+(?:class\\s+)?([A-Z_]\\w+)', 1))), ',') AS entities,
 regexp_matches(t, '\\bUCLASS\\s*\\(') AS has_uclass, regexp_matches(path, '\\.h$') AS is_header FROM e UNION ALL SELECT '/gone.h', i, '', false, false FROM (VALUES (0), (1)) AS g(i)""",
     "first_kind_definition": rf"""WITH {CODE_SQL}, k(no, kind, p) AS (VALUES (1, 'struct', '(USTRUCT\s*\([^)]*\)\s*)?struct\s+(\w+_API\s+)?FHitInfo\s*(:[^{{;]*)?\{{'), (2, 'class', '(UCLASS\s*\([^)]*\)\s*)?class\s+(\w+_API\s+)?FHitInfo\s*(:[^{{;]*)?\{{'), (3, 'enum', '(UENUM\s*\([^)]*\)\s*)?enum\s+(class\s+)?FHitInfo\s*(:[^{{;]*)?\{{')),
 f AS (SELECT path, no, kind, position(regexp_extract(text, p) IN text) AS spot, text FROM code, k WHERE regexp_matches(text, p))

@@ -312,3 +312,33 @@ def test_whole_texts_are_embedded(spark):
         most_tokens = 512
 
     assert not any(embed.embed(rows.where("i = 1"), Short()).first().embedding)
+
+
+@pytest.fixture(scope="module")
+def with_long_text(spark, sf_dir, tmp_path_factory):
+    """A folder of test tables in which one document, a .cpp file, has 130,000 characters; its last word is its own."""
+    top = tmp_path_factory.mktemp("long")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = docs.where("source LIKE '%1'").limit(1).withColumns({"doc_id": F.lit(10**6), "text": F.concat(F.repeat(F.lit("a b c d e\n"), 13_000), F.lit("\nstruct FLast { int32 X; };"))})
+    docs.limit(30).unionByName(long).write.parquet(str(top / "documents.parquet"))
+    return str(top)
+
+
+@pytest.mark.parametrize(("module", "name"), [("code_queries", "hybrid_answers"), ("code_queries", "format_outputs"), ("index_queries", "batch_status")])
+def test_registered_queries_keep_long_texts(spark, with_long_text, monkeypatch, module, name):
+    seen = []
+    build = hybrid.Index.build.__func__
+    monkeypatch.setattr(hybrid.Index, "build", classmethod(lambda cls, *a, **k: seen.append(build(cls, *a, **k)) or seen[0]))
+    from tessera.plans import registry
+
+    registry.QUERIES[name](spark, with_long_text)
+    ends = seen[0].chunks.where("path LIKE '%1000000.%'").agg(F.max("chunk_index"), F.max(F.array_contains("entities", "FLast"))).first()
+    assert ends[0] > 60 and ends[1]
+    spark.catalog.clearCache()
+
+
+def test_all_chunks_are_enriched_again(spark, with_long_text):
+    from tessera.plans import registry
+
+    rows = registry.QUERIES["re_enriched_chunks"](spark, with_long_text).where("path LIKE '%1000000.%'").orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in rows] == list(range(len(rows))) and len(rows) > 95 and "FLast" in rows[-1].entities
