@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, definitions, embed, enrich, incremental, reports
+from ..operators.filters import DOC_EXTENSIONS, EXTENSIONS
 from ..sources import files as sources
+from ..sources import tree
+from ..sources.shared import scratch, settled
 from . import hybrid
 from .fixtures import CODE_SQL, FILES, code, files, table, values
 
@@ -171,7 +174,24 @@ def first_kind_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return definitions.first_kind(d, F.lit("FHitInfo")).select("file_path", "entity_type", "line_start")
 
 
-QUERIES = {f.__name__: f for f in (module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress)}
+#: Where ignore files stand in the tree of documents, by the path of their folder, and what they say.
+IGNORES = [("", "# tops\nIntermediate/\n*7.json\n"), ("%1", "de\n[0-3]*.cpp\n"), ("%2/en", "1*\n*5.h\n\n")]
+
+
+def ignored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as files of a tree with nested ignore files, and what a walk of it finds."""
+    f = files(spark, sf_dir).select("path", "text")
+    folders = f.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))).alias("folder")).distinct()
+    rules = [folders.where(F.col("folder").like(at) & (F.size(F.split("folder", "/")) == len(at.split("/")))).select(F.ltrim(F.concat("folder", F.lit("/" + tree.IGNORE_FILE)), F.lit("/")).alias("path"), F.lit(text).alias("text")) for at, text in IGNORES]
+    with scratch(spark, "tree") as top:
+        for part in (f, *rules):
+            tree.write_tree(part, top)
+        found = tree.walk(spark, {"docs": [top]}, (*EXTENSIONS, *DOC_EXTENSIONS))
+        inner = F.substring_index(F.substring("path", F.length(F.regexp_replace(F.lit(top), "^file:/*", "/")) + 2, F.lit(10**6)), "/", -3)
+        return settled(found.select(inner.alias("path"), "origin", "ext", "category", "bytes", F.col("n_chars").cast("long"), "sha256"))
+
+
+QUERIES = {f.__name__: f for f in (ignored_tree, module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress)}
 
 _NEW = FILES + ", new AS (SELECT doc_id, path, origin, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS text FROM files WHERE doc_id % 7 <> 3 UNION ALL " + " UNION ALL ".join(f"SELECT {i}, '{p}', 'engine', 'new text'" for i, p in MORE) + ")"
 
@@ -189,6 +209,9 @@ b AS (SELECT query_id::BIGINT AS query_id, good, CASE WHEN good THEN coalesce(va
              CASE WHEN good THEN coalesce(value->>'scope', 'engine') END AS scope, CASE WHEN good THEN value->>'filter' END AS filter FROM j)"""
 
 SQL = {
+    "ignored_tree": rf"""WITH {FILES}, p AS (SELECT path, replace(text, chr(13) || chr(10), chr(10)) AS text, strlen(text) AS bytes, string_split(path, '/') AS s FROM files),
+k AS (SELECT * FROM p WHERE NOT (s[3] GLOB '*7.json') AND NOT (s[1] LIKE '%1' AND (s[2] = 'de' OR s[3] GLOB '[0-3]*.cpp')) AND NOT (s[1] LIKE '%2' AND s[2] = 'en' AND (s[3] GLOB '1*' OR s[3] GLOB '*5.h')))
+SELECT path, 'docs' AS origin, '.' || string_split(path, '.')[-1] AS ext, CASE string_split(path, '.')[-1] WHEN 'md' THEN 'doc' WHEN 'json' THEN 'data' ELSE 'code' END AS category, bytes::BIGINT AS bytes, length(text)::BIGINT AS n_chars, sha256(text) AS sha256 FROM k""",
     "module_build_files": f"""WITH {values("l", "path", LISTED)}, b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([^/]*)\\.Build\\.cs$', 1) AS name FROM l WHERE path LIKE '%.Build.cs'),
 f AS (SELECT path, string_split(path, '/') AS parts FROM l WHERE path NOT LIKE '%.Build.cs'), m AS (SELECT f.path, arg_max(name, length(folder)) AS name FROM f JOIN b ON starts_with(f.path, folder || '/') AND regexp_matches(folder, '/Source/') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) GROUP BY f.path)
 SELECT path, coalesce(name, CASE WHEN list_contains(parts, 'Source') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) THEN parts[len(parts) - list_position(list_reverse(parts), 'Source') + 3] ELSE 'Unknown' END) AS module FROM f LEFT JOIN m USING (path)""",
