@@ -10,6 +10,7 @@ from ..operators.filters import DOC_EXTENSIONS, EXTENSIONS
 from ..sources import files as sources
 from ..sources import tree
 from ..sources.shared import scratch, settled
+from ..sources.snapshots import Store
 from . import hybrid
 from .fixtures import CODE_SQL, FILES, code, files, table, values
 
@@ -191,7 +192,27 @@ def ignored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         return settled(found.select(inner.alias("path"), "origin", "ext", "category", "bytes", F.col("n_chars").cast("long"), "sha256"))
 
 
-QUERIES = {f.__name__: f for f in (ignored_tree, module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress)}
+def _window_chunks(files: DataFrame) -> DataFrame:
+    return chunking.window_chunks(files, 1500).select("path", "origin", "chunk_index", "chunk_text")
+
+
+def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents committed to a store, a tenth of them edited and a seventh gone in a second commit; both snapshots, read back by scope."""
+    old, new = _old_and_new(spark, sf_dir)
+    with scratch(spark, "store") as top:
+        store = Store(spark, top)
+        for f in (old, new):
+            store.commit(f.drop("doc_id"), _window_chunks)
+        rows = [store.read(scope, snapshot).select(F.lit(scope).alias("scope"), F.lit(snapshot).alias("snapshot"), "path", "chunk_index", "version", F.md5("chunk_text").alias("md5")) for scope in ("engine", "project") for snapshot in (1, 2)]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
+        out = settled(out)
+        store.forget()
+        return out
+
+
+QUERIES = {f.__name__: f for f in (ignored_tree, store_snapshots, module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress)}
 
 _NEW = FILES + ", new AS (SELECT doc_id, path, origin, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS text FROM files WHERE doc_id % 7 <> 3 UNION ALL " + " UNION ALL ".join(f"SELECT {i}, '{p}', 'engine', 'new text'" for i, p in MORE) + ")"
 
@@ -209,6 +230,10 @@ b AS (SELECT query_id::BIGINT AS query_id, good, CASE WHEN good THEN coalesce(va
              CASE WHEN good THEN coalesce(value->>'scope', 'engine') END AS scope, CASE WHEN good THEN value->>'filter' END AS filter FROM j)"""
 
 SQL = {
+    "store_snapshots": f"""WITH {_NEW}, s AS (SELECT 1 AS snapshot, path, origin, text, 1 AS version FROM files
+UNION ALL SELECT 2, n.path, n.origin, n.text, CASE WHEN f.text IS NOT DISTINCT FROM n.text THEN 1 ELSE 2 END FROM new n LEFT JOIN files f ON n.path = f.path),
+w AS (SELECT *, unnest(CASE WHEN length(text) <= 1500 THEN [0] ELSE list_filter(range(0, length(text), 1300), lambda s: s = 0 OR length(text) - s >= 300) END) AS spot FROM s)
+SELECT origin AS scope, snapshot, path, (spot // 1300)::INT AS chunk_index, version, md5(substr(text, spot + 1, 1500)) AS md5 FROM w""",
     "ignored_tree": rf"""WITH {FILES}, p AS (SELECT path, replace(text, chr(13) || chr(10), chr(10)) AS text, strlen(text) AS bytes, string_split(path, '/') AS s FROM files),
 k AS (SELECT * FROM p WHERE NOT (s[3] GLOB '*7.json') AND NOT (s[1] LIKE '%1' AND (s[2] = 'de' OR s[3] GLOB '[0-3]*.cpp')) AND NOT (s[1] LIKE '%2' AND s[2] = 'en' AND (s[3] GLOB '1*' OR s[3] GLOB '*5.h')))
 SELECT path, 'docs' AS origin, '.' || string_split(path, '.')[-1] AS ext, CASE string_split(path, '.')[-1] WHEN 'md' THEN 'doc' WHEN 'json' THEN 'data' ELSE 'code' END AS category, bytes::BIGINT AS bytes, length(text)::BIGINT AS n_chars, sha256(text) AS sha256 FROM k""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import files as sources
 from tessera.sources import tree
+from tessera.sources.snapshots import Store
 
 
 def make(top, files):
@@ -68,3 +69,81 @@ def test_written_tree_is_read_again(spark, tmp_path):
     got = {os.path.relpath(r.path, tmp_path): r.text for r in tree.walk(spark, {"e": [f"file://{tmp_path}"]}).collect()}
     assert got == {p: t or "" for p, t in rows} and not list(tmp_path.rglob("*.part"))
     assert tree.walk(spark, {"e": [str(tmp_path)]}).groupBy(F.spark_partition_id()).count().count() == 3
+
+
+def store_files(spark, rows):
+    return spark.createDataFrame(rows, "path string, origin string, text string")
+
+
+def by_words(files):
+    return files.select("path", "origin", F.posexplode(F.split("text", " ")).alias("chunk_index", "chunk_text"))
+
+
+def texts(df):
+    return sorted((r.path, r.version, r.chunk_text) for r in df.collect())
+
+
+def test_snapshots(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), buckets=5)
+    assert store.current() == 0 and store.manifest() is None and store.listing().count() == 0
+    with pytest.raises(ValueError):
+        store.read()
+    one = [("a", "engine", "x y"), ("b", "engine", "z"), ("c", "project", "w"), ("d", None, ""), (None, "engine", "no path"), ("a", "engine", "x y")]
+    assert store.commit(store_files(spark, one), by_words).states == {"added": 4}
+    assert texts(store.read()) == [("a", 1, "x"), ("a", 1, "y"), ("b", 1, "z"), ("c", 1, "w"), ("d", 1, "")]
+    two = [("a", "engine", "x y"), ("b", "engine", "zz"), ("c", "engine", "w"), ("e", "project", "new")]
+    assert store.commit(store_files(spark, two), by_words).states == {"unchanged": 1, "edited": 2, "deleted": 1, "added": 1}
+    assert texts(store.read()) == [("a", 1, "x"), ("a", 1, "y"), ("b", 2, "zz"), ("c", 2, "w"), ("e", 2, "new")]
+    assert texts(store.read("project")) == [("e", 2, "new")] and texts(store.read("project", 1)) == [("c", 1, "w")]
+    # a reader in another session's place sees the same
+    assert texts(Store(spark, str(tmp_path / "store")).read(version=1)) == [("a", 1, "x"), ("a", 1, "y"), ("b", 1, "z"), ("c", 1, "w"), ("d", 1, "")]
+    assert store.commit(store_files(spark, two), by_words).states == {"unchanged": 4}
+    assert store.expire(1) == [] and texts(store.read()) == [("a", 1, "x"), ("a", 1, "y"), ("b", 2, "zz"), ("c", 2, "w"), ("e", 2, "new")]
+    with pytest.raises(ValueError):
+        store.read(version=1)
+    store.commit(store_files(spark, [("q", "engine", "all new")]), by_words)
+    assert store.expire(1) == [1, 2, 3] and texts(store.read()) == [("q", 4, "all"), ("q", 4, "new")]
+    store.forget()
+
+
+def test_a_failed_run_leaves_the_snapshot(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=3)
+    rows = [(f"p{i}", "engine", str(i)) for i in range(150)]
+    store.commit(store_files(spark, rows), by_words)
+    before = texts(store.read())
+
+    def breaks(files):
+        return by_words(files).withColumn("chunk_text", F.when(F.col("path") == "p7", F.raise_error(F.lit("lost"))).otherwise(F.col("chunk_text")))
+
+    changed = store_files(spark, [(p, o, t + "!") for p, o, t in rows])
+    with pytest.raises(Exception, match="lost"):
+        store.commit(changed, breaks)
+    with pytest.raises(RuntimeError, match="engine"):
+        store.commit(store_files(spark, [("x", "project", "y")]), by_words)
+    with pytest.raises(ValueError, match="columns"):
+        store.commit(changed, lambda f: by_words(f).withColumn("more", F.lit(1)))
+    assert store.current() == 1 and texts(store.read()) == before
+    assert store.commit(changed, by_words).states == {"edited": 150}  # what the failed runs left is gone
+    assert texts(store.read()) == sorted((p, 2, t + "!") for p, _, t in rows)
+    store.forget()
+
+
+@pytest.mark.parametrize("buckets", [3, 4, 16])
+def test_the_store_is_not_shuffled(spark, tmp_path, buckets):
+    """Neither to read a snapshot nor to compare a new run with it, whatever the number of shuffle partitions; a scope reads its folders alone."""
+    store = Store(spark, str(tmp_path), buckets)
+    rows = store_files(spark, [(f"p{i}", "engine" if i % 2 else "project", str(i)) for i in range(40)])
+    store.commit(rows, by_words)
+    store.commit(rows.where("path <> 'p3'"), by_words)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = plan(store.read("engine"))
+        assert "Exchange" not in read and read.count(f"SelectedBucketsCount: {buckets} out of {buckets}") >= 2 and "/origin=project" not in read
+        probe = plan(store.changes(rows.select("path", "origin", F.sha2("text", 256).alias("sha256"))))
+        new, _, stored = probe.partition("FileScan parquet")
+        assert new.count("Exchange") == 1 and "Exchange" not in stored and f"SelectedBucketsCount: {buckets} out of {buckets}" in stored
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        store.forget()
