@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import include_of, module_by_place
-from ..functions.similarity import match_quality, may_match
+from ..functions.similarity import match_quality
+from .similar import similar
 
 # How definitions start: behind blanks of their own line, so that line numbers are those of the line that they or their macro stand in.
 # The group "name" is the entity's.
@@ -110,16 +111,13 @@ def look_up(defs: DataFrame, wanted: DataFrame, fuzzy: bool = True) -> DataFrame
     """Definitions for ``wanted(query_id, name, kind, scope)`` with match_quality: of the kind that is asked for (a function
     may be a delegate), in scope, one for each file and line, the best match first, ties by path and line.
 
-    Distinct names are compared, each kind with its own, and only those that match are joined with their definitions.
-    Questions are few next to names; they are broadcast up to a checked number, else Spark picks the join."""
+    Distinct names meet by an index (``similar``), each kind with its own, and only those that match are joined with their definitions."""
     kinds = F.when(F.col("entity_type") == "delegate", "function").otherwise(F.col("entity_type"))
     names = defs.select(F.col("entity_name"), kinds.alias("kind")).distinct()
-    asked = wanted.select("name", "kind").distinct()
-    if asked.limit(10_001).count() <= 10_000:
-        asked = F.broadcast(asked)
-    # Both sides carry the kind, an equal key; inside a kind it is the similarity that decides, after a bound that needs no Python.
-    can = may_match(F.col("name"), F.col("entity_name")) if fuzzy else F.lit(True)
-    close = names.join(asked, "kind").where(can).withColumn("match_quality", match_quality(F.col("name"), F.col("entity_name"), fuzzy)).where("match_quality > 0")
+    if fuzzy:
+        close = similar(wanted, names, ["kind"])
+    else:
+        close = names.join(wanted.select("name", "kind").distinct(), "kind").withColumn("match_quality", match_quality(F.col("name"), F.col("entity_name"), False)).where("match_quality > 0")
     hits = wanted.join(close, ["name", "kind"]).join(defs.withColumn("kind", kinds), ["entity_name", "kind"])
     hits = hits.where((F.col("scope") == "all") | ((F.col("scope") == "engine") == (F.col("origin") == "engine")))
     once = Window.partitionBy("query_id", "file_path", "line_start").orderBy(F.desc("match_quality"), "name", "entity_type", "entity_name")

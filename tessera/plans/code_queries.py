@@ -9,6 +9,7 @@ from ..functions import naming
 from ..operators import definitions, enrich, filters, formats, intent, relations, reports
 from . import hybrid
 from .fixtures import CODE_SQL, QUESTIONS_SQL, code, questions, table, values
+from .text_queries import _compound
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,11 @@ def definition_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("entity_type IN ('struct', 'class', 'enum')").select("file_path", "entity_type", "entity_name", "line_start")
 
 
+def definition_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where definitions of all kinds start, functions and delegates too."""
+    return definitions.definitions(code(spark, sf_dir)).select("file_path", "entity_type", "entity_name", "line_start")
+
+
 WANTED = [(0, "FHitInfo", "struct", "all"), (1, "HitInfo", "struct", "engine"), (2, "AThing", "class", "engine"), (3, "UWheelComp", "class", "project"), (4, "Use", "function", "all"), (5, "FOnHit", "function", "all"), (6, "EChannel", "enum", "engine"), (7, "FPlain", "struct", "engine")]
 
 
@@ -145,7 +151,7 @@ def format_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.explode(kinds).alias("format", "rendered"))
 
 
-QUERIES = {f.__name__: f for f in (entity_extract, macro_flags, entity_frequency_top10, entity_mentions, include_dependencies, inheritance_edges, composition_edges, include_edges, reachable_entities, definition_extract, definition_starts, definition_lookup, relationship_tree, module_include, path_subsumption, version_match, intent_route, query_expand, relationship_entity, related_entities, hybrid_answers, format_outputs)}
+QUERIES = {f.__name__: f for f in (entity_extract, macro_flags, entity_frequency_top10, entity_mentions, include_dependencies, inheritance_edges, composition_edges, include_edges, reachable_entities, definition_extract, definition_starts, definition_kinds, definition_lookup, relationship_tree, module_include, path_subsumption, version_match, intent_route, query_expand, relationship_entity, related_entities, hybrid_answers, format_outputs)}
 
 _ASKED = f"""{QUESTIONS_SQL}, asked AS (SELECT query_id::BIGINT AS query_id, question FROM questions UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations WHERE role = 'user'
 UNION ALL SELECT item_id + 500000, text FROM benchmark)"""
@@ -206,7 +212,34 @@ SELECT query_id, CASE step WHEN 0 THEN 'unknown' WHEN 1 THEN 'definition' WHEN 2
   [0.0, 0.95, 0.9, 0.85, 0.75, 0.9, 0.8, 0.5][step + 1]::DOUBLE AS confidence, CASE WHEN step = 4 OR step = 7 AND entity IS NOT NULL THEN more ELSE q END AS enhanced_query, step = 6 AS is_file_search FROM f"""
 _SYNONYMS = "syn(k, vs) AS (VALUES " + ", ".join(f"('{k}', {_list(vs)})" for k, vs in intent.SYNONYMS.items()) + ")"
 
+#: Starts of all five kinds: each line of a file with what follows it, and the pattern of each kind there.
+_STARTS = r"""k(kind, macro, body) AS (VALUES ('struct', 'USTRUCT', 'struct\s+(?:\w+_API\s+)?([A-Z_]\w*)\s*(?::\s*public\s+\w+)?\s*\{'), ('class', 'UCLASS', 'class\s+(?:\w+_API\s+)?([UAI][A-Z]\w*)\s*(?::\s*public\s+[\w\s,]+)?\s*\{'),
+  ('enum', 'UENUM', 'enum\s+(?:class\s+)?([A-Z_]\w*)\s*(?::\s*\w+)?\s*\{'), ('function', 'UFUNCTION', '(?:virtual\s+)?(?:static\s+)?(?:inline\s+)?[\w:<>,\*&][\w:<>,\*& \t]*[ \t]+\*?&?(\w+)\s*\('), ('delegate', '', 'DECLARE_\w+_DELEGATE[^(\n]*\(\s*(\w+)\s*,')),
+l AS (SELECT path, origin, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM code),
+o AS (SELECT path, origin, text, no, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot FROM l QUALIFY contains(line, '(') OR contains(line, '{') OR regexp_matches(line, 'struct|class|enum|USTRUCT|UCLASS|UENUM|UFUNCTION')),
+m AS (SELECT path, origin, kind, macro, no, text[1:spot] AS before, text[spot + 1:spot + 4000] AS after, '^[ \t]*' || CASE WHEN macro = '' THEN '' ELSE '(?:' || macro || '\s*\([^)]*\)\s*)?' END || body AS pattern FROM o, k),
+starts AS (SELECT path AS file_path, origin, kind AS entity_type, no::INT AS line_start, regexp_extract(after, pattern, 1) AS entity_name, regexp_extract(after, pattern) AS head FROM m WHERE regexp_matches(after, pattern) AND (macro = '' OR NOT regexp_matches(before, macro || '\s*\([^)]*\)\s*$'))),
+w AS (SELECT *, string_split_regex(trim(regexp_replace(head, '\w+\s*\($', '')), '\s+') AS words FROM starts),
+defs AS (SELECT file_path, origin, entity_type, line_start, entity_name FROM w WHERE entity_type <> 'function' OR entity_name NOT IN ('if', 'for', 'while', 'switch', 'return', 'else', 'new', 'delete', 'case', 'do')
+  AND trim(words[-1], '*&') NOT IN ('if', 'for', 'while', 'switch', 'return', 'else', 'new', 'delete', 'case', 'do'))"""
+
+
+def _lookup_sql() -> str:
+    """All names of a kind against all names asked."""
+    bare = lambda x: f"CASE WHEN regexp_matches({x}, '^[FUAIE]\\p{{Lu}}') THEN {x}[2:] ELSE {x} END"
+    return f"""WITH {CODE_SQL}, {_STARTS}, {values("wanted", "query_id, name, kind, scope", WANTED)},
+n AS (SELECT DISTINCT entity_name, CASE WHEN entity_type = 'delegate' THEN 'function' ELSE entity_type END AS kind FROM defs),
+x AS (SELECT DISTINCT name, n.kind, entity_name, {bare("name")} AS qs, {bare("entity_name")} AS cs FROM n JOIN wanted USING (kind)),
+y AS (SELECT name, kind, entity_name, CASE WHEN lower(name) = lower(entity_name) THEN 1 WHEN lower(qs) = lower(cs) THEN 0.9::DOUBLE ELSE greatest({_compound("name", "entity_name")}, {_compound("qs", "cs")}) END AS q FROM x),
+z AS (SELECT query_id, file_path, line_start, entity_type, y.entity_name, y.name, q FROM wanted JOIN y USING (name, kind) JOIN defs d ON d.entity_name = y.entity_name AND CASE WHEN d.entity_type = 'delegate' THEN 'function' ELSE d.entity_type END = y.kind
+      WHERE q > 0.4 AND (scope = 'all' OR (scope = 'engine') = (origin = 'engine'))),
+u AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY query_id, file_path, line_start ORDER BY q DESC, name, entity_type, entity_name) = 1)
+SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY q DESC, file_path, line_start)::INT AS rank, file_path, line_start, entity_name, round(q, 6)::DOUBLE AS match_quality FROM u"""
+
+
 SQL = {
+    "definition_lookup": _lookup_sql(),
+    "definition_kinds": f"WITH {CODE_SQL}, {_STARTS} SELECT file_path, entity_type, entity_name, line_start FROM defs",
     "entity_extract": f"WITH {CODE_SQL}, {_ENTITIES} SELECT path, array_to_string(entities, ',') AS entities, array_to_string((CASE WHEN len(c) > 0 THEN ['class'] ELSE [] END) || (CASE WHEN len(n) > 0 THEN ['enum'] ELSE [] END) || (CASE WHEN len(s) > 0 THEN ['struct'] ELSE [] END), ',') AS entity_types FROM d",
     "macro_flags": f"WITH {CODE_SQL} SELECT path, " + ", ".join(rf"regexp_matches(text, '\b{m.upper()}\s*\(') AS has_{m}" for m in enrich.MACROS) + r", regexp_matches(lower(path), '\.h(pp)?$') AS is_header, regexp_matches(lower(path), '\.(cpp|c|cc|m|mm)$') AS is_implementation FROM code",
     "entity_frequency_top10": f"WITH {CODE_SQL}, {_ENTITIES}, u AS (SELECT unnest(entities) AS entity FROM d) SELECT entity, count(*) AS n FROM u GROUP BY entity ORDER BY n DESC, entity LIMIT 10",
