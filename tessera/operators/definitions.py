@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import include_of, module_by_place
 from ..functions.similarity import match_quality
-from .similar import similar
+from .similar import MOST_ASKED, forms, similar
 
 # How definitions start: behind blanks of their own line, so that line numbers are those of the line that they or their macro stand in.
 # The group "name" is the entity's.
@@ -107,17 +107,27 @@ def definitions(files: DataFrame) -> DataFrame:
     return found.withColumns({"module": module_by_place(path), "include": include_of(path)})
 
 
-def look_up(defs: DataFrame, wanted: DataFrame, fuzzy: bool = True) -> DataFrame:
+def kind_asked() -> Column:
+    """The kind that a definition is looked up by."""
+    return F.when(F.col("entity_type") == "delegate", "function").otherwise(F.col("entity_type"))
+
+
+def names_of(defs: DataFrame) -> DataFrame:
+    """The distinct names of ``defs`` by kind, as look-ups compare them."""
+    return forms(defs.select("entity_name", kind_asked().alias("kind")).where("entity_name IS NOT NULL").distinct(), "entity_name")
+
+
+def look_up(defs: DataFrame, wanted: DataFrame, fuzzy: bool = True, names: DataFrame | None = None, most_asked: int | None = MOST_ASKED) -> DataFrame:
     """Definitions for ``wanted(query_id, name, kind, scope)`` with match_quality: of the kind that is asked for (a function
     may be a delegate), in scope, one for each file and line, the best match first, ties by path and line.
 
-    Distinct names meet by an index (``similar``), each kind with its own, and only those that match are joined with their definitions."""
-    kinds = F.when(F.col("entity_type") == "delegate", "function").otherwise(F.col("entity_type"))
-    names = defs.select(F.col("entity_name"), kinds.alias("kind")).distinct()
+    Distinct names meet by an index (``similar``), each kind with its own, and only those that match are joined with their definitions. ``names`` is
+    ``names_of(defs)`` where it was made before."""
+    kinds = kind_asked()
     if fuzzy:
-        close = similar(wanted, names, ["kind"])
+        close = similar(wanted, names_of(defs) if names is None else names, ["kind"], most_asked)
     else:
-        close = names.join(wanted.select("name", "kind").distinct(), "kind").withColumn("match_quality", match_quality(F.col("name"), F.col("entity_name"), False)).where("match_quality > 0")
+        close = defs.select(F.col("entity_name"), kinds.alias("kind")).distinct().join(wanted.select("name", "kind").distinct(), "kind").withColumn("match_quality", match_quality(F.col("name"), F.col("entity_name"), False)).where("match_quality > 0")
     hits = wanted.join(close, ["name", "kind"]).join(defs.withColumn("kind", kinds), ["entity_name", "kind"])
     hits = hits.where((F.col("scope") == "all") | ((F.col("scope") == "engine") == (F.col("origin") == "engine")))
     once = Window.partitionBy("query_id", "file_path", "line_start").orderBy(F.desc("match_quality"), "name", "entity_type", "entity_name")

@@ -46,29 +46,33 @@ def cut_for_model(text: Column, most_tokens: int = 512) -> Column:
     return F.substring(text, 1, (most_tokens - 10) * 4)
 
 
+def encoded(enc: Encoder, texts: list[str], batch: int = 512) -> np.ndarray:
+    """Vectors of ``texts``. A batch that fails is tried again in halves, so a bad text among n costs about 2 log n calls; batches after it are half as large as
+    the one that failed, as what fails by size fails again. A text that fails alone has a zero vector, which the store's audit reports."""
+    out, size = np.zeros((len(texts), enc.dim), np.float32), max(1, batch)
+    at = 0
+    while at < len(texts):
+        todo, failed = [(at, min(at + size, len(texts)))], False
+        at = todo[0][1]
+        while todo:
+            a, b = todo.pop()
+            try:
+                out[a:b] = enc.encode(texts[a:b])
+            except (RuntimeError, ValueError):
+                failed = True
+                if b - a > 1:
+                    todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+        size = max(1, size // 2) if failed else size
+    return out
+
+
 def embed(rows: DataFrame, encoder: Encoder | None = None, text: str = "chunk_text", out: str = "embedding", batch: int = 512) -> DataFrame:
-    """``rows`` with the unit vectors of a text column, a batch at a time. An encoder that fails on a batch is asked for each text
-    alone; a text that fails then has a zero vector, which the store's audit reports. Null texts are empty."""
+    """``rows`` with the unit vectors of a text column, a batch at a time (``encoded``). Null texts are empty."""
     enc = encoder or HashEncoder()
 
-    def one_by_one(texts: list[str]) -> np.ndarray:
-        made = np.zeros((len(texts), enc.dim), np.float32)
-        for i, t in enumerate(texts):
-            try:
-                made[i] = enc.encode([t])[0]
-            except (RuntimeError, ValueError):  # zero: the audit counts it
-                pass
-        return made
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            given, vectors = texts.fillna("").tolist(), []
-            for at in range(0, len(given), batch):
-                part = given[at : at + batch]
-                try:
-                    vectors.extend(enc.encode(part))
-                except (RuntimeError, ValueError):
-                    vectors.extend(one_by_one(part))
+            vectors = encoded(enc, texts.fillna("").tolist(), batch)
             yield pd.Series([np.asarray(v, np.float32) for v in vectors], dtype=object)
 
     vector = F.pandas_udf(run, "array<float>")

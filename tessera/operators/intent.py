@@ -27,7 +27,18 @@ INSIGNIFICANT = ["the", "what", "where", "find", "show", "file"]
 KIND_WORDS = {"struct": ["struct", "UPROPERTY", "fields"], "class": ["class", "UCLASS", "UFUNCTION"], "enum": ["enum", "UENUM"], "function": ["function", "UFUNCTION"]}
 HINTS = [("struct", ["member", "field", "propert"], "members"), ("class", ["method", "function"], "methods"), ("enum", ["value"], "values"), ("function", ["param", "arg"], "parameters"), ("function", ["return"], "returns")]
 
-INTENT = "struct<type: string, entity_type: string, entity_name: string, confidence: double, enhanced_query: string, is_file_search: boolean>"
+# Why a question is taken as it is; %s are the entity's kind and name, or its name and the kind of keyword.
+REASONS = {
+    "explicit": "Explicit definition query detected: %s %s",
+    "function": "Function definition query detected: %s",
+    "bare": "Bare entity name detected: %s %s",
+    "hybrid": "Detected entity '%s' with %s keywords, using hybrid search",
+    "conceptual": "Conceptual question detected, using semantic search",
+    "file": "File/Location query detected",
+    "default": "No strong indicators, defaulting to semantic search",
+}
+
+INTENT = "struct<type: string, entity_type: string, entity_name: string, confidence: double, enhanced_query: string, is_file_search: boolean, reasoning: string>"
 
 
 def words(text: Column) -> Column:
@@ -86,19 +97,20 @@ def intent(question: Column) -> Column:
     bare = (F.size(significant) <= 2) & ~F.exists(significant, lambda w: F.array_contains(list_of(DEFINITION), F.lower(w)))
     enhanced = F.when(entity.isNotNull(), enhance(q, entity, kind)).otherwise(q)
 
-    def made(type_: str, entity_type: Column, entity_name: Column, confidence: float, text: Column = q, is_file: bool = False) -> Column:
-        return F.struct(F.lit(type_).alias("type"), entity_type.alias("entity_type"), entity_name.alias("entity_name"), F.lit(confidence).alias("confidence"), text.alias("enhanced_query"), F.lit(is_file).alias("is_file_search")).cast(INTENT)
+    def made(type_: str, entity_type: Column, entity_name: Column, confidence: float, reason: Column, text: Column = q, is_file: bool = False) -> Column:
+        return F.struct(F.lit(type_).alias("type"), entity_type.alias("entity_type"), entity_name.alias("entity_name"), F.lit(confidence).alias("confidence"), text.alias("enhanced_query"), F.lit(is_file).alias("is_file_search"), reason.alias("reasoning")).cast(INTENT)
 
     none = F.lit(None).cast("string")
+    why = lambda reason, *parts: F.format_string(REASONS[reason], *parts) if parts else F.lit(REASONS[reason])
     return (
-        F.when(q.isNull() | (F.trim(F.regexp_replace(q, r"(?U)\s+", " ")) == ""), made("unknown", none, none, 0.0))
-        .when(name.isNotNull(), made("definition", explicit_kind, name, 0.95))
-        .when(function.isNotNull(), made("definition", F.lit("function"), function, 0.9))
-        .when(entity.isNotNull() & ~conceptual & bare, made("definition", kind, entity, 0.85))
-        .when(entity.isNotNull() & ~conceptual & (by_definition | by_file), made("hybrid", kind, entity, 0.75, enhanced))
-        .when(conceptual, made("semantic", none, none, 0.9))
-        .when(by_file, made("semantic", none, none, 0.8, q, True))
-        .otherwise(made("semantic", none, none, 0.5, enhanced))
+        F.when(q.isNull() | (F.trim(F.regexp_replace(q, r"(?U)\s+", " ")) == ""), made("unknown", none, none, 0.0, none))
+        .when(name.isNotNull(), made("definition", explicit_kind, name, 0.95, why("explicit", explicit_kind, name)))
+        .when(function.isNotNull(), made("definition", F.lit("function"), function, 0.9, why("function", function)))
+        .when(entity.isNotNull() & ~conceptual & bare, made("definition", kind, entity, 0.85, why("bare", kind, entity)))
+        .when(entity.isNotNull() & ~conceptual & (by_definition | by_file), made("hybrid", kind, entity, 0.75, why("hybrid", entity, F.when(by_file, "file").otherwise("definition")), enhanced))
+        .when(conceptual, made("semantic", none, none, 0.9, why("conceptual")))
+        .when(by_file, made("semantic", none, none, 0.8, why("file"), q, True))
+        .otherwise(made("semantic", none, none, 0.5, why("default"), enhanced))
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 # Where parents, members and includes stand in code.
 PARENTS = r"(?:class|struct)\s+(?:\w+_API\s+)?(\w+)\s*:\s*(.+?)\s*\{"
 MARKED_MEMBER = r"UPROPERTY\([^)]*\)\s+([A-Z]\w+(?:<[^>]+>)?(?:\*)*)\s+(\w+)\s*;"
@@ -69,11 +71,15 @@ def edges(graphs: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def reachable(all_edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
-    """(root, node, hops): what each of ``roots(root)`` leads to in at most ``depth`` hops, by the shortest way. One equi-join
-    a hop, from the nodes that the last hop found first."""
-    e = all_edges.select("src", "dst").distinct()
-    seen = front = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops"))
+def reachable(all_edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, node, hops): what each of ``roots(root)`` leads to, by the shortest way, itself included; with ``depth`` in at most so many hops. One equi-join
+    a hop up to a ``depth``, from the nodes that the last hop found first. Without one, ways are doubled: after n rounds those of up to 2^n hops are known, so a chain
+    of a thousand takes ten rounds, and it ends with the first that finds nothing, cycles or not. Its tables are kept in the shared folder."""
+    e = all_edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    start = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct()
+    if depth is None:
+        return _doubled(e, start)
+    seen = front = start
     for hop in range(1, depth + 1):
         step = front.join(e, front["node"] == e["src"]).select("root", F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
         front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
@@ -81,6 +87,22 @@ def reachable(all_edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFra
     return seen
 
 
+def _doubled(e: DataFrame, start: DataFrame) -> DataFrame:
+    """``far`` has what is up to 2^n hops from a root, ``ways`` what is up to 2^n hops from any node; both are joined with ``ways``."""
+    shortest = lambda df, key: df.groupBy(key, "node").agg(F.min("hops").alias("hops"))
+    size = lambda df: tuple(df.agg(F.count("*"), F.sum("hops")).first())
+    far, ways = settled(start), settled(e.where("src <> dst").select("src", F.col("dst").alias("node"), F.lit(1).alias("hops")))
+    last = size(far)
+    while True:
+        step = ways.select(F.col("src").alias("__via"), F.col("node").alias("__to"), F.col("hops").alias("__more"))
+        longer = lambda df, key: df.join(step, F.col("node") == F.col("__via")).select(key, F.col("__to").alias("node"), (F.col("hops") + F.col("__more")).alias("hops"))  # noqa: E731, B023
+        far = settled(shortest(far.union(longer(far, "root")), "root"))
+        now = size(far)
+        if now == last:
+            return far
+        ways, last = settled(shortest(ways.union(longer(ways, "src").where("src <> node")), "src")), now
+
+
 def tree(g: DataFrame) -> DataFrame:
     """``g`` with its relationships drawn as text."""
     line = lambda m: F.concat(F.lit("|   +-- "), m["type"], F.lit(" "), m["name"], F.when(m["macro"].isNotNull(), F.concat(F.lit(" ("), m["macro"], F.lit(")"))).otherwise(""), F.when(m["is_component"], " [Component]").otherwise(""))

@@ -75,10 +75,10 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, tie: str = "ch
 MOST_QUESTIONS = 2_000
 
 
-def with_questions(chunks: DataFrame, questions: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
+def with_questions(chunks: DataFrame, questions: DataFrame, most: int = MOST_QUESTIONS, n: int | None = None) -> DataFrame:
     """Every chunk with every question, in one scan of the chunks. Up to ``most`` questions are broadcast; more are dealt
-    into blocks of that many, and the chunks are read once for each block."""
-    n = questions.count()
+    into blocks of that many, and the chunks are read once for each block. n: how many there are, if that is known."""
+    n = questions.count() if n is None else n
     if n <= most:
         return chunks.crossJoin(F.broadcast(questions))
     blocks = -(-n // most)
@@ -90,11 +90,11 @@ def with_questions(chunks: DataFrame, questions: DataFrame, most: int = MOST_QUE
     return out
 
 
-def scores(chunks: DataFrame, questions: DataFrame, boost_macros: bool = True, logical: bool = True, strict_parity: bool = False, where: Column | None = None) -> DataFrame:
+def scores(chunks: DataFrame, questions: DataFrame, boost_macros: bool = True, logical: bool = True, strict_parity: bool = False, where: Column | None = None, n: int | None = None) -> DataFrame:
     """Every one of ``chunks`` in scope with its score for each row of ``questions(query_id, tokens, vector, boost_entities, type, scope)``.
     where: a further condition over the columns of both."""
     scope = (F.col("scope") == "all") | ((F.col("scope") == "engine") == (F.coalesce(F.col("origin"), F.lit("engine")) == "engine"))
-    pairs = with_questions(chunks, questions).where(scope if where is None else scope & where)
+    pairs = with_questions(chunks, questions, n=n).where(scope if where is None else scope & where)
     raw = dense(F.col("embedding"), F.col("vector")) + sparse(F.col("tokens"), F.col("path"), F.col("entities"))
     scored = pairs.withColumn("score", boosted(raw, F.col("boost_entities"), F.col("type"), F.col("path"), F.col("entities"), boost_macros, logical, strict_parity))
     return scored.drop("vector", "embedding", "tokens")

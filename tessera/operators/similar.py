@@ -55,11 +55,13 @@ def _bound(m: Column, shared: Column, prefix: float, a: str, b: str) -> Column:
     return jaro * JARO_WINKLER + F.when(m > 0, m / F.greatest(x, y)).otherwise(F.lit(0.0)) * LEVENSHTEIN + dice * BIGRAM + inside
 
 
-def candidates(asked: DataFrame, names: DataFrame, by: list[str], most_asked: int = MOST_ASKED) -> DataFrame:
+def candidates(asked: DataFrame, names: DataFrame, by: list[str], most_asked: int | None = MOST_ASKED) -> DataFrame:
     """Distinct pairs of ``asked(name, *by)`` and ``names(entity_name, *by)``, equal in ``by``, among which are all that match. A few asked names are
-    broadcast, behind a count, so that names stream past them; more are dealt with them."""
-    q, c = forms(asked.select("name", *by).distinct(), "name"), forms(names.select("entity_name", *by).distinct(), "entity_name")
-    some = F.broadcast if q.limit(2 * most_asked + 1).count() <= 2 * most_asked else lambda df: df
+    broadcast, behind a count (None: the caller knows that they are few), so that names stream past them; more are dealt with them. ``names`` may have
+    their ``forms`` already."""
+    q = forms(asked.select("name", *by).distinct(), "name")
+    c = names if "grams" in names.columns else forms(names.select("entity_name", *by).distinct(), "entity_name")
+    some = F.broadcast if most_asked is None or q.limit(2 * most_asked + 1).count() <= 2 * most_asked else lambda df: df
     over = LEAST - 1e-9
 
     def key(*names: str) -> Column:
@@ -81,7 +83,7 @@ def candidates(asked: DataFrame, names: DataFrame, by: list[str], most_asked: in
     return near.union(apart).distinct()
 
 
-def similar(asked: DataFrame, names: DataFrame, by: list[str], most_asked: int = MOST_ASKED) -> DataFrame:
+def similar(asked: DataFrame, names: DataFrame, by: list[str], most_asked: int | None = MOST_ASKED) -> DataFrame:
     """(name, entity_name, *by, match_quality) of all pairs with a ``match_quality`` above 0. Nulls match nothing; repeated names are one."""
     asked, names = asked.where("name IS NOT NULL"), names.where("entity_name IS NOT NULL")
     found = candidates(asked, names, by, most_asked)

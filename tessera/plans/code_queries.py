@@ -55,9 +55,10 @@ def include_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each entity leads to, however far."""
     e = relations.edges(_graph(spark, sf_dir))
     roots = e.select(F.col("src").alias("root")).distinct()
-    return relations.reachable(e, roots, 3)
+    return relations.reachable(e, roots)
 
 
 def definition_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,11 +187,11 @@ _HINTED = " || ".join(f"CASE WHEN kind = '{k}' AND {_any('low', hints)} THEN ['{
 _OWN = "CASE kind " + " ".join(f"WHEN '{k}' THEN {_list(ws)}" for k, ws in intent.KIND_WORDS.items()) + " ELSE [] END"
 _INTENT = rf"""WITH {_ASKED},
 a AS (SELECT query_id, question AS q, lower(question) AS low,
-  regexp_extract(question, '(?i)\b(struct|class|enum)\s+([A-Z_]\w+)', 1) AS k1, regexp_extract(question, '(?i)\b(struct|class|enum)\s+([A-Z_]\w+)', 2) AS n1,
-  regexp_extract(question, '(?i)\b([A-Z_]\w+)\s+(struct|class|enum)', 1) AS g1, regexp_extract(question, '(?i)\b([A-Z_]\w+)\s+(struct|class|enum)', 2) AS g2,
-  regexp_extract(question, '(?i)\b(define|definition\s+of)\s+([A-Z_]\w+)', 1) AS k3, regexp_extract(question, '(?i)\b(define|definition\s+of)\s+([A-Z_]\w+)', 2) AS n3,
-  regexp_extract(question, '(?i)\b(what\s+is|show\s+me|find)\s+([A-Z_]\w+)', 1) AS k4, regexp_extract(question, '(?i)\b(what\s+is|show\s+me|find)\s+([A-Z_]\w+)', 2) AS n4,
-  regexp_extract(question, '(?i)\b([A-Z]\w+)\s+function', 1) AS f1, regexp_extract(question, '(?i)\bfunction\s+([A-Z]\w+)', 1) AS f2 FROM asked),
+  regexp_extract(question, '(?i){intent.KIND_NAME}', 1) AS k1, regexp_extract(question, '(?i){intent.KIND_NAME}', 2) AS n1,
+  regexp_extract(question, '(?i){intent.NAME_KIND}', 1) AS g1, regexp_extract(question, '(?i){intent.NAME_KIND}', 2) AS g2,
+  regexp_extract(question, '(?i){intent.DEFINE_NAME}', 1) AS k3, regexp_extract(question, '(?i){intent.DEFINE_NAME}', 2) AS n3,
+  regexp_extract(question, '(?i){intent.ASK_NAME}', 1) AS k4, regexp_extract(question, '(?i){intent.ASK_NAME}', 2) AS n4,
+  regexp_extract(question, '(?i){intent.NAME_FUNCTION}', 1) AS f1, regexp_extract(question, '(?i){intent.FUNCTION_NAME}', 1) AS f2 FROM asked),
 b AS (SELECT *, lower(g1) IN ('struct', 'class', 'enum', 'define', 'definition', 'what', 'show', 'find') OR contains(lower(g1), 'definition') AS turned FROM a),
 c AS (SELECT *, CASE WHEN n1 <> '' THEN n1 WHEN g1 <> '' THEN CASE WHEN turned THEN g2 ELSE g1 END WHEN n3 <> '' THEN n3 WHEN n4 <> '' THEN n4 END AS name,
   lower(CASE WHEN n1 <> '' THEN k1 WHEN g1 <> '' THEN CASE WHEN turned THEN g1 ELSE g2 END WHEN n3 <> '' THEN k3 WHEN n4 <> '' THEN k4 END) AS kw,
@@ -209,7 +210,10 @@ SELECT query_id, CASE step WHEN 0 THEN 'unknown' WHEN 1 THEN 'definition' WHEN 2
   CASE step WHEN 1 THEN CASE WHEN contains(kw, 'struct') THEN 'struct' WHEN contains(kw, 'define') OR contains(kw, 'definition') THEN {_kind('name')} WHEN contains(kw, 'class') THEN 'class' WHEN contains(kw, 'enum') THEN 'enum' ELSE {_kind('name')} END
     WHEN 2 THEN 'function' WHEN 3 THEN kind WHEN 4 THEN kind END AS entity_type,
   CASE step WHEN 1 THEN name WHEN 2 THEN fn WHEN 3 THEN entity WHEN 4 THEN entity END AS entity_name,
-  [0.0, 0.95, 0.9, 0.85, 0.75, 0.9, 0.8, 0.5][step + 1]::DOUBLE AS confidence, CASE WHEN step = 4 OR step = 7 AND entity IS NOT NULL THEN more ELSE q END AS enhanced_query, step = 6 AS is_file_search FROM f"""
+  [0.0, 0.95, 0.9, 0.85, 0.75, 0.9, 0.8, 0.5][step + 1]::DOUBLE AS confidence, CASE WHEN step = 4 OR step = 7 AND entity IS NOT NULL THEN more ELSE q END AS enhanced_query, step = 6 AS is_file_search,
+  CASE step WHEN 1 THEN printf('{intent.REASONS["explicit"]}', CASE WHEN contains(kw, 'struct') THEN 'struct' WHEN contains(kw, 'define') OR contains(kw, 'definition') THEN {_kind('name')} WHEN contains(kw, 'class') THEN 'class' WHEN contains(kw, 'enum') THEN 'enum' ELSE {_kind('name')} END, name)
+    WHEN 2 THEN printf('{intent.REASONS["function"]}', fn) WHEN 3 THEN printf('{intent.REASONS["bare"]}', kind, entity) WHEN 4 THEN printf('{intent.REASONS["hybrid"].replace("'", "''")}', entity, CASE WHEN by_file THEN 'file' ELSE 'definition' END)
+    WHEN 5 THEN '{intent.REASONS["conceptual"]}' WHEN 6 THEN '{intent.REASONS["file"]}' WHEN 7 THEN '{intent.REASONS["default"]}' END AS reasoning FROM f"""
 _SYNONYMS = "syn(k, vs) AS (VALUES " + ", ".join(f"('{k}', {_list(vs)})" for k, vs in intent.SYNONYMS.items()) + ")"
 
 #: Starts of all five kinds: each line of a file with what follows it, and the pattern of each kind there.
@@ -248,7 +252,7 @@ SQL = {
     "inheritance_edges": f"WITH {CODE_SQL}, {_HEADS}, {_INHERITS} SELECT src, dst FROM i",
     "composition_edges": f"WITH {CODE_SQL}, {_HEADS}, {_CONTAINS} SELECT src, regexp_extract(type, '^\\w+') AS dst, member_name, macro, contains(type, 'Component') AS is_component, contains(type, '*') AS is_pointer FROM o",
     "include_edges": f"""WITH {CODE_SQL}, {_HEADS}, {_INHERITS}, {_CONTAINS}, r AS (SELECT 'inherits' AS rel FROM i UNION ALL SELECT 'contains' FROM o UNION ALL SELECT 'includes' FROM (SELECT unnest(regexp_extract_all(text, '#include\\s+[<"]([^>"]+)[>"]', 1)) FROM code)) SELECT rel, count(*) AS n FROM r GROUP BY rel""",
-    "reachable_entities": f"WITH RECURSIVE {CODE_SQL}, {_HEADS}, {_INHERITS}, {_CONTAINS}, ed AS (SELECT src, dst FROM i UNION SELECT src, regexp_extract(type, '^\\w+') FROM o), t(root, node, hops) AS (SELECT DISTINCT src, src, 0 FROM ed UNION SELECT t.root, ed.dst, t.hops + 1 FROM t JOIN ed ON t.node = ed.src WHERE t.hops < 3) SELECT root, node, min(hops)::INT AS hops FROM t GROUP BY root, node",
+    "reachable_entities": f"WITH RECURSIVE {CODE_SQL}, {_HEADS}, {_INHERITS}, {_CONTAINS}, ed AS (SELECT src, dst FROM i UNION SELECT src, regexp_extract(type, '^\\w+') FROM o), t(root, node, hops) AS (SELECT DISTINCT src, src, 0 FROM ed UNION SELECT t.root, ed.dst, t.hops + 1 FROM t JOIN ed ON t.node = ed.src WHERE t.hops < 12) SELECT root, node, min(hops)::INT AS hops FROM t GROUP BY root, node",
     "definition_starts": rf"""WITH {CODE_SQL}, k(kind, macro, body) AS (VALUES ('struct', 'USTRUCT', 'struct\s+(?:\w+_API\s+)?([A-Z_]\w*)\s*(?::\s*public\s+\w+)?\s*\{{'),
   ('class', 'UCLASS', 'class\s+(?:\w+_API\s+)?([UAI][A-Z]\w*)\s*(?::\s*public\s+[\w\s,]+)?\s*\{{'), ('enum', 'UENUM', 'enum\s+(?:class\s+)?([A-Z_]\w*)\s*(?::\s*\w+)?\s*\{{')),
 l AS (SELECT path, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM code),

@@ -7,8 +7,10 @@ from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.naming import norm_path
 from ..operators import chunking, definitions, enrich, formats, intent, relations, scoring
@@ -34,6 +36,7 @@ class Index:
     encoder: Encoder
     encoders: dict[str, Encoder] = field(default_factory=dict)
     encoded: OrderedDict = field(default_factory=OrderedDict, repr=False)
+    names: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, files: DataFrame, encoder: Encoder | None = None, encoders: dict[str, Encoder] | None = None, **options) -> Index:
@@ -45,7 +48,14 @@ class Index:
 
     def kept(self) -> Index:
         """The same, computed once for all plans of the session (an index that is to last is a written store)."""
-        return Index(self.chunks.persist(), self.definitions.persist(), self.encoder, self.encoders)
+        defs = self.definitions.persist()
+        return Index(self.chunks.persist(), defs, self.encoder, self.encoders, names=definitions.names_of(defs).persist())
+
+    def release(self) -> None:
+        """Frees what ``kept`` holds."""
+        for df in (self.chunks, self.definitions, self.names):
+            if df is not None:
+                df.unpersist()
 
     def model_error(self, model: Column) -> Column:
         """What is wrong with the model that a question names: it isn't known, or its vectors are of another length than the chunks'. Else null."""
@@ -90,21 +100,22 @@ def analyse(questions: DataFrame, index: Index) -> DataFrame:
     return settled(out)
 
 
-def find_definitions(q: DataFrame, index: Index) -> DataFrame:
-    """(query_id, rank, d) of the definitions of all names that analysed questions ask for."""
+def find_definitions(q: DataFrame, index: Index, few: bool = False) -> DataFrame:
+    """(query_id, rank, d) of the definitions of all names that analysed questions ask for. few: they are known to be, and aren't counted."""
     wanted = q.select("query_id", "scope", F.explode("entities").alias("e")).select("query_id", "scope", "e.name", "e.kind")
-    defs = definitions.shown(definitions.look_up(index.definitions, wanted))
+    defs = definitions.shown(definitions.look_up(index.definitions, wanted, names=index.names, most_asked=None if few else definitions.MOST_ASKED))
     return defs.select("query_id", "rank", F.struct("entity_type", "entity_name", "file_path", "line_start", "line_end", "match_quality", "definition", "members", "total_members", "origin").cast(formats.DEFINITION).alias("d"))
 
 
-def find_chunks(q: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False) -> DataFrame:
+def find_chunks(q: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False, known: tuple[int, int, bool] | None = None) -> DataFrame:
     """(query_id, rank, s) of the best chunks for analysed questions that aren't blank, each narrowed by its own filter and re-ranked
-    if it says so (or, if it says nothing, by ``use_reranker``)."""
+    if it says so (or, if it says nothing, by ``use_reranker``). known: how many questions there are, the most chunks that one needs, and whether any is
+    re-ranked, where that is known."""
     own = F.when(F.col("intent.entity_name").isNotNull(), F.array("intent.entity_name")).otherwise(F.array().cast("array<string>"))
     again = F.coalesce("use_reranker", F.lit(use_reranker))
     asked = q.where("intent.type <> 'unknown'").select("query_id", "question", "scope", "top_k", F.col("parsed_filter").alias("f"), scoring.keywords(F.col("semantic_text")).alias("tokens"), "vector", F.array_distinct(F.concat(own, "parsed_filter.boost_entities")).alias("boost_entities"), F.col("intent.type").alias("type"), again.alias("again"))
-    most, some = asked.agg(F.max(F.col("top_k") * F.when(F.col("again"), RERANKED).otherwise(1)), F.bool_or("again")).first()
-    hits = scoring.search(index.chunks, asked, most or 1, files_once=files_once, where=matches(F.col("f")))
+    n, most, some = known or (None, *asked.agg(F.max(F.col("top_k") * F.when(F.col("again"), RERANKED).otherwise(1)), F.bool_or("again")).first())
+    hits = scoring.search(index.chunks, asked, most or 1, files_once=files_once, where=matches(F.col("f")), n=n)
     plain = hits.where(~F.col("again") & (F.col("rank") <= F.col("top_k")))
     if some:
         best = scoring.rerank(hits.where(F.col("again") & (F.col("rank") <= F.col("top_k") * RERANKED)).drop("rank"), most)
@@ -161,31 +172,45 @@ def timed(questions: DataFrame, index: Index, files_once: bool = False, use_rera
     return out.withColumn("timing", F.create_map(*(F.lit(x) for kv in took.items() for x in kv)))
 
 
+def answer_rows(spark: SparkSession, index: Index, rows: list[tuple], files_once: bool = False, use_reranker: bool = False) -> DataFrame:
+    """``answer`` for a few questions (question, top_k, scope, model) of the driver, query_id being their place. They are analysed by one job and encoded on the
+    driver, where the last ones are kept; nothing is counted, so the answer is one job more."""
+    given = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "query_id long, question string, top_k int, scope string, model string")
+    q = understood(given, index)
+    held = q.toArrow()
+    vectors = [index.encode(text or "", r[3]) for text, r in zip(held["semantic_text"].to_pylist(), (rows[i] for i in held["query_id"].to_pylist()), strict=True)]
+    q = spark.createDataFrame(held.append_column("vector", pa.array(vectors, pa.list_(pa.float64()))), StructType([*q.schema, StructField("vector", ArrayType(DoubleType()))]))
+    most = max((r[1] for r in rows), default=1) * (RERANKED if use_reranker else 1)
+    return assemble(q, find_definitions(q, index, few=True), find_chunks(q, index, files_once, use_reranker, (len(rows), most, use_reranker)))
+
+
 def answer_one(spark: SparkSession, index: Index, question: str, top_k: int = 5, scope: str = "engine", model: str | None = None, **options) -> DataFrame:
-    """``answer`` for one question, encoded on the driver, where the last ones are kept."""
-    q = understood(spark.createDataFrame([(0, question, top_k, scope, model)], "query_id long, question string, top_k int, scope string, model string"), index)
-    q = q.withColumn("vector", F.lit(index.encode(q.first().semantic_text or "", model)).cast("array<double>"))
-    return assemble(q, find_definitions(q, index), find_chunks(q, index, **options))
+    """``answer_rows`` for one question."""
+    return answer_rows(spark, index, [(question, top_k, scope, model)], **options)
 
 
 def run_batch(batch: DataFrame, index: Index, **options) -> DataFrame:
-    """(query_id, question, status, results or error) of a parsed batch; a bad line, filter or model is an error of its own question."""
+    """(query_id, question, status, results or error) of a parsed batch; a bad line, filter or model is an error of its own question. The intent's reasoning is
+    there for questions that ask for it (show_reasoning)."""
     model = F.col("model") if "model" in batch.columns else F.lit(None).cast("string")
     wrong = F.coalesce(parsed(F.col("filter"))["error"], index.model_error(model))
     batch = settled(batch.withColumn("error", F.coalesce("error", wrong)).withColumn("status", F.when(F.col("error").isNotNull(), "error").otherwise(F.col("status"))))
     good = answer(batch.where("status = 'success'"), index, **options)
+    told = batch.select("query_id", F.coalesce("show_reasoning", F.lit(False)).alias("show_reasoning")) if "show_reasoning" in batch.columns else None
+    shown = F.col("intent").withField("reasoning", F.when(F.col("show_reasoning"), F.col("intent.reasoning")))
+    good = good if told is None else good.join(told, "query_id").withColumn("intent", shown)
     done = good.select("query_id", "question", F.lit("success").alias("status"), F.struct("intent", "definition_results", "semantic_results", "combined_results").alias("results"))
     failed = batch.where("status = 'error'").select("query_id", "question", "status", "error")
     return done.unionByName(failed, allowMissingColumns=True)
 
 
-def relationships(questions: DataFrame, index: Index, depth: int = 1) -> DataFrame:
+def relationships(questions: DataFrame, index: Index, depth: int | None = 1) -> DataFrame:
     """``questions(query_id, question)`` with the relationships of the entity that each names: entity, tree, json; null where no struct,
-    class or enum has the name. With ``depth`` over 1, also what its members and parents lead to."""
+    class or enum has the name. With ``depth`` over 1, also what its members and parents lead to (None: however far)."""
     asked = questions.select("query_id", intent.relationship_entity(F.col("question")).alias("entity"))
     g = relations.as_json(relations.tree(relations.one_each(relations.graph(index.definitions))))
     out = asked.join(g, "entity", "left").select("query_id", "entity", "tree", "json")
-    if depth > 1:
+    if depth is None or depth > 1:
         reach = relations.reachable(relations.edges(relations.graph(index.definitions)), asked.where("entity IS NOT NULL").select(F.col("entity").alias("root")).distinct(), depth)
         near = reach.where("hops > 0").groupBy(F.col("root").alias("entity")).agg(F.array_sort(F.collect_list(F.struct("hops", "node"))).alias("leads_to"))
         out = out.join(near, "entity", "left")

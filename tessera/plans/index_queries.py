@@ -11,7 +11,9 @@ from ..sources import files as sources
 from ..sources import tree
 from ..sources.shared import scratch, settled
 from ..sources.snapshots import Store
+from ..streaming import batch_stream
 from . import hybrid
+from .code_queries import _INTENT
 from .fixtures import CODE_SQL, FILES, code, files, table, values
 
 #: The new state of documents: every tenth is edited, every seventh is gone, and there are two more.
@@ -212,7 +214,21 @@ def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
 
-QUERIES = {f.__name__: f for f in (ignored_tree, store_snapshots, module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress)}
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users say in all conversations, written as JSON lines, every ninth broken and some with a filter, and answered as a stream from the snippets."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    asked = F.to_json(F.struct("conv_id", "turn", F.col("text").alias("question"), F.lit(2).alias("top_k"), F.lit("all").alias("scope"), F.when(F.col("turn") == 2, F.when(F.col("conv_id") % 2 == 0, "file:header").otherwise("type:wrong")).alias("filter"), (F.col("conv_id") % 3 == 0).alias("show_reasoning")))
+    line = F.when((F.col("conv_id") + F.col("turn")) % 9 == 4, F.concat(asked, F.lit("]"))).otherwise(asked)
+    with scratch(spark, "questions") as top:
+        c.select(line.alias("value")).write.text(f"{top}/in")
+        index = hybrid.Index.build(code(spark), most_chars=None)
+        batch_stream.answer_stream(batch_stream.stream_lines(spark, f"{top}/in"), index, f"{top}/out", f"{top}/checkpoint", once=True).awaitTermination()
+        out = batch_stream.answered(spark, f"{top}/out")
+        get = lambda k: F.regexp_extract("value", rf'"{k}":(-?\d+)', 1).cast("long").alias(k)
+        return settled(out.select(get("conv_id"), get("turn"), "status", F.col("results.intent.type").alias("type"), F.col("results.intent.reasoning").alias("reasoning")))
+
+
+QUERIES = {f.__name__: f for f in (ignored_tree, store_snapshots, conversation_stream, module_build_files, stored_chunk_text, index_staleness, re_enriched_chunks, first_kind_definition, incremental_anti_join, incremental_rebuild, safety_brake, embed_reuse, precision_recall, ab_compare, label_quality, context_budget, batch_parse, batch_status, event_log_counts, health_score, install_dedup, layout_profiles, fastest_model, index_progress)}
 
 _NEW = FILES + ", new AS (SELECT doc_id, path, origin, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS text FROM files WHERE doc_id % 7 <> 3 UNION ALL " + " UNION ALL ".join(f"SELECT {i}, '{p}', 'engine', 'new text'" for i, p in MORE) + ")"
 
@@ -230,6 +246,8 @@ b AS (SELECT query_id::BIGINT AS query_id, good, CASE WHEN good THEN coalesce(va
              CASE WHEN good THEN coalesce(value->>'scope', 'engine') END AS scope, CASE WHEN good THEN value->>'filter' END AS filter FROM j)"""
 
 SQL = {
+    "conversation_stream": f"""WITH i AS ({_INTENT}), c AS (SELECT *, conv_id * 1000 + turn + 1000000 AS query_id, (conv_id + turn) % 9 = 4 AS broken, turn = 2 AND conv_id % 2 = 1 AS wrong FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN broken OR wrong THEN 'error' ELSE 'success' END AS status, CASE WHEN NOT (broken OR wrong) THEN i.type END AS type, CASE WHEN NOT (broken OR wrong) AND conv_id % 3 = 0 THEN i.reasoning END AS reasoning FROM c JOIN i USING (query_id)""",
     "store_snapshots": f"""WITH {_NEW}, s AS (SELECT 1 AS snapshot, path, origin, text, 1 AS version FROM files
 UNION ALL SELECT 2, n.path, n.origin, n.text, CASE WHEN f.text IS NOT DISTINCT FROM n.text THEN 1 ELSE 2 END FROM new n LEFT JOIN files f ON n.path = f.path),
 w AS (SELECT *, unnest(CASE WHEN length(text) <= 1500 THEN [0] ELSE list_filter(range(0, length(text), 1300), lambda s: s = 0 OR length(text) - s >= 300) END) AS spot FROM s)

@@ -161,7 +161,7 @@ def parse_batch(lines: DataFrame) -> DataFrame:
     get = lambda c, d: F.when(good, F.coalesce(f"q.{c}", F.lit(d)))
     return q.select(
         F.col("query_id").cast("long").alias("query_id"), get("question", "").alias("question"), get("top_k", 5).alias("top_k"), get("scope", "engine").alias("scope"),
-        F.when(good, F.col("q.filter")).alias("filter"), F.when(good, F.col("q.use_reranker")).alias("use_reranker"), F.when(good, F.col("q.model")).alias("model"), F.when(good, "success").otherwise("error").alias("status"), F.when(~good, F.concat(F.lit("Invalid JSON: "), F.col("value"))).alias("error"))
+        F.when(good, F.col("q.filter")).alias("filter"), F.when(good, F.col("q.use_reranker")).alias("use_reranker"), F.when(good, F.coalesce("q.show_reasoning", F.lit(False))).alias("show_reasoning"), F.when(good, F.col("q.model")).alias("model"), F.when(good, "success").otherwise("error").alias("status"), F.when(~good, F.concat(F.lit("Invalid JSON: "), F.col("value"))).alias("error"))
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:

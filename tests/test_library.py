@@ -342,3 +342,51 @@ def test_all_chunks_are_enriched_again(spark, with_long_text):
 
     rows = registry.QUERIES["re_enriched_chunks"](spark, with_long_text).where("path LIKE '%1000000.%'").orderBy("chunk_index").collect()
     assert [r.chunk_index for r in rows] == list(range(len(rows))) and len(rows) > 95 and "FLast" in rows[-1].entities
+
+
+def test_a_bad_text_costs_a_logarithm_of_calls():
+    class Counting(embed.HashEncoder):
+        def __init__(self, most=10**9):
+            super().__init__()
+            self.calls, self.most = [], most
+
+        def encode(self, texts):
+            self.calls.append(len(texts))
+            if "bad" in texts or len(texts) > self.most:
+                raise RuntimeError("out of memory")
+            return super().encode(texts)
+
+    texts = [f"t{i}" for i in range(1024)]
+    want = embed.HashEncoder().encode(texts)
+    enc = Counting()
+    assert (embed.encoded(enc, texts, 512) == want).all() and enc.calls == [512, 512]
+    texts[300] = "bad"
+    got = embed.encoded(enc := Counting(), texts, 512)
+    assert not got[300].any() and (got[:300] == want[:300]).all() and (got[301:] == want[301:]).all()
+    assert len(enc.calls) <= 1 + 2 * 9 + 2 and enc.calls[-2:] == [256, 256]  # later batches stay small
+    got = embed.encoded(enc := Counting(most=100), [f"t{i}" for i in range(1024)], 512)
+    assert (got == want).all() and enc.calls[-1] <= 100 and sum(c > 100 for c in enc.calls) <= 11
+    assert embed.encoded(Counting(), [], 512).shape == (0, embed.DIM)
+
+
+def test_reachable_at_any_depth(spark):
+    from tessera.operators import relations
+
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(1000)]
+    rows = [*chain, ("x", "y"), ("y", "z"), ("z", "x"), ("z", "z"), ("z", "q"), ("x", None), (None, "x"), ("x", "y")]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    roots = spark.createDataFrame([("c0",), ("c990",), ("x",), ("alone",), ("x",)], "root string")
+    got = {(r.root, r.node): r.hops for r in relations.reachable(e, roots).collect()}
+    want = {("c0", f"c{i}"): i for i in range(1001)} | {("c990", f"c{i}"): i - 990 for i in range(990, 1001)}
+    want |= {("x", "x"): 0, ("x", "y"): 1, ("x", "z"): 2, ("x", "q"): 3, ("alone", "alone"): 0}
+    assert got == want
+    near = {(r.root, r.node): r.hops for r in relations.reachable(e, roots, 2).collect()}
+    assert near == {k: v for k, v in want.items() if v <= 2}
+
+
+def test_reasons_for_an_intent(spark, index):
+    got = ask(spark, index, "struct FHitInfo", "function Tick", "FVector", "FHitInfo members of it today", "how do wheels work", "where is the header of the wheel", "nothing much here", "")
+    assert [got[i].intent.reasoning for i in range(8)] == [
+        "Explicit definition query detected: struct FHitInfo", "Function definition query detected: Tick", "Bare entity name detected: struct FVector",
+        "Detected entity 'FHitInfo' with definition keywords, using hybrid search", "Conceptual question detected, using semantic search", "File/Location query detected", "No strong indicators, defaulting to semantic search", None,
+    ]

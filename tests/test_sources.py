@@ -147,3 +147,61 @@ def test_the_store_is_not_shuffled(spark, tmp_path, buckets):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         store.forget()
+
+
+def test_stream_of_batches_resumes(spark, tmp_path):
+    """A driver lost between a micro-batch's results and its offsets, or in the middle of them: every line is answered once."""
+    import json
+
+    from tessera.plans import fixtures, hybrid
+    from tessera.streaming import batch_stream
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        lines = [json.dumps({"question": f"struct FHitInfo {i}{j}", "top_k": 1, "scope": "all", "show_reasoning": j == 0}) for j in range(3)]
+        (tmp_path / f"in/{i}.jsonl").write_text("\n".join([lines[0], "", *lines[1:], "broken"]) + "\n")
+    (tmp_path / "in/blank.jsonl").write_text("\n \n")
+    index, calls = hybrid.Index.build(fixtures.code(spark)).kept(), []
+    real, out = batch_stream.answer_lines, str(tmp_path / "out")
+
+    def run(answer):
+        batch_stream.answer_lines = answer
+        try:
+            stream = batch_stream.stream_lines(spark, str(tmp_path / "in"), files_at_once=1)
+            batch_stream.answer_stream(stream, index, out, str(tmp_path / "checkpoint"), once=True).awaitTermination()
+        finally:
+            batch_stream.answer_lines = real
+
+    def lost_after(lines, index, **options):
+        real(lines, index, **options).write.mode("overwrite").parquet(f"{out}/batch={len(calls)}")
+        calls.append(lines.count())
+        if len(calls) == 2:
+            raise RuntimeError("the driver is lost")
+        return real(lines, index, **options)
+
+    def lost_amid(lines, index, **options):
+        return real(lines, index, **options).withColumn("question", F.raise_error(F.lit("an executor is lost")))
+
+    def counted(lines, index, **options):
+        calls.append(lines.count())
+        return real(lines, index, **options)
+
+    with pytest.raises(Exception, match="lost"):
+        run(lost_after)
+    assert batch_stream.committed(spark, out) == [0, 1]
+    with pytest.raises(Exception, match="lost"):
+        run(lost_amid)
+    before = len(calls)
+    run(counted)
+    assert len(calls) - before <= 2  # neither whole micro-batch was answered again
+    got = batch_stream.answered(spark, out).collect()
+    assert len(got) == 12 and len({(r.file, r.line) for r in got}) == 12
+    assert {r.line for r in got} == {0, 2, 3, 4} and all(r.status == ("error" if r.line == 4 else "success") for r in got)
+    assert all((r.results.intent.reasoning is not None) == (r.line == 0) for r in got if r.status == "success")
+    assert all(r.results.definition_results for r in got if r.status == "success")
+    (tmp_path / "in/late.jsonl").write_text('{"question": "class AThing"}')
+    run(counted)
+    assert batch_stream.answered(spark, out).count() == 13
+    with pytest.raises(ValueError):
+        batch_stream.answered(spark, str(tmp_path / "none"))
+    spark.catalog.clearCache()
