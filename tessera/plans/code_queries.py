@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..operators import definitions, enrich, filters, formats, intent, relations, reports
 from . import hybrid
-from .fixtures import CODE_SQL, QUESTIONS_SQL, code, questions, table, values
+from .fixtures import CODE_SQL, QUESTIONS_SQL, code, fed, fed_sql, questions, table, values
 from .text_queries import _compound
 
 
@@ -96,21 +96,27 @@ PATHS = [
 NESTED = [("/a",), ("/a/b",), ("/a/bc",), ("/ab",), ("/c/d",), ("/c/d/e/f",), ("/c/de",), ("rel/x",), ("rel",), ("/a",), ("solo",)]
 
 
+#: Paths of all documents as sources, as folders in folders, and versions, from their numbers.
+SOURCE_PATHS = ["concat('/eng/Source/Runtime/M', doc_id % 7, CASE doc_id % 4 WHEN 0 THEN '/Public/' WHEN 1 THEN '/Private/' WHEN 2 THEN '/Classes/' ELSE '/' END, lang, '/', doc_id, '.h')"]
+FOLDERS = ["CASE WHEN doc_id % 5 = 0 THEN concat(source, '/', lang, '/', doc_id % 11) ELSE concat(source, '/', lang, '/', doc_id % 13, '/', doc_id) END"]
+TWO_VERSIONS = ["concat(doc_id % 6, '.', doc_id % 11)", "concat(n_chars % 6, '.', doc_id % 11, '.', n_chars % 3)"]
+
+
 def module_include(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     m = naming.module_by_place(p)
-    return spark.createDataFrame(PATHS, "path string").select("path", m.alias("module"), naming.include_of(p).alias("include"), naming.dependency_tip(m).alias("tip"), naming.version_of_path(p).alias("version"))
+    return fed(spark, sf_dir, "documents", "path string", PATHS, SOURCE_PATHS).select("path", m.alias("module"), naming.include_of(p).alias("include"), naming.dependency_tip(m).alias("tip"), naming.version_of_path(p).alias("version"))
 
 
 def path_subsumption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.subsume(spark.createDataFrame(NESTED, "path string")).select("path")
+    return filters.subsume(fed(spark, sf_dir, "documents", "path string", NESTED, FOLDERS)).select("path")
 
 
 VERSIONS = [("5.3", "5.3.2"), ("5.3", "5.4"), ("4.27", "5.3"), ("4.27", "5.27"), ("invalid", "0.0"), ("", "0"), ("5", "5.0.9"), ("5.x", "5.0"), ("10.2.3.4", "10.2")]
 
 
 def version_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame(VERSIONS, "v1 string, v2 string")
+    v = fed(spark, sf_dir, "documents", "v1 string, v2 string", VERSIONS, TWO_VERSIONS)
     return v.select("v1", "v2", F.array_join(naming.version_parts(F.col("v1")).cast("array<string>"), ".").alias("parts"), naming.versions_match(F.col("v1"), F.col("v2")).alias("matched"))
 
 
@@ -134,8 +140,10 @@ def relationship_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words with synonyms, and all words of the benchmark."""
     words = [(w,) for w in [*intent.SYNONYMS, "Trace", "nothing"]]
-    return spark.createDataFrame(words, "term string").select("term", F.explode(intent.related(F.col("term"))).alias("entity"))
+    there = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term"))
+    return spark.createDataFrame(words, "term string").union(there).distinct().select("term", F.explode(intent.related(F.col("term"))).alias("entity"))
 
 
 def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,16 +268,16 @@ o AS (SELECT path, text, no, coalesce(sum(length(line) + 1) OVER (PARTITION BY p
 m AS (SELECT path, kind, no, macro, body, text[1:spot] AS before, text[spot + 1:] AS after FROM o, k)
 SELECT path AS file_path, kind AS entity_type, regexp_extract(after, '^[ \t]*(?:' || macro || '\s*\([^)]*\)\s*)?' || body, 1) AS entity_name, no::INT AS line_start FROM m
 WHERE regexp_matches(after, '^[ \t]*(?:' || macro || '\s*\([^)]*\)\s*)?' || body) AND NOT regexp_matches(before, macro || '\s*\([^)]*\)\s*$')""",
-    "module_include": rf"""WITH {values("p", "path", PATHS)}, s AS (SELECT path, string_split(path, '/') AS parts FROM p), i AS (SELECT *, len(parts) - list_position(list_reverse(parts), 'Source') + 1 AS spot FROM s),
+    "module_include": rf"""WITH {fed_sql("p", "documents", "path", PATHS, SOURCE_PATHS)}, s AS (SELECT path, string_split(path, '/') AS parts FROM p), i AS (SELECT *, len(parts) - list_position(list_reverse(parts), 'Source') + 1 AS spot FROM s),
 m AS (SELECT *, CASE WHEN spot + 2 <= len(parts) THEN parts[spot + 2] ELSE 'Unknown' END AS module,
   CASE WHEN regexp_matches(path, '/Public/') THEN regexp_extract(path, '.*/Public/(.*)$', 1) WHEN regexp_matches(path, '/Classes/') THEN regexp_extract(path, '.*/Classes/(.*)$', 1) WHEN regexp_matches(path, '/Private/') THEN regexp_extract(path, '.*/Private/(.*)$', 1) ELSE parts[-1] END AS inner_path FROM i)
 SELECT path, module, '#include "' || inner_path || '"' AS include, CASE WHEN module NOT IN ('Core', 'CoreUObject', 'Engine', 'InputCore', 'Slate', 'SlateCore', 'Unknown') THEN 'Add "' || module || '" to PublicDependencyModuleNames in your Build.cs' END AS tip, nullif(regexp_extract(path, 'UE[_-]?(\d+\.\d+)', 1), '') AS version FROM m""",
-    "path_subsumption": f"WITH {values('p', 'path', NESTED)} SELECT DISTINCT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS o WHERE starts_with(p.path, o.path || '/'))",
-    "version_match": f"WITH {values('v', 'v1, v2', VERSIONS)}, s AS (SELECT *, list_transform((string_split(v1, '.') || ['0', '0'])[1:3], lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN x::INT ELSE 0 END) AS a, list_transform((string_split(v2, '.') || ['0', '0'])[1:3], lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN x::INT ELSE 0 END) AS b FROM v) SELECT v1, v2, array_to_string(a, '.') AS parts, a[1:2] = b[1:2] AS matched FROM s",
+    "path_subsumption": f"WITH {fed_sql('p', 'documents', 'path', NESTED, FOLDERS)} SELECT DISTINCT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS o WHERE starts_with(p.path, o.path || '/'))",
+    "version_match": f"WITH {fed_sql('v', 'documents', 'v1, v2', VERSIONS, TWO_VERSIONS)}, s AS (SELECT *, list_transform((string_split(v1, '.') || ['0', '0'])[1:3], lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN x::INT ELSE 0 END) AS a, list_transform((string_split(v2, '.') || ['0', '0'])[1:3], lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN x::INT ELSE 0 END) AS b FROM v) SELECT v1, v2, array_to_string(a, '.') AS parts, a[1:2] = b[1:2] AS matched FROM s",
     "intent_route": _INTENT,
     "query_expand": rf"""WITH {_ASKED}, {_SYNONYMS}, w AS (SELECT query_id, question, lower(question) AS low, unnest(regexp_split_to_array(lower(question), '\s+')) AS word FROM asked),
 x AS (SELECT query_id, question AS term FROM asked UNION SELECT query_id, unnest(vs) FROM asked JOIN syn ON lower(question) = k UNION SELECT query_id, unnest(vs) FROM w JOIN syn ON word = k UNION SELECT query_id, replace(low, k, s) FROM (SELECT query_id, low, k, unnest(vs) AS s FROM w JOIN syn ON word = k))
 SELECT query_id, string_agg(term, '|' ORDER BY term) AS terms FROM x GROUP BY query_id""",
     "relationship_entity": rf"""WITH {_ASKED}, n AS (SELECT query_id, list_filter(regexp_extract_all(question, '[\p{{L}}\p{{M}}\p{{Nd}}_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z0-9_]+')) AS names FROM asked) SELECT query_id, coalesce(list_filter(names, lambda x: regexp_matches(x, '^[FAUET]'))[1], names[1]) AS entity FROM n""",
-    "related_entities": f"WITH {_SYNONYMS}, t AS (SELECT k AS term, vs FROM syn UNION ALL SELECT 'Trace', vs FROM syn WHERE k = 'trace') SELECT term, unnest(vs) AS entity FROM t",
+    "related_entities": f"WITH {_SYNONYMS}, t AS (SELECT k AS term FROM syn UNION VALUES ('Trace'), ('nothing') UNION SELECT unnest(string_split(lower(text), ' ')) FROM benchmark) SELECT term, unnest(vs) AS entity FROM t JOIN syn ON lower(term) = k",
 }

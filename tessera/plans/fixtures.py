@@ -27,6 +27,18 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + ")"
 
 
+def fed(spark: SparkSession, sf_dir: str, name: str, schema: str, rows: list[tuple], given: list[str]) -> DataFrame:
+    """Stated ``rows`` and, for each row of a test table, what the expressions ``given`` make of it, which Spark and DuckDB read alike."""
+    kinds = [x.rsplit(" ", 1) for x in schema.split(", ")]
+    more = table(spark, sf_dir, name).selectExpr(*(f"CAST({e} AS {kind}) AS {column}" for e, (column, kind) in zip(given, kinds, strict=True)))
+    return spark.createDataFrame(rows, schema).unionByName(more)
+
+
+def fed_sql(cte: str, name: str, columns: str, rows: list[tuple], given: list[str]) -> str:
+    """The same as a common table expression."""
+    return f"{values(cte + '_stated', columns, rows)}, {cte}({columns}) AS (SELECT * FROM {cte}_stated UNION ALL SELECT {', '.join(given)} FROM {name})"
+
+
 #: What a search looks into: the vectors, with paths, entities and flags that their numbers give.
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")

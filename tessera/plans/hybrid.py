@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.naming import norm_path
-from ..operators import chunking, definitions, enrich, formats, intent, relations, scoring
+from ..operators import chunking, definitions, enrich, formats, intent, late, relations, scoring
 from ..operators.embed import Encoder, HashEncoder, embed
 from ..operators.filters import matches, parsed
 
@@ -29,7 +30,7 @@ SETTLED = 10_000
 @dataclass
 class Index:
     """What questions are answered from: chunks with their text, entities and vectors, and all definitions. Questions are encoded
-    by ``encoder``, or by the one of ``encoders`` that they name as their model."""
+    by ``encoder``, or by the one of ``encoders`` that they name as their model. reranker: a column of scores from question and text; late interaction by default."""
 
     chunks: DataFrame
     definitions: DataFrame
@@ -37,6 +38,7 @@ class Index:
     encoders: dict[str, Encoder] = field(default_factory=dict)
     encoded: OrderedDict = field(default_factory=OrderedDict, repr=False)
     names: DataFrame | None = field(default=None, repr=False)
+    reranker: Callable[[Column, Column], Column] | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, files: DataFrame, encoder: Encoder | None = None, encoders: dict[str, Encoder] | None = None, **options) -> Index:
@@ -49,7 +51,7 @@ class Index:
     def kept(self) -> Index:
         """The same, computed once for all plans of the session (an index that is to last is a written store)."""
         defs = self.definitions.persist()
-        return Index(self.chunks.persist(), defs, self.encoder, self.encoders, names=definitions.names_of(defs).persist())
+        return Index(self.chunks.persist(), defs, self.encoder, self.encoders, names=definitions.names_of(defs).persist(), reranker=self.reranker)
 
     def release(self) -> None:
         """Frees what ``kept`` holds."""
@@ -118,7 +120,8 @@ def find_chunks(q: DataFrame, index: Index, files_once: bool = False, use_rerank
     hits = scoring.search(index.chunks, asked, most or 1, files_once=files_once, where=matches(F.col("f")), n=n)
     plain = hits.where(~F.col("again") & (F.col("rank") <= F.col("top_k")))
     if some:
-        best = scoring.rerank(hits.where(F.col("again") & (F.col("rank") <= F.col("top_k") * RERANKED)).drop("rank"), most)
+        # of each question only its over-fetched hits reach the scorer
+        best = scoring.rerank(hits.where(F.col("again") & (F.col("rank") <= F.col("top_k") * RERANKED)).drop("rank"), most, index.reranker or late.scorer())
         plain = plain.unionByName(best.where(F.col("rank") <= F.col("top_k")), allowMissingColumns=True)
     return plain.select("query_id", "rank", F.struct("path", "chunk_index", "total_chunks", "score", F.coalesce("origin", F.lit("engine")), "entities").cast(formats.SEMANTIC).alias("s"))
 

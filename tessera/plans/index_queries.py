@@ -14,7 +14,7 @@ from ..sources.snapshots import Store
 from ..streaming import batch_stream
 from . import hybrid
 from .code_queries import _INTENT
-from .fixtures import CODE_SQL, FILES, code, files, table, values
+from .fixtures import CODE_SQL, FILES, code, fed, fed_sql, files, table, values
 
 #: The new state of documents: every tenth is edited, every seventh is gone, and there are two more.
 MORE = [(-1, "new/one.h"), (-2, "new/two.md")]
@@ -59,16 +59,24 @@ FOUND = [(0, "/eng/Hitresult.H"), (0, "fhitresult"), (1, "/a/b.h"), (2, "LineTra
 FOUND_B = [(0, "fhitresult"), (1, "AActorBase"), (2, "nothing else"), (4, "X.h")]
 
 
-def _evaluate(spark: SparkSession, found: list[tuple]) -> DataFrame:
-    return reports.evaluate(spark.createDataFrame(CASES, "case_id long, expected array<string>"), spark.createDataFrame(found, "case_id long, item string"))
+#: Five documents in a row are a case: those with even numbers are expected, and a length picks those found.
+CASE_OF, FOUND_IF = "CAST((doc_id - doc_id % 5) / 5 + 100 AS BIGINT)", {"base": "n_chars % 3 <> 0", "other": "n_chars % 3 <> 1"}
+
+
+def _evaluate(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
+    f = files(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    cases = f.where("doc_id % 2 = 0").groupBy(F.expr(CASE_OF).alias("case_id")).agg(F.collect_list("path").alias("expected"))
+    found = f.where(FOUND_IF[variant]).select(F.expr(CASE_OF).alias("case_id"), F.upper("path").alias("item"))
+    stated = FOUND if variant == "base" else FOUND_B
+    return reports.evaluate(cases.unionByName(spark.createDataFrame(CASES, "case_id long, expected array<string>")), found.unionByName(spark.createDataFrame(stated, "case_id long, item string")))
 
 
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evaluate(spark, FOUND)
+    return _evaluate(spark, sf_dir, "base")
 
 
 def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = reports.compare({"base": _evaluate(spark, FOUND), "other": _evaluate(spark, FOUND_B)}, 0.4)
+    c = reports.compare({v: _evaluate(spark, sf_dir, v) for v in FOUND_IF}, 0.4)
     return c.withColumns({x: F.round(x, 6) for x in ("avg_precision", "avg_recall")})
 
 
@@ -88,13 +96,25 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = ['{"question": "FHitInfo members", "top_k": 3}', "", '{"question": "how do wheels work", "scope": "all", "filter": "file:header"}', "not json", '{"question": "AThing", "filter": "type:wrong"}', "[1, 2]", '{"top_k": 2}', '{"question": "x"']
 
 
+#: A line for each turn of all conversations: questions, some with a filter, and what is no question.
+TURN_LINES = [
+    "1000000 + conv_id * 1000 + turn",
+    """CASE conv_id % 5 WHEN 0 THEN concat('{"question": "struct F', conv_id, '", "top_k": ', turn + 1, '}') WHEN 1 THEN concat('{"question": "w', turn, '", "filter": "type:', CASE turn % 2 WHEN 0 THEN 'struct' ELSE 'wrong' END, '"}')
+WHEN 2 THEN concat('not json ', conv_id) WHEN 3 THEN concat('[', turn, ']') ELSE '  ' END""",
+]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fed(spark, sf_dir, "conversations", "query_id long, value string", list(enumerate(LINES)), TURN_LINES)
+
+
 def batch_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(LINES)), "query_id long, value string")
+    lines = _lines(spark, sf_dir)
     return sources.parse_batch(lines).select("query_id", "question", "top_k", "scope", "filter", "status")
 
 
 def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(LINES)), "query_id long, value string")
+    lines = _lines(spark, sf_dir)
     out = hybrid.run_batch(sources.parse_batch(lines), hybrid.Index.build(code(spark, sf_dir), most_chars=None).kept())
     return out.groupBy("status").agg(F.count("*").alias("n"))
 
@@ -108,44 +128,70 @@ CHECKS = [("a", 1, True, 1.0, None, None), ("a", 2, True, 0.5, None, "Missing so
           ("b", 1, False, 0.0, "Invalid engine path", None), ("b", 2, True, 1.0, None, None), ("c", 1, True, 1.0, None, None), ("c", 2, True, 1.0, None, None), ("c", 3, True, 1.0, None, None), ("c", 4, True, 1.0, None, None)]
 
 
+#: Six documents in a row are an installation, each a check.
+DOC_CHECKS = ["concat('i', CAST((doc_id - doc_id % 6) / 6 AS BIGINT))", "doc_id % 6 + 1", "doc_id % 4 <> 0", "(doc_id % 5) / 4.0", "CASE WHEN doc_id % 4 = 0 THEN concat('issue ', doc_id) END", "CASE WHEN n_chars % 7 = 0 THEN concat('warning ', doc_id) END"]
+
+
 def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = reports.health(spark.createDataFrame(CHECKS, "install string, check_no int, passed boolean, score double, issue string, warning string"))
-    return h.select("install", "valid", "health_score", F.array_join("issues", ";").alias("issues"), F.array_join("warnings", ";").alias("warnings"), F.col("checks_passed").cast("int"), F.col("checks_total").cast("int"))
+    h = reports.health(fed(spark, sf_dir, "documents", "install string, check_no int, passed boolean, score double, issue string, warning string", CHECKS, DOC_CHECKS))
+    return h.select("install", "valid", F.round("health_score", 6).alias("health_score"), F.array_join("issues", ";").alias("issues"), F.array_join("warnings", ";").alias("warnings"), F.col("checks_passed").cast("int"), F.col("checks_total").cast("int"))
 
 
 INSTALLS = [("/ue/5.3", "registry", 2), ("/ue/5.3", "env", 3), ("/ue/5.3", "scan", 1), ("/ue/5.4", "scan", 1), ("/ue/4", "b", 1), ("/ue/4", "a", 1)]
 
 
+DOC_INSTALLS = ["concat('/doc/', CAST((doc_id - doc_id % 3) / 3 AS BIGINT))", "lang", "n_chars % 4"]
+
+
 def install_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.best_installs(spark.createDataFrame(INSTALLS, "engine_root string, source string, priority int"))
+    return reports.best_installs(fed(spark, sf_dir, "documents", "engine_root string, source string, priority int", INSTALLS, DOC_INSTALLS))
 
 
 LISTING = [("/x", p) for p in ("Source", "Config", "Content", "Binaries")] + [("/y", "Engine"), ("/y", "Engine/Source"), ("/y", "GenerateProjectFiles.bat"), ("/z", "GenerateProjectFiles.bat"), ("/z", "Engine/Source"), ("/no", "Source")]
 
 
+#: Each document is a root; the digits of its number say what lies in it.
+MARKS = [x for _, xs, _ in reports.LAYOUTS for x in xs]
+DOC_LISTING = ", ".join(f"CASE WHEN (doc_id + 300) % {2 ** (j + 1)} >= {2**j} THEN '{m}' END" for j, m in enumerate(dict.fromkeys(MARKS)))
+
+
 def layout_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.layouts(spark.createDataFrame(LISTING, "root string, path string"))
+    """Of the stated roots and of all documents."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("/d"), F.col("doc_id").cast("string")).alias("root"), F.explode(F.array_compact(F.expr(f"array({DOC_LISTING})"))).alias("path"))
+    return reports.layouts(spark.createDataFrame(LISTING, "root string, path string").unionByName(d))
 
 
 RUNS = [("mini", 1.3, 384), ("coder", 2.6, 768), ("base", 1.3, 768)]
 
 
+EVENT_RUNS = ["concat('m', user_id % 1000, event_type)", "value + 0.5", "user_id"]
+
+
 def fastest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.fastest(spark.createDataFrame(RUNS, "model string, encode_s double, dim int"))
+    return reports.fastest(fed(spark, sf_dir, "events", "model string, encode_s double, dim int", RUNS, EVENT_RUNS))
 
 
 PROGRESS = ["Discovering source files", "Found 12 files", "Processing files (3/12)...", "Chunking", "Embedding batch 5/10", "batch at 37.5%", "Embedding", "Saving", "Done", "other"]
 
 
+DOC_LINES = [
+    """CASE doc_id % 6 WHEN 0 THEN concat('Processing files (', doc_id % 97, '/', 97 + n_chars % 5, ')...') WHEN 1 THEN concat('Embedding batch ', n_chars % 50, '/', n_chars % 51) WHEN 2 THEN concat('batch at ', n_chars % 100, '.5%')
+WHEN 3 THEN concat('Found ', doc_id, ' files') WHEN 4 THEN concat('Chunking ', doc_id) ELSE concat('other ', doc_id) END"""
+]
+
+
 def index_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in PROGRESS], "line string").withColumn("p", reports.progress(F.col("line"))).select("line", "p.percent", "p.message")
+    return fed(spark, sf_dir, "documents", "line string", [(x,) for x in PROGRESS], DOC_LINES).withColumn("p", reports.progress(F.col("line"))).select("line", "p.percent", "p.message")
 
 
 LISTED = [("/e/Source/Runtime/Phys/Phys.Build.cs",), ("/e/Source/Runtime/Phys/Inner/Inner.Build.cs",), ("/e/Source/Top.Build.cs",), ("/e/Source/Runtime/Phys/Inner/Public/A.h",), ("/e/Source/Runtime/Phys/Private/B.cpp",), ("/e/Source/Runtime/Other/C.h",), ("/x/D.h",), ("/e/Source/E.h",)]
 
 
+DOC_SOURCES = ["CASE WHEN doc_id % 9 = 0 THEN concat('/e/Source/Runtime/M', doc_id % 20, '/N', doc_id % 20, '.Build.cs') ELSE concat('/e/Source/Runtime/M', doc_id % 23, '/Private/', doc_id, '.cpp') END"]
+
+
 def module_build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = spark.createDataFrame(LISTED, "path string")
+    listing = fed(spark, sf_dir, "documents", "path string", LISTED, DOC_SOURCES)
     return enrich.modules(listing.where("path NOT LIKE '%.Build.cs'"), listing)
 
 
@@ -233,14 +279,15 @@ QUERIES = {f.__name__: f for f in (ignored_tree, store_snapshots, conversation_s
 _NEW = FILES + ", new AS (SELECT doc_id, path, origin, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS text FROM files WHERE doc_id % 7 <> 3 UNION ALL " + " UNION ALL ".join(f"SELECT {i}, '{p}', 'engine', 'new text'" for i, p in MORE) + ")"
 
 
-def _eval_sql(found: list[tuple], name: str) -> str:
-    cases = values(f"c{name}", "case_id, expected", [(i, x) for i, x in CASES if x]) if CASES else ""
-    return f"""{cases}, {values(f"f{name}", "case_id, item", found)},
-w{name} AS (SELECT case_id, unnest(list_distinct(expected)) AS x FROM c{name}), h{name} AS (SELECT case_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM f{name} f WHERE f.case_id = w.case_id AND contains(lower(item), lower(x)))) AS found FROM w{name} w GROUP BY case_id),
+def _eval_sql(variant: str, name: str) -> str:
+    cases, stated = values(f"c{name}", "case_id, expected", [(i, x) for i, x in CASES if x]), FOUND if variant == "base" else FOUND_B
+    return f"""{cases}, {values(f"g{name}", "case_id, item", stated)}, d{name} AS (SELECT {CASE_OF} AS case_id, f.doc_id, path, n_chars FROM files f JOIN documents USING (doc_id)),
+f{name} AS (SELECT case_id, lower(item) AS item FROM g{name} UNION SELECT case_id, lower(path) FROM d{name} WHERE {FOUND_IF[variant]}),
+w{name} AS (SELECT case_id, unnest(list_distinct(expected)) AS x FROM c{name} UNION SELECT case_id, path FROM d{name} WHERE doc_id % 2 = 0), h{name} AS (SELECT case_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM f{name} f WHERE f.case_id = w.case_id AND contains(item, lower(x)))) AS found FROM w{name} w GROUP BY case_id),
 e{name} AS (SELECT case_id::BIGINT AS case_id, found / 5 AS precision, found / n AS recall FROM h{name} UNION ALL SELECT {next(i for i, x in CASES if not x)}::BIGINT, 0.0, 0.0)"""
 
 
-_BATCH_SQL = f"""{values("v", "query_id, value", list(enumerate(LINES)))},
+_BATCH_SQL = f"""{fed_sql("v", "conversations", "query_id, value", list(enumerate(LINES)), TURN_LINES)},
 j AS (SELECT query_id, value, json_valid(value) AND coalesce(json_type(CASE WHEN json_valid(value) THEN value ELSE 'null' END), '') = 'OBJECT' AS good FROM v WHERE trim(value) <> ''),
 b AS (SELECT query_id::BIGINT AS query_id, good, CASE WHEN good THEN coalesce(value->>'question', '') END AS question, CASE WHEN good THEN coalesce((value->>'top_k')::INT, 5) END AS top_k,
              CASE WHEN good THEN coalesce(value->>'scope', 'engine') END AS scope, CASE WHEN good THEN value->>'filter' END AS filter FROM j)"""
@@ -255,11 +302,11 @@ SELECT origin AS scope, snapshot, path, (spot // 1300)::INT AS chunk_index, vers
     "ignored_tree": rf"""WITH {FILES}, p AS (SELECT path, replace(text, chr(13) || chr(10), chr(10)) AS text, strlen(text) AS bytes, string_split(path, '/') AS s FROM files),
 k AS (SELECT * FROM p WHERE NOT (s[3] GLOB '*7.json') AND NOT (s[1] LIKE '%1' AND (s[2] = 'de' OR s[3] GLOB '[0-3]*.cpp')) AND NOT (s[1] LIKE '%2' AND s[2] = 'en' AND (s[3] GLOB '1*' OR s[3] GLOB '*5.h')))
 SELECT path, 'docs' AS origin, '.' || string_split(path, '.')[-1] AS ext, CASE string_split(path, '.')[-1] WHEN 'md' THEN 'doc' WHEN 'json' THEN 'data' ELSE 'code' END AS category, bytes::BIGINT AS bytes, length(text)::BIGINT AS n_chars, sha256(text) AS sha256 FROM k""",
-    "module_build_files": f"""WITH {values("l", "path", LISTED)}, b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([^/]*)\\.Build\\.cs$', 1) AS name FROM l WHERE path LIKE '%.Build.cs'),
+    "module_build_files": f"""WITH {fed_sql("l", "documents", "path", LISTED, DOC_SOURCES)}, b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([^/]*)\\.Build\\.cs$', 1) AS name FROM l WHERE path LIKE '%.Build.cs'),
 f AS (SELECT path, string_split(path, '/') AS parts FROM l WHERE path NOT LIKE '%.Build.cs'), m AS (SELECT f.path, arg_max(name, length(folder)) AS name FROM f JOIN b ON starts_with(f.path, folder || '/') AND regexp_matches(folder, '/Source/') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) GROUP BY f.path)
 SELECT path, coalesce(name, CASE WHEN list_contains(parts, 'Source') AND len(parts) - list_position(list_reverse(parts), 'Source') + 3 <= len(parts) THEN parts[len(parts) - list_position(list_reverse(parts), 'Source') + 3] ELSE 'Unknown' END) AS module FROM f LEFT JOIN m USING (path)""",
     "stored_chunk_text": f"WITH {FILES}, w AS (SELECT path, text, CASE WHEN length(text) <= 2000 THEN [0] ELSE list_filter(range(0, length(text), 1800), lambda s: s = 0 OR length(text) - s >= 300) END AS starts FROM files) SELECT path, (len(starts) - 1)::INT AS chunk_index, md5(substr(text, starts[-1] + 1, 2000)) AS md5 FROM w",
-    "index_progress": rf"""WITH {values("l", "line", [(x,) for x in PROGRESS])}, n AS (SELECT *, nullif(regexp_extract(line, '(\d+)/(\d+)', 1), '')::INT AS done, nullif(regexp_extract(line, '(\d+)/(\d+)', 2), '')::INT AS total,
+    "index_progress": rf"""WITH {fed_sql("l", "documents", "line", [(x,) for x in PROGRESS], DOC_LINES)}, n AS (SELECT *, nullif(regexp_extract(line, '(\d+)/(\d+)', 1), '')::INT AS done, nullif(regexp_extract(line, '(\d+)/(\d+)', 2), '')::INT AS total,
   nullif(regexp_extract(line, '(\d+(?:\.\d+)?)%', 1), '')::DOUBLE AS share, regexp_matches(line, 'Chunking|Processing') AS files, regexp_matches(line, 'Embedding|(?i:batch)') AS batch FROM l),
 k AS (SELECT *, CASE WHEN regexp_matches(line, 'Discovering|Finding') THEN 1 WHEN contains(line, 'Found') AND contains(line, 'files') THEN 2 WHEN files AND done IS NOT NULL THEN 3 WHEN files THEN 4 WHEN batch AND done IS NOT NULL THEN 5
   WHEN batch AND share IS NOT NULL THEN 6 WHEN batch THEN 7 WHEN regexp_matches(line, 'Saving|Writing') THEN 8 WHEN regexp_matches(line, 'Complete|SUCCESS|Done') THEN 9 END AS step FROM n)
@@ -276,8 +323,8 @@ SELECT path AS file_path, kind AS entity_type, (length(text[1:spot - 1]) - lengt
     "incremental_anti_join": f"WITH {_NEW} SELECT coalesce(n.path, f.path) AS path, sha256(coalesce(n.text, f.text)) AS sha256, CASE WHEN f.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN n.text = f.text THEN 'unchanged' ELSE 'edited' END AS state FROM new n FULL JOIN files f ON n.path = f.path",
     "incremental_rebuild": f"WITH {_NEW} SELECT n.path, n.origin, sha256(n.text) AS sha256, length(n.text)::INT AS chars, CASE WHEN f.text IS NOT DISTINCT FROM n.text THEN 'old' ELSE 'new' END AS run FROM new n LEFT JOIN files f ON n.path = f.path",
     "safety_brake": f"WITH {_NEW}, o AS (SELECT count(*) AS n FROM files WHERE origin = 'engine') SELECT o.n AS old_engine_chunks, (SELECT count(*) FROM new WHERE origin = 'engine') AS new_engine_files, false AS abort, 'whole' AS run FROM o UNION ALL SELECT o.n, 0, o.n > 100, 'lost' FROM o",
-    "precision_recall": f"WITH {_eval_sql(FOUND, '')} SELECT case_id, precision, recall FROM e",
-    "ab_compare": f"WITH {_eval_sql(FOUND, '1')}, {_eval_sql(FOUND_B, '2')}, u AS (SELECT 'base' AS variant, * FROM e1 UNION ALL SELECT 'other', * FROM e2) SELECT variant, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, avg(recall) >= 0.4 AS passed FROM u GROUP BY variant",
+    "precision_recall": f"WITH {FILES}, {_eval_sql("base", "0")} SELECT case_id, precision, recall FROM e0",
+    "ab_compare": f"WITH {FILES}, {_eval_sql("base", "1")}, {_eval_sql("other", "2")}, u AS (SELECT 'base' AS variant, * FROM e1 UNION ALL SELECT 'other', * FROM e2) SELECT variant, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, avg(recall) >= 0.4 AS passed FROM u GROUP BY variant",
     "label_quality": "SELECT lang, count(*) FILTER (length(coalesce(text, '')) > 1000 AND quality = 1) AS hits, count(*) FILTER (length(coalesce(text, '')) > 1000) AS retrieved, count(*) FILTER (quality = 1) AS relevant FROM labels JOIN documents USING (doc_id) GROUP BY lang",
     "context_budget": f"""WITH {FILES}, d AS (SELECT string_split(path, '/')[1] AS query_id, doc_id, '    <definition name="D' || doc_id || '" file="' || path || '">' || chr(10) || text || chr(10) || '    </definition>' AS entry FROM files WHERE text <> ''),
 s AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY doc_id) AS upto FROM d), c AS (SELECT query_id, '<context>' || chr(10) || string_agg(entry, chr(10) ORDER BY doc_id) || chr(10) || '</context>' AS context FROM s WHERE upto <= 6000 GROUP BY query_id)
@@ -287,11 +334,11 @@ SELECT query_id, length(context)::INT AS chars, md5(context) AS md5 FROM c""",
 w AS (SELECT DISTINCT query_id FROM p WHERE NOT regexp_matches(trim(part), '^(type:(struct|class|enum|function|delegate)|macro:(UPROPERTY|UCLASS|UFUNCTION|USTRUCT)|origin:(engine|project)|file:(header|implementation)|entity:\\w+|boost:(macros|entity|entities))$'))
 SELECT CASE WHEN good AND w.query_id IS NULL THEN 'success' ELSE 'error' END AS status, count(*) AS n FROM b LEFT JOIN w USING (query_id) GROUP BY 1""",
     "event_log_counts": "SELECT event_type, date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS n, count(DISTINCT user_id) AS users, sum(floor(value))::BIGINT AS whole_value, sum(len(json_keys(props)))::BIGINT AS props FROM events GROUP BY 1, 2",
-    "health_score": f"""WITH {values("c", "install, check_no, passed, score, issue, warning", CHECKS)}, k AS (SELECT *, bool_or(check_no = 1 AND NOT passed) OVER (PARTITION BY install) AS gone FROM c), s AS (SELECT * FROM k WHERE NOT gone OR check_no = 1)
-SELECT install, bool_and(passed) AS valid, CASE WHEN bool_or(gone) THEN 0 ELSE avg(score) END::DOUBLE AS health_score, coalesce(string_agg(issue, ';' ORDER BY check_no), '') AS issues, coalesce(string_agg(warning, ';' ORDER BY check_no), '') AS warnings, (count(*) FILTER (passed))::INT AS checks_passed, CASE WHEN bool_or(gone) THEN 4 ELSE count(*) END::INT AS checks_total FROM s GROUP BY install""",
-    "install_dedup": f"WITH {values('i', 'engine_root, source, priority', INSTALLS)} SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY engine_root ORDER BY priority DESC, source) = 1",
-    "layout_profiles": f"""WITH {values("t", "root, path", LISTING)}, {values("m", "no, layout, path, n, sub", [(i, name, x, len(xs), sub) for i, (name, xs, sub) in enumerate(reports.LAYOUTS) for x in xs])},
+    "health_score": f"""WITH {fed_sql("c", "documents", "install, check_no, passed, score, issue, warning", CHECKS, DOC_CHECKS)}, k AS (SELECT *, bool_or(check_no = 1 AND NOT passed) OVER (PARTITION BY install) AS gone FROM c), s AS (SELECT * FROM k WHERE NOT gone OR check_no = 1)
+SELECT install, bool_and(passed) AS valid, round(CASE WHEN bool_or(gone) THEN 0 ELSE avg(score) END::DOUBLE, 6) AS health_score, coalesce(string_agg(issue, ';' ORDER BY check_no), '') AS issues, coalesce(string_agg(warning, ';' ORDER BY check_no), '') AS warnings, (count(*) FILTER (passed))::INT AS checks_passed, CASE WHEN bool_or(gone) THEN 4 ELSE count(*) END::INT AS checks_total FROM s GROUP BY install""",
+    "install_dedup": f"WITH {fed_sql('i', 'documents', 'engine_root, source, priority', INSTALLS, DOC_INSTALLS)} SELECT engine_root, source, priority::INT AS priority FROM i QUALIFY row_number() OVER (PARTITION BY engine_root ORDER BY priority DESC, source) = 1",
+    "layout_profiles": f"""WITH {values("t0", "root, path", LISTING)}, t AS (SELECT * FROM t0 UNION ALL SELECT root, path FROM (SELECT '/d' || doc_id AS root, unnest([{DOC_LISTING}]) AS path FROM documents) WHERE path IS NOT NULL), {values("m", "no, layout, path, n, sub", [(i, name, x, len(xs), sub) for i, (name, xs, sub) in enumerate(reports.LAYOUTS) for x in xs])},
 f AS (SELECT root, no, layout, sub FROM (SELECT DISTINCT root, path FROM t) JOIN m USING (path) GROUP BY root, no, layout, sub, n HAVING count(*) = n)
 SELECT root, layout, CASE WHEN sub = '' THEN root ELSE root || '/' || sub END AS engine_root FROM f QUALIFY row_number() OVER (PARTITION BY root ORDER BY no) = 1""",
-    "fastest_model": f"WITH {values('r', 'model, encode_s, dim', RUNS)} SELECT model, encode_s::DOUBLE AS encode_s FROM r ORDER BY encode_s, model LIMIT 1",
+    "fastest_model": f"WITH {fed_sql('r', 'events', 'model, encode_s, dim', RUNS, EVENT_RUNS)} SELECT model, encode_s::DOUBLE AS encode_s FROM r ORDER BY encode_s, model LIMIT 1",
 }

@@ -390,3 +390,66 @@ def test_reasons_for_an_intent(spark, index):
         "Explicit definition query detected: struct FHitInfo", "Function definition query detected: Tick", "Bare entity name detected: struct FVector",
         "Detected entity 'FHitInfo' with definition keywords, using hybrid search", "Conceptual question detected, using semantic search", "File/Location query detected", "No strong indicators, defaulting to semantic search", None,
     ]
+
+
+def test_late_interaction(spark, index):
+    """Against plain loops, and in an answer, where both scores stay and only over-fetched hits are looked at."""
+    from tessera.operators import late, scoring
+
+    enc = late.TokenEncoder()
+    assert enc.tokens("FHitResult's wheelRPM2 x_y é") == ["f", "hit", "result", "s", "wheel", "rpm", "2", "x", "_", "y", "é"]
+    texts = ["The hitting result of wheels", "", None, "nothing near", "FHitResult", "wheel " * 5000 + "hit", "é"]
+    rows = [(q, i, t) for q in ("hit results", "FHitResult wheels", "", None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(str(q), 1.0 / (i + 1), i, q, t or "", "p") for q, i, t in rows], "query_id string, score double, chunk_id int, question string, chunk_text string, path string")
+
+    def plain(q, t):
+        a, b = (list(dict.fromkeys(enc.tokens(x))) for x in (q, t))
+        return sum(max(float(enc.vector(x) @ enc.vector(y)) for y in b) for x in a) / len(a) if a and b else 0.0
+
+    got = scoring.rerank(df, 10, late.scorer()).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.rerank_score - plain(r.question, r.chunk_text)) < 1e-9 and r.vector_score == 1.0 / (r.chunk_id + 1) and r.score == r.rerank_score
+    order = [r.chunk_text for r in sorted((r for r in got if r.query_id == "hit results"), key=lambda r: r["rank"])]
+    assert order[0] == "FHitResult" and order.index("The hitting result of wheels") < order.index("nothing near")
+    out = ask(spark, index, "how do wheels work", use_reranker=True)[0].semantic_results
+    assert len(out) == 3 and [s.score for s in out] == sorted((s.score for s in out), reverse=True)
+
+
+def test_requests_that_come_together(spark, index):
+    """Concurrent requests share plans; each has its own answer, a bad one fails alone, and they are faster than one after the other."""
+    import threading
+    import time
+
+    asked = ["struct FHitInfo", "how do wheels work", "class AThing", "EChannel", "FPlain members", "where is the wheel header"] * 4
+    alone = {q: server.search(spark, index, q, 2, "all") for q in set(asked)}
+    g = server.Gatherer(spark, index, wait_s=0.2, workers=2)
+    got: dict[int, dict] = {}
+    began = time.perf_counter()
+    threads = [threading.Thread(target=lambda i=i, q=q: got.update({i: g.search(q, 2, "all")})) for i, q in enumerate(asked)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    together = time.perf_counter() - began
+    for i, q in enumerate(asked):
+        assert {k: v for k, v in got[i].items() if k != "timing"} == {k: v for k, v in alone[q].items() if k != "timing"}
+    assert sum(g.sizes) == len(asked) and len(g.sizes) <= 6 and max(r["timing"]["answered_together"] for r in got.values()) > 4
+    assert together < sum(alone[q]["timing"]["total_s"] for q in asked)
+    # a model that isn't known fails its own request alone
+    results: dict[str, object] = {}
+
+    def try_(q, model):
+        try:
+            results[q] = g.search(q, 2, "all", model)
+        except Exception as e:
+            results[q] = e
+
+    threads = [threading.Thread(target=try_, args=x) for x in (("struct FHitInfo", None), ("class AThing", "unknown"))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert isinstance(results["class AThing"], Exception) and results["struct FHitInfo"]["results"]
+    g.close()
+    assert not any(w.is_alive() for w in g.workers)
