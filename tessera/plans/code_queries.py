@@ -249,7 +249,21 @@ u AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY query_id, file_pat
 SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY q DESC, file_path, line_start)::INT AS rank, file_path, line_start, entity_name, round(q, 6)::DOUBLE AS match_quality FROM u"""
 
 
+def _tree_sql() -> str:
+    """Trees and JSON, written out by hand."""
+    member = lambda p, macro: f"list_transform(regexp_extract_all(block, '{p}'), lambda x: {{'name': regexp_extract(x, '{p}', 2), 'type': regexp_extract(x, '{p}', 1), 'macro': {macro}}})"
+    parents = _INHERITS[_INHERITS.index("list_filter") : _INHERITS.rindex(") AS dst")]
+    return f"""WITH {CODE_SQL}, {_HEADS}, a AS (SELECT path, src, {parents} AS inherits, {member(_MARK, "'UPROPERTY'::VARCHAR")} || {member(_PLAIN, "NULL::VARCHAR")} AS xs FROM g QUALIFY row_number() OVER (PARTITION BY src ORDER BY path) = 1),
+b AS (SELECT path, src, inherits, list_filter(xs, lambda x, i: list_position(list_transform(xs, lambda y: y.name), x.name) = i) AS ms FROM a)
+SELECT src AS entity, src || chr(10) || '+-- Inherits: ' || CASE WHEN len(inherits) > 0 THEN array_to_string(inherits, ', ') ELSE '(none)' END || chr(10) || CASE WHEN len(ms) > 0 THEN '+-- Contains (' || len(ms) || ' members):' || chr(10)
+  || array_to_string(list_transform(ms, lambda m: '|   +-- ' || m.type || ' ' || m.name || coalesce(' (' || m.macro || ')', '') || CASE WHEN contains(m.type, 'Component') THEN ' [Component]' ELSE '' END), chr(10)) ELSE '+-- Contains: (no members)' END || chr(10) || '+-- Defined in: ' || path AS tree,
+  '{{"entity":"' || src || '","relationships":{{"inherits":[' || array_to_string(list_transform(inherits, lambda p: '"' || p || '"'), ',') || '],"contains":[' || array_to_string(list_transform(ms, lambda m: '{{"name":"' || m.name || '","type":"' || m.type || '","macro":'
+  || coalesce('"' || m.macro || '"', 'null') || ',"is_component":' || contains(m.type, 'Component') || ',"is_pointer":' || contains(m.type, '*') || '}}'), ',') || ']}},"metadata":{{"defined_in":"' || path || '","has_ue5_macros":' || (len(list_filter(ms, lambda m: m.macro IS NOT NULL)) > 0)
+  || ',"has_components":' || (len(list_filter(ms, lambda m: contains(m.type, 'Component'))) > 0) || ',"member_count":' || len(ms) || ',"parent_count":' || len(inherits) || '}}}}' AS json FROM b"""
+
+
 SQL = {
+    "relationship_tree": _tree_sql(),
     "definition_lookup": _lookup_sql(),
     "definition_kinds": f"WITH {CODE_SQL}, {_STARTS} SELECT file_path, entity_type, entity_name, line_start FROM defs",
     "entity_extract": f"WITH {CODE_SQL}, {_ENTITIES} SELECT path, array_to_string(entities, ',') AS entities, array_to_string((CASE WHEN len(c) > 0 THEN ['class'] ELSE [] END) || (CASE WHEN len(n) > 0 THEN ['enum'] ELSE [] END) || (CASE WHEN len(s) > 0 THEN ['struct'] ELSE [] END), ',') AS entity_types FROM d",

@@ -292,7 +292,15 @@ j AS (SELECT query_id, value, json_valid(value) AND coalesce(json_type(CASE WHEN
 b AS (SELECT query_id::BIGINT AS query_id, good, CASE WHEN good THEN coalesce(value->>'question', '') END AS question, CASE WHEN good THEN coalesce((value->>'top_k')::INT, 5) END AS top_k,
              CASE WHEN good THEN coalesce(value->>'scope', 'engine') END AS scope, CASE WHEN good THEN value->>'filter' END AS filter FROM j)"""
 
+#: CRC-32 of a word's bytes, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(hex), 2), lambda i: ('0x' || hex[i + 1:i + 2])::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
 SQL = {
+    "embed_reuse": rf"""WITH {FILES}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS word FROM files), n AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
+p AS (SELECT word, lower(unnest([word] || regexp_extract_all(word, '[A-Z]?[a-z0-9]+'))) AS part FROM (SELECT DISTINCT word FROM n)), h AS (SELECT part, hex(encode(part)) AS hex FROM (SELECT DISTINCT part FROM p)), c AS (SELECT part, {_CRC} AS crc FROM h),
+s AS (SELECT doc_id, crc % 64 AS i, sum(n * CASE WHEN crc >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM n JOIN p USING (word) JOIN c USING (part) GROUP BY ALL), z AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY doc_id),
+a AS (SELECT f.doc_id, r.i, CASE WHEN norm > 0 THEN (coalesce(x, 0) / norm)::FLOAT ELSE 0::FLOAT END AS v FROM files f CROSS JOIN range(64) AS r(i) LEFT JOIN z ON z.doc_id = f.doc_id LEFT JOIN s ON s.doc_id = f.doc_id AND s.i = r.i)
+SELECT doc_id, 64 AS dim, md5(string_agg(round(v * 1000::FLOAT)::INT::VARCHAR, ',' ORDER BY i)) AS digest FROM a GROUP BY doc_id""",
     "conversation_stream": f"""WITH i AS ({_INTENT}), c AS (SELECT *, conv_id * 1000 + turn + 1000000 AS query_id, (conv_id + turn) % 9 = 4 AS broken, turn = 2 AND conv_id % 2 = 1 AS wrong FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, CASE WHEN broken OR wrong THEN 'error' ELSE 'success' END AS status, CASE WHEN NOT (broken OR wrong) THEN i.type END AS type, CASE WHEN NOT (broken OR wrong) AND conv_id % 3 = 0 THEN i.reasoning END AS reasoning FROM c JOIN i USING (query_id)""",
     "store_snapshots": f"""WITH {_NEW}, s AS (SELECT 1 AS snapshot, path, origin, text, 1 AS version FROM files

@@ -321,6 +321,7 @@ def with_long_text(spark, sf_dir, tmp_path_factory):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     long = docs.where("source LIKE '%1'").limit(1).withColumns({"doc_id": F.lit(10**6), "text": F.concat(F.repeat(F.lit("a b c d e\n"), 13_000), F.lit("\nstruct FLast { int32 X; };"))})
     docs.limit(30).unionByName(long).write.parquet(str(top / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(20).write.parquet(str(top / "conversations.parquet"))
     return str(top)
 
 
