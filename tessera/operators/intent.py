@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,8 +200,14 @@ def expand(question: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(question), related(question), F.flatten(of_words))))
 
 
+@cache
+def _intent_of(column: str) -> Column:
+    """Some hundred expressions, made once."""
+    return intent(F.col(column))
+
+
 def with_intent(questions: DataFrame, column: str = "question") -> DataFrame:
-    return questions.withColumn("intent", intent(F.col(column)))
+    return questions.withColumn("intent", _intent_of(column))
 
 
 def with_terms(questions: DataFrame, column: str = "question") -> DataFrame:

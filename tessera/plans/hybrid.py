@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -126,10 +127,36 @@ def find_chunks(q: DataFrame, index: Index, files_once: bool = False, use_rerank
     return plain.select("query_id", "rank", F.struct("path", "chunk_index", "total_chunks", "score", F.coalesce("origin", F.lit("engine")), "entities").cast(formats.SEMANTIC).alias("s"))
 
 
-def assemble(q: DataFrame, defs: DataFrame, sems: DataFrame) -> DataFrame:
+class Watch:
+    """Counters of one answer, taken by Spark while its own job runs, without another: questions, definitions and chunks found, and seconds of its phases.
+    Those before the job are there at once and in the rows' timing; counts and the job's seconds when the answer's first action is over."""
+
+    def __init__(self):
+        self.seconds: dict[str, float] = {}
+        self.began = time.perf_counter()
+        self.seen = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in ("questions", "definitions", "chunks")}
+
+    def phase(self, name: str) -> None:
+        """What went on since the last phase, or the start, was ``name``."""
+        self.seconds[name] = time.perf_counter() - self.began - sum(self.seconds.values())
+
+    def watched(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.observe(self.seen[name], F.count("*").alias("rows"))
+
+    def counts(self) -> dict[str, int]:
+        """Waits for the first action on the answer."""
+        return {name: seen.get["rows"] for name, seen in self.seen.items()}
+
+    def timing(self) -> Column:
+        return F.create_map(*(F.lit(x) for kv in self.seconds.items() for x in kv)) if self.seconds else F.create_map().cast("map<string, double>")
+
+
+def assemble(q: DataFrame, defs: DataFrame, sems: DataFrame, watch: Watch | None = None) -> DataFrame:
     """A row for each analysed question, with its results in order and combined: definitions, then the semantic hits whose path no
     definition has, cut to top_k; a question without definitions keeps all of its semantic hits. One that asks for a definition
     has semantic hits if it found fewer than FEW_DEFINITIONS."""
+    watch = watch or Watch()
+    q, defs, sems = watch.watched("questions", q), watch.watched("definitions", defs), watch.watched("chunks", sems)
     found = defs.withColumn("s", F.lit(None).cast(formats.SEMANTIC)).unionByName(sems.withColumn("d", F.lit(None).cast(formats.DEFINITION)))
     in_order = lambda x: F.transform(F.array_sort(F.collect_list(F.when(F.col(x).isNotNull(), F.struct("rank", x)))), lambda r: r[x])
     found = found.groupBy("query_id").agg(in_order("d").alias("ds"), in_order("s").alias("ss"))
@@ -142,15 +169,17 @@ def assemble(q: DataFrame, defs: DataFrame, sems: DataFrame) -> DataFrame:
     semantic = lambda xs: F.transform(xs, lambda s: hit("semantic", s["path"], F.lit(None)))
     both = F.slice(F.concat(F.transform("ds", lambda d: hit("definition", d["file_path"], d["entity_name"])), semantic(fresh)), F.lit(1), F.col("top_k"))
     combined = F.when(F.size("ds") > 0, both).otherwise(semantic("ss"))
-    return out.select("query_id", "question", "intent", "expanded_terms", F.col("ds").alias("definition_results"), F.col("ss").alias("semantic_results"), combined.alias("combined_results"), F.create_map().cast("map<string, double>").alias("timing"))
+    return out.select("query_id", "question", "intent", "expanded_terms", F.col("ds").alias("definition_results"), F.col("ss").alias("semantic_results"), combined.alias("combined_results"), watch.timing().alias("timing"))
 
 
-def answer(questions: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False) -> DataFrame:
-    """A row for each question: question, intent, definition_results, semantic_results, combined_results, timing (empty: in a plan for
-    all questions at once no phase has a time of its own; ``timed`` has them). Blank questions have the type unknown and no results.
+def answer(questions: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False, watch: Watch | None = None) -> DataFrame:
+    """A row for each question: question, intent, definition_results, semantic_results, combined_results, timing (the phase before the plan,
+    intent_analysis_s; ``watch`` has the counts of the others, ``timed`` their seconds). Blank questions have the type unknown and no results.
     Definitions and chunks are two branches of one plan, and one aggregate brings them together. More than SETTLED questions stay persisted."""
+    watch = watch or Watch()
     q = analyse(questions, index)
-    return assemble(q, find_definitions(q, index), find_chunks(q, index, files_once, use_reranker))
+    watch.phase("intent_analysis_s")
+    return assemble(q, find_definitions(q, index), find_chunks(q, index, files_once, use_reranker), watch)
 
 
 def timed(questions: DataFrame, index: Index, files_once: bool = False, use_reranker: bool = False) -> DataFrame:
@@ -175,16 +204,19 @@ def timed(questions: DataFrame, index: Index, files_once: bool = False, use_rera
     return out.withColumn("timing", F.create_map(*(F.lit(x) for kv in took.items() for x in kv)))
 
 
-def answer_rows(spark: SparkSession, index: Index, rows: list[tuple], files_once: bool = False, use_reranker: bool = False) -> DataFrame:
+def answer_rows(spark: SparkSession, index: Index, rows: list[tuple], files_once: bool = False, use_reranker: bool = False, watch: Watch | None = None) -> DataFrame:
     """``answer`` for a few questions (question, top_k, scope, model) of the driver, query_id being their place. They are analysed by one job and encoded on the
     driver, where the last ones are kept; nothing is counted, so the answer is one job more."""
+    watch = watch or Watch()
     given = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "query_id long, question string, top_k int, scope string, model string")
     q = understood(given, index)
     held = q.toArrow()
+    watch.phase("intent_analysis_s")
     vectors = [index.encode(text or "", r[3]) for text, r in zip(held["semantic_text"].to_pylist(), (rows[i] for i in held["query_id"].to_pylist()), strict=True)]
     q = spark.createDataFrame(held.append_column("vector", pa.array(vectors, pa.list_(pa.float64()))), StructType([*q.schema, StructField("vector", ArrayType(DoubleType()))]))
+    watch.phase("encode_s")
     most = max((r[1] for r in rows), default=1) * (RERANKED if use_reranker else 1)
-    return assemble(q, find_definitions(q, index, few=True), find_chunks(q, index, files_once, use_reranker, (len(rows), most, use_reranker)))
+    return assemble(q, find_definitions(q, index, few=True), find_chunks(q, index, files_once, use_reranker, (len(rows), most, use_reranker)), watch)
 
 
 def answer_one(spark: SparkSession, index: Index, question: str, top_k: int = 5, scope: str = "engine", model: str | None = None, **options) -> DataFrame:

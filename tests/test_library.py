@@ -454,3 +454,16 @@ def test_requests_that_come_together(spark, index):
     assert isinstance(results["class AThing"], Exception) and results["struct FHitInfo"]["results"]
     g.close()
     assert not any(w.is_alive() for w in g.workers)
+
+
+def test_counts_and_seconds_of_an_answer(spark, index):
+    """By the answer's own job: counters are those of its results, and the phase before it is in its rows."""
+    q = spark.createDataFrame([(i, t, 3, "all") for i, t in enumerate(["struct FHitInfo", "how do wheels work", ""])], "query_id long, question string, top_k int, scope string")
+    watch = hybrid.Watch()
+    rows = hybrid.answer(q, index, watch=watch).collect()
+    counts = watch.counts()
+    assert counts["questions"] == 3 and counts["definitions"] >= sum(len(r.definition_results) for r in rows) > 0
+    assert counts["chunks"] >= sum(len(r.semantic_results) for r in rows) > 0
+    assert all(r.timing.keys() == {"intent_analysis_s"} and r.timing["intent_analysis_s"] == watch.seconds["intent_analysis_s"] > 0 for r in rows)
+    one = hybrid.answer_one(spark, index, "struct FHitInfo", scope="all").first()
+    assert one.timing.keys() == {"intent_analysis_s", "encode_s"}
