@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,19 @@ def with_questions(chunks: DataFrame, questions: DataFrame, most: int = MOST_QUE
     return out
 
 
+@cache
+def _score(boost_macros: bool, logical: bool, strict_parity: bool) -> Column:
+    """The score's expressions, made once."""
+    raw = dense(F.col("embedding"), F.col("vector")) + sparse(F.col("tokens"), F.col("path"), F.col("entities"))
+    return boosted(raw, F.col("boost_entities"), F.col("type"), F.col("path"), F.col("entities"), boost_macros, logical, strict_parity)
+
+
 def scores(chunks: DataFrame, questions: DataFrame, boost_macros: bool = True, logical: bool = True, strict_parity: bool = False, where: Column | None = None, n: int | None = None) -> DataFrame:
     """Every one of ``chunks`` in scope with its score for each row of ``questions(query_id, tokens, vector, boost_entities, type, scope)``.
     where: a further condition over the columns of both."""
     scope = (F.col("scope") == "all") | ((F.col("scope") == "engine") == (F.coalesce(F.col("origin"), F.lit("engine")) == "engine"))
     pairs = with_questions(chunks, questions, n=n).where(scope if where is None else scope & where)
-    raw = dense(F.col("embedding"), F.col("vector")) + sparse(F.col("tokens"), F.col("path"), F.col("entities"))
-    scored = pairs.withColumn("score", boosted(raw, F.col("boost_entities"), F.col("type"), F.col("path"), F.col("entities"), boost_macros, logical, strict_parity))
+    scored = pairs.withColumn("score", _score(boost_macros, logical, strict_parity))
     return scored.drop("vector", "embedding", "tokens")
 
 

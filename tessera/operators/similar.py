@@ -9,6 +9,8 @@ once a name. The score itself, which needs Python, sees what passes.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,25 @@ def forms(names: DataFrame, name: str) -> DataFrame:
     """Two rows for each name: form (0: as it is, 1: without its prefix), and of that form, in lower case, s, n (length), letters, spare (letters beyond
     one for each bit) and grams."""
     both = F.array(F.lower(name), F.lower(strip_prefix(F.col(name))))
-    out = names.select("*", F.posexplode(both).alias("form", "s"))
-    out = out.withColumns({"n": F.length("s"), "letters": _letters(F.col("s")), "grams": F.array_sort(grams(F.col("s")))})
-    return out.withColumn("spare", F.col("n") - F.bit_count("letters"))
+    return names.select("*", F.posexplode(both).alias("form", "s")).withColumns(_signature()).withColumn("spare", F.expr("n - bit_count(letters)"))
+
+
+@cache
+def _signature() -> dict[str, Column]:
+    return {"n": F.length("s"), "letters": _letters(F.col("s")), "grams": F.array_sort(grams(F.col("s")))}
+
+
+@cache
+def _meetings() -> tuple[Column, Column]:
+    """Which pairs of q and c that share a bigram, and which of like length, can reach LEAST; expressions made once."""
+    common, over = F.array_intersect("q.grams", "c.grams"), LEAST - 1e-9
+    near = (F.element_at(common, 1) == F.col("q.gram")) & (_bound(_shared_letters("q", "c"), F.size(common), 0.4, "q", "c") > over)
+    return near, (F.col("q.s") == F.col("c.s")) | (_bound(_shared_letters("q", "c"), F.lit(0), 0.1, "q", "c") > over)
+
+
+@cache
+def _quality() -> Column:
+    return match_quality(F.col("name"), F.col("entity_name"))
 
 
 def _shared_letters(a: str, b: str) -> Column:
@@ -62,7 +80,6 @@ def candidates(asked: DataFrame, names: DataFrame, by: list[str], most_asked: in
     q = forms(asked.select("name", *by).distinct(), "name")
     c = names if "grams" in names.columns else forms(names.select("entity_name", *by).distinct(), "entity_name")
     some = F.broadcast if most_asked is None or q.limit(2 * most_asked + 1).count() <= 2 * most_asked else lambda df: df
-    over = LEAST - 1e-9
 
     def key(*names: str) -> Column:
         out = F.lit(True)
@@ -72,14 +89,13 @@ def candidates(asked: DataFrame, names: DataFrame, by: list[str], most_asked: in
 
     pair = ["q.name", "c.entity_name", *(f"c.{k}" for k in by)]
     gram = lambda df: df.withColumn("gram", F.explode("grams"))
-    common = F.array_intersect("q.grams", "c.grams")
-    met = gram(c).alias("c").join(some(gram(q)).alias("q"), key(*by, "form", "gram")).where(F.element_at(common, 1) == F.col("q.gram"))
-    near = met.where(_bound(_shared_letters("q", "c"), F.size(common), 0.4, "q", "c") > over).select(*pair)
+    can_meet, can_be_apart = _meetings()
+    near = gram(c).alias("c").join(some(gram(q)).alias("q"), key(*by, "form", "gram")).where(can_meet).select(*pair)
     low, high = F.ceil(F.col("n") / RATIO).cast("int"), F.floor(F.col("n") * RATIO).cast("int")
     wide = q.withColumn("length", F.explode(F.sequence(F.least(low, "n"), F.greatest(high, "n"))))
     # without a shared bigram; what has one was met above, and passes here no sooner
     apart = c.withColumn("length", F.col("n")).alias("c").join(some(wide).alias("q"), key(*by, "form", "length"))
-    apart = apart.where((F.col("q.s") == F.col("c.s")) | (_bound(_shared_letters("q", "c"), F.lit(0), 0.1, "q", "c") > over)).select(*pair)
+    apart = apart.where(can_be_apart).select(*pair)
     return near.union(apart).distinct()
 
 
@@ -87,4 +103,4 @@ def similar(asked: DataFrame, names: DataFrame, by: list[str], most_asked: int |
     """(name, entity_name, *by, match_quality) of all pairs with a ``match_quality`` above 0. Nulls match nothing; repeated names are one."""
     asked, names = asked.where("name IS NOT NULL"), names.where("entity_name IS NOT NULL")
     found = candidates(asked, names, by, most_asked)
-    return found.withColumn("match_quality", match_quality(F.col("name"), F.col("entity_name"))).where("match_quality > 0")
+    return found.withColumn("match_quality", _quality()).where("match_quality > 0")

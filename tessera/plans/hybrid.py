@@ -7,6 +7,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,13 +84,18 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(some, rows.schema) if some.num_rows <= SETTLED else rows.persist()
 
 
+@cache
+def _parsed_filter() -> Column:
+    return parsed(F.col("filter"))
+
+
 def understood(questions: DataFrame, index: Index) -> DataFrame:
     """``questions(query_id, question, top_k, scope, ...)`` analysed. Optional columns are filter, use_reranker and model; a filter or model
     that is wrong fails the job."""
     given = {"filter": "string", "use_reranker": "boolean", "model": "string"}
     questions = questions.withColumns({c: F.lit(None).cast(kind) for c, kind in given.items() if c not in questions.columns})
     error = F.coalesce(F.col("parsed_filter.error"), index.model_error(F.col("model")))
-    q = settled(intent.with_intent(questions).withColumn("parsed_filter", parsed(F.col("filter"))))
+    q = settled(intent.with_intent(questions).withColumn("parsed_filter", _parsed_filter()))
     q = q.withColumn("question", F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.col("question")))
     return settled(intent.with_terms(q))
 
@@ -103,6 +109,10 @@ def analyse(questions: DataFrame, index: Index) -> DataFrame:
     return settled(out)
 
 
+#: What ``find_definitions`` gives.
+FOUND = f"query_id long, rank int, d {formats.DEFINITION}"
+
+
 def find_definitions(q: DataFrame, index: Index, few: bool = False) -> DataFrame:
     """(query_id, rank, d) of the definitions of all names that analysed questions ask for. few: they are known to be, and aren't counted."""
     wanted = q.select("query_id", "scope", F.explode("entities").alias("e")).select("query_id", "scope", "e.name", "e.kind")
@@ -216,7 +226,9 @@ def answer_rows(spark: SparkSession, index: Index, rows: list[tuple], files_once
     q = spark.createDataFrame(held.append_column("vector", pa.array(vectors, pa.list_(pa.float64()))), StructType([*q.schema, StructField("vector", ArrayType(DoubleType()))]))
     watch.phase("encode_s")
     most = max((r[1] for r in rows), default=1) * (RERANKED if use_reranker else 1)
-    return assemble(q, find_definitions(q, index, few=True), find_chunks(q, index, files_once, use_reranker, (len(rows), most, use_reranker)), watch)
+    named = any(held["entities"].to_pylist())
+    defs = find_definitions(q, index, few=True) if named else spark.createDataFrame([], FOUND)
+    return assemble(q, defs, find_chunks(q, index, files_once, use_reranker, (len(rows), most, use_reranker)), watch)
 
 
 def answer_one(spark: SparkSession, index: Index, question: str, top_k: int = 5, scope: str = "engine", model: str | None = None, **options) -> DataFrame:
