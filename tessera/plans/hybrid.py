@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections import OrderedDict
@@ -214,16 +215,55 @@ def timed(questions: DataFrame, index: Index, files_once: bool = False, use_rera
     return out.withColumn("timing", F.create_map(*(F.lit(x) for kv in took.items() for x in kv)))
 
 
+#: The local property by which a driver's questions reach the one task that analyses them.
+ROWS_PROPERTY = "tessera.questions"
+ROW = "query_id long, question string, top_k int, scope string, model string, filter string, use_reranker boolean"
+_PREPARED: dict[str, DataFrame] = {}
+
+
+def _rows_of_job(batches):
+    """The questions that the driver gave its job, whatever comes in."""
+    from pyspark import TaskContext
+
+    for _ in batches:
+        pass
+    rows = json.loads(TaskContext.get().getLocalProperty(ROWS_PROPERTY))
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in ROW.split(", ")])
+
+
+def _as_it_is(batches):
+    yield from batches
+
+
+def analysed_rows(spark: SparkSession, rows: list[tuple]) -> tuple[pa.Table, StructType]:
+    """``understood`` for a few questions (question, top_k, scope, model) of the driver. The plan is made once a session; each time it runs it reads the
+    questions of its own job, so that a question costs a short task and no planning."""
+    key = spark.sparkContext.applicationId
+    if key not in _PREPARED:
+        _PREPARED.clear()
+        q = intent.with_intent(spark.range(0, 1, 1, 1).mapInArrow(_rows_of_job, ROW)).withColumn("parsed_filter", _parsed_filter())
+        _PREPARED[key] = intent.with_terms(q.mapInArrow(_as_it_is, q.schema))
+    sc = spark.sparkContext
+    sc.setLocalProperty(ROWS_PROPERTY, json.dumps([(i, *r, None, None) for i, r in enumerate(rows)]))
+    try:
+        return _PREPARED[key].toArrow(), _PREPARED[key].schema
+    finally:
+        sc.setLocalProperty(ROWS_PROPERTY, None)
+
+
 def answer_rows(spark: SparkSession, index: Index, rows: list[tuple], files_once: bool = False, use_reranker: bool = False, watch: Watch | None = None) -> DataFrame:
-    """``answer`` for a few questions (question, top_k, scope, model) of the driver, query_id being their place. They are analysed by one job and encoded on the
-    driver, where the last ones are kept; nothing is counted, so the answer is one job more."""
+    """``answer`` for a few questions (question, top_k, scope, model) of the driver, query_id being their place. They are analysed by one short job and encoded on the
+    driver, where the last ones are kept; nothing is counted, so the answer is one job more. ValueError for a model that can't answer."""
     watch = watch or Watch()
-    given = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "query_id long, question string, top_k int, scope string, model string")
-    q = understood(given, index)
-    held = q.toArrow()
+    for _, _, _, model in rows:
+        if model is not None and (model not in index.encoders or index.encoders[model].dim != index.encoder.dim):
+            raise ValueError(f"model {model} isn't known, or of another dimension than the index")
+    held, schema = analysed_rows(spark, rows)
     watch.phase("intent_analysis_s")
-    vectors = [index.encode(text or "", r[3]) for text, r in zip(held["semantic_text"].to_pylist(), (rows[i] for i in held["query_id"].to_pylist()), strict=True)]
-    q = spark.createDataFrame(held.append_column("vector", pa.array(vectors, pa.list_(pa.float64()))), StructType([*q.schema, StructField("vector", ArrayType(DoubleType()))]))
+    vectors = [index.encode(text or "", rows[i][3]) for text, i in zip(held["semantic_text"].to_pylist(), held["query_id"].to_pylist(), strict=True)]
+    q = spark.createDataFrame(held.append_column("vector", pa.array(vectors, pa.list_(pa.float64()))), StructType([*schema, StructField("vector", ArrayType(DoubleType()))]))
     watch.phase("encode_s")
     most = max((r[1] for r in rows), default=1) * (RERANKED if use_reranker else 1)
     named = any(held["entities"].to_pylist())
