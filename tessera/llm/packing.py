@@ -35,8 +35,6 @@ WIDE_ASCII = [x for c in "\t\n\v\f\r \x1c\x1d\x1e\x1f" for x in {c + " ", " " +
 #: Texts of these characters, and their pre-tokens.
 PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ſ]*")
 PRE_TOKENS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-#: Marks that are a pre-token of their own behind a word, and how long a word with one may be to be kept as one.
-MARKS, SHORT = tuple(",.;:!?"), 10
 #: Settings of a tokenizer for which these cuts hold.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
@@ -70,7 +68,7 @@ class Ids(dict):
     they are the old ones, from which those in use come back, and what was old before goes. So two times ``most`` short strings and their
     ids are all that is held. A tokenizer for which the cuts aren't proven encodes texts whole."""
 
-    def __init__(self, path: str, most: int = 350_000, longest: int = 32):
+    def __init__(self, path: str, most: int = 250_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -84,11 +82,6 @@ class Ids(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        if part[-1:] in MARKS and (word := part[:-1]).lstrip(" ").isalpha() and word.count(" ") < 2 and (word.isascii() or PLAIN.fullmatch(word)):
-            ids = self[word] + self[part[-1]]  # the most common kind of two pre-tokens
-            if len(part) <= SHORT:
-                self.keep(part, ids)
-            return ids
         plain = part.isascii() or PLAIN.fullmatch(part)
         if plain and not (part[1:] if part[:1] == " " else part).isalpha():
             cut = PRE_TOKENS.findall(part)
@@ -99,15 +92,12 @@ class Ids(dict):
             words = [part.encode().decode("latin-1").translate(self.characters)] if plain else [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
             ids = b"".join([self.numbers[t.id] for w in words for t in self.model.tokenize(w)])
         if len(part) <= self.longest:
-            self.keep(part, ids)
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
         return ids
 
-    def keep(self, part: str, ids: bytes) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[part] = ids
-
     def encode(self, text: str) -> bytes:
         if not self.cut or any(s in text for s in self.special):
             return self.whole(text)
