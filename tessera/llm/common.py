@@ -3,35 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove_folder, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["collect_garbage", "components", "cut", "is_valid_vector", "remove_folder", "shared_folder", "stored", "table"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names. Where it names none, a local session gets a temporary one; on a cluster
-    that would be on one machine alone, so there it is an error."""
-    folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if not folder:
-        if not sc.getCheckpointDir():
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder of the session's own, in whatever store it is."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
