@@ -32,9 +32,9 @@ from .common import collect_garbage, cut, remove_folder, shared_folder, stored
 LENGTH = 200
 SEED = 32
 #: Different segments of one anchor that are sorted in one task.
-MOST = 4096
+MOST = 2048
 #: Segments that are sorted together, at least, and rows of a batch.
-BLOCK = 2048
+BLOCK = 1024
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 16
 #: Odd multipliers modulo 2^64: the first makes anchors, the others compare suffixes.
@@ -112,7 +112,7 @@ def pieces(batch: pa.RecordBatch, length: int):
 
 def keys(batches, length: int, seed: int):
     """Texts -> each one's anchors: key, id, how often."""
-    for batch in batches:
+    for batch in few_rows(batches, 2048):
         ids = batch.column("id")
         for data, ends, row, _ in pieces(batch, length):
             start, _, _, key = anchors(data, ends, length, seed)
@@ -139,17 +139,26 @@ def name_of(at: int, part: bytes) -> bytes:
     return hashlib.blake2b(part, digest_size=16, salt=at.to_bytes(8, "little")).digest()
 
 
+def few_rows(batches, rows: int = 256):
+    """Slices of batches. Arrow gives back what it doesn't use after each batch, as workers go on to other stages."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def compressed(batches):
     """id and text -> id and the text compressed."""
     z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in few_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([z.compress(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())], names=["id", "z"])
 
 
-def texts_of(batches, rows: int = 256):
+def texts_of(batches):
     """Batches of few rows, with their texts' bytes in place of the compressed ones."""
     z = zstandard.ZstdDecompressor()
-    for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+    for batch in few_rows(batches):
         at = batch.schema.get_field_index("z")
         yield batch.set_column(at, "text", pa.array([z.decompress(x) for x in batch.column(at).to_pylist()], pa.binary()))
 
@@ -267,8 +276,8 @@ def verified(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.nd
     over_a, over_b = c == size[a], c == size[b]
     if not (over_a | (~over_b & (ended[start[a] + c] < ended[start[b] + c]))).all():
         return False
-    for i in range(0, len(c), 4096):
-        x, y, n = start[a[i : i + 4096]], start[b[i : i + 4096]], c[i : i + 4096]
+    for i in range(0, len(c), BLOCK):
+        x, y, n = start[a[i : i + BLOCK]], start[b[i : i + BLOCK]], c[i : i + BLOCK]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         if (data[np.repeat(x, n) + inside] != data[np.repeat(y, n) + inside]).any():
             return False
