@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import file_name
+from ..functions.numbers import fixed
 
 DEFINITION = "struct<entity_type: string, entity_name: string, file_path: string, line_start: int, line_end: int, match_quality: double, definition: string, members: array<string>, total_members: int, origin: string>"
 SEMANTIC = "struct<path: string, chunk_index: int, total_chunks: int, score: double, origin: string, entities: array<string>>"
@@ -57,7 +58,7 @@ def as_xml(code: bool = True) -> Column:
 
     def one(d: Column) -> Column:
         parts = [_leaf(c, d[c]) for c in ("entity_type", "entity_name", "file_path", "line_start", "line_end")]
-        parts += [_leaf("match_quality", F.format_string("%.2f", d["match_quality"])), _leaf("origin", d["origin"])]
+        parts += [_leaf("match_quality", fixed(d["match_quality"], 2)), _leaf("origin", d["origin"])]
         if code:
             inner = joined(F.transform(F.slice(d["members"], 1, 10), lambda m: _leaf("member", m)))
             parts += [F.when(d["definition"] != "", _leaf("definition", d["definition"])).otherwise(""), F.when(F.size(d["members"]) > 0, _tag("members", inner)).otherwise("")]
@@ -65,9 +66,9 @@ def as_xml(code: bool = True) -> Column:
 
     def hit(s: Column) -> Column:
         names = F.when(F.size(s["entities"]) > 0, _tag("entities", joined(F.transform(s["entities"], lambda e: _leaf("entity", e))))).otherwise("")
-        return _tag("result", _leaf("path", s["path"]), _leaf("score", F.format_string("%.3f", s["score"])), _leaf("origin", s["origin"]), names)
+        return _tag("result", _leaf("path", s["path"]), _leaf("score", fixed(s["score"], 3)), _leaf("origin", s["origin"]), names)
 
-    times = joined(F.transform(F.map_entries("timing"), lambda t: F.concat(F.lit("<"), t["key"], F.lit(">"), F.format_string("%.3f", t["value"]), F.lit("</"), t["key"], F.lit(">"))))
+    times = joined(F.transform(F.map_entries("timing"), lambda t: F.concat(F.lit("<"), t["key"], F.lit(">"), fixed(t["value"], 3), F.lit("</"), t["key"], F.lit(">"))))
     intent = F.concat(*(_leaf(c, F.col(f"intent.{c}")) for c in ("type", "entity_type", "entity_name", "confidence", "enhanced_query")))
     return _tag("query_result", _tag("query", _leaf("question", F.col("question")), _tag("intent", intent)),
         _tag("results", _tag("definitions", joined(F.transform("definition_results", one))), _tag("semantic", joined(F.transform("semantic_results", hit)))), _tag("timing", times))
@@ -85,16 +86,16 @@ def as_markdown(code: bool = True, most_lines: int = 50) -> Column:
         named = F.format_string("\n**Members (%d):** %s", n, F.array_join(F.slice(d["members"], 1, 5), ", "))
         members = F.when(n > 0, F.concat(named, F.when(n > 5, F.format_string("\n... and %d more", n - 5)).otherwise(""))).otherwise("")
         block = F.when(d["definition"] != "", F.concat(F.lit("\n\n```cpp\n"), _first_lines(d["definition"], most_lines, "... (%d more lines)"), F.lit("\n```"))).otherwise("") if code else F.lit("")
-        return F.concat(F.format_string("### %d. %s `%s`\n**File:** `%s:%d-%d`\n**Match Quality:** %.2f", i + 1, d["entity_type"], d["entity_name"], d["file_path"], d["line_start"], d["line_end"], d["match_quality"]), members, block, F.lit("\n"))
+        return F.concat(F.format_string("### %d. %s `%s`\n**File:** `%s:%d-%d`\n**Match Quality:** %s", i + 1, d["entity_type"], d["entity_name"], d["file_path"], d["line_start"], d["line_end"], fixed(d["match_quality"], 2)), members, block, F.lit("\n"))
 
     def hit(s: Column, i: Column) -> Column:
         names = F.when(F.size(s["entities"]) > 0, F.concat(F.lit("\n   - Entities: "), F.array_join(F.slice(s["entities"], 1, 5), ", "))).otherwise("")
-        return F.concat(F.format_string("%d. **%s** (score: %.3f, origin: %s)", i + 1, file_name(s["path"]), s["score"], s["origin"]), names)
+        return F.concat(F.format_string("%d. **%s** (score: %s, origin: %s)", i + 1, file_name(s["path"]), fixed(s["score"], 3), s["origin"]), names)
 
-    head = F.format_string("# Query: %s\n\n**Intent:** %s (confidence: %.2f)\n", "question", F.coalesce("intent.type", F.lit("unknown")), "intent.confidence")
+    head = F.format_string("# Query: %s\n\n**Intent:** %s (confidence: %s)\n", "question", F.coalesce("intent.type", F.lit("unknown")), fixed(F.col("intent.confidence"), 2))
     defs = F.when(F.size("definition_results") > 0, F.concat(F.format_string("## Definitions (%d)\n\n", F.size("definition_results")), F.array_join(F.transform("definition_results", one), "\n")))
     sems = F.when(F.size("semantic_results") > 0, F.concat(F.format_string("## Semantic Matches (%d)\n\n", F.size("semantic_results")), F.array_join(F.transform("semantic_results", hit), "\n"), F.lit("\n")))
-    times = F.when(F.size("timing") > 0, F.concat(F.lit("## Performance\n"), F.array_join(F.transform(F.map_entries("timing"), lambda t: F.format_string("- %s: %.3fs", t["key"], t["value"])), "\n"), F.lit("\n")))
+    times = F.when(F.size("timing") > 0, F.concat(F.lit("## Performance\n"), F.array_join(F.transform(F.map_entries("timing"), lambda t: F.format_string("- %s: %ss", t["key"], fixed(t["value"], 3))), "\n"), F.lit("\n")))
     return F.concat_ws("\n", head, defs, sems, times)
 
 
@@ -116,10 +117,10 @@ def as_text() -> Column:
         few = F.concat(F.array_join(F.slice(d["members"], 1, 5), ", "), F.when(F.size(d["members"]) > 5, "...").otherwise(""))
         return F.format_string("\n[%d] %s %s\n    File: %s\n    Lines: %d-%d\n    Members: %s\n    Origin: %s", i + 1, F.upper(d["entity_type"]), d["entity_name"], d["file_path"], d["line_start"], d["line_end"], few, d["origin"])
 
-    hit = lambda s, i: F.format_string("[%d] score=%.3f | %s | chunk %d/%d\n    Origin: %s", i + 1, s["score"], file_name(s["path"]), s["chunk_index"] + 1, s["total_chunks"], s["origin"])
+    hit = lambda s, i: F.format_string("[%d] score=%s | %s | chunk %d/%d\n    Origin: %s", i + 1, fixed(s["score"], 3), file_name(s["path"]), s["chunk_index"] + 1, s["total_chunks"], s["origin"])
     defs = F.when(F.size("definition_results") > 0, F.concat(F.format_string("\n=== Definition Results (%d) ===\n", F.size("definition_results")), F.array_join(F.transform("definition_results", one), "\n")))
     sems = F.when(F.size("semantic_results") > 0, F.concat(F.format_string("\n=== Semantic Results (%d) ===\n", F.size("semantic_results")), F.array_join(F.transform("semantic_results", hit), "\n")))
-    times = F.concat(F.lit("\n\n=== Timing ===\n"), F.array_join(F.transform(F.map_entries("timing"), lambda t: F.format_string("%s: %.3fs", t["key"], t["value"])), "\n"), F.lit("\n"))
+    times = F.concat(F.lit("\n\n=== Timing ===\n"), F.array_join(F.transform(F.map_entries("timing"), lambda t: F.format_string("%s: %ss", t["key"], fixed(t["value"], 3))), "\n"), F.lit("\n"))
     return F.concat_ws("\n", defs, sems, times)
 
 

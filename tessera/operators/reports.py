@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from .enrich import MACROS
 
 
@@ -127,7 +128,7 @@ def system_prompt(base: Column, ctx: Column) -> Column:
 
 def prompt(hits: DataFrame) -> DataFrame:
     """(query_id, prompt) of ``hits(query_id, question, rank, score, path, chunk_index, total_chunks, chunk_text)``."""
-    part = F.format_string("[Doc %d score=%.3f path=%s chunk=%d/%d]\n%s", "rank", "score", "path", F.col("chunk_index") + 1, "total_chunks", F.coalesce("chunk_text", F.lit("")))
+    part = F.format_string("[Doc %d score=%s path=%s chunk=%d/%d]\n%s", "rank", fixed(F.col("score"), 3), "path", F.col("chunk_index") + 1, "total_chunks", F.coalesce("chunk_text", F.lit("")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("t")))), lambda x: x["t"])
     return hits.groupBy("query_id", "question").agg(F.concat(F.lit(PROMPT_HEAD), F.array_join(parts, "\n\n"), F.lit("\n\nQuestion:\n"), F.col("question"), F.lit("\n\nAnswer:")).alias("prompt")).select("query_id", "prompt")
 
@@ -147,7 +148,7 @@ def progress(line: Column) -> Column:
         .when(has("Chunking", "Processing") & counted, made(part(10, 20, 15), F.format_string("Processing files (%d/%d)...", done, total)))
         .when(has("Chunking", "Processing"), made(F.lit(20), F.lit("Processing files...")))
         .when(has("Embedding", "(?i:batch)") & counted, made(part(30, 60, 60), F.format_string("Generating embeddings (%d/%d)...", done, total)))
-        .when(has("Embedding", "(?i:batch)") & percent.isNotNull(), made(30 + percent * 0.6, F.format_string("Generating embeddings (%.1f%%)...", percent)))
+        .when(has("Embedding", "(?i:batch)") & percent.isNotNull(), made(30 + percent * 0.6, F.format_string("Generating embeddings (%s%%)...", fixed(percent, 1))))
         .when(has("Embedding", "(?i:batch)"), made(F.lit(60), F.lit("Generating embeddings...")))
         .when(has("Saving", "Writing"), made(F.lit(95), F.lit("Saving vector store...")))
         .when(has("Complete", "SUCCESS", "Done"), made(F.lit(100), F.lit("Complete!")))

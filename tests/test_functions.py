@@ -5,8 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import naming, similarity
-from tessera.operators import filters, intent
+from tessera.functions import naming, numbers, similarity
+from tessera.operators import filters, intent, reports
 
 
 def one(spark, column):
@@ -97,3 +97,17 @@ def test_dimension_check(spark):
     assert filters.check_dimension(df, [0.0, 0.0]).count() == 1
     with pytest.raises(Exception, match="Dimension mismatch"):
         filters.check_dimension(df, [0.0]).collect()
+
+
+def test_fixed_prints_as_python(spark):
+    # 0.0625 and 0.1875 are ties in binary; 0.0125, 0.0005 and 1.0005 only look like ones
+    xs = [0.0, -0.0, 0.0625, 0.1875, -0.0625, 0.0125, 0.0375, 0.0005, 0.0015, 1.0005, 2.0005, 0.9995, 0.99949999, -1e-9, 1 / 3, 123456.7895, 999.9995, 5e-324, 2.5, *(k / n for n in (16, 80, 400, 2000) for k in range(n))]
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "i int, x double")
+    got = {r.i: (r.a, r.b) for r in df.select("i", numbers.fixed(F.col("x"), 3).alias("a"), numbers.fixed(F.col("x"), 1).alias("b")).collect()}
+    assert got == {i: (f"{x:.3f}", f"{x:.1f}") for i, x in enumerate(xs)}
+    assert df.where("i = 2").select(reports.progress(F.lit("batch at 12.25%"))["message"]).first()[0] == "Generating embeddings (12.2%)..."
+
+
+def test_prompt_scores_print_as_python(spark):
+    hits = spark.createDataFrame([(0, "q", 1, 0.0625, "p", 0, 1, "t")], "query_id int, question string, rank int, score double, path string, chunk_index int, total_chunks int, chunk_text string")
+    assert "[Doc 1 score=0.062 path=p chunk=1/1]" in reports.prompt(hits).first().prompt
