@@ -51,7 +51,7 @@ def embed_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).select("doc_id", F.col("text").alias("chunk_text"), F.sha2("text", 256).alias("chunk_sha"))
     none = spark.createDataFrame([], "chunk_sha string, embedding array<float>")
     e = embed.embed_missing(f, none)
-    return e.select("doc_id", F.size("embedding").alias("dim"), F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x * 1000).cast("int").cast("string")), ",")).alias("digest"))
+    return e.select("doc_id", F.size("embedding").alias("dim"), F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("int").cast("string")), ",")).alias("digest"))
 
 
 CASES = [(0, ["FHitResult", "HitResult.h"]), (1, ["AActor"]), (2, ["LineTraceSingle", "World.h", "nothing"]), (3, []), (4, ["x"])]
