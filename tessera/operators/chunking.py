@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..functions.batches import bounded
+
 SIZE, OVERLAP, LEAST, TAIL = 2000, 200, 500, 300
 MAX_CHARS = 120_000
 
@@ -113,7 +115,7 @@ def structured_chunks(files: DataFrame, size: int = SIZE, least: int = LEAST, ov
     schema = StructType([*files.schema, StructField("__chunks", ArrayType(StringType()))])
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, at):
             made = pa.array([structured(t or "", size, least, overlap) for t in b.column(at).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "__chunks"])
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from ..functions.naming import include_of, module_by_place
 from ..functions.similarity import match_quality
 from .similar import MOST_ASKED, forms, similar
@@ -94,7 +95,7 @@ def definitions(files: DataFrame) -> DataFrame:
     """All definitions of ``files(path, text, origin)``: one pass over the files, however many names are looked up later."""
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             rows = [(path, *d, origin) for path, text, origin in zip(*(c.to_pylist() for c in b.columns), strict=True) for d in find_definitions(text or "")]
             cols = list(zip(*rows, strict=True)) or [()] * 9
             path, kind, name, first, last, header, body, members, origin = cols

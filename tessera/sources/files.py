@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.batches import bounded
 from ..functions.naming import category, norm_path, suffix
 from ..operators.filters import EXTENSIONS, passes
 
@@ -79,7 +80,7 @@ def decode(files: DataFrame) -> DataFrame:
     schema = StructType([*files.drop("content").schema, StructField("text", StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, at):
             made = [document_text(p, c or b"") for p, c in zip(b.column(place).to_pylist(), b.column(at).to_pylist(), strict=True)]
             rest = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), pa.array(made, pa.string())], names=[*(b.schema.names[i] for i in rest), "text"])

@@ -26,7 +26,7 @@ from .files import decode
 
 IGNORE_FILE = ".indexignore"
 #: Rows, and bytes of content, of a batch.
-ROWS, BYTES = 1000, 16 << 20
+ROWS, BYTES = 1000, 2 << 20
 SCHEMA = "path string, origin string, bytes long, modified timestamp, content binary"
 IS_GLOB = re.compile(r"[*?\[]")
 
@@ -187,15 +187,15 @@ def write_tree(files: DataFrame, root: str) -> int:
         store, top = pafs.FileSystem.from_uri(root) if re.match(r"[a-z0-9]+:/", root) else (pafs.LocalFileSystem(), root)
         made = set()
         for b in batches:
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                to = posixpath.join(top, path)
+            for path, text in zip(b.column(0), b.column(1), strict=True):
+                to = posixpath.join(top, path.as_py())
                 folder, name = posixpath.split(to)
                 if folder not in made:
                     store.create_dir(folder, recursive=True)
                     made.add(folder)
                 part = posixpath.join(folder, f".{name}.part")
                 with store.open_output_stream(part) as f:
-                    f.write((text or "").encode())
+                    f.write(text.as_buffer() if text.is_valid else b"")
                 store.move(part, to)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 

@@ -2,9 +2,11 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import batches
 from tessera.sources import files as sources
 from tessera.sources import tree
 from tessera.sources.snapshots import Store
@@ -205,3 +207,26 @@ def test_stream_of_batches_resumes(spark, tmp_path):
     with pytest.raises(ValueError):
         batch_stream.answered(spark, str(tmp_path / "none"))
     spark.catalog.clearCache()
+
+
+def test_workers_hold_parts_of_batches(spark):
+    """Rows of a batch come in parts by their bytes, all of them and in order; a long one is alone, and nothing is copied."""
+    texts = ["a" * 10, None, "", "b" * 50, "é" * 20, "c", "d" * 9]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    parts = list(batches.bounded(iter([whole, whole.slice(0, 0), whole.slice(2, 3)]), 1, 40))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4], [5, 6], [2], [3], [4]]
+    assert pa.Table.from_batches(parts).column(1).to_pylist() == texts + texts[2:5]
+    kept = list(batches.bounded(iter([whole.slice(1, 2)]), 1, 0))
+    assert [p.column(0).to_pylist() for p in kept] == [[1, 2]]
+
+
+def test_decoding_holds_a_part_at_a_time(spark, monkeypatch):
+    """A batch of many long files is decoded in several."""
+    n, size = 40, 200_000
+    f = spark.range(0, n, 1, 1).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".h")).alias("path"), F.encode(F.repeat(F.lit("x"), size), "utf-8").alias("content"))
+    seen = []
+    monkeypatch.setattr(type(f), "mapInArrow", lambda df, run, schema, go=type(f).mapInArrow: seen.append(run) or go(df, run, schema))
+    out = sources.decode(f)
+    made = list(seen[0](iter(f.toArrow().combine_chunks().to_batches())))
+    assert sum(b.num_rows for b in made) == n and max(b.num_rows for b in made) <= batches.MOST_BYTES // size
+    assert out.agg(F.sum("n_chars"), F.countDistinct("path")).first()[:] == (n * size, n)
