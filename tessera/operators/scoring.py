@@ -73,23 +73,21 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, tie: str = "ch
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
 
 
-#: A question with its vector and terms takes about this much; so many of them are sent to every executor.
+#: A question with its vector and terms, or a chunk with its text, takes a few KB; so many of them are sent to every executor.
 MOST_QUESTIONS = 2_000
 
 
 def with_questions(chunks: DataFrame, questions: DataFrame, most: int = MOST_QUESTIONS, n: int | None = None) -> DataFrame:
-    """Every chunk with every question, in one scan of the chunks. Up to ``most`` questions are broadcast; more are dealt
-    into blocks of that many, and the chunks are read once for each block. n: how many there are, if that is known."""
+    """Every chunk with every question, in one plan however many there are. Up to ``most`` questions are broadcast, so that the chunks are scanned once;
+    if there are more, up to ``most`` chunks are. Where both are many, the questions are dealt to partitions of about that many, and a task has a partition of
+    chunks and one of questions. n: how many questions there are, if that is known."""
     n = questions.count() if n is None else n
     if n <= most:
         return chunks.crossJoin(F.broadcast(questions))
-    blocks = -(-n // most)
-    dealt = questions.withColumn("__block", F.pmod(F.xxhash64(*questions.columns), F.lit(blocks)))
-    parts = [chunks.crossJoin(F.broadcast(dealt.where(F.col("__block") == b).drop("__block"))) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    columns = [*chunks.columns, *questions.columns]
+    if chunks.select(F.lit(1)).limit(most + 1).count() <= most:
+        return questions.crossJoin(F.broadcast(chunks)).select(columns)
+    return chunks.crossJoin(questions.repartition(-(-n // most)).hint("shuffle_replicate_nl"))
 
 
 @cache

@@ -81,8 +81,12 @@ class Index:
 
 def settled(rows: DataFrame) -> DataFrame:
     """``rows`` computed once, so that no plan on top of them repeats or optimises the expressions below."""
-    some = rows.limit(SETTLED + 1).toArrow()
-    return rows.sparkSession.createDataFrame(some, rows.schema) if some.num_rows <= SETTLED else rows.persist()
+    held = rows.persist()
+    some = held.limit(SETTLED + 1).toArrow()
+    if some.num_rows > SETTLED:
+        return held
+    held.unpersist()
+    return rows.sparkSession.createDataFrame(some, rows.schema)
 
 
 @cache

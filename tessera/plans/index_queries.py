@@ -260,13 +260,17 @@ def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
 
+#: A file of questions is one row of a stream until its lines are numbered, and one task's; so many lines are a few MB.
+FILE_LINES = 5_000
+
+
 def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What users say in all conversations, written as JSON lines, every ninth broken and some with a filter, and answered as a stream from the snippets."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     asked = F.to_json(F.struct("conv_id", "turn", F.col("text").alias("question"), F.lit(2).alias("top_k"), F.lit("all").alias("scope"), F.when(F.col("turn") == 2, F.when(F.col("conv_id") % 2 == 0, "file:header").otherwise("type:wrong")).alias("filter"), (F.col("conv_id") % 3 == 0).alias("show_reasoning")))
     line = F.when((F.col("conv_id") + F.col("turn")) % 9 == 4, F.concat(asked, F.lit("]"))).otherwise(asked)
     with scratch(spark, "questions") as top:
-        c.select(line.alias("value")).write.text(f"{top}/in")
+        c.select(line.alias("value")).write.option("maxRecordsPerFile", FILE_LINES).text(f"{top}/in")
         index = hybrid.Index.build(code(spark), most_chars=None)
         batch_stream.answer_stream(batch_stream.stream_lines(spark, f"{top}/in"), index, f"{top}/out", f"{top}/checkpoint", once=True).awaitTermination()
         out = batch_stream.answered(spark, f"{top}/out")

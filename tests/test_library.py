@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera import server
-from tessera.operators import chunking, definitions, embed, formats, incremental, reports
+from tessera.operators import chunking, definitions, embed, formats, incremental, reports, scoring
 from tessera.plans import fixtures, hybrid
 from tessera.sources import files as sources
 from tessera.streaming import index_stream
@@ -467,3 +467,30 @@ def test_counts_and_seconds_of_an_answer(spark, index):
     assert all(r.timing.keys() == {"intent_analysis_s"} and r.timing["intent_analysis_s"] == watch.seconds["intent_analysis_s"] > 0 for r in rows)
     one = hybrid.answer_one(spark, index, "struct FHitInfo", scope="all").first()
     assert one.timing.keys() == {"intent_analysis_s", "encode_s"}
+
+
+def test_pairs_of_many_questions_are_one_plan(spark):
+    """However many questions there are, no part of the plan is there once for each block of them, and every chunk meets every question."""
+    chunks = spark.range(7).select(F.col("id").alias("chunk_id"), F.lit("t").alias("text"))
+    for n, most in ((3, 5), (60, 10), (60, 5)):  # questions are few; chunks are; neither is
+        asked = spark.range(n).select(F.col("id").alias("query_id"))
+        pairs = scoring.with_questions(chunks, asked, most=most)
+        assert pairs.columns == ["chunk_id", "text", "query_id"]
+        assert sorted((r.chunk_id, r.query_id) for r in pairs.collect()) == [(c, q) for c in range(7) for q in range(n)]
+        assert "Union" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_settled_rows_are_computed_once(spark, monkeypatch):
+    """More rows than go through the driver stay persisted from their first computation on."""
+    monkeypatch.setattr(hybrid, "SETTLED", 10)
+    for n, cached in ((8, False), (40, True)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        rows = hybrid.settled(spark.range(0, n, 1, 1).mapInArrow(count, "id long"))
+        assert rows.count() == n and rows.count() == n and seen.value == n and rows.is_cached == cached
+        rows.unpersist()
