@@ -16,19 +16,20 @@ MACROS = ("uproperty", "ufunction", "uclass", "ustruct", "uenum")
 BOOSTED_MACROS = MACROS[:4]
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(1))
+def _all(text: Column, word: str, pattern: str) -> Column:
+    """All names by ``pattern``, which is tried only where its ``word`` is."""
+    return F.when(~F.contains(text, F.lit(word)), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(1)))
 
 
 def entity_columns(text: Column, path: Column) -> dict[str, Column]:
     """entities and entity_types (distinct, sorted), has_* for each macro, is_header, is_implementation. The name of an
     enum class that starts like a class counts as a class too."""
-    structs, classes, enums = _all(text, STRUCT), _all(text, CLASS), _all(text, ENUM)
+    structs, classes, enums = _all(text, "struct", STRUCT), _all(text, "class", CLASS), _all(text, "enum", ENUM)
     types = F.array_compact(F.array(F.when(F.size(classes) > 0, F.lit("class")), F.when(F.size(enums) > 0, F.lit("enum")), F.when(F.size(structs) > 0, F.lit("struct"))))
     return {
         "entities": F.array_sort(F.array_distinct(F.concat(structs, classes, enums))),
         "entity_types": types,
-        **{f"has_{m}": text.rlike(rf"(?U)\b{m.upper()}\s*\(") for m in MACROS},
+        **{f"has_{m}": F.contains(text, F.lit(m.upper())) & text.rlike(rf"(?U)\b{m.upper()}\s*\(") for m in MACROS},
         "is_header": is_header(path),
         "is_implementation": is_implementation(path),
     }

@@ -28,11 +28,18 @@ def keywords(question: Column) -> Column:
     return F.array_except(F.array_distinct(words(F.lower(question))), list_of(STOP_WORDS))
 
 
+def looked_in(path: Column, entities: Column) -> dict[str, Column]:
+    """What ``sparse`` looks into, in lower case: made once a chunk, not for each question or token."""
+    return {"__path": F.lower(path), "__name": file_name(F.lower(path)), "__entities": F.transform(entities, lambda e: F.lower(e))}
+
+
 def sparse(tokens: Column, path: Column, entities: Column) -> Column:
     """For each token: 0.4 if the file's name holds it, else 0.1 if the path does; and 0.5 if it is an entity, else 0.2 if
     an entity holds it, case aside."""
-    low, names = F.lower(path), F.transform(entities, lambda e: F.lower(e))
-    name = file_name(low)
+    return _sparse(tokens, *looked_in(path, entities).values())
+
+
+def _sparse(tokens: Column, low: Column, name: Column, names: Column) -> Column:
 
     def one(acc: Column, t: Column) -> Column:
         place = F.when(F.contains(name, t), IN_NAME).when(F.contains(low, t), IN_PATH).otherwise(0.0)
@@ -93,7 +100,7 @@ def with_questions(chunks: DataFrame, questions: DataFrame, most: int = MOST_QUE
 @cache
 def _score(boost_macros: bool, logical: bool, strict_parity: bool) -> Column:
     """The score's expressions, made once."""
-    raw = dense(F.col("embedding"), F.col("vector")) + sparse(F.col("tokens"), F.col("path"), F.col("entities"))
+    raw = dense(F.col("embedding"), F.col("vector")) + _sparse(F.col("tokens"), F.col("__path"), F.col("__name"), F.col("__entities"))
     return boosted(raw, F.col("boost_entities"), F.col("type"), F.col("path"), F.col("entities"), boost_macros, logical, strict_parity)
 
 
@@ -101,9 +108,10 @@ def scores(chunks: DataFrame, questions: DataFrame, boost_macros: bool = True, l
     """Every one of ``chunks`` in scope with its score for each row of ``questions(query_id, tokens, vector, boost_entities, type, scope)``.
     where: a further condition over the columns of both."""
     scope = (F.col("scope") == "all") | ((F.col("scope") == "engine") == (F.coalesce(F.col("origin"), F.lit("engine")) == "engine"))
+    chunks = chunks.withColumns(looked_in(F.col("path"), F.col("entities")))
     pairs = with_questions(chunks, questions, n=n).where(scope if where is None else scope & where)
     scored = pairs.withColumn("score", _score(boost_macros, logical, strict_parity))
-    return scored.drop("vector", "embedding", "tokens")
+    return scored.drop("vector", "embedding", "tokens", "__path", "__name", "__entities")
 
 
 def search(chunks: DataFrame, questions: DataFrame, k: int = 5, files_once: bool = False, over_fetch: int = 10, **options) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import io
 import json
+import re
 import zipfile
+import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -494,3 +497,36 @@ def test_settled_rows_are_computed_once(spark, monkeypatch):
         rows = hybrid.settled(spark.range(0, n, 1, 1).mapInArrow(count, "id long"))
         assert rows.count() == n and rows.count() == n and seen.value == n and rows.is_cached == cached
         rows.unpersist()
+
+
+@given(st.lists(st.one_of(st.text(max_size=60), st.from_regex(r"([A-Z]{0,2}[a-zé0-9_ ]{1,9}){1,12}", fullmatch=True)), max_size=4), st.sampled_from([64, 7]))
+@settings(max_examples=80, deadline=None)
+def test_hash_encoder_by_its_words(texts, dim):
+    """Counted words and known places give the vectors that single words and their parts add up to."""
+    want = np.zeros((len(texts), dim))
+    for row, text in zip(want, texts, strict=True):
+        for w in re.findall(r"\w+", text):
+            for part in (w.lower(), *re.findall(r"[A-Z]?[a-z0-9]+", w)):
+                h = zlib.crc32(part.lower().encode())
+                row[h % dim] += 1.0 if h >> 31 else -1.0
+    norm = np.sqrt((want * want).sum(1, keepdims=True))
+    want = np.divide(want, norm, out=np.zeros_like(want), where=norm > 0).astype(np.float32)
+    assert (embed.HashEncoder(dim).encode(texts) == want).all()
+
+
+def test_a_word_is_hashed_once():
+    """A repeated word costs a look-up, not another hash; very long ones aren't kept."""
+    embed.places.cache_clear()
+    embed.HashEncoder().encode(["FHitInfo fooBar fooBar", "fooBar FHitInfo " + "x" * 1000])
+    assert embed.places.cache_info()[:2] == (2, 2) and embed.places.cache_info().currsize == 2
+
+
+def test_scores_make_what_they_look_into_once_a_chunk(spark):
+    """Lower-case names and paths are below the pairs of the plan, not in each pair's score."""
+    c = spark.createDataFrame([(1, "/a/Wheel.h", "engine", ["UWheel"], [0.5, 0.5])], "chunk_id long, path string, origin string, entities array<string>, embedding array<float>")
+    c = c.withColumns({x: F.lit(False) for x in ("has_uproperty", "has_ufunction", "has_uclass", "has_ustruct", "is_header", "is_implementation")})
+    q = spark.createDataFrame([(0, ["wheel", "a"], [1.0, 1.0], "semantic", "all")], "query_id long, tokens array<string>, vector array<double>, type string, scope string").withColumn("boost_entities", F.array().cast("array<string>"))
+    out = scoring.scores(c, q)
+    assert out.first().score == pytest.approx(1.0 + scoring.IN_NAME + scoring.IN_ENTITY + scoring.IN_PATH)
+    above = out._jdf.queryExecution().optimizedPlan().toString().partition("Join")[0]
+    assert "split(lower(" not in above and "__name" not in out.columns
