@@ -5,15 +5,19 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.batches import bounded
+from ..functions.matching import matches_in
 
 SIZE, OVERLAP, LEAST, TAIL = 2000, 200, 500, 300
 MAX_CHARS = 120_000
+#: Which of some strings a chunk holds, a bit each.
+HOLDS = "__holds"
 
 # Where a structure starts, each at the start of a line.
 BOUNDARIES = [
@@ -24,6 +28,8 @@ BOUNDARIES = [
     re.compile(r"^\s*namespace\s+[\w_]+\s*\{", re.M),
     re.compile(r"^\s*(?:/\*\*|//\s*[-=]{5,})", re.M),
 ]
+#: Of each structure: strings one of which is in every match, and what every match ends with, if that is fixed.
+MARKS = [(("{",), "{"), (("class", "struct"), "{"), (("enum",), "{"), (("UCLASS", "USTRUCT", "UENUM", "UFUNCTION", "UPROPERTY", "UINTERFACE"), "("), (("namespace",), "{"), (("/**", "//"), "")]
 
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP, tail: int = TAIL) -> Column:
@@ -51,7 +57,7 @@ def window_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, ta
 
 
 def starts_of_structures(text: str) -> list[int]:
-    return sorted({m.start() for p in BOUNDARIES for m in p.finditer(text)})
+    return sorted({m.start() for p, (words, end) in zip(BOUNDARIES, MARKS, strict=True) for m in matches_in(p, text, words, end)})
 
 
 def sections(text: str, size: int) -> list[str]:
@@ -108,30 +114,35 @@ def structured(text: str, size: int = SIZE, least: int = LEAST, overlap: int = 0
     return out
 
 
-def structured_chunks(files: DataFrame, size: int = SIZE, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
-    """Structure-aware chunks of ``files(..., text)``, one row each; then each but a file's last takes the first ``overlap``
-    characters of the next one if it doesn't pass ``size`` with them."""
+def overlapped(chunks: list[str], size: int, overlap: int) -> list[str]:
+    """Each chunk but the last with the first ``overlap`` characters of the next, if it doesn't pass ``size`` with them."""
+    more = [x[: max(overlap, 0)] for x in chunks[1:]]
+    return [x + y if len(x) + len(y) <= size else x for x, y in zip(chunks, [*more, ""], strict=True)]
+
+
+def structured_chunks(files: DataFrame, size: int = SIZE, least: int = LEAST, overlap: int = OVERLAP, words: tuple[str, ...] = ()) -> DataFrame:
+    """Structure-aware chunks of ``files(..., text)``, one row each, with the columns of ``explode_chunks``; each but a file's last takes the first ``overlap``
+    characters of the next one if it doesn't pass ``size`` with them. words: a column HOLDS says which of these strings a chunk holds, a bit each. Texts go to
+    Python once and only chunks come back."""
+    files = files.drop("chunk_index", "total_chunks", "chars", "chunk_text")
     at = files.columns.index("text")
-    schema = StructType([*files.schema, StructField("__chunks", ArrayType(StringType()))])
+    rest = [i for i in range(len(files.columns)) if i != at]
+    made = [StructField("total_chunks", IntegerType()), StructField("chunk_index", IntegerType()), StructField("chunk_text", StringType()), StructField(HOLDS, IntegerType())]
+    schema = StructType([*(files.schema[i] for i in rest), *(made if words else made[:-1])])
 
     def run(batches):
         for b in bounded(batches, at):
-            made = pa.array([structured(t or "", size, least, overlap) for t in b.column(at).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "__chunks"])
-
-    cut = files.mapInArrow(run, schema).withColumn("__chunks", with_overlap(F.col("__chunks"), size, overlap))
-    return explode_chunks(cut.drop("text"), F.col("__chunks"))
-
-
-def with_overlap(chunks: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Each chunk with the start of the next, where it fits; a chunk and its next are in one row, so nothing is shuffled."""
-    n = F.size(chunks)
-
-    def one(x: Column, i: Column) -> Column:
-        more = F.substring(F.try_element_at(chunks, i + 2), 1, overlap)
-        return F.when((i + 1 < n) & (F.length(x) + F.length(more) <= size), F.concat(x, more)).otherwise(x)
+            chunks = [overlapped(structured(t or "", size, least, overlap), size, overlap) for t in b.column(at).to_pylist()]
+            n = np.array([len(x) for x in chunks], np.int32)
+            rows, total = np.repeat(np.arange(len(n)), n), np.repeat(n, n)
+            flat = [x for xs in chunks for x in xs]
+            out = [*(b.column(i).take(pa.array(rows)) for i in rest), pa.array(total), pa.array((np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)), pa.array(flat, pa.string())]
+            if words:
+                out.append(pa.array([sum(1 << k for k, w in enumerate(words) if w in x) for x in flat], pa.int32()))
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return F.transform(chunks, one) if overlap > 0 else chunks
+    out = files.mapInArrow(run, schema)
+    return out.select(*(c for c in out.columns if c != HOLDS), F.length("chunk_text").alias("chars"), *([HOLDS] if words else []))
 
 
 def overlap_by_window(chunks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -146,10 +157,10 @@ def over_cap(files: DataFrame, most_chars: int = MAX_CHARS) -> DataFrame:
     return files.groupBy("origin").agg(F.count("*").alias("files"), F.count_if(over).alias("over"), F.coalesce(F.sum(F.when(over, chars)), F.lit(0)).cast("long").alias("chars_over"))
 
 
-def chunk_files(files: DataFrame, structure: bool = True, size: int | None = None, overlap: int = OVERLAP, most_chars: int | None = MAX_CHARS) -> DataFrame:
-    """The chunks of ``files(path, ..., text)`` under the size cap (None: of all): structure-aware ones, or fixed windows of 1500."""
+def chunk_files(files: DataFrame, structure: bool = True, size: int | None = None, overlap: int = OVERLAP, most_chars: int | None = MAX_CHARS, words: tuple[str, ...] = ()) -> DataFrame:
+    """The chunks of ``files(path, ..., text)`` under the size cap (None: of all): structure-aware ones, which say which of ``words`` they hold, or fixed windows of 1500."""
     capped = files if most_chars is None else files.where(F.length("text") <= most_chars)
-    return structured_chunks(capped, size or SIZE, overlap=overlap) if structure else window_chunks(capped, size or 1500, overlap)
+    return structured_chunks(capped, size or SIZE, overlap=overlap, words=words) if structure else window_chunks(capped, size or 1500, overlap)
 
 
 def snippet(text: Column, chunk_index: Column, size: int = 1500, overlap: int = 200) -> Column:

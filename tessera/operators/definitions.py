@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import bounded
+from ..functions.matching import matches_in
 from ..functions.naming import include_of, module_by_place
 from ..functions.similarity import match_quality
 from .similar import MOST_ASKED, forms, similar
@@ -22,6 +23,8 @@ STARTS = {
     "function": re.compile(r"^[ \t]*(?:UFUNCTION\s*\([^)]*\)\s*)?(?:virtual\s+)?(?:static\s+)?(?:inline\s+)?[\w:<>,\*&][\w:<>,\*& \t]*[ \t]+\*?&?(?P<name>\w+)\s*\(", re.M),
     "delegate": re.compile(r"^[ \t]*DECLARE_\w+_DELEGATE[^(\n]*\(\s*(?P<name>\w+)\s*,", re.M),
 }
+#: Of each kind: a string in every match, and what every match ends with.
+MARKS = {"struct": ("struct", "{"), "class": ("class", "{"), "enum": ("enum", "{"), "function": ("(", "("), "delegate": ("DECLARE_", ",")}
 # Words that look like the name of a function, or like what it returns.
 NOT_FUNCTIONS = {"if", "for", "while", "switch", "return", "else", "new", "delete", "case", "do"}
 MARKED_MEMBER = re.compile(r"UPROPERTY\s*\([^)]*\)\s*([\w:<>,\*&\s]+?)\s+(\w+)\s*;", re.S)
@@ -70,7 +73,8 @@ def find_definitions(text: str) -> list[tuple]:
     text = text.replace("\r\n", "\n")
     out = []
     for kind, pattern in STARTS.items():
-        for m in pattern.finditer(text):
+        word, last = MARKS[kind]
+        for m in matches_in(pattern, text, (word,), last):
             name, head = m["name"], m.start()
             if kind in ("struct", "class", "enum"):
                 opened = m.end() - 1

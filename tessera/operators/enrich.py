@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import is_header, is_implementation, module_by_place
+from .chunking import HOLDS
 
 # What names an entity, and what marks a macro.
 STRUCT = r"\bstruct\s+(?:\w+_API\s+)?([A-Z_]\w+)"
@@ -14,29 +15,36 @@ ENUM = r"\benum\s+(?:class\s+)?([A-Z_]\w+)"
 MACROS = ("uproperty", "ufunction", "uclass", "ustruct", "uenum")
 #: Flags that rank a chunk higher; enums don't.
 BOOSTED_MACROS = MACROS[:4]
+#: Without any of these a text has no entities and flags.
+WORDS = ("struct", "class", "enum", *(m.upper() for m in MACROS))
 
 
-def _all(text: Column, word: str, pattern: str) -> Column:
-    """All names by ``pattern``, which is tried only where its ``word`` is."""
-    return F.when(~F.contains(text, F.lit(word)), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(1)))
+def entity_columns(text: Column, path: Column, holds: Column | None = None) -> dict[str, Column]:
+    """entities and entity_types (distinct, sorted), has_* for each macro, is_header, is_implementation. The name of an
+    enum class that starts like a class counts as a class too. Each pattern is tried only where its word is; holds: which of WORDS the text holds, a bit each,
+    where that is known."""
 
+    def there(word: str) -> Column:
+        return F.contains(text, F.lit(word)) if holds is None else holds.bitwiseAND(F.lit(1 << WORDS.index(word))) != 0
 
-def entity_columns(text: Column, path: Column) -> dict[str, Column]:
-    """entities and entity_types (distinct, sorted), has_* for each macro, is_header, is_implementation. The name of an
-    enum class that starts like a class counts as a class too."""
-    structs, classes, enums = _all(text, "struct", STRUCT), _all(text, "class", CLASS), _all(text, "enum", ENUM)
+    def every(word: str, pattern: str) -> Column:
+        return F.when(~there(word), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(1)))
+
+    structs, classes, enums = every("struct", STRUCT), every("class", CLASS), every("enum", ENUM)
     types = F.array_compact(F.array(F.when(F.size(classes) > 0, F.lit("class")), F.when(F.size(enums) > 0, F.lit("enum")), F.when(F.size(structs) > 0, F.lit("struct"))))
     return {
         "entities": F.array_sort(F.array_distinct(F.concat(structs, classes, enums))),
         "entity_types": types,
-        **{f"has_{m}": F.contains(text, F.lit(m.upper())) & text.rlike(rf"(?U)\b{m.upper()}\s*\(") for m in MACROS},
+        **{f"has_{m}": there(m.upper()) & text.rlike(rf"(?U)\b{m.upper()}\s*\(") for m in MACROS},
         "is_header": is_header(path),
         "is_implementation": is_implementation(path),
     }
 
 
 def enrich(chunks: DataFrame, text: str = "chunk_text", path: str = "path") -> DataFrame:
-    return chunks.withColumns(entity_columns(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path), F.lit(""))))
+    """``chunks`` with their ``entity_columns``; those that say which of WORDS they hold aren't searched for them."""
+    holds = F.col(HOLDS) if HOLDS in chunks.columns else None
+    return chunks.withColumns(entity_columns(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path), F.lit("")), holds)).drop(HOLDS)
 
 
 def with_defaults(chunks: DataFrame) -> DataFrame:

@@ -149,13 +149,13 @@ def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stated questions against all files, in one plan, rendered."""
     q = questions(spark).withColumns({"top_k": F.lit(5), "scope": F.lit("all"), "filter": F.lit(None).cast("string")})
-    out = hybrid.answer(q, hybrid.Index.build(code(spark, sf_dir), most_chars=None).kept()).withColumn("timing", F.create_map().cast("map<string, double>"))
+    out = hybrid.answer(q, hybrid.Index.build(code(spark, sf_dir), most_chars=None).kept(chunks=False)).withColumn("timing", F.create_map().cast("map<string, double>"))
     return out.select("query_id", "intent.type", F.size("definition_results").alias("n_definitions"), F.size("semantic_results").alias("n_semantic"), F.size("combined_results").alias("n_combined"), formats.as_paths().alias("paths"), formats.as_json(False).alias("json"))
 
 
 def format_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = spark.createDataFrame([(0, "struct FHitInfo"), (1, "how do wheels work")], "query_id long, question string").withColumns({"top_k": F.lit(3), "scope": F.lit("all")})
-    out = hybrid.answer(q, hybrid.Index.build(code(spark, sf_dir), most_chars=None).kept()).withColumn("timing", F.create_map().cast("map<string, double>"))
+    out = hybrid.answer(q, hybrid.Index.build(code(spark, sf_dir), most_chars=None).kept(chunks=False)).withColumn("timing", F.create_map().cast("map<string, double>"))
     kinds = F.create_map(*(x for name, f in formats.FORMATS.items() for x in (F.lit(name), f())))
     return out.select("query_id", F.explode(kinds).alias("format", "rendered"))
 

@@ -47,14 +47,15 @@ class Index:
     def build(cls, files: DataFrame, encoder: Encoder | None = None, encoders: dict[str, Encoder] | None = None, **options) -> Index:
         """From ``files(path, origin, text)``; chunk_id follows path and number in the file."""
         enc = encoder or HashEncoder()
-        chunks = enrich.enrich(chunking.chunk_files(files, **options))
+        chunks = enrich.enrich(chunking.chunk_files(files, words=enrich.WORDS, **options))
         chunks = chunks.withColumn("chunk_id", F.xxhash64("path", "chunk_index"))
         return cls(embed(chunks, enc), definitions.definitions(files), enc, encoders or {})
 
-    def kept(self) -> Index:
-        """The same, computed once for all plans of the session (an index that is to last is a written store)."""
+    def kept(self, chunks: bool = True) -> Index:
+        """The same, computed once for all plans of the session (an index that is to last is a written store). Without ``chunks`` only definitions and their
+        names are kept, which an answer reads more than once: chunks it reads once, so that for a single answer their texts needn't be held."""
         defs = self.definitions.persist()
-        return Index(self.chunks.persist(), defs, self.encoder, self.encoders, names=definitions.names_of(defs).persist(), reranker=self.reranker)
+        return Index(self.chunks.persist() if chunks else self.chunks, defs, self.encoder, self.encoders, names=definitions.names_of(defs).persist(), reranker=self.reranker)
 
     def release(self) -> None:
         """Frees what ``kept`` holds."""

@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera import server
-from tessera.operators import chunking, definitions, embed, formats, incremental, reports, scoring
+from tessera.functions import matching
+from tessera.operators import chunking, definitions, embed, enrich, formats, incremental, reports, scoring
 from tessera.plans import fixtures, hybrid
 from tessera.sources import files as sources
 from tessera.streaming import index_stream
@@ -521,6 +522,86 @@ def test_a_word_is_hashed_once():
     assert embed.places.cache_info()[:2] == (2, 2) and embed.places.cache_info().currsize == 2
 
 
+LETTERS = st.sampled_from(list("aZb9_ \n.éÈΣσſİKßȺ中𐐀") + ["FHitInfo ", "fooBar", "ABC ", "x" * 70, "Été9a ", "ΑΣ "])
+
+
+@given(st.lists(st.one_of(st.lists(LETTERS, max_size=40).map("".join), st.text(max_size=60)), min_size=1, max_size=6), st.sampled_from([64, 7]))
+@settings(max_examples=150, deadline=None)
+def test_all_words_at_once(texts, dim):
+    assert (embed.at_once(texts, dim) == embed.by_word(texts, dim)).all()
+
+
+def test_many_words_are_hashed_at_once(monkeypatch):
+    """Longer texts cost no look-up a word; those over MOST characters are cut between words, and add up to the same."""
+    texts = ["", None, "FHitInfo fooBar é " * 400, "ab", "w1 élan_X " * 900 + "x" * 3000, "y" * 3000]
+    want = np.concatenate([embed.by_word([t or ""], 64) for t in texts])
+    norm = np.sqrt((want * want).sum(1, keepdims=True))
+    want = np.divide(want, norm, out=np.zeros_like(want), where=norm > 0).astype(np.float32)
+    monkeypatch.setattr(embed, "places", None)
+    for most in (embed.MOST, 5000):
+        monkeypatch.setattr(embed, "MOST", most)
+        monkeypatch.setattr(embed, "FEW", 0)
+        assert (embed.HashEncoder().encode(texts) == want).all()
+
+
+@given(st.lists(st.sampled_from(["class A {\n", "  struct ENGINE_API FB : public C\n{", "void F() {\n", "word word\n", "int X(int y) const\n{\n", "(", ")", "\n\n", "UPROPERTY (\n", "}\n", "/**\n", "enum class E : int {", "namespace n {\n", "// ------\n", "DECLARE_X_DELEGATE(a, b)\n", ";"]), max_size=30).map("".join))
+@settings(max_examples=150, deadline=None)
+def test_patterns_are_tried_where_they_can_match(text):
+    spans = lambda found: [m.span() for m in found]
+    for p, (words, end) in zip(chunking.BOUNDARIES, chunking.MARKS, strict=True):
+        assert spans(matching.matches_in(p, text, words, end)) == spans(p.finditer(text))
+    for kind, p in definitions.STARTS.items():
+        word, end = definitions.MARKS[kind]
+        assert spans(matching.matches_in(p, text, (word,), end)) == spans(p.finditer(text))
+
+
+def test_patterns_leave_prose_alone():
+    class Never:
+        def finditer(self, text, start=0, stop=None):
+            assert text[:stop].endswith("{")
+            return iter(())
+
+    for text in ("struct of words, " * 9, "no mark {}", "struct A {} " + "word " * 9):
+        assert list(matching.matches_in(Never(), text, ("struct",), "{")) == []
+
+
+def test_chunks_say_what_they_hold(spark):
+    """Structure-aware chunks come from Python without their file's text, in one step with the overlap, and with the words by which they are searched."""
+    texts = ["UPROPERTY(x) struct FA {\n" + "word é " * 700 + "\n\nenum class EB {" + " z" * 1500, "", None, "class UC { UCLASS (", "s" * 5000]
+    files = spark.createDataFrame([(f"/{i}.h", i, t) for i, t in enumerate(texts)], "path string, i int, text string")
+    told = chunking.chunk_files(files, words=enrich.WORDS, most_chars=None)
+    plain = chunking.chunk_files(files, most_chars=None)
+    assert [c for c in told.columns if c != chunking.HOLDS] == plain.columns == ["path", "i", "total_chunks", "chunk_index", "chunk_text", "chars"]
+    rows = sorted(plain.collect(), key=lambda r: (r.i, r.chunk_index))
+    for i, t in enumerate(texts):
+        parts = chunking.structured(t or "", overlap=chunking.OVERLAP)
+        want = [x + y[:200] if len(x) + len(y[:200]) <= chunking.SIZE else x for x, y in zip(parts, [*parts[1:], ""], strict=True)]
+        assert [(r.chunk_index, r.total_chunks, r.chunk_text, r.chars) for r in rows if r.i == i] == [(k, len(want), x, len(x)) for k, x in enumerate(want)]
+    assert sorted(enrich.enrich(told).collect()) == sorted(enrich.enrich(plain).collect())
+    assert "text" not in [a.name() for a in _attributes(told, "MapInArrow")]
+
+
+def _attributes(df, node):
+    """What the plan's first node of that kind gives."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() != node:
+        plan = plan.children().head()
+    out = plan.output()
+    return [out.apply(i) for i in range(out.size())]
+
+
+@pytest.mark.parametrize("name", ["hybrid_answers", "format_outputs"])
+def test_single_answers_hold_no_chunks(spark, with_long_text, monkeypatch, name):
+    seen = []
+    build = hybrid.Index.build.__func__
+    monkeypatch.setattr(hybrid.Index, "build", classmethod(lambda cls, *a, **k: seen.append(build(cls, *a, **k)) or seen[0]))
+    from tessera.plans import registry
+
+    registry.QUERIES[name](spark, with_long_text)
+    assert not seen[0].chunks.is_cached and seen[0].definitions.is_cached
+    spark.catalog.clearCache()
+
+
 def test_scores_make_what_they_look_into_once_a_chunk(spark):
     """Lower-case names and paths are below the pairs of the plan, not in each pair's score."""
     c = spark.createDataFrame([(1, "/a/Wheel.h", "engine", ["UWheel"], [0.5, 0.5])], "chunk_id long, path string, origin string, entities array<string>, embedding array<float>")
