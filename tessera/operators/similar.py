@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.naming import strip_prefix
 from ..functions.similarity import BIGRAM, CONTAINED, JARO_WINKLER, LEAST, LEVENSHTEIN, grams, match_quality
 
-#: Asked names that are sent to all executors; more are dealt by the join's key.
+#: Asked names, or names that they are compared with, that are sent to all executors; more are dealt by the join's key.
 MOST_ASKED = 10_000
+#: What is sent may take so many bytes, as all of it passes through the driver: a name may be a whole question, and its rows grow with the square of its length.
+MOST_BYTES = 32 << 20
 #: How many times longer one of two forms without a shared bigram can be. All of the shorter one's letters shared, their score is at most
 #: JARO_WINKLER * (0.9 * (2 + x) / 3 + 0.1) + LEVENSHTEIN * x at the ratio 1 / x; a single letter can be contained besides.
 RATIO = (0.3 * JARO_WINKLER + LEVENSHTEIN + CONTAINED) / (LEAST - 1e-9 - 0.7 * JARO_WINKLER)
@@ -31,23 +33,47 @@ def _letters(s: Column) -> Column:
 
 
 def forms(names: DataFrame, name: str) -> DataFrame:
-    """Two rows for each name: form (0: as it is, 1: without its prefix), and of that form, in lower case, s, n (length), letters, spare (letters beyond
-    one for each bit) and grams."""
+    """Two rows for each name: form (0: as it is, 1: without its prefix), and of that form, in lower case, first (letter), n (length), letters, spare (letters
+    beyond one for each bit), grams and n_grams."""
     both = F.array(F.lower(name), F.lower(strip_prefix(F.col(name))))
-    return names.select("*", F.posexplode(both).alias("form", "s")).withColumns(_signature()).withColumn("spare", F.expr("n - bit_count(letters)"))
+    out = names.select("*", F.posexplode(both).alias("form", "s")).withColumns(_signature()).drop("s")
+    return out.withColumns({"spare": F.expr("n - bit_count(letters)"), "n_grams": F.size("grams")})
 
 
 @cache
 def _signature() -> dict[str, Column]:
-    return {"n": F.length("s"), "letters": _letters(F.col("s")), "grams": F.array_sort(grams(F.col("s")))}
+    return {"first": F.substring("s", 1, 1), "n": F.length("s"), "letters": _letters(F.col("s")), "grams": F.array_sort(grams(F.col("s")))}
 
 
 @cache
-def _meetings() -> tuple[Column, Column]:
-    """Which pairs of q and c that share a bigram, and which of like length, can reach LEAST; expressions made once."""
-    common, over = F.array_intersect("q.grams", "c.grams"), LEAST - 1e-9
-    near = (F.element_at(common, 1) == F.col("q.gram")) & (_bound(_shared_letters("q", "c"), F.size(common), 0.4, "q", "c") > over)
-    return near, (F.col("q.s") == F.col("c.s")) | (_bound(_shared_letters("q", "c"), F.lit(0), 0.1, "q", "c") > over)
+def _meetings() -> tuple[Column, Column, Column, Column]:
+    """Which pairs of q and c can reach LEAST; expressions made once: those that met under a bigram and share no earlier one; those of any bigrams; those that
+    share one, by numbers alone; those of like length. Equal forms share a bigram, but for those of one letter or none."""
+    common, over, letters = F.array_intersect("q.grams", "c.grams"), LEAST - 1e-9, _shared_letters("q", "c")
+    near = _bound(letters, F.size(common), 0.4, "q", "c") > over
+    might = _bound(letters, F.least("q.n_grams", "c.n_grams"), 0.4, "q", "c") > over
+    same = (F.col("q.n") <= 1) & (F.col("q.n") == F.col("c.n")) & (F.col("q.first") == F.col("c.first"))
+    low, high = _lengths("q.n")
+    like = F.col("c.n").between(low, high)
+    return (F.element_at(common, 1) == F.col("q.gram")) & near, (F.size(common) > 0) & near, might, like & (same | (_bound(letters, F.lit(0), 0.1, "q", "c") > over))
+
+
+def _lengths(n: str) -> tuple[Column, Column]:
+    """The least and the greatest length within RATIO of a form's own."""
+    return F.least(F.ceil(F.col(n) / RATIO).cast("int"), n), F.greatest(F.floor(F.col(n) * RATIO).cast("int"), n)
+
+
+def _digits(n: Column) -> Column:
+    """How many binary digits a length has."""
+    return F.length(F.bin(n))
+
+
+def sendable(formed: DataFrame, most: int) -> tuple[bool, int, int]:
+    """Whether ``forms`` of up to ``most`` names take up to MOST_BYTES where they are sent, with a row for each bigram that holds them all; and the least and
+    greatest length of a form. One aggregate."""
+    g, n = F.col("n_grams").cast("long"), F.col("n").cast("long")
+    rows, taken, low, high = formed.agg(F.count("*"), F.sum(g * (100 + 24 * g + 2 * n) + 7 * (100 + 2 * n)), F.min("n"), F.max("n")).first()
+    return rows <= 2 * most and (taken or 0) <= MOST_BYTES, low or 0, high or 0
 
 
 @cache
@@ -65,38 +91,66 @@ def _bound(m: Column, shared: Column, prefix: float, a: str, b: str) -> Column:
     """No less than the compound score of forms with at most ``m`` letters and ``shared`` bigrams in common, of which the prefix bonus is at most ``prefix``."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
     jaro = F.when(m > 0, (m / x + m / y + 1.0) / 3.0).otherwise(F.lit(0.0))
-    first = F.substring(f"{a}.s", 1, 1) == F.substring(f"{b}.s", 1, 1)
+    first = F.col(f"{a}.first") == F.col(f"{b}.first")
     jaro = F.when(first & (m > 0), jaro + prefix * (1.0 - jaro)).otherwise(jaro)
-    both = F.size(f"{a}.grams") + F.size(f"{b}.grams")
+    both = F.col(f"{a}.n_grams") + F.col(f"{b}.n_grams")
     dice = F.when(both > 0, 2.0 * shared / both).otherwise(F.lit(0.0))
     inside = F.when((m >= x) & ((shared > 0) | (x <= 1)), CONTAINED * x / F.greatest(y, F.lit(1))).otherwise(F.lit(0.0))
     return jaro * JARO_WINKLER + F.when(m > 0, m / F.greatest(x, y)).otherwise(F.lit(0.0)) * LEVENSHTEIN + dice * BIGRAM + inside
 
 
+def _key(*names: str) -> Column:
+    out = F.lit(True)
+    for k in names:
+        out &= F.col(f"q.{k}").eqNullSafe(F.col(f"c.{k}"))
+    return out
+
+
+def _by_gram(formed: DataFrame) -> DataFrame:
+    return formed.withColumn("gram", F.explode("grams"))
+
+
+def _sent(q: DataFrame, c: DataFrame, by: list[str], send_c: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs of forms that share a bigram, and of those of like length, one side broadcast."""
+    here, there = (F.broadcast, lambda df: df) if send_c else (lambda df: df, F.broadcast)
+    met_first, _, _, can_be_apart = _meetings()
+    near = here(_by_gram(c)).alias("c").join(there(_by_gram(q)).alias("q"), _key(*by, "form", "gram")).where(met_first)
+    low, high = _lengths("n")
+    wide = q.drop("grams").withColumn("digits", F.explode(F.sequence(_digits(low), _digits(high))))
+    apart = here(c.drop("grams").withColumn("digits", _digits(F.col("n")))).alias("c").join(there(wide).alias("q"), _key(*by, "form", "digits"))
+    return near, apart.where(can_be_apart)
+
+
+def _dealt(q: DataFrame, c: DataFrame, by: list[str], least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The same with both sides dealt. What meets under a bigram holds numbers alone, and a number for the form, by which its pairs get the rest after that; two
+    forms with the same number are compared in vain. Spark takes no account of how many rows an explode makes, so it is told not to broadcast them.
+    least, most: lengths of the forms in c; a form in q has a row for each that is near its own."""
+    merge = lambda df: df.hint("merge")
+    _, can_meet, might_meet, can_be_apart = _meetings()
+    q, c = q.withColumn("id", F.xxhash64("name", *by, "form")), c.withColumn("id", F.xxhash64("entity_name", *by, "form"))
+    met = _by_gram(c.drop("entity_name")).drop("grams").alias("c").join(merge(_by_gram(q.drop("name")).drop("grams")).alias("q"), _key(*by, "form", "gram")).where(might_meet)
+    met = met.select(F.col("q.id").alias("q_id"), F.col("c.id").alias("c_id")).distinct()
+    near = merge(met).join(c.alias("c"), F.col("c.id") == F.col("c_id")).join(merge(q).alias("q"), F.col("q.id") == F.col("q_id")).where(_key(*by, "form") & can_meet)
+    low, high = _lengths("n")
+    wide = q.drop("grams").where((high >= least) & (low <= most)).withColumn("length", F.explode(F.sequence(F.greatest(low, F.lit(least)), F.least(high, F.lit(most)))))
+    apart = c.drop("grams").withColumn("length", F.col("n")).alias("c").join(merge(wide).alias("q"), _key(*by, "form", "length"))
+    return near, apart.where(can_be_apart)
+
+
 def candidates(asked: DataFrame, names: DataFrame, by: list[str], most_asked: int | None = MOST_ASKED) -> DataFrame:
-    """Distinct pairs of ``asked(name, *by)`` and ``names(entity_name, *by)``, equal in ``by``, among which are all that match. A few asked names are
-    broadcast, behind a count (None: the caller knows that they are few), so that names stream past them; more are dealt with them. ``names`` may have
-    their ``forms`` already."""
+    """Distinct pairs of ``asked(name, *by)`` and ``names(entity_name, *by)``, equal in ``by``, among which are all that match. Asked names are broadcast if they
+    are few and take few bytes, which one aggregate tells (None: the caller knows it), so that names stream past them; else the names are, if that holds
+    for them; else both are dealt. ``names`` may have their ``forms`` already."""
     q = forms(asked.select("name", *by).distinct(), "name")
     c = names if "grams" in names.columns else forms(names.select("entity_name", *by).distinct(), "entity_name")
-    some = F.broadcast if most_asked is None or q.limit(2 * most_asked + 1).count() <= 2 * most_asked else lambda df: df
-
-    def key(*names: str) -> Column:
-        out = F.lit(True)
-        for k in names:
-            out &= F.col(f"q.{k}").eqNullSafe(F.col(f"c.{k}"))
-        return out
-
+    if most_asked is None or sendable(q, most_asked)[0]:
+        near, apart = _sent(q, c, by, send_c=False)
+    else:
+        few, least, most = sendable(c, most_asked)
+        near, apart = _sent(q, c, by, send_c=True) if few else _dealt(q, c, by, least, most)
     pair = ["q.name", "c.entity_name", *(f"c.{k}" for k in by)]
-    gram = lambda df: df.withColumn("gram", F.explode("grams"))
-    can_meet, can_be_apart = _meetings()
-    near = gram(c).alias("c").join(some(gram(q)).alias("q"), key(*by, "form", "gram")).where(can_meet).select(*pair)
-    low, high = F.ceil(F.col("n") / RATIO).cast("int"), F.floor(F.col("n") * RATIO).cast("int")
-    wide = q.withColumn("length", F.explode(F.sequence(F.least(low, "n"), F.greatest(high, "n"))))
-    # without a shared bigram; what has one was met above, and passes here no sooner
-    apart = c.withColumn("length", F.col("n")).alias("c").join(some(wide).alias("q"), key(*by, "form", "length"))
-    apart = apart.where(can_be_apart).select(*pair)
-    return near.union(apart).distinct()
+    # those apart share no bigram: what has one is met by it, and passes here no sooner
+    return near.select(*pair).union(apart.select(*pair)).distinct()
 
 
 def similar(asked: DataFrame, names: DataFrame, by: list[str], most_asked: int | None = MOST_ASKED) -> DataFrame:

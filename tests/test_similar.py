@@ -50,3 +50,22 @@ def test_asked_names_are_broadcast_behind_a_count(spark):
     a, b = spark.createDataFrame([("abc", "k")], "name string, kind string"), spark.createDataFrame([("abd", "k")], "entity_name string, kind string")
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan(similar.candidates(a, b, ["kind"])) and "strategy=broadcast" not in plan(similar.candidates(a, b, ["kind"], 0))
+
+
+def test_whole_questions_as_names_are_not_sent(spark):
+    """A few asked names that are as long as questions take much as rows: the names are sent to them, or both are dealt, and no match is lost."""
+    rnd = random.Random(3)
+    long = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ,.") for _ in range(300)) for _ in range(25)]
+    short = ["", "a", "F", "FHitInfo", "hitinfo", *(q[5:40] for q in long[:4])]
+    changed = [q[:150] + "xyz" + q[170:] for q in long[:3]]
+    asked = spark.createDataFrame([(n, "struct") for n in [*long, *short, long[0].upper(), "A", "UHitInfo"]] + [(None, "struct"), ("abc", None)], "name string, kind string").where("name IS NOT NULL")
+    there = spark.createDataFrame([(n, "struct") for n in [*short, *changed, "f", "b"]] + [("abc", None)], "entity_name string, kind string")
+    pairs = asked.join(there, asked["kind"].eqNullSafe(there["kind"])).drop(there["kind"])
+    want = {tuple(r): q for *r, q in pairs.select("name", "entity_name", "kind", match_quality(F.col("name"), F.col("entity_name")).alias("q")).where("q > 0").collect()}
+    assert any(len(n) == 300 for n, _, _ in want)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for most_asked, sent, told in ((10_000, True, "strategy=broadcast"), (5, False, "strategy=merge")):
+        met = plan(similar.candidates(asked, there, ["kind"], most_asked))
+        assert "rightHint=(strategy=broadcast)" not in met and ("leftHint=(strategy=broadcast)" in met) == sent and told in met
+        got = similar.similar(asked, there, ["kind"], most_asked).collect()
+        assert {(r.name, r.entity_name, r.kind): r.match_quality for r in got} == want and len(got) == len(want)
