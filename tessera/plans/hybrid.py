@@ -20,6 +20,7 @@ from ..functions.naming import norm_path
 from ..operators import chunking, definitions, enrich, formats, intent, late, relations, scoring
 from ..operators.embed import Encoder, HashEncoder, embed
 from ..operators.filters import matches, parsed
+from ..sources import shared
 
 FEW_DEFINITIONS = 3
 #: How many more chunks a re-ranker looks at than are asked for.
@@ -80,14 +81,16 @@ class Index:
         return self.encoded[key]
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """``rows`` computed once, so that no plan on top of them repeats or optimises the expressions below."""
+def settled(rows: DataFrame, cut: bool = False) -> DataFrame:
+    """``rows`` computed once, so that no plan on top of them repeats or optimises the expressions below. cut: many rows are written to the shared folder
+    too, so that plans on top don't hold those below, which the driver has again for each place where the rows are read."""
     held = rows.persist()
     some = held.limit(SETTLED + 1).toArrow()
-    if some.num_rows > SETTLED:
+    if some.num_rows > SETTLED and not cut:
         return held
+    out = shared.settled(held).persist() if some.num_rows > SETTLED else rows.sparkSession.createDataFrame(some, rows.schema)
     held.unpersist()
-    return rows.sparkSession.createDataFrame(some, rows.schema)
+    return out
 
 
 @cache
@@ -112,7 +115,7 @@ def analyse(questions: DataFrame, index: Index) -> DataFrame:
     out = embed(q.where("model IS NULL") if index.encoders else q, index.encoder, "semantic_text", "vector")
     for name, encoder in index.encoders.items():
         out = out.unionByName(embed(q.where(F.col("model") == name), encoder, "semantic_text", "vector"))
-    return settled(out)
+    return settled(out, cut=True)
 
 
 #: What ``find_definitions`` gives.

@@ -611,3 +611,14 @@ def test_scores_make_what_they_look_into_once_a_chunk(spark):
     assert out.first().score == pytest.approx(1.0 + scoring.IN_NAME + scoring.IN_ENTITY + scoring.IN_PATH)
     above = out._jdf.queryExecution().optimizedPlan().toString().partition("Join")[0]
     assert "split(lower(" not in above and "__name" not in out.columns
+
+
+def test_plans_on_many_questions_hold_no_analysis(spark, index, monkeypatch):
+    """What analyses many questions stands in no plan on top of them; they are the same as those that go through the driver."""
+    asked = spark.createDataFrame([(i, f"struct FHitInfo{i} members", 5, "all") for i in range(8)], "query_id long, question string, top_k int, scope string")
+    few = hybrid.analyse(asked, index)
+    monkeypatch.setattr(hybrid, "SETTLED", 3)
+    many = hybrid.analyse(asked, index)
+    assert many.is_cached and "EvalPython" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    many.unpersist()
